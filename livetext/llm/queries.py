@@ -1,8 +1,10 @@
 """The operators' queries and, where SQL can express them, their DuckDB equivalents."""
 
+from livetext.llm.chat import OP2_SQL, op2_chat_format
+from livetext.llm.cover_tree import op7_cover_tree
 from livetext.llm.packing import op9_best_fit_packing
 from livetext.llm.simhash import op5_simhash
 from livetext.llm.token_counts import op1_token_counts
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op5_simhash": op5_simhash, "op9_best_fit_packing": op9_best_fit_packing}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_chat_format": op2_chat_format, "op5_simhash": op5_simhash, "op7_cover_tree": op7_cover_tree, "op9_best_fit_packing": op9_best_fit_packing}
+SQL = {"op2_chat_format": OP2_SQL}
