@@ -2,9 +2,14 @@
 
 from livetext.llm.chat import OP2_SQL, op2_chat_format
 from livetext.llm.cover_tree import op7_cover_tree
+from livetext.llm.decontaminate import op4_decontamination
+from livetext.llm.language import op3_language_crf
 from livetext.llm.packing import op9_best_fit_packing
+from livetext.llm.pages import op8_main_text
+from livetext.llm.pii import op10_pii_surrogates
 from livetext.llm.simhash import op5_simhash
 from livetext.llm.token_counts import op1_token_counts
+from livetext.llm.toxicity import op6_toxicity
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_chat_format": op2_chat_format, "op5_simhash": op5_simhash, "op7_cover_tree": op7_cover_tree, "op9_best_fit_packing": op9_best_fit_packing}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_language_crf, op4_decontamination, op5_simhash, op6_toxicity, op7_cover_tree, op8_main_text, op9_best_fit_packing, op10_pii_surrogates)}
 SQL = {"op2_chat_format": OP2_SQL}
