@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,13 +95,110 @@ def simhash_components(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text
     rows = written(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), n).select("doc_id", "fp"), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     labels = components(near_links(prints))
-    named = prints.join(labels.hint("merge"), prints.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    named = prints.join(labels.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     named = written(named, "named")
     least = written(named.groupBy("label").agg(F.min("first").alias("component_id")), "least")
     by_print = written(named.join(least.hint("merge"), "label").select("fp", "component_id"), "by-print")
     return rows.join(by_print.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+# --- near copies beyond two bits ------------------------------------------------------------------------------
+
+BANDS, ROWS, WORDS = 12, 4, 5
+SKETCH = "doc_id long, digest binary, fp long, bands array<struct<near:long,nearer:long>>"
+SETS = "doc_id long, shingles array<long>"
+#: Groups of at most so many texts are compared pair by pair; larger ones with their first text and in finer groups.
+PAIRED = 16
+
+
+def _sketches(docs: DataFrame, n: int) -> DataFrame:
+    """Of each text: a digest of its words, its fingerprint, and fingerprints of min-wise samples of its shingles.
+
+    A sample takes the shingle that comes first in each of ROWS random orders, so two texts share it with
+    probability J^ROWS for Jaccard similarity J, whatever their lengths; ``nearer`` takes twice as many.
+    """
+    rng = np.random.default_rng(20)
+    odd = rng.integers(1, 2**63, (BANDS, 2 * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sketch(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = np.unique(shingle_hashes(text, WORDS))
+                bands = []
+                if len(hashes):
+                    with np.errstate(over="ignore"):
+                        least = np.full(BANDS * 2 * ROWS, np.iinfo(np.uint64).max)
+                        for at in range(0, len(hashes), 2048):
+                            part = hashes[at : at + 2048, None] * odd.ravel()[None, :]
+                            least = np.minimum(least, (part ^ (part >> np.uint64(31))).min(0))
+                    for k, row in enumerate(least.reshape(BANDS, 2 * ROWS)):
+                        key = [xxhash.xxh64_intdigest(row[:m].tobytes(), k) for m in (ROWS, 2 * ROWS)]
+                        bands.append(dict(zip(("near", "nearer"), np.array(key, np.uint64).view(np.int64).tolist(), strict=True)))
+                words = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+                rows.append((doc_id, xxhash.xxh128_digest(words), fingerprint(text, n), bands))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.struct([("near", pa.int64()), ("nearer", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "digest", "fp", "bands"])
+
+    return docs.mapInArrow(sketch, SKETCH)
+
+
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, WORDS)).view(np.int64).tolist() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return docs.mapInArrow(sets, SETS)
+
+
+def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of members(key, doc) that share a key, and the rows of groups that were too large for all pairs."""
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1"), "bands")
+    joined = members.join(sizes.hint("merge"), "key")
+    few = joined.filter(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("doc")).alias("docs"))  # at most PAIRED
+    pairs = few.select(F.explode(F.flatten(F.transform("docs", lambda a, k: F.transform(F.slice("docs", k + 2, PAIRED), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
+    large = joined.filter(F.col("n") > PAIRED)
+    return pairs.union(large.filter("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))), large.select("doc", "nearer")
+
+
+def near_copy_components(docs: DataFrame, similarity: float = 0.8, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for each document with an id: classes of fingerprints within two bits, and of texts whose
+    sets of five-word shingles are at least ``similarity`` alike.
+
+    Two bits hold only very close copies. So texts are also fingerprinted on min-wise samples of their shingles;
+    texts that share one of twelve such fingerprints are candidates (at similarity 0.8 all but 2 in 1,000 pairs do), and
+    the sets are compared exactly. Exact copies are one text first.
+    """
+    small_batches(docs.sparkSession)
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    rows = written(_sketches(texts, n), "sketches")
+    firsts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
+    same = rows.select("doc_id", "digest").join(firsts.hint("merge"), "digest").select("doc_id", "first")
+    own = written(rows.join(firsts.select("digest", F.col("first").alias("doc_id")).hint("merge"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]).select("doc_id", "fp", "bands"), "own-sketches")
+
+    prints = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    of_print = own.select("doc_id", "fp").join(prints.hint("merge"), "fp").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    doc_of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(c + "_doc")).hint("merge")
+    bits = near_links(prints).join(doc_of("a"), "a").join(doc_of("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+
+    members = written(own.select("doc_id", F.explode("bands").alias("s")).select(F.col("s.near").alias("key"), F.col("doc_id").alias("doc"), F.col("s.nearer").alias("nearer")), "band-members")
+    pairs, large = _candidates(members)
+    finer, _ = _candidates(large.select(F.col("nearer").alias("key"), "doc", "nearer"))
+    pairs = written(pairs.union(finer).distinct(), "candidates")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    sets = written(_shingle_sets(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(c + "_set")).hint("merge")
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("a_set", "b_set")))
+    alike = both.filter(F.col("shared") >= similarity * (F.size("a_set") + F.size("b_set") - F.col("shared"))).select("a", "b")
+
+    labels = components(of_print.union(bits).union(alike))
+    named = written(same.join(labels.hint("merge"), F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("label", "first").alias("label")), "named-documents")
+    least = written(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least-documents")
+    return named.join(least.hint("merge"), "label").select("doc_id", "component_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -43,7 +43,7 @@ def _sample(docs: DataFrame, labels: DataFrame, targets: dict, last: str, per_cl
     return texts.join(F.broadcast(chosen), "id").toPandas().sort_values(["id", "text"], kind="stable")
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict, per_class: int = 3000) -> list[tuple[np.ndarray, np.ndarray]]:
+def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict, per_class: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
     """(word weights, (earlier probabilities, bias) weights) of each category in order; ``targets`` maps names to conditions."""
     last = list(targets)[-1]
     rows = _sample(docs, labels, targets, last, per_class)
