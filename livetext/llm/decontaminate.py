@@ -3,9 +3,9 @@
 1. One pass over the documents marks every place where a word n-gram of a test item stands, and keeps the passages
    round these places: as many words before and after as the longest item with that n-gram has. Passages that
    touch are one.
-2. The document frequency of each n-gram, over all documents, ranks an item's n-grams; the rarest share of each
-   item (a half, and ``min_seeds`` at least) are its seeds. The share is relative: an item that is itself common in the
-   corpus keeps seeds.
+2. The document frequency of each n-gram, over all documents, tells an item's rare n-grams: those up to twice the
+   item's median (and ``min_seeds`` at least) are its seeds. The measure is the item's own, so one that is itself common in
+   the corpus keeps seeds, and so do its edited copies.
 3. Seeds join passages to items, and each pair is aligned word by word (match 1, mismatch and gap -1). A score
    of ``threshold`` of the item's words, or of ``long_match`` words for long items, makes a leak: edited and
    paraphrased copies keep most of their words in order.
@@ -155,10 +155,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_seeds: int = 4,
         # at most a block's n-grams: bounded by BLOCK_CHARS
         of_items = spark.createDataFrame(sorted(grams), "item int, gram long")
         freq = kept.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("df"))
-        ranked = of_items.join(freq.hint("merge"), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        own = Window.partitionBy("item")
-        ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy("df", "gram"))).withColumn("of", F.count("*").over(own))
-        seeds = ranked.filter((F.col("rank") <= min_seeds) | (F.col("rank") * 2 <= F.col("of"))).filter("df > 0").select("item", "gram")
+        present = written(of_items.join(freq.hint("merge"), "gram"), "item-grams")
+        usual = present.groupBy("item").agg(F.median("df").alias("usual"))
+        rank = F.row_number().over(Window.partitionBy("item").orderBy("df", "gram"))
+        seeds = present.join(usual.hint("merge"), "item").withColumn("rank", rank).filter((F.col("df") <= 2 * F.col("usual")) | (F.col("rank") <= min_seeds)).select("item", "gram")
         by_gram: dict[int, list[int]] = {}
         for r in seeds.collect():  # a subset of the block's n-grams
             by_gram.setdefault(r.gram, []).append(r.item)
