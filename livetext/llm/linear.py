@@ -58,7 +58,7 @@ def sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum([0] + [len(i) for i in idx]), np.concatenate(idx) if idx else np.empty(0, np.int64)
 
 
-def telling(starts: np.ndarray, idx: np.ndarray, y: np.ndarray, least: float = 12.0) -> np.ndarray:
+def telling(starts: np.ndarray, idx: np.ndarray, y: np.ndarray, least: float = 8.0) -> np.ndarray:
     """Features whose presence in a text goes with the label (likelihood ratio G of the 2 x 2 table)."""
     row = np.repeat(np.arange(len(y)), np.diff(starts))
     pairs = np.unique(row * (1 << BITS) + idx)

@@ -1,0 +1,130 @@
+import collections
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from livetext.llm import pages, pii
+from livetext.llm.decontaminate import align, decontaminate, leaks
+
+from helpers import ODD, docs
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
+def test_align_is_smith_waterman(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    assert align(a, b) == h.max()
+
+
+def test_leaks(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    vocab = [word() for _ in range(400)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = {k: text(30) for k in range(8)}
+    rows, want = list(ODD), {}
+    for k in range(60):
+        body = text(80)
+        if k % 3 == 0:
+            part = list(items[k % 8])
+            for _ in range(4):
+                part[rng.randrange(30)] = "edited"
+            body[40:40] = part
+            want[100 + k] = k % 8
+        rows.append((100 + k, " ".join(body).capitalize()))
+    rows += [(200 + k, " ".join(items[0])) for k in range(50)]  # a very common passage keeps its seeds
+    want |= {200 + k: 0 for k in range(50)}
+    bench = spark.createDataFrame([(k, " ".join(t), "x") for k, t in items.items()] + [(90, None, "x"), (91, "", "x"), (92, "the", "x"), (93, " ".join(items[0]), "x")], "item_id long, text string, doc_id string")
+    got = {r.doc_id: r.item_id for r in leaks(docs(spark, rows), bench).collect()}
+    assert got == want
+    kept = decontaminate(docs(spark, rows), bench)
+    assert kept.columns == docs(spark, rows).columns and kept.count() == len(rows) - len(want)
+    assert leaks(docs(spark, []), bench).collect() == [] and leaks(docs(spark, rows), bench.limit(0)).collect() == []
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="</p><p>no";</script></head><body><header>Site</header><nav><a>Home</a></nav>
+<div class="cookie-notice">We use cookies</div><div id="content"><article><h1>Head&amp;line {n}</h1><p>First <b>bo</b>ld&nbsp;text<br>two</p><div class="share">Share</div><p>Second {n}
+ para<section class="comments"><p>Nice!</p></section></article></div><aside>Side</aside><form>Name</form><footer>&copy; x</footer>"""
+SOUP = '<body><div class="top"><div>Our site</div></div><div class="c"><p>Story {n} begins</p>{more}<p>and {n} ends here with words</p></div><div class="end"><p>All rights reserved</p></div></body>'
+
+
+def test_main_text():
+    assert pages.main_text(PAGE.replace("{n}", "7"), None) == "Head&line 7 First bold text two Second 7 para"
+    assert pages.main_text("", None) == "" and pages.main_text("a < b &lt; c", None) == "a < b < c"
+    assert pages.main_text("<article><p>one<p>two <!-- x", None) == "one two"
+    long = "<article>" + "<p>word</p>" * 20000 + "</article>"
+    assert pages.main_text(long, None) == " ".join(["word"] * 20000)
+
+
+def test_wrapper_of_pages_without_landmarks():
+    import json
+
+    made = [SOUP.replace("{n}", str(k)).replace("{more}", "<p>more text</p>" * (k % 3)) for k in range(6)]
+    wrapper = json.dumps(pages.infer(made))
+    assert [pages.main_text(m, wrapper) for m in made] == [" ".join([f"Story {k} begins", *["more text"] * (k % 3), f"and {k} ends here with words"]) for k in range(6)]
+
+
+def test_extract(spark):
+    rows = [(k, f"http://soup.example/{k}", SOUP.replace("{n}", str(k)).replace("{more}", ""), "x") for k in range(12)]
+    rows += [(100, None, None, "x"), (101, "http://one.example/", PAGE, "x"), (None, "bad url", "", "x"), (3, *rows[3][1:])]
+    data = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = pages.extract(data).collect()
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    by = {r.page_id: r.text for r in got}
+    assert by[5] == "Story 5 begins and 5 ends here with words" and by[100] == by[None] == ""
+    assert pages.extract(data.limit(0)).collect() == []
+
+
+SAMPLES = ["die.55@mail4.example.com", "+1 (017) 555-7713", "97.51.17.173", "4417744280351547", "4111 1111 1111 1111", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "123-45-6789", "Mrs. Ada Lovelace", "Mr. Tom Reed", "Г-жа Анна Петрова", "DE89 3704 0044 0532 0130 00"]
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(x if k % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for k, x in enumerate(d)) % 10 == 0
+
+
+def test_surrogates_keep_their_kind(spark):
+    one = spark.createDataFrame([(s,) for s in SAMPLES], "e string")
+    got = {r.e: r for r in one.select("e", pii.found(F.col("e")).alias("f"), pii.kind_of(F.col("e")).alias("k"), pii.surrogate(F.col("e"), "key").alias("s")).withColumn("k2", pii.kind_of(F.col("s"))).collect()}
+    for e, r in got.items():
+        assert r.f == [e] and r.s != e and r.k == r.k2, r
+        if r.k not in ("email", "person", "ip"):
+            assert re.sub(r"\d", "0", re.sub("[a-z]", "a", e)) == re.sub(r"\d", "0", re.sub("[a-z]", "a", r.s)) or r.k in ("secret", "iban")
+    assert luhn(got["4111 1111 1111 1111"].s) and got["Mrs. Ada Lovelace"].s.startswith("Mrs.") and re.search("[а-я]", got["Г-жа Анна Петрова"].s)
+    assert got["Mrs. Ada Lovelace"].s.split()[1] in pii.NAMES["latin", "f"] and got["Mr. Tom Reed"].s.split()[1] in pii.NAMES["latin", "m"]
+
+
+def test_replace_entities(spark):
+    rows = [(k + 100, f"Note {k}: {a} and {b}, then {a}.") for k, (a, b) in enumerate(zip(SAMPLES, SAMPLES[1:], strict=False))] + [(300, "no entity here, 3 of 4 at 10:30"), *ODD]
+    out = pii.replace_entities(docs(spark, rows), "key")
+    assert out.columns == docs(spark, rows).columns
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r.doc_id].append(r.text)
+    assert sum(map(len, got.values())) == len(rows) and got[300] == [rows[-len(ODD) - 1][1]]
+    assert all(got[i] == [x for j, x in ODD if j == i] for i, _ in ODD)
+    for k, (a, b) in enumerate(zip(SAMPLES, SAMPLES[1:], strict=False)):
+        (text,) = got[k + 100]
+        assert a not in text and b not in text
+        first = re.fullmatch(r"Note \d+: (.*) and (.*), then (.*)\.", text)
+        assert first[1] == first[3]  # coreference
+        if k:
+            assert first[1] == re.fullmatch(r"Note \d+: (.*) and (.*), then (.*)\.", got[k + 99][0])[2]
+    assert pii.replace_entities(docs(spark, []), "key").collect() == []
+
+
+def test_collisions_are_drawn_again(spark):
+    names = [f"e{k}" for k in range(40)]
+    few = lambda e, key, attempt=F.lit(0): F.concat(F.lit("e"), F.pmod(F.xxhash64(e, attempt), F.lit(97)).cast("string"))
+    entities = spark.createDataFrame([(n,) for n in names], "entity string")
+    fixed = {r.entity: r.surrogate for r in pii.resolve_collisions(entities, "key", few).collect()}
+    final = {r.entity: fixed.get(r.entity, r.s) for r in entities.select("entity", few(F.col("entity"), "key").alias("s")).collect()}
+    assert len(set(final.values())) == len(names) and not set(final.values()) & set(names) and fixed
