@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from livetext.llm.common import small_batches, table, written
 from livetext.llm.components import components
 
-BLOCK = 2048
-LEVELS = (1.0, 0.5, 0.25)
+BLOCK = 4096
+#: From the level next to the threshold's distance down: above it, random vectors of many dimensions share nodes by chance,
+#: whose radii then prune nothing.
+LEVELS = (0.5, 0.25, 0.125)
 #: Margin for rounding where a bound decides; pairs within it are compared one by one.
 SLACK = 1e-9
 
@@ -73,6 +75,23 @@ def build(points: np.ndarray) -> dict[str, np.ndarray]:
     return {"centre": table_[:, 0].astype(np.int64), "radius": table_[:, 1], "first": table_[:, 2].astype(np.int64), "last": table_[:, 3].astype(np.int64), "top": np.array(top, np.int64), "flat": np.array(flat, np.int64), "starts": starts, "order": np.array(order, np.int64)}
 
 
+def first_level(a: dict, b: dict, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of top nodes that may hold links. Single-precision products in slices of like radius: one comparison with the
+    slices' largest radii settles nearly all, with a margin above the products' rounding; the rest are measured again."""
+    tops = [t[np.argsort(-tree["radius"][t], kind="stable")] for tree, t in ((a, a["top"]), (b, b["top"]))]
+    x, y = (tree["points"][tree["centre"][t]].astype(np.float32) for tree, t in ((a, tops[0]), (b, tops[1])))
+    r, s = a["radius"][tops[0]], b["radius"][tops[1]]
+    out_i, out_j = [tops[0][:0]], [tops[1][:0]]
+    for p in range(0, len(x), 512):
+        for q in range(0, len(y), 2048):
+            least = 1 - min(2.0, limit + r[p] + s[q]) ** 2 / 2 - 1e-4
+            at = np.flatnonzero((x[p : p + 512] @ y[q : q + 2048].T).ravel() >= np.float32(least))
+            k, m = np.divmod(at, len(y[q : q + 2048]))
+            out_i.append(tops[0][p + k])
+            out_j.append(tops[1][q + m])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def traverse(a: dict, b: dict, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of each row of a with rows of b and the reverse, and pairs of row positions that connect them.
 
@@ -81,14 +100,7 @@ def traverse(a: dict, b: dict, same: bool, cosine: float) -> tuple[np.ndarray, n
     limit = math.sqrt(2 - 2 * cosine)
     x, y = a["points"], b["points"]
     n_a, n_b, joined = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
-    # the first level by one product, in slices
-    todo = []
-    for at in range(0, len(a["top"]), 512):
-        i = a["top"][at : at + 512]
-        d = np.sqrt(np.maximum(0, 2 - 2 * (x[a["centre"][i]] @ y[b["centre"][b["top"]]].T)))
-        p, q = np.nonzero(d - a["radius"][i][:, None] - b["radius"][b["top"]][None, :] <= limit + SLACK)
-        todo.append((i[p], b["top"][q]))
-    i, j = (np.concatenate([t[k] for t in todo]) if todo else np.empty(0, np.int64) for k in (0, 1))
+    i, j = first_level(a, b, limit)
     while len(i):
         more_i, more_j = [], []
         for at in range(0, len(i), 65536):
@@ -142,14 +154,22 @@ def spanning(rows: np.ndarray, cols: np.ndarray, linked: np.ndarray) -> list[tup
     return out
 
 
-def pack_tree(rids: np.ndarray, points: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, rids=rids, points=points, **build(points))
+def unit(raw: np.ndarray) -> np.ndarray:
+    points = raw.astype(float)
+    return points / np.linalg.norm(points, axis=1)[:, None]
+
+
+def pack_tree(rids: np.ndarray, raw: np.ndarray) -> bytes:
+    """The tree and its vectors, in single precision where that loses nothing."""
+    out, single = io.BytesIO(), raw.astype(np.float32)
+    np.savez(out, rids=rids, raw=single if (single == raw).all() else raw, **build(unit(raw)))
     return out.getvalue()
 
 
 def open_tree(blob: bytes) -> dict[str, np.ndarray]:
-    return dict(np.load(io.BytesIO(blob)))
+    tree = dict(np.load(io.BytesIO(blob)))
+    tree["points"] = unit(tree.pop("raw"))
+    return tree
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -158,7 +178,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     small_batches(spark)
     v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
     # squares are scaled by the largest component, so that none overflows
-    top = F.array_max(F.transform(v, F.abs))
+    top = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))))  # a power of two: scaling loses no bit
     norm = top * F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + (e / top) * (e / top)))
     fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & (top > 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, F.transform(v, lambda e: e / top)).alias("v"))
@@ -168,9 +188,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     blocks = {dim: -(-n // block) for dim, n in sizes.items()}  # a few lengths at most; blocks hold about `block` rows
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = np.array(pdf["v"].tolist(), float)
-        points /= np.linalg.norm(points, axis=1)[:, None]
-        return pd.DataFrame({"dim": [pdf["dim"].iat[0]], "block": [pdf["block"].iat[0]], "tree": [pack_tree(pdf["rid"].to_numpy(), points)]})
+        raw = np.array(pdf["v"].tolist(), float)
+        return pd.DataFrame({"dim": [pdf["dim"].iat[0]], "block": [pdf["block"].iat[0]], "tree": [pack_tree(pdf["rid"].to_numpy(), raw)]})
 
     links, counts = None, None
     if blocks:
