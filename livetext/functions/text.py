@@ -56,7 +56,7 @@ def clean_markup(text: Column) -> Column:
 
 def compact_repeats(text: Column) -> Column:
     """Sentences with runs of the same sentence cut to one (up to four words) or two."""
-    parts = F.filter(F.transform(F.split(text, r"[.!?\n]"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"[.!?\n]"), lambda s: F.trim(s)), lambda s: s != "")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(0).alias("run"))
 
     def step(acc, s):

@@ -5,6 +5,7 @@ import decimal
 import duckdb
 import pytest
 
+from livetext.plans import curation
 from livetext.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
@@ -36,3 +37,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql_or_a_test():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_curation_queries_are_registered():
+    assert {n for n, f in vars(curation).items() if getattr(f, "__module__", "") == curation.__name__ and callable(f)} <= set(QUERIES)
