@@ -107,6 +107,19 @@ def calibrate_thresholds(scores: DataFrame) -> DataFrame:
     return at.withColumn("f1", f1).withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("label", F.round(0.30 + 0.02 * F.col("k"), 2).alias("threshold"), F.round("f1", 6).alias("f1"))
 
 
+def threshold_grid(scores: DataFrame) -> DataFrame:
+    """(label, k, tp, n) of (label, score, hit): hits and rows at each threshold 0.30 + 0.02 k, k from 0 to 30.
+
+    Scores are counted by the last step they reach and summed from the top, so rows don't meet thresholds one by one.
+    """
+    step = F.least(F.lit(30), F.floor(F.round((F.col("score") - 0.30) / 0.02, 6)).cast("int"))
+    counts = scores.groupBy("label", step.alias("k")).agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.count("*").alias("n"))
+    grid = counts.select("label").distinct().select("label", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("k"))
+    down = Window.partitionBy("label").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    full = grid.join(counts, ["label", "k"], "left").na.fill(0, ["tp", "n"])
+    return full.select("label", "k", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n"))
+
+
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("k"))

@@ -155,3 +155,17 @@ def dataset_build(spark, d):
     label = F.when(F.col("event_type") == "click", F.when(F.col("value") > 60, "ENTER_LONG")).otherwise(tag_of())
     c = read(spark, d, "events").select(F.col("user_id").alias("file"), (F.col("event_id") % 7).alias("line"), (F.col("event_id") % 3).alias("ordinal"), F.col("event_id").alias("row"), label.alias("label"))
     return rel.merge_corpora(c.filter("label is not null")).groupBy("label", "ordinal").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT conv_id AS file, turn // 4 AS chunk, turn AS line FROM conversations), l AS (SELECT conv_id AS file, turn // 3 AS chunk, turn AS line, role FROM conversations)
+SELECT file, chunk, line, role FROM l JOIN c USING (file, chunk, line)""")
+def resolve_chunk_refs(spark, d):
+    chunk = lambda n: conv(spark, d).select(F.col("conv_id").alias("file"), F.floor(F.col("turn") / n).alias("chunk"), F.col("turn").alias("line"), "role")
+    return rel.resolve_chunk_refs(chunk(3), chunk(4).drop("role"))
+
+
+@query("""WITH s AS (SELECT event_type AS label, least(1, value / 100) AS score, event_id % 2 = 0 AS hit FROM events), k AS (SELECT unnest(range(31)) AS k)
+SELECT label, k, count(*) FILTER (hit AND round((score - 0.30) / 0.02, 6) >= k)::BIGINT AS tp, count(*) FILTER (round((score - 0.30) / 0.02, 6) >= k)::BIGINT AS n FROM s, k GROUP BY ALL""")
+def threshold_grid(spark, d):
+    s = read(spark, d, "events").select(F.col("event_type").alias("label"), F.least(F.lit(1.0), F.col("value") / 100).alias("score"), (F.col("event_id") % 2 == 0).alias("hit"))
+    return rel.threshold_grid(s)
