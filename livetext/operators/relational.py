@@ -93,15 +93,10 @@ def classification_metrics(rows: DataFrame, labels: list, true: str = "y", pred:
 def calibrate_thresholds(scores: DataFrame) -> DataFrame:
     """For each label of (label, score, hit) the first threshold from 0.30 to 0.90 by 0.02 with the best F1.
 
-    The grid has 31 values: scores are counted by the last step they reach, and sums over steps give every
-    threshold's counts, without a row for each score and threshold.
+    Counts come from ``threshold_grid``; hits scored under 0.30 are missed at every threshold.
     """
-    step = F.least(F.lit(30), F.floor(F.round((F.col("score") - 0.30) / 0.02, 6)).cast("int"))
-    counts = scores.withColumn("step", step).groupBy("label", "step").agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.count("*").alias("n"))
-    total = counts.groupBy("label").agg(F.sum("tp").alias("pos"))
-    grid = total.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(30))))
-    at = grid.join(counts, "label").filter("step >= k").groupBy("label", "k", "pos").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    at = grid.join(at.select("label", "k", "tp", "n"), ["label", "k"], "left").na.fill(0, ["tp", "n"])
+    total = scores.groupBy("label").agg(F.sum(F.col("hit").cast("long")).alias("pos"))
+    at = threshold_grid(scores).join(total, "label")
     f1 = F.round(2 * F.col("tp") / F.greatest(F.col("n") + F.col("pos"), F.lit(1)), 9)
     best = Window.partitionBy("label").orderBy(F.desc("f1"), "k")
     return at.withColumn("f1", f1).withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("label", F.round(0.30 + 0.02 * F.col("k"), 2).alias("threshold"), F.round("f1", 6).alias("f1"))
