@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from livetext.llm.common import small_batches, table, whole, written
@@ -107,8 +107,11 @@ def simhash_components(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text
 BANDS, ROWS, WORDS = 12, 4, 5
 SKETCH = "doc_id long, digest binary, fp long, bands array<struct<near:long,nearer:long>>"
 SETS = "doc_id long, shingles array<long>"
-#: Groups of at most so many texts are compared pair by pair; larger ones with their first text and in finer groups.
+#: Groups of at most so many texts are compared pair by pair; larger ones with their first text and in finer groups,
+#: and where that leaves a group in several components, by _links_across.
 PAIRED = 16
+#: Rounds of pivots before all pairs across components are compared; sooner once these are few for each row.
+ROUNDS, FEW_A_ROW = 6, 4
 
 
 def _sketches(docs: DataFrame, n: int) -> DataFrame:
@@ -160,7 +163,48 @@ def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = joined.filter(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list("doc")).alias("docs"))  # at most PAIRED
     pairs = few.select(F.explode(F.flatten(F.transform("docs", lambda a, k: F.transform(F.slice("docs", k + 2, PAIRED), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
     large = joined.filter(F.col("n") > PAIRED)
-    return pairs.union(large.filter("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))), large.select("doc", "nearer")
+    return pairs.union(large.filter("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))), large.select("key", "doc", "nearer")
+
+
+def _labelled(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """``docs`` with the component label of column doc: its own id where no link names it."""
+    labels = components(links)
+    return docs.join(labels.hint("merge"), F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc")).drop("node")
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, doc, n): of each set of n shingles so many of the rarest that two sets alike always share one (prefix filter)."""
+    each = written(sets.select(F.col("doc_id").alias("doc"), F.size("shingles").alias("n"), F.explode("shingles").alias("key")), "shingles")
+    often = written(each.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "frequencies")
+    counted = each.join(often.hint("merge"), "key", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("often", "key"))
+    kept = counted.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    return written(kept.filter("often > 1").select("key", "doc", "n"), "prefixes")
+
+
+def _links_across(prefixes: DataFrame, links: DataFrame, alike, similarity: float) -> DataFrame:
+    """``links`` and those that join different components of it, from sets that share a key of ``prefixes``.
+
+    First each set is compared with one set of its key, another one each round, which unites nearly all copies. Pairs
+    within a component are never needed, so what is left are the pairs across; all of these are compared.
+    """
+    for round_ in range(ROUNDS + 1):
+        rows = written(_labelled(prefixes, links), "labelled-prefixes")
+        each = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc", F.lit(round_)).alias("h"), "doc")).alias("pivot"))
+        keys = each.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min("pivot").getField("doc").alias("pivot"))
+        keys = written(keys.filter(F.col("all") * F.col("all") > F.col("within")).select("key", "pivot", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("across")), "open-keys")
+        across = keys.agg(F.sum("across")).first()[0]
+        if across is None:
+            return links
+        open_rows = rows.join(keys.hint("merge"), "key")
+        if round_ == ROUNDS or across <= FEW_A_ROW * prefixes.count():
+            x, y = (open_rows.select("key", *[F.col(c).alias(c + k) for c in ("doc", "label", "n")]) for k in "ab")
+            near = (F.col("labela") < F.col("labelb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+            pairs = x.join(y.hint("merge"), "key").filter(near).select(F.col("doca").alias("a"), F.col("docb").alias("b"))
+            return links.union(written(alike(written(pairs.distinct(), "pairs-across")), "links-across"))
+        of_pivot = rows.select("key", F.col("doc").alias("pivot"), F.col("label").alias("other"))
+        pairs = open_rows.join(of_pivot.hint("merge"), ["key", "pivot"]).filter("label <> other").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+        links = links.union(written(alike(written(pairs.distinct(), "pivot-pairs")), "pivot-links"))
 
 
 def near_copy_components(docs: DataFrame, similarity: float = 0.8, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +213,8 @@ def near_copy_components(docs: DataFrame, similarity: float = 0.8, n: int = 3, i
 
     Two bits hold only very close copies. So texts are also fingerprinted on min-wise samples of their shingles;
     texts that share one of twelve such fingerprints are candidates (at similarity 0.8 all but 2 in 1,000 pairs do), and
-    the sets are compared exactly. Exact copies are one text first.
+    the sets are compared exactly. Exact copies are one text first. Groups too large for all pairs lose no link either:
+    where one falls into several components, its texts are joined by a prefix filter on their rarest shingles.
     """
     small_batches(docs.sparkSession)
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
@@ -190,10 +235,19 @@ def near_copy_components(docs: DataFrame, similarity: float = 0.8, n: int = 3, i
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
     sets = written(_shingle_sets(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])), "shingle-sets")
     of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(c + "_set")).hint("merge")
-    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("a_set", "b_set")))
-    alike = both.filter(F.col("shared") >= similarity * (F.size("a_set") + F.size("b_set") - F.col("shared"))).select("a", "b")
 
-    labels = components(of_print.union(bits).union(alike))
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("shared", F.size(F.array_intersect("a_set", "b_set")))
+        return both.filter(F.col("shared") >= similarity * (F.size("a_set") + F.size("b_set") - F.col("shared"))).select("a", "b")
+
+    links = written(of_print.union(bits).union(alike(pairs)), "links")
+    crowded = written(_labelled(large.select("key", "doc"), links), "crowded")
+    split = written(crowded.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "split-keys")
+    unsure = written(crowded.join(split.hint("merge"), "key", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "unsure")
+    if not unsure.isEmpty():
+        links = _links_across(_prefixes(sets.join(unsure.hint("merge"), "doc_id", "left_semi"), similarity), links, alike, similarity)
+
+    labels = components(links)
     named = written(same.join(labels.hint("merge"), F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("label", "first").alias("label")), "named-documents")
     least = written(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least-documents")
     return named.join(least.hint("merge"), "label").select("doc_id", "component_id")

@@ -1,8 +1,10 @@
 import collections
+import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from livetext.llm import simhash
 from livetext.llm.decontaminate import words_of
 from livetext.llm.simhash import near_copy_components, shingle_hashes
 
@@ -50,3 +52,28 @@ def test_run(spark):
     assert max(copies.values()) == 1
     items = [" ".join(words_of(r.text)) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     assert not any(item in " ".join(words_of(all_docs[i])) for i in kept for item in items)
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """Groups that one text doesn't unite: drifting chains of copies, and texts that share a passage and nothing else."""
+    monkeypatch.setattr(simhash, "PAIRED", 3)
+    rng = random.Random(9)
+    word = lambda: "w%05d" % rng.randrange(10**5)
+    rows = []
+    for chain in range(4):
+        text = [word() for _ in range(100)]
+        for k in range(45):
+            at = rng.randrange(90)
+            text = [*text[:at], word(), *text[at + 1 :]]
+            rows.append((1000 * chain + k, " ".join(text)))
+    passage = [word() for _ in range(60)]
+    rows += [(9000 + k, " ".join(passage + [word() for _ in range(25)])) for k in range(60)]
+    rng.shuffle(rows)
+    for rounds in (0, 6):
+        monkeypatch.setattr(simhash, "ROUNDS", rounds)
+        got = {r.doc_id: r.component_id for r in near_copy_components(docs(spark, rows)).collect()}
+        sets = {i: set(shingle_hashes(t, 5).tolist()) for i, t in rows}
+        links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        want = union_find(sets, links)
+        assert len(set(want.values())) < len(want)
+        assert got == want
