@@ -110,8 +110,9 @@ SETS = "doc_id long, shingles array<long>"
 #: Groups of at most so many texts are compared pair by pair; larger ones with their first text and in finer groups,
 #: and where that leaves a group in several components, by _links_across.
 PAIRED = 16
-#: Rounds of pivots before all pairs across components are compared; sooner once these are few for each row.
-ROUNDS, FEW_A_ROW = 6, 4
+#: Rounds of pivots before all pairs across components are compared; sooner once these are few for each row, or fewer
+#: than a share HELPS of a round's pairs were links.
+ROUNDS, FEW_A_ROW, HELPS = 6, 4, 0.05
 
 
 def _sketches(docs: DataFrame, n: int) -> DataFrame:
@@ -173,21 +174,23 @@ def _labelled(docs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, doc, n): of each set of n shingles so many of the rarest that two sets alike always share one (prefix filter)."""
+    """(key, doc, n, rank): of each set of n shingles so many of the rarest that two sets alike always share one (prefix filter)."""
     each = written(sets.select(F.col("doc_id").alias("doc"), F.size("shingles").alias("n"), F.explode("shingles").alias("key")), "shingles")
     often = written(each.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "frequencies")
     counted = each.join(often.hint("merge"), "key", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("often", "key"))
     kept = counted.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
-    return written(kept.filter("often > 1").select("key", "doc", "n"), "prefixes")
+    return written(kept.filter("often > 1").select("key", "doc", "n", "rank"), "prefixes")
 
 
 def _links_across(prefixes: DataFrame, links: DataFrame, alike, similarity: float) -> DataFrame:
     """``links`` and those that join different components of it, from sets that share a key of ``prefixes``.
 
-    First each set is compared with one set of its key, another one each round, which unites nearly all copies. Pairs
-    within a component are never needed, so what is left are the pairs across; all of these are compared.
+    First each set is compared with one set of its key, another one each round while that finds links. Pairs within a
+    component are never needed, so what is left are the pairs across. All of these are compared but those whose sizes
+    differ too much, or that can't share enough after the key (the first shared key of two sets alike passes).
     """
+    helps = True
     for round_ in range(ROUNDS + 1):
         rows = written(_labelled(prefixes, links), "labelled-prefixes")
         each = rows.groupBy("key", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc", F.lit(round_)).alias("h"), "doc")).alias("pivot"))
@@ -197,14 +200,17 @@ def _links_across(prefixes: DataFrame, links: DataFrame, alike, similarity: floa
         if across is None:
             return links
         open_rows = rows.join(keys.hint("merge"), "key")
-        if round_ == ROUNDS or across <= FEW_A_ROW * prefixes.count():
-            x, y = (open_rows.select("key", *[F.col(c).alias(c + k) for c in ("doc", "label", "n")]) for k in "ab")
+        if round_ == ROUNDS or not helps or across <= FEW_A_ROW * prefixes.count():
+            x, y = (open_rows.select("key", *[F.col(c).alias(c + k) for c in ("doc", "label", "n", "rank")]) for k in "ab")
             near = (F.col("labela") < F.col("labelb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-            pairs = x.join(y.hint("merge"), "key").filter(near).select(F.col("doca").alias("a"), F.col("docb").alias("b"))
+            enough = (1 + F.least(F.expr("na - ranka"), F.expr("nb - rankb"))) * (1 + similarity) >= similarity * F.expr("na + nb") - 1e-6
+            pairs = x.join(y.hint("merge"), "key").filter(near & enough).select(F.col("doca").alias("a"), F.col("docb").alias("b"))
             return links.union(written(alike(written(pairs.distinct(), "pairs-across")), "links-across"))
         of_pivot = rows.select("key", F.col("doc").alias("pivot"), F.col("label").alias("other"))
         pairs = open_rows.join(of_pivot.hint("merge"), ["key", "pivot"]).filter("label <> other").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
-        links = links.union(written(alike(written(pairs.distinct(), "pivot-pairs")), "pivot-links"))
+        pairs = written(pairs.distinct(), "pivot-pairs")
+        found = written(alike(pairs), "pivot-links")
+        links, helps = links.union(found), found.count() >= HELPS * pairs.count()
 
 
 def near_copy_components(docs: DataFrame, similarity: float = 0.8, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
