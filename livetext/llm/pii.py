@@ -5,7 +5,9 @@ One pattern finds all kinds of entities in a text; each becomes a keyed surrogat
 * digits become digits and letters become letters of the same case and script, place by place; separators stay;
 * a card number that passes the Luhn check gets a surrogate that passes it, an address stays a valid address,
   an e-mail address keeps its shape before the @ and goes to a reserved domain;
-* a person after a title gets a first name of the title's gender and another family name, both of as many words.
+* a person after titles gets a first name of the first title's gender (of a man where it has none) and another family
+  name, word for word: initials become other letters, particles stay. Other mentions of the family name in the same
+  document become the surrogate's family name; of two persons with one family name the first counts.
 
 The surrogate depends on the key and the entity's normal form alone, so an entity has one surrogate everywhere
 (coreference). All distinct entities of the corpus are then checked: a surrogate that two entities share, or
@@ -25,6 +27,12 @@ from pyspark.sql import functions as F
 
 from livetext.llm.common import table, written
 
+#: Titles, particles of names, and a capitalised word without a possessive 's.
+TITLES = "Mrs|Mr|Ms|Miss|Mme|Herr|Frau|Srta|Sra|Sr|Señora|Señor|Dra|Dr|Profa|Prof|Г-н|Г-жа"
+PARTICLES = "von|vom|van|zu|zum|zur|de|del|della|der|den|des|di|da|do|dos|das|du|d[’']|la|las|le|les|los|ten|ter|af|av|bin|ibn|al|el|y|e"
+WORD = r"\p{Lu}(?:\p{L}|['’](?!s\b)(?=\p{L}))*+"
+#: Words of a name; initials and particles lead to another word. Possessive, so that no run of words is too long.
+NAME = rf"(?:(?:\p{{Lu}}\.[ -]?(?=\p{{Lu}}|(?:{PARTICLES})[ -])|(?:{PARTICLES})[ -])*+{WORD}|{WORD})"
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,250}\.[A-Za-z]{2,24}\b",
@@ -34,10 +42,10 @@ PATTERNS = {
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
     "phone": r"\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,5}){2,5}\b|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b",
-    "person": r"(?U)\b(?:Mr|Mrs|Ms|Miss|Mme|Herr|Frau|Sra|Srta|Señor|Señora|Г-н|Г-жа)\.? \p{Lu}[\p{L}'’]+(?:[ -]\p{Lu}[\p{L}'’]+){0,2}",
+    "person": rf"(?U)\b(?:(?:{TITLES})\.? )++{NAME}(?:[ -]{NAME})*+",
 }
 #: Titles of women, and names by script and gender.
-FEMALE = r"^(?:Mrs|Ms|Miss|Mme|Frau|Sra|Srta|Señora|Г-жа)\b"
+FEMALE = r"^(?:Mrs|Ms|Miss|Mme|Frau|Sra|Srta|Señora|Dra|Profa|Г-жа)\b"
 NAMES = {
     ("latin", "f"): ["Anna", "Clara", "Diana", "Elena", "Greta", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Rosa", "Sara", "Teresa", "Vera"],
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Oscar", "Paul", "Simon", "Victor"],
@@ -46,8 +54,13 @@ NAMES = {
 }
 SYLLABLES = {"latin": ["ba", "der", "fel", "gan", "hol", "kin", "lor", "mas", "nov", "per", "ras", "sen", "tur", "val", "wex", "zim"], "cyrillic": ["бар", "вин", "гор", "дан", "жил", "зор", "кал", "лев", "мор", "нов", "пав", "рус", "сол", "тим", "фед", "чар"]}
 ANY = "|".join(f"(?:{p.removeprefix('(?U)')})" for p in PATTERNS.values())
-#: Nothing matches without one of these, so other texts skip the search.
-GATE = r"[0-9@]|[0-9a-f]{32}|\b(?:M(?:rs?|s|iss|me)|Herr|Frau|Sra|Srta|Señora?|Г-)"
+#: Nothing matches without one of these, so other texts skip the search: every pattern needs one of them.
+GATE = rf"[0-9@]|[0-9a-f]{{32}}|sk-|AKIA|gh[pousr]_|(?:{TITLES})\.? "
+
+
+def _with(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def kind_of(entity: Column) -> Column:
@@ -121,16 +134,26 @@ def _email(entity: Column, draws: Column) -> Column:
 
 
 def _person(entity: Column, draws: Column) -> Column:
-    title = F.regexp_extract(entity, r"^\S+", 0)
-    words = F.size(F.split(entity, "[ -]")) - 1
+    title = F.regexp_extract(entity, rf"^(?:(?:{TITLES})\.? )+", 0)
+    name = F.substr(entity, F.length(title) + 1)
+    between = F.concat(F.regexp_extract_all(name, F.lit("([ -])"), F.lit(1)), F.array(F.lit("")))
+    bound = F.struct(F.split(name, "[ -]").alias("words"), draws.alias("draws"))
 
-    def name(script):
+    def other(script, words, draws):
+        upper = [chr(k) for k in range(*((0x410, 0x42A) if script == "cyrillic" else (65, 91)))]
         female = F.when(entity.rlike(FEMALE), _pick(NAMES[script, "f"], _draw(draws, F.lit(0), len(NAMES[script, "f"])))).otherwise(_pick(NAMES[script, "m"], _draw(draws, F.lit(0), len(NAMES[script, "m"]))))
         family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _draw(draws, F.lit(k), 16)) for k in (1, 2, 3)]))
-        middle = _pick(NAMES[script, "m"], _draw(draws, F.lit(4), len(NAMES[script, "m"])))
-        return F.when(words <= 1, family).when(words == 2, F.concat_ws(" ", female, family)).otherwise(F.concat_ws(" ", female, middle, family))
+        n = F.size(words)
+
+        def one(w, k):
+            letter = F.regexp_replace(w, r"\p{Lu}", _pick(upper, _draw(draws, 3 + k, len(upper))))
+            middle = _pick(NAMES[script, "m"], _draw(draws, 3 + k, len(NAMES[script, "m"])))
+            return F.when(k == n - 1, family).when(w.rlike(r"^(?:\p{Lu}\.?)+$"), letter).when(w.rlike(r"^\p{Ll}"), w).when(k == 0, female).otherwise(middle)
+
+        return F.array_join(F.zip_with(F.transform(words, one), between, lambda w, s: F.concat(w, s)), "")
 
-    return F.concat_ws(" ", title, F.when(entity.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin")))
+    of = lambda script: _with(bound, lambda b: other(script, b["words"], b["draws"]))
+    return F.concat(title, F.when(entity.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin")))
 
 
 def surrogate(entity: Column, key: str, attempt: Column = None) -> Column:
@@ -184,8 +207,24 @@ def replaced(text: Column, key: str, exceptions: Column = None) -> Column:
         return first if exceptions is None else F.coalesce(F.element_at(exceptions, normal(entity)), first)
 
     between = F.split(text, ANY, -1)
-    put = F.transform(found(text), one)
-    return F.when(text.rlike(GATE), F.array_join(F.zip_with(between, put, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")).otherwise(text)
+    joined = lambda entities, put: F.array_join(F.zip_with(_mentions(between, entities, put), put, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(GATE), _with(found(text), lambda entities: _with(F.transform(entities, one), lambda put: joined(entities, put)))).otherwise(text)
+
+
+def _mentions(between: Column, entities: Column, put: Column) -> Column:
+    """The texts between entities with the family names of the document's persons replaced."""
+    pairs = F.filter(F.arrays_zip(entities.alias("e"), put.alias("s")), lambda x: x["e"].rlike(rf"^(?:{TITLES})\.? "))
+    parts = lambda f: F.flatten(F.transform(pairs, lambda x: F.split(F.substring_index(x[f], " ", -1), "-")))
+    word = rf"(?<!\p{{L}}){WORD}"
+
+    def renamed(piece, names):
+        own = lambda w: F.when(F.length(w) > 1, F.get(names["s"], (F.array_position(names["e"], w) - 1).cast("int")))
+        put_in = F.transform(F.regexp_extract_all(piece, F.lit(f"({word})"), F.lit(1)), lambda w: F.coalesce(own(w), w))
+        return F.array_join(F.zip_with(F.split(piece, word, -1), put_in, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+    names = F.struct(parts("e").alias("e"), parts("s").alias("s"))
+    named = _with(names, lambda names: F.transform(between, lambda piece: renamed(piece, names)))
+    return F.when(F.exists(entities, lambda e: e.rlike(rf"^(?:{TITLES})\.? ")), named).otherwise(between)
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
