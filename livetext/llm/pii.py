@@ -12,7 +12,7 @@ One pattern finds all kinds of entities in a text; each becomes a keyed surrogat
 The surrogate depends on the key and the entity's normal form alone, so an entity has one surrogate everywhere
 (coreference). All distinct entities of the corpus are then checked: a surrogate that two entities share, or
 that is itself an entity of the corpus, is drawn again, with a higher attempt, for all but the smallest of them,
-until none is left. Only such exceptions are joined to their documents; all others are computed in place.
+until none is left. A person's family name is longer in each attempt, so few rounds are enough for any number of persons. Only such exceptions are joined to their documents; all others are computed in place.
 
 Null text stays null; texts without entities stay as they are. Repeated rows and ids are treated alike, and
 entities of an empty table are empty. Other columns pass through ``replace_entities`` untouched.
@@ -133,7 +133,8 @@ def _email(entity: Column, draws: Column) -> Column:
     return F.concat(_shaped(local, draws), F.lit("@"), host, F.lit(".example."), _pick(["com", "net", "org"], _draw(draws, F.length(local) + 6, 3)))
 
 
-def _person(entity: Column, draws: Column) -> Column:
+def _person(entity: Column, draws: Column, attempt: Column = None) -> Column:
+    """Two more syllables with each attempt: however many persons there are, some attempt has room for all of them."""
     title = F.regexp_extract(entity, rf"^(?:(?:{TITLES})\.? )+", 0)
     name = F.substr(entity, F.length(title) + 1)
     between = F.concat(F.regexp_extract_all(name, F.lit("([ -])"), F.lit(1)), F.array(F.lit("")))
@@ -142,7 +143,11 @@ def _person(entity: Column, draws: Column) -> Column:
     def other(script, words, draws):
         upper = [chr(k) for k in range(*((0x410, 0x42A) if script == "cyrillic" else (65, 91)))]
         female = F.when(entity.rlike(FEMALE), _pick(NAMES[script, "f"], _draw(draws, F.lit(0), len(NAMES[script, "f"])))).otherwise(_pick(NAMES[script, "m"], _draw(draws, F.lit(0), len(NAMES[script, "m"]))))
-        family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _draw(draws, F.lit(k), 16)) for k in (1, 2, 3)]))
+        more = []
+        if attempt is not None:
+            syllables = F.transform(F.sequence(F.lit(1), 2 * attempt), lambda k: _pick(SYLLABLES[script], _draw(draws, F.length(entity) + 7 + k, 16)))
+            more = [F.when(attempt > 0, F.array_join(syllables, "")).otherwise("")]
+        family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _draw(draws, F.lit(k), 16)) for k in (1, 2, 3)], *more))
         n = F.size(words)
 
         def one(w, k):
@@ -158,10 +163,10 @@ def _person(entity: Column, draws: Column) -> Column:
 
 def surrogate(entity: Column, key: str, attempt: Column = None) -> Column:
     """The surrogate of an entity in normal form."""
-    draws = _draws(key, entity, attempt if attempt is not None else F.lit(0), F.length(entity) + 8)
+    draws = _draws(key, entity, attempt if attempt is not None else F.lit(0), F.length(entity) + 8 + (0 if attempt is None else 2 * attempt))
     kind = kind_of(entity)
     secret = F.when(entity.rlike("^[0-9a-f]+$"), _hex(entity, draws)).otherwise(_shaped(entity, draws))
-    by = {"email": _email(entity, draws), "secret": secret, "ip": _ip(draws), "card": _card(entity, draws), "person": _person(entity, draws)}
+    by = {"email": _email(entity, draws), "secret": secret, "ip": _ip(draws), "card": _card(entity, draws), "person": _person(entity, draws, attempt)}
     return reduce(lambda out, k: out.when(kind == k, by[k]), list(by)[1:], F.when(kind == "email", by["email"])).otherwise(_shaped(entity, draws))
 
 

@@ -156,3 +156,15 @@ def test_later_mentions_follow_the_surrogate(spark):
     out = replaced_texts(spark, [text, "Reed alone stays."])
     first = re.fullmatch(r"(\w+) came\. Mr\. \w+ (\w+) and Dr\. (\w+) spoke; then (\w+)'s friend O’Brien, (\w+) and Reeds left\. Mrs\. \w+ (\w+-\w+) met (\w+-\w+)\.", out[0])
     assert first and first[1] == first[2] == first[4] != "Reed" and first[3] == first[5] and first[6] == first[7] and out[1] == "Reed alone stays.", out
+
+
+def test_more_persons_than_short_names(spark):
+    syllables = pii.SYLLABLES["latin"]
+    names = ["Mr. " + (a + b + c + d).capitalize() for a in syllables for b in syllables for c in syllables for d in syllables[:2]]  # 8,192
+    names += ["Mr. " + (a + b + c).capitalize() for a in syllables for b in syllables for c in syllables[:4]]
+    rounds = []
+    draw = lambda e, key, attempt=None: (rounds.append(1), pii.surrogate(e, key, attempt) if len(rounds) < 9 else F.raise_error(F.lit("too many rounds")))[1]
+    entities = spark.createDataFrame([(n,) for n in names], "entity string").localCheckpoint()
+    fixed = {r.entity: r.surrogate for r in pii.resolve_collisions(entities, "key", draw).collect()}
+    final = {r.entity: fixed.get(r.entity, r.s) for r in entities.select("entity", pii.surrogate(F.col("entity"), "key").alias("s")).collect()}
+    assert len(set(final.values())) == len(names) and not set(final.values()) & set(names) and len(fixed) > 4096
