@@ -1,14 +1,14 @@
-"""Operator 4, benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 4, benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 1. One pass over the documents marks every place where a word n-gram of a test item stands, and keeps the passages
    round these places: as many words before and after as the longest item with that n-gram has. Passages that
    touch are one.
-2. The document frequency of each n-gram, over all documents, tells an item's rare n-grams: those up to twice the
-   item's median (and ``min_seeds`` at least) are its seeds. The measure is the item's own, so one that is itself common in
-   the corpus keeps seeds, and so do its edited copies.
-3. Seeds join passages to items, and each pair is aligned word by word (match 1, mismatch and gap -1). A score
-   of ``threshold`` of the item's words, or of ``long_match`` words for long items, makes a leak: edited and
-   paraphrased copies keep most of their words in order.
+2. Every n-gram joins passages to items, however common it is, so a verdict depends on the document and the item alone.
+   A score cannot exceed the number of words that passage and item share (each as often as in both), so pairs that
+   share too few words for a leak are left out by that bound, without loss.
+3. Each other pair is aligned word by word (match 1, mismatch and gap -1). A score of ``threshold`` of the item's words,
+   or of ``long_match`` words for long items, makes a leak: edited and paraphrased copies keep most of their words in
+   order. A copy that shares no n-gram with its item (a word inserted after every third one) is not found.
 
 Items go in blocks of bounded size and number of characters, each of which is sent to all tasks: a stated query
 set against all rows. The documents are never shuffled.
@@ -20,12 +20,13 @@ items go to the smaller item_id. Empty tables give no leaks. Other columns pass
 
 from __future__ import annotations
 
+import collections
 import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from livetext.llm.common import small_batches, table, whole, written
@@ -140,7 +141,7 @@ def passages(docs: DataFrame, items: list[tuple[int, list[str]]], n: int, id_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(find, PASSAGES)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_seeds: int = 4, threshold: float = 0.6, long_match: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.6, long_match: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score): for each document with a leak its best item and the aligned share of that item."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -154,29 +155,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, min_seeds: int = 4,
         grams = {(k, g) for k, (_, words) in enumerate(items) for g in hashes.grams(words, n).tolist()}
         # at most a block's n-grams: bounded by BLOCK_CHARS
         of_items = spark.createDataFrame(sorted(grams), "item int, gram long")
-        freq = kept.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("df"))
-        present = written(of_items.join(freq.hint("merge"), "gram"), "item-grams")
-        usual = present.groupBy("item").agg(F.median("df").alias("usual"))
-        rank = F.row_number().over(Window.partitionBy("item").orderBy("df", "gram"))
-        seeds = present.join(usual.hint("merge"), "item").withColumn("rank", rank).filter((F.col("df") <= 2 * F.col("usual")) | (F.col("rank") <= min_seeds)).select("item", "gram")
+        present = kept.select(F.explode("grams").alias("gram")).distinct()
+        seeds = of_items.join(present.hint("merge"), "gram").select("item", "gram")
         by_gram: dict[int, list[int]] = {}
         for r in seeds.collect():  # a subset of the block's n-grams
             by_gram.setdefault(r.gram, []).append(r.item)
-        shared = spark.sparkContext.broadcast((by_gram, items))
+        shared = spark.sparkContext.broadcast((by_gram, items, [list(collections.Counter(words).items()) for _, words in items]))
 
         def compare(batches):
-            by_gram, items = shared.value
+            by_gram, items, counts = shared.value
             for batch in batches:
                 rows = []
                 for doc_id, words, grams in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), batch.column("grams").to_pylist(), strict=True):
                     numbers: dict[str, int] = {}
-                    passage = None
+                    passage, has = None, collections.Counter(words)
                     for k in sorted({k for g in grams for k in by_gram.get(g, ())}):
                         item_id, item = items[k]
+                        least = min(threshold * len(item), long_match)
+                        if sum(min(c, has[w]) for w, c in counts[k]) < least:
+                            continue
                         if passage is None:
                             passage = np.array([numbers.setdefault(w, len(numbers)) for w in words])
                         score = align([numbers.get(w, -1) for w in item], passage)
-                        if score >= threshold * len(item) or score >= long_match:
+                        if score >= least:
                             rows.append((doc_id, item_id, score / len(item)))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64()], strict=True)], names=["doc_id", "item_id", "score"])

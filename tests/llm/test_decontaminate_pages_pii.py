@@ -168,3 +168,13 @@ def test_more_persons_than_short_names(spark):
     fixed = {r.entity: r.surrogate for r in pii.resolve_collisions(entities, "key", draw).collect()}
     final = {r.entity: fixed.get(r.entity, r.s) for r in entities.select("entity", pii.surrogate(F.col("entity"), "key").alias("s")).collect()}
     assert len(set(final.values())) == len(names) and not set(final.values()) & set(names) and len(fixed) > 4096
+
+
+def test_edited_copy_with_a_common_stem_only(spark):
+    stem, tail = [f"stem{k}" for k in range(10)], [f"tail{k}" for k in range(10)]
+    edited = ["other" if k in (0, 3, 6) else w for k, w in enumerate(tail)]
+    rows = [(k, " ".join([f"a{k}", *stem, f"b{k}"])) for k in range(100)]
+    rows += [(200, " ".join(stem + tail)), (201, " ".join(stem + edited))]
+    bench = spark.createDataFrame([(7, " ".join(stem + tail))], "item_id long, text string")
+    assert {r.doc_id: r.score for r in leaks(docs(spark, rows), bench).collect()} == {200: 1.0, 201: 0.7}
+    assert {r.doc_id for r in leaks(docs(spark, rows[-1:]), bench).collect()} == {201}
