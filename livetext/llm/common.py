@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share.
+
+    Where the session names none, a folder beside the warehouse serves, which they share too. It is never a machine's own
+    temporary folder: on a cluster without a shared warehouse, set ``spark.checkpoint.dir``.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("livetext.shared.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = warehouse.rstrip("/") + "/_livetext"
         spark.conf.set("livetext.shared.dir", found)
     return found.rstrip("/")
 

@@ -11,10 +11,11 @@
    order. A copy that shares no n-gram with its item (a word inserted after every third one) is not found.
 
 Items go in blocks of bounded size and number of characters, each of which is sent to all tasks: a stated query
-set against all rows. The documents are never shuffled.
+set against all rows. The documents are never shuffled; a text is searched whole in one task.
 
-Words are runs of letters and digits, lower-cased. Items of fewer than ``n`` words are no evidence and match
-nothing, as do null texts and items. Documents with one id (null is an id here) share their verdict; ties between
+Words are runs of letters and digits, lower-cased. Inside a longer text, an item of fewer than ``n`` words is no evidence;
+it is leaked by a document whose words are exactly its own. Null texts and items, and those without words, match
+nothing. Documents with one id (null is an id here) share their verdict; ties between
 items go to the smaller item_id. Empty tables give no leaks. Other columns pass through ``decontaminate`` untouched.
 """
 
@@ -98,26 +99,31 @@ def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
 
 
 def passages(docs: DataFrame, items: list[tuple[int, list[str]]], n: int, id_col: str, text_col: str) -> DataFrame:
-    """Passages round the places where an item's n-gram stands."""
+    """Passages round the places where an item's n-gram stands, and whole texts that are a short item (without n-grams)."""
     reach: dict[int, int] = {}
     hashes = Hashes()
+    short = {tuple(words) for _, words in items if len(words) < n}
     for _, words in items:
         for g in hashes.grams(words, n).tolist():
             reach[g] = max(reach.get(g, 0), len(words))
-    keys = np.array(sorted(reach), np.int64)
-    spans = np.array([reach[g] for g in keys.tolist()], np.int64)
+    keys = np.array(sorted(reach) or [0], np.int64)
+    spans = np.array([reach.get(g, 0) for g in keys.tolist()], np.int64)
     # one bit test settles nearly every place before the search
     bits = np.zeros(1 << 22, bool)
     bits[keys & ((1 << 22) - 1)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((keys, spans, bits))
+    shared = docs.sparkSession.sparkContext.broadcast((keys, spans, bits, short))
 
     def find(batches):
-        keys, spans, bits = shared.value
+        keys, spans, bits, short = shared.value
         hashes = Hashes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
+                if len(words) < n:
+                    if tuple(words) in short:
+                        rows.append((doc_id, 0, words, []))
+                    continue
                 grams = hashes.grams(words, n)
                 at = np.nonzero(bits[grams & ((1 << 22) - 1)])[0]
                 if not len(at):
@@ -147,19 +153,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float =
     small_batches(spark)
     found = None
     for block in _blocks(benchmark):
-        items = [(i, words) for i, t in block if len(words := words_of(t)) >= n]
+        items = [(i, words) for i, t in block if (words := words_of(t))]
         if not items:
             continue
         kept = written(passages(docs, items, n, id_col, text_col), "passages")
-        hashes = Hashes()
-        grams = {(k, g) for k, (_, words) in enumerate(items) for g in hashes.grams(words, n).tolist()}
-        # at most a block's n-grams: bounded by BLOCK_CHARS
-        of_items = spark.createDataFrame(sorted(grams), "item int, gram long")
-        present = kept.select(F.explode("grams").alias("gram")).distinct()
-        seeds = of_items.join(present.hint("merge"), "gram").select("item", "gram")
-        by_gram: dict[int, list[int]] = {}
-        for r in seeds.collect():  # a subset of the block's n-grams
-            by_gram.setdefault(r.gram, []).append(r.item)
+        # a block's n-grams and short items, bounded by BLOCK_CHARS
+        hashes, by_gram = Hashes(), {}
+        for k, (_, words) in enumerate(items):
+            for g in set(hashes.grams(words, n).tolist()) or {tuple(words)}:
+                by_gram.setdefault(g, []).append(k)
         shared = spark.sparkContext.broadcast((by_gram, items, [list(collections.Counter(words).items()) for _, words in items]))
 
         def compare(batches):
@@ -167,6 +169,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float =
             for batch in batches:
                 rows = []
                 for doc_id, words, grams in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                    if not grams:
+                        rows += [(doc_id, items[k][0], 1.0) for k in by_gram[tuple(words)]]
+                        continue
                     numbers: dict[str, int] = {}
                     passage, has = None, collections.Counter(words)
                     for k in sorted({k for g in grams for k in by_gram.get(g, ())}):

@@ -90,9 +90,9 @@ def encoder(path: str):
 
 
 def version(path: str) -> str:
-    """Digest of the vocabulary file and of the library's version: counts from another version never match."""
+    """Digest of the vocabulary file and of the versions of the libraries that read it: counts from another version never match."""
     import importlib.metadata
 
-    library = "sentencepiece" if path.endswith(".model") else "tokenizers"
+    libraries = ["sentencepiece"] if path.endswith(".model") else ["tokenizers", "tiktoken"]
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + f"{library} {importlib.metadata.version(library)}".encode()).hexdigest()
+        return hashlib.sha256(f.read() + " ".join(f"{x} {importlib.metadata.version(x)}" for x in libraries).encode()).hexdigest()

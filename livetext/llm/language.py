@@ -9,7 +9,7 @@ The model is fitted on a bounded sample: ``per_lang`` labelled texts of each lan
 of the id. Their words are cut into segments that are chained across languages, so that transitions are learned
 from switches too. The labels are the values of the label column.
 
-Prediction is one pass without a shuffle. Null text and text without letters give ``und`` with score 0, as does any text
+Prediction is one pass without a shuffle; a whole text is labelled in one task, however long it or a word of it is. Null text and text without letters give ``und`` with score 0, as does any text
 where no labelled text was given. Repeated rows and ids keep their rows; ties go to the first language in sorted
 order. An empty table gives an empty result. Other columns are not read.
 """
@@ -28,17 +28,28 @@ from livetext.llm.common import small_batches, table, whole
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
+PIECE = 24
 OUT = "doc_id long, lang_pred string, score double"
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters; a run of more than ``PIECE`` (glued text, scripts without spaces) is cut into pieces, each a place
+    of the chain. A dash marks the side where a piece goes on."""
+    out = []
+    for run in WORD.findall(text.lower()):
+        # number characters such as ½ or ② are no letters
+        for w in (run,) if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split():
+            if len(w) <= PIECE:
+                out.append(w)
+            else:
+                out += [("-" if k else "") + w[k : k + PIECE] + ("-" if k + PIECE < len(w) else "") for k in range(0, len(w), PIECE)]
+    return out
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    padded = f"<{word[:40]}>"
+    padded = ("" if word[0] == "-" else "<") + word.strip("-") + ("" if word[-1] == "-" else ">")
     parts = [padded[:2], padded[:3], padded[:4], padded[-2:], padded[-3:], padded[-4:]]
-    parts += [padded[k : k + 3] for k in range(len(padded) - 2)] + ["#" + c for c in word[:40] if c > "\x7f"]
+    parts += [padded[k : k + 3] for k in range(len(padded) - 2)] + ["#" + c for c in word if c > "\x7f"]
     if word in lexicon:
         parts.append(f"lexicon {lexicon[word]}")
         parts.append("=" + word)
@@ -164,7 +175,10 @@ def sample(docs: DataFrame, keep, per_lang: int) -> list[tuple[str, str]]:
     # a rank with a bound: each task sends at most per_lang ids of a language
     chosen = docs.filter(keep & F.col("lang").isNotNull()).select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang).select("doc_id").distinct()
     texts = docs.filter(keep & F.col("lang").isNotNull()).select("doc_id", whole("text").alias("text"), "lang")
-    return [(r.text, r.lang) for r in texts.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy("doc_id", "text").collect()]
+    found = texts.join(F.broadcast(chosen), "doc_id", "left_semi")
+    # ids may repeat: the bound holds for rows too
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text"))
+    return [(r.text, r.lang) for r in found.withColumn("rank", rank).filter(F.col("rank") <= per_lang).orderBy("doc_id", "text").collect()]
 
 
 class Labeller:

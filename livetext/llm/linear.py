@@ -2,6 +2,7 @@
 
 A word's features are itself, its first four, five and six letters and its last three, hashed into one table of
 weights. A text's score is the sum over its distinct words, so a word's own sum is computed once a worker.
+``shape`` adds what a text looks like whatever its words are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
+LETTERS, SYMBOLS, DIGITS = re.compile(r"[^\W\d_]"), re.compile(r"[^\w\s.,;:'\"()-]"), re.compile(r"\d")
 
 
 def word_features(word: str) -> list[int]:
@@ -24,6 +26,19 @@ def distinct_words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+#: Columns of ``shape``.
+SHAPES = ("symbols", "capitals", "digits", "word length", "distinct words")
+
+
+def shape(text: str) -> list[float]:
+    """Shares of symbols, capitals and digits, mean length of words (in tens, 3 at most) and share of distinct words."""
+    n = max(len(text), 1)
+    words = text.split()
+    letters = len(text) - len(LETTERS.sub("", text))
+    capitals = sum(1 for c in text if c.isupper()) if not text.islower() else 0
+    return [len(SYMBOLS.findall(text)) / n, capitals / max(letters, 1), len(DIGITS.findall(text)) / n, min(len(text) / max(len(words), 1) / 10, 3), len(set(words)) / max(len(words), 1)]
+
+
 class Scores:
     """Sums of weights by word, kept for the words seen last; ``weights`` is (features, outputs)."""
 
@@ -52,9 +67,13 @@ class Scores:
         return total
 
 
-def sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row starts and feature numbers of texts."""
-    idx = [np.array([f for w in distinct_words(t) for f in word_features(w)], np.int64) for t in texts]
+def text_features(text: str) -> list[int]:
+    return [f for w in distinct_words(text) for f in word_features(w)]
+
+
+def sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Row starts and feature numbers of rows of features."""
+    idx = [np.asarray(r, np.int64) for r in rows]
     return np.cumsum([0] + [len(i) for i in idx]), np.concatenate(idx) if idx else np.empty(0, np.int64)
 
 
@@ -75,12 +94,14 @@ def telling(starts: np.ndarray, idx: np.ndarray, y: np.ndarray, least: float = 8
 
 def fit_logistic(starts: np.ndarray, idx: np.ndarray, dense: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the hashed features and of (dense columns, bias) by Adam on the whole log loss;
-    only telling features count, so that a long text's many neutral words add nothing."""
+    only telling features count, so that a long text's many neutral words add nothing. Dense columns are brought to one scale."""
     n, size = len(y), 1 << BITS
     keep = telling(starts, idx, y)[idx]
     row = np.repeat(np.arange(n), np.diff(starts))[keep]
     used, cols = np.unique(idx[keep], return_inverse=True)
-    extra = np.column_stack([dense.reshape(n, -1), np.ones(n)])
+    dense = dense.reshape(n, -1)
+    mean, spread = dense.mean(0), np.maximum(dense.std(0), 1e-6)
+    extra = np.column_stack([(dense - mean) / spread, np.ones(n)])
     w, v = np.zeros(len(used)), np.zeros(extra.shape[1])
     m1, m2 = np.zeros(len(used) + len(v)), np.zeros(len(used) + len(v))
     share = min(max(y.mean(), 1 / (n + 1)), 1 - 1 / (n + 1))
@@ -95,6 +116,8 @@ def fit_logistic(starts: np.ndarray, idx: np.ndarray, dense: np.ndarray, y: np.n
         w, v = w - step[: len(w)], v - step[len(w) :]
     out = np.zeros(size)
     out[used] = w
+    v[:-1] /= spread
+    v[-1] -= v[:-1] @ mean
     return out, v
 
 

@@ -4,7 +4,8 @@ Texts are reduced to SHA-256 digests of their normalised content. Digests are jo
 stored counts for the same tokenizer version; only distinct texts that it lacks are encoded, and their
 counts are appended to it.
 
-Null text is the empty text (0 tokens). Repeated rows and ids each keep their row. An empty table gives an
+Two jobs may append one digest; such repeats are reduced to one count when the cache is read. A text is encoded whole
+in one task, so its length is bounded by an executor's memory only. Null text is the empty text (0 tokens). Repeated rows and ids each keep their row. An empty table gives an
 empty result and an empty cache. Other columns are not read.
 """
 
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livetext.llm.common import new_path, small_batches, table, whole
+from livetext.llm.common import new_path, small_batches, table, whole, written
 from livetext.llm.encoding import encoder, version
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -47,8 +48,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, id_col: str =
         misses = misses.join(spark.read.schema(CACHE_SCHEMA).parquet(store).select("digest"), "digest", "left_anti")
     misses.select("digest", n_tokens("text").alias("n_tokens")).write.mode("append").parquet(store)
 
-    # two writers may have appended the same digest
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(store)
+    # two writers may have appended the same digest; written out, so that the join below can still split a hot digest
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(store)
+    counts = written(stored.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     # a sort-merge join: adaptive execution splits the partition of a digest with very many copies
     return rows.join(counts.hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

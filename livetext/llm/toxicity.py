@@ -1,12 +1,13 @@
 """Operator 6, toxicity by a classifier chain.
 
 The categories of the label table are predicted in a fixed order. Each is a linear model on the words of the
-text and on the probabilities of the categories before it. In training those probabilities are out of fold: each
+text, on the probabilities of the categories before it and, for quality, on the text's shape (symbols, capitals, digits, words). In training those probabilities are out of fold: each
 labelled row's comes from models fitted without its fold, so a later model learns from probabilities as
 uncertain as those it will get. Labels come from the table only.
 
 The models are fitted on a bounded sample: at most ``per_class`` labelled rows with and without the last category,
-taken in the order of a hash of the id. Prediction covers the whole text of every row, in one pass without a shuffle.
+taken in the order of a hash of the id; only their hashed features go to the driver. Prediction covers the whole text of
+every row, however long, in one pass without a shuffle.
 
 Null text is the empty text, whose probabilities are those of no words. Labels that are null are not trained on;
 repeated label rows count as repeated rows. Without labelled rows of both kinds a category's probability is the
@@ -21,16 +22,20 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from livetext.llm.common import small_batches, table, whole
-from livetext.llm.linear import BITS, Scores, apply_logistic, fit_logistic, sparse
+from livetext.llm.linear import BITS, SHAPES, Scores, apply_logistic, fit_logistic, shape, sparse, text_features
 
 FOLDS = 3
+#: Categories that are judged by the shape of a text too; what a text says is judged by its words.
+SHAPED = frozenset({"low_quality"})
 
 
 def _sample(docs: DataFrame, labels: DataFrame, targets: dict, last: str, per_class: int) -> pd.DataFrame:
+    """Labels, word features and shape of at most ``2 * per_class`` rows; texts are turned into features in tasks."""
     ids = labels.select(F.col("doc_id").alias("id"), *[t.cast("int").alias(k) for k, t in targets.items()]).dropna()
     order = F.xxhash64("id")
     # the id first: the sample is chosen without texts, which are then joined for its rows only
@@ -39,18 +44,31 @@ def _sample(docs: DataFrame, labels: DataFrame, targets: dict, last: str, per_cl
         part = ids.filter(F.col(last) == value).orderBy(order, "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").alias("id"), whole("text").alias("text"))
-    # at most 2 * per_class ids: a proven bound
-    return texts.join(F.broadcast(chosen), "id").toPandas().sort_values(["id", "text"], kind="stable")
+    names = ["id", "digest", *targets]
+
+    def encode(batches):
+        for batch in batches:
+            found = batch.column("text").to_pylist()
+            cols = [batch.column(c) for c in names]
+            cols += [pa.array([text_features(t) for t in found], pa.list_(pa.int32())), pa.array([shape(t) for t in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "features", "shape"])
+
+    schema = ", ".join(["id long, digest long", *[f"`{t}` int" for t in targets], "features array<int>, shape array<double>"])
+    # at most 2 * per_class ids: a proven bound; ids may repeat, so the rows have the same bound
+    rows = texts.join(F.broadcast(chosen), "id").select("id", F.xxhash64("text").alias("digest"), *targets, "text")
+    rows = rows.orderBy(F.xxhash64("id", "digest"), "id", "digest").limit(2 * per_class)
+    return rows.mapInArrow(encode, schema).toPandas().sort_values(["id", "digest"], kind="stable")
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict, per_class: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(word weights, (earlier probabilities, bias) weights) of each category in order; ``targets`` maps names to conditions."""
+    """(word weights, (shape, earlier probabilities, bias) weights) of each category in order; ``targets`` maps names to
+    conditions."""
     last = list(targets)[-1]
     rows = _sample(docs, labels, targets, last, per_class)
-    starts, idx = sparse(rows["text"].tolist())
+    starts, idx = sparse(rows["features"].tolist())
     n = len(rows)
     fold = np.arange(n) % FOLDS
-    models, before = [], np.empty((n, 0))
+    models, before = [], np.array(rows["shape"].tolist(), float).reshape(n, len(SHAPES))
 
     def part(mask):
         at = np.nonzero(mask)[0]
@@ -66,7 +84,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict, per_class: int
             models.append((np.zeros(1 << BITS), np.append(np.zeros(before.shape[1]), odds)))
             before = np.column_stack([before, np.full(n, share)])
             continue
-        models.append(fit_logistic(starts, idx, before, y))
+        unused = 0 if name in SHAPED else len(SHAPES)  # weights of columns that this category doesn't read stay zero
+        w, v = fit_logistic(starts, idx, before[:, unused:], y)
+        models.append((w, np.concatenate([np.zeros(unused), v])))
         if name == last:
             break
         out = np.zeros(n)
@@ -74,8 +94,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict, per_class: int
             held = fold == k
             if held.all() or not held.any():
                 continue
-            w, v = fit_logistic(*part(~held), before[~held], y[~held])
-            out[held] = apply_logistic(*part(held), before[held], w, v)
+            w, v = fit_logistic(*part(~held), before[~held, unused:], y[~held])
+            out[held] = apply_logistic(*part(held), before[held, unused:], w, v)
         before = np.column_stack([before, out])
     return models
 
@@ -97,11 +117,11 @@ def chain_probabilities(docs: DataFrame, models: list, names: list[str], text_co
     def predict(texts: pd.Series) -> pd.DataFrame:
         scores = _scores(name, shared)
         z = np.array([scores.text(t) for t in texts]).reshape(len(texts), len(names))
-        probs = np.empty((len(texts), 0))
+        known = np.array([shape(t) for t in texts]).reshape(len(texts), len(SHAPES))
         for k, v in enumerate(extra):
-            p = 1 / (1 + np.exp(-np.clip(z[:, k] + probs @ v[:-1] + v[-1], -30, 30)))
-            probs = np.column_stack([probs, p])
-        return pd.DataFrame(probs, columns=names)
+            p = 1 / (1 + np.exp(-np.clip(z[:, k] + known @ v[:-1] + v[-1], -30, 30)))
+            known = np.column_stack([known, p])
+        return pd.DataFrame(known[:, len(SHAPES) :], columns=names)
 
     return docs.withColumn(out, predict(whole(text_col)))
 

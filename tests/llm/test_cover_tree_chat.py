@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from livetext.llm import chat
-from livetext.llm.cover_tree import near_vectors
+from livetext.llm.cover_tree import Top, near_vectors, unit
 
 from helpers import union_find
 
@@ -45,6 +45,33 @@ def test_near_vectors_is_all_pairs(spark, block):
     assert collections.Counter(tuple(r) for r in got) == want
 
 
+def test_block_pairs_without_a_surviving_centre_pair_do_not_meet():
+    rng = np.random.default_rng(5)
+    base = np.linalg.qr(rng.normal(size=(64, 64)))[0][:20]
+    points = unit(np.concatenate([b + 0.02 * rng.normal(size=(100, 64)) for b in base]))
+    top = Top(points[::7])
+    cell, far = top.nearest(points)
+    counts = {c: (int((cell == c).sum()), float(far[cell == c].max())) for c in np.unique(cell).tolist()}
+    top.cut(counts, 100, 0.447)
+    met = sum(len(top.met_by(b)) for b in range(20))
+    assert met < 100  # of 400
+    block = top.block_of(cell, np.arange(len(points)))
+    a, b = np.nonzero(points @ points.T >= 0.9)
+    assert all(y in top.met_by(x) for x, y in set(zip(block[a].tolist(), block[b].tolist(), strict=True)))
+
+
+def test_clusters_are_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30, 32))
+    made = np.concatenate([b + s * rng.normal(size=(20, 32)) for b in base for s in (0.05, 0.3)]).astype(np.float32)
+    data = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(made)], "vec_id long, embedding array<float>")
+    units = unit(made)
+    links = (units @ units.T >= 0.9) & ~np.eye(len(units), dtype=bool)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(data, 0.9, block=64).collect()}
+    classes = union_find(range(len(made)), zip(*(x.tolist() for x in np.nonzero(links)), strict=True))
+    assert got == {k: (int(links[k].sum()), classes[k]) for k in range(len(made))}
+
+
 def test_near_vectors_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

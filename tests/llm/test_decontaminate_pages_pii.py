@@ -170,6 +170,33 @@ def test_more_persons_than_short_names(spark):
     assert len(set(final.values())) == len(names) and not set(final.values()) & set(names) and len(fixed) > 4096
 
 
+def test_short_items_match_whole_texts_only(spark):
+    bench = spark.createDataFrame([(1, "the answer"), (2, "42"), (3, "a b c d e")], "item_id long, text string")
+    rows = [(10, "The answer!"), (11, "the answer is 42"), (12, " 42 "), (13, ""), (14, "so a b c d e"), (15, "a b c")]
+    assert {r.doc_id: (r.item_id, r.score) for r in leaks(docs(spark, rows), bench).collect()} == {10: (1, 1.0), 12: (2, 1.0), 14: (3, 1.0)}
+    assert {r.doc_id for r in leaks(docs(spark, rows), bench.filter("item_id < 3")).collect()} == {10, 12}
+
+
+def test_leaks_are_all_pairs_aligned(spark):
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(60)]
+    items = {k: [rng.choice(vocab) for _ in range(rng.choice([6, 12, 90]))] for k in range(12)}
+    rows = []
+    for k in range(120):
+        part = [w for w in items[k % 12] for w in ([w] if rng.random() > 0.25 else rng.choice([[], ["new"], [w, "new"]]))]
+        rows.append((k, " ".join([rng.choice(vocab) for _ in range(rng.randrange(30))] + part + [rng.choice(vocab) for _ in range(rng.randrange(30))])))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.score) for r in leaks(docs(spark, rows), bench).collect()}
+    want, grams = {}, lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    for i, t in rows:
+        text, ids = t.split(), {}
+        number = lambda w, ids=ids: ids.setdefault(w, len(ids))
+        best = max(((align([number(w) for w in it], [number(w) for w in text]) / len(it), -k) for k, it in items.items() if grams(it) & grams(text) and align([number(w) for w in it], [number(w) for w in text]) >= min(0.6 * len(it), 50)), default=None)
+        if best:
+            want[i] = (-best[1], best[0])
+    assert 20 < len(want) < 120 and got == want
+
+
 def test_edited_copy_with_a_common_stem_only(spark):
     stem, tail = [f"stem{k}" for k in range(10)], [f"tail{k}" for k in range(10)]
     edited = ["other" if k in (0, 3, 6) else w for k, w in enumerate(tail)]

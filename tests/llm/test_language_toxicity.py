@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from livetext.llm import language
 from livetext.llm.language import Crf, fit, identify, marginal_sums, words_of
-from livetext.llm.linear import fit_logistic, sparse
-from livetext.llm.toxicity import chain_probabilities, fit_chain, op6_toxicity
+from livetext.llm.linear import fit_logistic, sparse, text_features
+from livetext.llm.toxicity import _sample, _targets, chain_probabilities, fit_chain, op6_toxicity
 
 from helpers import ODD, docs
 
@@ -45,14 +45,28 @@ def test_held_out_and_code_switching():
 
 def test_identify_odd_rows(spark):
     model = fit(texts(random.Random(2), 20))
-    got = identify(docs(spark, [*ODD, (20, "42 !!"), (21, "tokar melin"), (22, "tokar " * 30000)]), model).collect()
+    got = identify(docs(spark, [*ODD, (20, "42 !!"), (21, "tokar melin"), (22, "tokar " * 30000), (23, "½ ② ² ٣")]), model).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(ODD) + 3 and all(by[k].lang_pred == "und" and by[k].score == 0 for k in (1, 2, 3, 20))
+    assert len(got) == len(ODD) + 4 and all(by[k].lang_pred == "und" and by[k].score == 0 for k in (1, 2, 3, 20, 23))
     assert by[21].lang_pred == "aa" and by[22].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got)
     assert identify(docs(spark, []), model).collect() == [] and fit([]) is None
     assert {r.lang_pred for r in identify(docs(spark, ODD), None).collect()} == {"und"}
 
 
+def test_long_runs_are_read_to_their_end():
+    a, b = "x" * 60 + "tokar", "x" * 60 + "itzal"
+    assert "".join(words_of(a)).replace("-", "") == a and words_of(a)[:-1] == words_of(b)[:-1]
+    feats = lambda t: [language.features(w, {}) for w in words_of(t)]
+    assert feats(a) != feats(b) and words_of("a½b ①x d'été") == ["a", "b", "x", "d", "été"]
+    cut = language.features(words_of(a)[0], {})
+    assert cut[3:6] != language.features("x" * language.PIECE, {})[3:6]  # a cut is no word's end
+
+
+def test_labelled_rows_are_bounded_though_ids_repeat(spark):
+    rows = docs(spark, [(7, f"tokar {k}", "aa") for k in range(500)] + [(8, "itzal", "cc")])
+    assert sorted(k for _, k in language.sample(rows, F.lit(True), 20)) == ["aa"] * 20 + ["cc"]
+
+
 def test_query_on_held_out_rows(spark):
     got = language.op3_language_crf(spark, "/root/testdata/sf0.001", per_lang=40).join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.filter("held_out")
@@ -62,9 +76,9 @@ def test_query_on_held_out_rows(spark):
 def test_logistic_finds_the_words():
     rng = random.Random(3)
     rows = [(" ".join(rng.choices("red blue green tall small fast".split(), k=30)) + (" vile" if k % 4 == 0 else ""), k % 4 == 0) for k in range(200)]
-    starts, idx = sparse([t for t, _ in rows])
+    starts, idx = sparse([text_features(t) for t, _ in rows])
     w, v = fit_logistic(starts, idx, np.empty((200, 0)), np.array([y for _, y in rows], float))
-    score = lambda t: w[sparse([t])[1]].sum() + v[-1]
+    score = lambda t: w[sparse([text_features(t)])[1]].sum() + v[-1]
     assert score("red tall vile") > 0 > score("red tall blue")
 
 
@@ -86,3 +100,17 @@ def test_toxicity_query(spark):
     d = "/root/testdata/sf0.01"
     got = op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").withColumnRenamed("toxic", "y"), "doc_id")
     assert got.filter(F.col("toxic") == (F.col("y") == 1)).count() >= 0.98 * got.count()
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    rows, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = F.xxhash64("doc_id") % 2 == 0
+    models = fit_chain(rows, labels.filter(~held), _targets())
+    scored = chain_probabilities(rows.select("doc_id", "text"), models, list(_targets()), out="p").join(labels.filter(held), "doc_id").collect()
+    for name, truth, recall in (("toxic", lambda r: r.toxic == 1, 0.85), ("low_quality", lambda r: r.quality == 0, 0.75)):
+        caught = [truth(r) for r in scored if r.p[name] >= 0.5]
+        assert sum(caught) >= recall * sum(map(truth, scored)) and len(caught) - sum(caught) <= 0.02 * len(scored)
+    many = spark.createDataFrame([(5, f"vile {k}") for k in range(300)], "doc_id long, text string")
+    one = spark.createDataFrame([(5, 1, 1)], "doc_id long, quality int, toxic int")
+    assert len(_sample(many, one, {"toxic": F.col("toxic") == 1}, "toxic", 20)) == 40
