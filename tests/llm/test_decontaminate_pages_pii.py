@@ -1,4 +1,5 @@
 import collections
+import json
 import random
 import re
 
@@ -64,12 +65,55 @@ def test_main_text():
     assert pages.main_text(long, None) == " ".join(["word"] * 20000)
 
 
-def test_wrapper_of_pages_without_landmarks():
-    import json
+def by_wrapper(made):
+    wrapper = json.dumps(pages.decide(pages.infer(made)))
+    return [pages.main_text(m, wrapper) for m in made]
+
 
+def test_wrapper_of_pages_without_landmarks():
     made = [SOUP.replace("{n}", str(k)).replace("{more}", "<p>more text</p>" * (k % 3)) for k in range(6)]
-    wrapper = json.dumps(pages.infer(made))
-    assert [pages.main_text(m, wrapper) for m in made] == [" ".join([f"Story {k} begins", *["more text"] * (k % 3), f"and {k} ends here with words"]) for k in range(6)]
+    assert by_wrapper(made) == [" ".join([f"Story {k} begins", *["more text"] * (k % 3), f"and {k} ends here with words"]) for k in range(6)]
+
+
+def test_wrapper_decides_where_words_say_nothing():
+    """Names without meaning; a fixed notice stands in the article, menus and related links change from page to page."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * 3 + rng.choice("xyz") for _ in range(n))
+    made, want = [], []
+    for k in range(8):
+        paras = [text(20) for _ in range(rng.randrange(2, 6))]
+        menu = "".join(f"<li><a href='/{m}'>{text(2)}</a></li>" for m in range(rng.randrange(3, 7)))
+        extra = f"<div class='q7'><a href='/r'>{text(3)}</a><a href='/s'>{text(3)}</a></div>" if k % 2 else ""
+        pairs = "".join(f"<h3>{p[:7]}</h3><p>{p}</p>" for p in paras)
+        made.append(f"<body><div class='q1 a b c d'><ul>{menu}</ul></div><div class='q2'>We value your privacy and store data</div><div class='q3'><h1>Head {k}</h1><div class='q4'>Sign up for our letter today</div>{pairs}{extra}</div><div class='q5'>Imprint and rights of the house</div></body>")
+        want.append(" ".join([f"Head {k}", *[x for p in paras for x in (p[:7], p)]]))
+    assert by_wrapper(made) == want
+    assert [pages.main_text(m, None) for m in made] != want  # a page alone doesn't show what is fixed
+
+
+def test_a_mark_on_what_holds_the_article_leaves_nothing_out():
+    body = "".join(f"<p>Sentence number {k} of the whole story.</p>" for k in range(9))
+    text = " ".join(f"Sentence number {k} of the whole story." for k in range(9))
+    assert pages.main_text(f"<body><form id='aspnet'><div class='layout has-sidebar'>{body}</div></form></body>") == text
+    assert pages.main_text(f"<body><div class='comment-page'><article>{body}<div class='related-work'>Others did the same.</div><div class='related-links'>Read this</div></article></div></body>") == text + " Others did the same."
+    assert pages.main_text(f"<body><main><div class='share-bar'>Tell</div>{body}<aside>Side story</aside></main><footer>{body * 4}</footer></body>") == text
+    assert pages.main_text(f"<body><article>{body}</article><div class='comments'>{'<article><p>So true and so long a comment it is.</p></article>' * 40}</div></body>") == text
+
+
+def test_streams_fold_repeats_of_any_length_and_align():
+    labels = lambda html: pages.shape(pages.stream(html)[0])
+    group = "".join(f"<{t}>x</{t}>" for t in "h1 h2 h3 h4 h5 h6 p pre dl".split())
+    assert labels(group * 2) == labels(group * 50) and labels("<p>a</p>" * 3) == labels("<p>b</p>")
+    one = pages.infer(["<h2>a</h2><p>same</p>", "<h2>b</h2><p>same</p>" * 2, "<h2>c</h2><p>same</p><div>d</div>"])
+    (group, box) = one["k"]
+    assert group["l"] == "(h2 p)" and group["r"] and group["n"] == 3 and box["n"] == 1
+    assert [x["k"][0]["h"] is None for x in group["k"]] == [True, False]  # a slot, and a fixed text
+    rng = random.Random(5)
+    odd = "".join(f"<div class='c{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}'>t{k}</div>" for k in range(6000))
+    other = "".join(f"<div class='c{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}'>t{k}</div>" for k in range(6000))
+    assert len(pages.infer([odd, other, odd])["k"]) <= pages.WIDE * 2
+    deep = "<div>" * 5000 + "text" + "</div>" * 5000
+    assert pages.main_text(deep) == "text" and by_wrapper([deep, deep.replace("text", "other"), deep.replace("text", "third")]) == ["text", "other", "third"]
 
 
 def test_extract(spark):
@@ -83,6 +127,24 @@ def test_extract(spark):
     assert pages.extract(data.limit(0)).collect() == []
 
 
+def test_all_pages_of_a_host_with_two_templates(spark):
+    made = [(k, f"http://two.example/{k}", f"<body><div class='a'>The one house</div><div class='b'><p>Long story {k} of the first kind</p></div></body>" if k % 2 else f"<body><div class='c'>The other house</div><table class='d'><tr><td>Long table {k} of the second kind</td></tr></table></body>") for k in range(60)]
+    data = spark.createDataFrame(made, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in pages.extract(data).collect()}
+    assert got == {k: f"Long story {k} of the first kind" if k % 2 else f"Long table {k} of the second kind" for k in range(60)}
+
+
+def test_query_is_the_article_of_the_given_pages(spark):
+    import html as entities
+
+    d = "/root/testdata/sf0.01"
+    raw = {r.page_id: r.html for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    for r in pages.op8_main_text(spark, d).collect():
+        inner = re.search("<article>(.*?)</article>", raw[r.page_id], re.DOTALL)
+        parts = re.split(r"<(?:/?p|/?h1|br)>", inner[1])
+        assert r.text == " ".join(" ".join(" ".join(entities.unescape(re.sub("<[^>]*>", "", p)) for p in parts).split()).split())
+
+
 SAMPLES = ["die.55@mail4.example.com", "+1 (017) 555-7713", "97.51.17.173", "4417744280351547", "4111 1111 1111 1111", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "123-45-6789", "Mrs. Ada Lovelace", "Mr. Tom Reed", "Г-жа Анна Петрова", "DE89 3704 0044 0532 0130 00"]
 
 
