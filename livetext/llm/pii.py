@@ -3,19 +3,28 @@
 One pattern finds all kinds of entities in a text; each becomes a keyed surrogate of its own kind:
 
 * digits become digits and letters become letters of the same case and script, place by place; separators stay;
-* a card number that passes the Luhn check gets a surrogate that passes it, an address stays a valid address,
-  an e-mail address keeps its shape before the @ and goes to a reserved domain;
-* a person after titles gets a first name of the first title's gender (of a man where it has none) and another family
-  name, word for word: initials become other letters, particles stay. Other mentions of the family name in the same
-  document become the surrogate's family name; of two persons with one family name the first counts.
-
-The surrogate depends on the key and the entity's normal form alone, so an entity has one surrogate everywhere
-(coreference). All distinct entities of the corpus are then checked: a surrogate that two entities share, or
-that is itself an entity of the corpus, is drawn again, with a higher attempt, for all but the smallest of them,
-until none is left. A person's family name is longer in each attempt, so few rounds are enough for any number of persons. Only such exceptions are joined to their documents; all others are computed in place.
-
-Null text stays null; texts without entities stay as they are. Repeated rows and ids are treated alike, and
-entities of an empty table are empty. Other columns pass through ``replace_entities`` untouched.
+* a card number that passes the Luhn check gets a surrogate that passes it, an IBAN with valid check digits one with valid
+  check digits and its country, an address stays a valid address, an e-mail address keeps its shape before the @ and goes
+  to a reserved domain; a phone number keeps its country code;
+* a person after titles gets given names of the first title's gender (of a man where it has none) and another family
+  name, word for word: initials become other letters, particles and titles stay.
+
+A surrogate depends on the key and on the identity of an entity alone, so an entity has one surrogate everywhere
+(coreference). The identity of a phone number is its national digits, of a card or IBAN its digits and letters, whatever the
+separators; of a family name its lower-case letters, so that "Mr. John Smith" and "Mr Smith" stay of one family; of a given
+name itself with the family name. Other mentions of a family name in the same document, and given names right before it,
+become that person's surrogates; of two persons with one name the first counts.
+
+All distinct identities of the corpus are then checked: a surrogate that two of them share, or that is itself one of them, is
+drawn again, with a higher attempt, for all but the smallest, until none is left. Names are longer in each attempt, so few
+rounds are enough for any number of persons; other kinds have the space that their length gives, and a corpus that
+fills it ends in an error after ``ROUNDS``. Only such exceptions are joined to their documents; all others are computed in
+place.
+
+The key is the setting ``livetext.pii.key`` of the session; without it a public default is used, for tests.
+
+Null text stays null; texts without entities stay as they are; a text is searched whole, in one task. Repeated rows and ids
+are treated alike, and entities of an empty table are empty. Other columns pass through ``replace_entities`` untouched.
 """
 
 from __future__ import annotations
@@ -69,9 +78,51 @@ def kind_of(entity: Column) -> Column:
     return F.coalesce(*cases, F.lit("phone"))
 
 
-def normal(entity: Column) -> Column:
-    """What makes two mentions one entity: case in e-mail addresses does not count; in all else every character does."""
-    return F.when(entity.contains("@"), F.lower(entity)).otherwise(entity)
+TITLE = rf"^(?:(?:{TITLES})\.? )+"
+#: Country calling codes of one, two and three digits.
+CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|[0-9]+)"
+INITIAL = r"(?U)^(?:\p{L}\.)*\p{L}\.?$"
+
+
+def is_person(entity: Column) -> Column:
+    return entity.rlike(TITLE)
+
+
+def _tokens(entity: Column) -> Column:
+    """The words of a person's name without titles; the last one is the family name."""
+    return F.split(F.regexp_replace(entity, TITLE, ""), " ")
+
+
+def _givens(tokens: Column) -> Column:
+    return F.slice(tokens, F.lit(1), F.size(tokens) - 1)
+
+
+def _family(tokens: Column) -> Column:
+    return F.split(F.element_at(tokens, -1), "-")
+
+
+def _family_id(part: Column) -> Column:
+    return F.concat(F.lit("family:"), F.replace(F.lower(part), F.lit("’"), F.lit("'")))
+
+
+def _person_id(entity: Column, tokens: Column) -> Column:
+    return F.concat_ws(":", F.lit("person"), F.when(entity.rlike(FEMALE), "f").otherwise("m"), F.lower(F.element_at(tokens, -1)), F.lower(F.array_join(_givens(tokens), " ")))
+
+
+def _national(entity: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(entity, CODE, ""), "[^0-9]", ""), "^0+", "")
+
+
+def normal(entity: Column, kind: Column) -> Column:
+    """What makes two mentions of other kinds than persons one entity."""
+    return F.when(kind == "email", F.lower(entity)).when(kind == "phone", F.concat(F.lit("tel:"), _national(entity))).when(kind.isin("card", "iban"), F.regexp_replace(entity, "[ -]", "")).otherwise(entity)
+
+
+def identities(entity: Column) -> Column:
+    """The identities that a mention's surrogate is made of."""
+    families = F.transform(_family(_tokens(entity)), _family_id)
+    person = F.when(F.size(_tokens(entity)) > 1, F.concat(families, F.array(_person_id(entity, _tokens(entity))))).otherwise(families)
+    return F.when(is_person(entity), person).otherwise(F.array(_with(kind_of(entity), lambda kind: normal(entity, kind))))
 
 
 def found(text: Column) -> Column:
@@ -90,7 +141,7 @@ def _draw(draws: Column, at: Column, below: int) -> Column:
 
 
 def _pick(options: list[str], k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in options]), k + 1)
+    return F.element_at(F.split(F.lit(",".join(options)), ","), k + 1)
 
 
 def _shaped(entity: Column, draws: Column) -> Column:
@@ -133,56 +184,128 @@ def _email(entity: Column, draws: Column) -> Column:
     return F.concat(_shaped(local, draws), F.lit("@"), host, F.lit(".example."), _pick(["com", "net", "org"], _draw(draws, F.length(local) + 6, 3)))
 
 
-def _person(entity: Column, draws: Column, attempt: Column = None) -> Column:
-    """Two more syllables with each attempt: however many persons there are, some attempt has room for all of them."""
-    title = F.regexp_extract(entity, rf"^(?:(?:{TITLES})\.? )+", 0)
-    name = F.substr(entity, F.length(title) + 1)
-    between = F.concat(F.regexp_extract_all(name, F.lit("([ -])"), F.lit(1)), F.array(F.lit("")))
-    bound = F.struct(F.split(name, "[ -]").alias("words"), draws.alias("draws"))
+def _mod97(number: Column) -> Column:
+    """The remainder of a string of digits and capitals (A is 10) by 97."""
+    step = lambda r, c: F.when(c.rlike("[0-9]"), r * 10 + c.try_cast("int")).otherwise(r * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(number, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(step(r, c)))
+
+
+def _iban(entity: Column, draws: Column) -> Column:
+    shaped, country = _shaped(entity, draws), F.substring(entity, 1, 2)
+    body = F.substr(shaped, F.lit(5))
+    check = F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    fine = _mod97(F.concat(F.substr(entity, F.lit(5)), F.substring(entity, 1, 4))) == 1
+    return F.concat(country, F.when(fine, check).otherwise(F.substring(shaped, 3, 2)), body)
+
+
+def _script(of: Column, f) -> Column:
+    return F.when(of.rlike(r"\p{IsCyrillic}"), f("cyrillic")).otherwise(f("latin"))
+
+
+def _syllables(script: str, draws: Column, first: int, n: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: _pick(SYLLABLES[script], _draw(draws, first + k, 16))), "")
 
-    def other(script, words, draws):
+
+def _family_name(identity: Column, draws: Column, attempt: Column) -> Column:
+    """Two more syllables with each attempt: however many families there are, some attempt has room for all of them."""
+    return _script(identity, lambda script: F.initcap(_syllables(script, draws, 0, 3 + 2 * attempt)))
+
+
+def _given_names(identity: Column, key: str, attempt: Column) -> Column:
+    """The given names of a person identity, each drawn by itself and the family name; double names from the second attempt on."""
+    fields = F.split(identity, ":")
+    gender, family = fields[1], fields[2]
+
+    def named(word, draws, script):
         upper = [chr(k) for k in range(*((0x410, 0x42A) if script == "cyrillic" else (65, 91)))]
-        female = F.when(entity.rlike(FEMALE), _pick(NAMES[script, "f"], _draw(draws, F.lit(0), len(NAMES[script, "f"])))).otherwise(_pick(NAMES[script, "m"], _draw(draws, F.lit(0), len(NAMES[script, "m"]))))
-        more = []
-        if attempt is not None:
-            syllables = F.transform(F.sequence(F.lit(1), 2 * attempt), lambda k: _pick(SYLLABLES[script], _draw(draws, F.length(entity) + 7 + k, 16)))
-            more = [F.when(attempt > 0, F.array_join(syllables, "")).otherwise("")]
-        family = F.initcap(F.concat(*[_pick(SYLLABLES[script], _draw(draws, F.lit(k), 16)) for k in (1, 2, 3)], *more))
-        n = F.size(words)
+        pick = lambda g: _pick(NAMES[script, g], _draw(draws, F.lit(0), len(NAMES[script, g])))
+        name = F.when(gender == "f", pick("f")).otherwise(pick("m"))
+        longer = F.concat_ws("-", name, F.when(attempt > 0, F.initcap(_syllables(script, draws, 1, 2 * F.greatest(attempt, F.lit(1))))))
+        letter = F.regexp_replace(word, r"\p{L}", _pick(upper, _draw(draws, F.lit(0), len(upper))))
+        return F.when(word.rlike(INITIAL), letter).otherwise(longer)
+
+    def one(word):
+        draws = _draws(key, F.concat_ws(":", F.lit("given"), gender, family, word), attempt, 2 + 2 * attempt)
+        return F.when(word.rlike(rf"^(?:{PARTICLES})$"), word).otherwise(_with(draws, lambda d: _script(word, lambda script: named(word, d, script))))
+
+    return F.array_join(F.transform(F.split(fields[3], " "), one), " ")
+
+
+def drawn(identity: Column, key: str, attempt: Column = None) -> Column:
+    """The surrogate of an identity, itself written as one."""
+    attempt = F.lit(0) if attempt is None else attempt
+
+    def of(x):
+        identity, draws, kind = x["i"], x["d"], x["k"]
+        secret = F.when(identity.rlike("^[0-9a-f]+$"), _hex(identity, draws)).otherwise(_shaped(identity, draws))
+        by = {"email": _email(identity, draws), "secret": secret, "ip": _ip(draws), "card": _card(identity, draws), "iban": _iban(identity, draws)}
+        other = reduce(lambda out, k: out.when(kind == k, by[k]), list(by)[1:], F.when(kind == "email", by["email"])).otherwise(_shaped(identity, draws))
+        family = F.concat(F.lit("family:"), F.lower(_family_name(identity, draws, attempt)))
+        phone = F.concat(F.lit("tel:"), _shaped(F.substr(identity, F.lit(5)), draws))
+        return F.when(kind == "family", family).when(kind == "tel", phone).otherwise(other)
+
+    def person(identity):
+        return F.concat(F.lit("drawn:"), F.substring_index(F.substr(identity, F.lit(8)), ":", 2), F.lit(":"), _given_names(identity, key, attempt))
+
+    kind = F.when(identity.startswith("family:"), "family").when(identity.startswith("tel:"), "tel").otherwise(kind_of(identity))
+    draws = _draws(key, identity, attempt, F.length(identity) + 8 + 2 * attempt)
+    return F.when(identity.startswith("person:"), person(identity)).otherwise(_with(F.struct(identity.alias("i"), draws.alias("d"), kind.alias("k")), of))
+
 
-        def one(w, k):
-            letter = F.regexp_replace(w, r"\p{Lu}", _pick(upper, _draw(draws, 3 + k, len(upper))))
-            middle = _pick(NAMES[script, "m"], _draw(draws, 3 + k, len(NAMES[script, "m"])))
-            return F.when(k == n - 1, family).when(w.rlike(r"^(?:\p{Lu}\.?)+$"), letter).when(w.rlike(r"^\p{Ll}"), w).when(k == 0, female).otherwise(middle)
+def _laid(entity: Column, chars: Column) -> Column:
+    """``chars`` in the places of a mention's digits and letters; separators stay."""
+    at = lambda k: F.length(F.regexp_replace(F.substring(entity, F.lit(1), k), "[^0-9A-Za-z]", ""))
+    return F.array_join(F.transform(F.split(entity, ""), lambda c, k: F.when(c.rlike("^[0-9A-Za-z]$"), F.substring(chars, at(k) + 1, F.lit(1))).otherwise(c)), "")
 
-        return F.array_join(F.zip_with(F.transform(words, one), between, lambda w, s: F.concat(w, s)), "")
 
-    of = lambda script: _with(bound, lambda b: other(script, b["words"], b["draws"]))
-    return F.concat(title, F.when(entity.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin")))
+def rendered(entity: Column, lookup) -> Column:
+    """A mention with the surrogates of its identities (``lookup``) in its own format."""
+    like = lambda name, word: _with(name, lambda n: F.when((F.length(word) > 1) & (word == F.upper(word)) & ~word.contains("."), F.upper(n)).otherwise(n))
+
+    def person(x):
+        tokens, parts = x["t"], _family(x["t"])
+        part = lambda p, s: F.when(p.rlike(r"^\p{Lu}"), like(F.initcap(F.substr(s, F.lit(8))), p)).otherwise(p)
+        family = F.array(F.array_join(F.zip_with(parts, F.slice(x["s"], F.lit(1), F.size(parts)), part), "-"))
+        names = F.split(F.element_at(F.split(F.element_at(x["s"], -1), ":"), -1), " ")
+        givens = F.zip_with(_givens(tokens), names, lambda t, n: F.when(t.rlike(r"^\p{Ll}"), t).otherwise(like(n, t)))
+        words = F.concat(F.when(F.size(tokens) > 1, givens).otherwise(F.array().cast("array<string>")), family)
+        return F.concat(F.regexp_extract(entity, TITLE, 0), F.array_join(words, " "))
+
+    def phone(x):
+        zeros = F.length(F.regexp_replace(x["rest"], "[^0-9]", "")) - F.length(x["national"])
+        return F.concat(x["code"], _laid(x["rest"], F.concat(F.repeat(F.lit("0"), zeros), x["national"])))
+
+    def other(x):
+        code, s, kind = F.regexp_extract(entity, CODE, 0), F.element_at(x["s"], 1), kind_of(entity)
+        number = F.struct(code.alias("code"), F.substr(entity, F.length(code) + 1).alias("rest"), F.substr(s, F.lit(5)).alias("national"))
+        return _with(kind, lambda k: F.when(k == "phone", _with(number, phone)).when(k.isin("card", "iban"), _laid(entity, s)).otherwise(s))
+
+    known = F.struct(_tokens(entity).alias("t"), F.transform(identities(entity), lookup).alias("s"))
+    return _with(known, lambda x: F.when(is_person(entity), person(x)).otherwise(other(x)))
 
 
 def surrogate(entity: Column, key: str, attempt: Column = None) -> Column:
-    """The surrogate of an entity in normal form."""
-    draws = _draws(key, entity, attempt if attempt is not None else F.lit(0), F.length(entity) + 8 + (0 if attempt is None else 2 * attempt))
-    kind = kind_of(entity)
-    secret = F.when(entity.rlike("^[0-9a-f]+$"), _hex(entity, draws)).otherwise(_shaped(entity, draws))
-    by = {"email": _email(entity, draws), "secret": secret, "ip": _ip(draws), "card": _card(entity, draws), "person": _person(entity, draws, attempt)}
-    return reduce(lambda out, k: out.when(kind == k, by[k]), list(by)[1:], F.when(kind == "email", by["email"])).otherwise(_shaped(entity, draws))
+    """The surrogate of a mention, without regard to other entities."""
+    return rendered(entity, lambda identity: drawn(identity, key, attempt))
 
 
 def entity_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct entities of the corpus in normal form."""
-    return docs.select(F.explode(found(F.col(text_col))).alias("e")).select(normal(F.col("e")).alias("entity")).distinct()
+    """Distinct identities of the corpus."""
+    return docs.select(F.explode(found(F.col(text_col))).alias("e")).distinct().select(F.explode(identities(F.col("e"))).alias("entity")).distinct()
+
+
+#: Attempts before a corpus that leaves no free surrogate is an error.
+ROUNDS = 50
 
 
-def resolve_collisions(entities: DataFrame, key: str, draw=surrogate) -> DataFrame:
+def resolve_collisions(entities: DataFrame, key: str, draw=drawn) -> DataFrame:
     """(entity, surrogate) for the entities whose first surrogate isn't theirs alone; ``entities`` is a written table.
 
     Of the entities that drew one surrogate the smallest keeps it, unless an entity of the corpus looks like it.
     """
-    drawn = written(entities.select("entity", draw(F.col("entity"), key).alias("surrogate")), "surrogates")
-    settled, open_, attempt = drawn, None, 0
-    while True:
+    first = written(entities.select("entity", draw(F.col("entity"), key).alias("surrogate")), "surrogates")
+    settled, open_ = first, None
+    for attempt in range(1, ROUNDS + 1):
         state = settled if open_ is None else open_
         keeps = state.groupBy("surrogate").agg(F.min("entity").alias("keeper"))
         taken = entities.select(F.col("entity").alias("surrogate"))
@@ -191,7 +314,6 @@ def resolve_collisions(entities: DataFrame, key: str, draw=surrogate) -> DataFra
         free = keeps.join(taken.distinct().hint("merge"), "surrogate", "left_anti")
         good = written(state.join(free.select("surrogate", F.col("keeper").alias("entity")).hint("merge"), ["surrogate", "entity"], "left_semi").select("entity", "surrogate"), "settled")
         bad = state.join(good.select("entity").hint("merge"), "entity", "left_anti").select("entity")
-        attempt += 1
         redrawn = written(bad.select("entity", draw(F.col("entity"), key, F.lit(attempt)).alias("surrogate")), "redrawn")
         if open_ is not None:
             exceptions = written(exceptions.unionByName(good), "exceptions")
@@ -202,34 +324,47 @@ def resolve_collisions(entities: DataFrame, key: str, draw=surrogate) -> DataFra
         if redrawn.isEmpty():
             return exceptions
         open_ = redrawn
+    raise RuntimeError(f"{redrawn.count()} entities have no free surrogate of their kind after {ROUNDS} attempts")
 
 
 def replaced(text: Column, key: str, exceptions: Column = None) -> Column:
-    """The text with its entities replaced; ``exceptions`` maps normal forms to surrogates that differ from the first draw."""
+    """The text with its entities replaced; ``exceptions`` maps identities to surrogates that differ from the first draw."""
 
-    def one(entity):
-        first = surrogate(normal(entity), key)
-        return first if exceptions is None else F.coalesce(F.element_at(exceptions, normal(entity)), first)
+    def lookup(identity):
+        first = drawn(identity, key)
+        return first if exceptions is None else F.coalesce(F.element_at(exceptions, identity), first)
 
     between = F.split(text, ANY, -1)
     joined = lambda entities, put: F.array_join(F.zip_with(_mentions(between, entities, put), put, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(GATE), _with(found(text), lambda entities: _with(F.transform(entities, one), lambda put: joined(entities, put)))).otherwise(text)
+    return F.when(text.rlike(GATE), _with(found(text), lambda entities: _with(F.transform(entities, lambda e: rendered(e, lookup)), lambda put: joined(entities, put)))).otherwise(text)
 
 
 def _mentions(between: Column, entities: Column, put: Column) -> Column:
-    """The texts between entities with the family names of the document's persons replaced."""
-    pairs = F.filter(F.arrays_zip(entities.alias("e"), put.alias("s")), lambda x: x["e"].rlike(rf"^(?:{TITLES})\.? "))
-    parts = lambda f: F.flatten(F.transform(pairs, lambda x: F.split(F.substring_index(x[f], " ", -1), "-")))
+    """The texts between entities with the names of the document's persons replaced: family names, and given names before them."""
+    pairs = F.filter(F.arrays_zip(entities.alias("e"), put.alias("s")), lambda x: is_person(x["e"]))
+    families = lambda f: F.flatten(F.transform(pairs, lambda x: _family(_tokens(x[f]))))
+    givens = lambda f: F.flatten(F.transform(pairs, lambda x: _givens(_tokens(x[f]))))
     word = rf"(?<!\p{{L}}){WORD}"
+    of = lambda names, e, s, w: F.when(F.length(w) > 1, F.get(names[s], (F.array_position(names[e], w) - 1).cast("int")))
 
     def renamed(piece, names):
-        own = lambda w: F.when(F.length(w) > 1, F.get(names["s"], (F.array_position(names["e"], w) - 1).cast("int")))
-        put_in = F.transform(F.regexp_extract_all(piece, F.lit(f"({word})"), F.lit(1)), lambda w: F.coalesce(own(w), w))
-        return F.array_join(F.zip_with(F.split(piece, word, -1), put_in, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+        found_ = F.struct(F.regexp_extract_all(piece, F.lit(f"({word})"), F.lit(1)).alias("w"), F.split(piece, word, -1).alias("gap"))
 
-    names = F.struct(parts("e").alias("e"), parts("s").alias("s"))
+        def put_in(x):
+            known = lambda w: F.array_contains(names["fe"], w) | F.array_contains(names["ge"], w)
+            leads = lambda k: F.coalesce((F.get(x["gap"], k + 1) == " ") & known(F.get(x["w"], k + 1)), F.lit(False))
+            new = F.transform(x["w"], lambda w, k: F.coalesce(of(names, "fe", "fs", w), F.when(leads(k), of(names, "ge", "gs", w)), w))
+            return F.array_join(F.zip_with(x["gap"], new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+        return _with(found_, put_in)
+
+    names = F.struct(families("e").alias("fe"), families("s").alias("fs"), givens("e").alias("ge"), givens("s").alias("gs"))
     named = _with(names, lambda names: F.transform(between, lambda piece: renamed(piece, names)))
-    return F.when(F.exists(entities, lambda e: e.rlike(rf"^(?:{TITLES})\.? ")), named).otherwise(between)
+    return F.when(F.exists(entities, is_person), named).otherwise(between)
+
+
+#: Exceptions by text that are sent to all tasks: at most so many texts and entries, else they are joined by a shuffle.
+BROADCAST_TEXTS, BROADCAST_ENTRIES = 50_000, 200_000
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -239,19 +374,26 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     text = F.col(text_col)
     if exceptions.isEmpty():
         return docs.withColumn(text_col, replaced(text, key))
-    # texts that mention an exception get a map of theirs; they are few, and are joined by the text's digest
-    mark = "__livetext_digest"
+    # texts that mention an exception get a map of theirs, joined by the text's digest
+    mark, entries = "__livetext_digest", "__livetext_map"
     digest = F.sha2(text, 256)
-    mentions = docs.select(digest.alias(mark), F.explode(F.array_distinct(F.transform(found(text), normal))).alias("entity")).distinct()
-    maps = mentions.join(exceptions.hint("merge"), "entity").groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__livetext_map"))
+    mentions = docs.select(digest.alias(mark), F.explode(F.array_distinct(F.flatten(F.transform(found(text), identities)))).alias("entity")).distinct()
+    maps = mentions.join(exceptions.hint("merge"), "entity").groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(entries))
     maps = written(maps, "exception-maps")
-    joined = docs.withColumn(mark, digest).join(maps.hint("merge"), mark, "left")
-    return joined.withColumn(text_col, replaced(text, key, F.col("__livetext_map"))).select(*docs.columns)
+    n, size = maps.agg(F.count("*"), F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()
+    small = n <= BROADCAST_TEXTS and size <= BROADCAST_ENTRIES
+    joined = docs.withColumn(mark, digest).join(F.broadcast(maps) if small else maps.hint("merge"), mark, "left")
+    return joined.withColumn(text_col, replaced(text, key, F.col(entries))).select(*docs.columns)
 
 
 KEY = "livetext-surrogates-1"
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's key; the default is public and for tests."""
+    return spark.conf.get("livetext.pii.key", KEY)
+
+
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(found(F.col("text"))).cast("long").alias("n_entities"))
-    return replace_entities(docs, KEY).select("doc_id", "text", "n_entities")
+    return replace_entities(docs, key_of(spark)).select("doc_id", "text", "n_entities")

@@ -220,13 +220,37 @@ def test_later_mentions_follow_the_surrogate(spark):
     assert first and first[1] == first[2] == first[4] != "Reed" and first[3] == first[5] and first[6] == first[7] and out[1] == "Reed alone stays.", out
 
 
+def test_formats_and_titles_corefer(spark):
+    text = "Mr. John Smith met Mr Smith and John Smith. Call +1 (212) 555-1234 or 212-555-1234, or +44 20 7946 0958, or +442079460958. Pay 4111 1111 1111 1111 = 4111111111111111, DE89 3704 0044 0532 0130 00 = DE89370400440532013000. MR. SMITH no, Mr. SMITH yes. Then Smith left."
+    (out,) = replaced_texts(spark, [text])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr (\w+) and (\w+) (\w+)\. Call \+1 (\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4}), or \+44 (\d\d \d{4} \d{4}), or \+44(\d{10})\. Pay (\d{4} \d{4} \d{4} \d{4}) = (\d{16}), (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) = (DE\d{20})\. MR\. (\w+) no, Mr\. (\w+) yes\. Then (\w+) left\.", out)
+    assert m, out
+    digits = lambda k: re.sub(r"\W", "", m[k])
+    assert m[1] == m[4] and m[2] == m[3] == m[5] == m[16] != "Smith" and m[14] == m[15] == m[2].upper()
+    assert digits(6) == digits(7) != "2125551234" and digits(8) == digits(9) and digits(10) == digits(11) and digits(12) == digits(13)
+    assert luhn(m[11]) and int(m[13][4:] + "1314" + m[13][2:4]) % 97 == 1 and m[13] != "DE89370400440532013000"
+
+
+def test_two_persons_of_one_family_stay_two(spark):
+    names = sorted({f"{'Mrs' if k % 2 else 'Mr'}. {a}{b} Reed" for k, a in enumerate(("Tom", "Ann", "Ivo", "Una", "Max", "Eva")) for b in ("", "na", "ko", "li", "ra", "su")})
+    out = replaced_texts(spark, names)
+    assert len(set(out)) == len(names) and len({o.split()[-1] for o in out}) == 1
+
+
+def test_no_free_surrogate_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    entities = spark.createDataFrame([(f"e{k}",) for k in range(5)], "entity string")
+    with pytest.raises(RuntimeError):
+        pii.resolve_collisions(entities, "key", lambda e, key, attempt=None: F.lit("only"))
+
+
 def test_more_persons_than_short_names(spark):
     syllables = pii.SYLLABLES["latin"]
     names = ["Mr. " + (a + b + c + d).capitalize() for a in syllables for b in syllables for c in syllables for d in syllables[:2]]  # 8,192
     names += ["Mr. " + (a + b + c).capitalize() for a in syllables for b in syllables for c in syllables[:4]]
     rounds = []
     draw = lambda e, key, attempt=None: (rounds.append(1), pii.surrogate(e, key, attempt) if len(rounds) < 9 else F.raise_error(F.lit("too many rounds")))[1]
-    entities = spark.createDataFrame([(n,) for n in names], "entity string").localCheckpoint()
+    entities = spark.createDataFrame([(n,) for n in names], "entity string")
     fixed = {r.entity: r.surrogate for r in pii.resolve_collisions(entities, "key", draw).collect()}
     final = {r.entity: fixed.get(r.entity, r.s) for r in entities.select("entity", pii.surrogate(F.col("entity"), "key").alias("s")).collect()}
     assert len(set(final.values())) == len(names) and not set(final.values()) & set(names) and len(fixed) > 4096
