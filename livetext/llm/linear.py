@@ -14,7 +14,17 @@ import numpy as np
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
-LETTERS, SYMBOLS, DIGITS = re.compile(r"[^\W\d_]"), re.compile(r"[^\w\s.,;:'\"()-]"), re.compile(r"\d")
+#: Kinds of characters for ``shape``: letters, capitals, digits, symbols, others. Beyond the table all count as letters.
+LETTER, CAPITAL, DIGIT, SYMBOL, OTHER = range(5)
+
+
+def _kind(c: str) -> int:
+    if c.isalpha():
+        return CAPITAL if c.isupper() else LETTER
+    return DIGIT if c.isdigit() else OTHER if c.isspace() or c in ".,;:'\"()-_" else SYMBOL
+
+
+KINDS = np.array([_kind(chr(c)) for c in range(0x2100)] + [LETTER], np.uint8)
 
 
 def word_features(word: str) -> list[int]:
@@ -34,9 +44,9 @@ def shape(text: str) -> list[float]:
     """Shares of symbols, capitals and digits, mean length of words (in tens, 3 at most) and share of distinct words."""
     n = max(len(text), 1)
     words = text.split()
-    letters = len(text) - len(LETTERS.sub("", text))
-    capitals = sum(1 for c in text if c.isupper()) if not text.islower() else 0
-    return [len(SYMBOLS.findall(text)) / n, capitals / max(letters, 1), len(DIGITS.findall(text)) / n, min(len(text) / max(len(words), 1) / 10, 3), len(set(words)) / max(len(words), 1)]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts = np.bincount(KINDS[np.minimum(codes, len(KINDS) - 1)], minlength=5).tolist()
+    return [counts[SYMBOL] / n, counts[CAPITAL] / max(counts[LETTER] + counts[CAPITAL], 1), counts[DIGIT] / n, min(len(text) / max(len(words), 1) / 10, 3), len(set(words)) / max(len(words), 1)]
 
 
 class Scores:

@@ -56,8 +56,8 @@ def _sample(docs: DataFrame, labels: DataFrame, targets: dict, last: str, per_cl
     schema = ", ".join(["id long, digest long", *[f"`{t}` int" for t in targets], "features array<int>, shape array<double>"])
     # at most 2 * per_class ids: a proven bound; ids may repeat, so the rows have the same bound
     rows = texts.join(F.broadcast(chosen), "id").select("id", F.xxhash64("text").alias("digest"), *targets, "text")
-    rows = rows.orderBy(F.xxhash64("id", "digest"), "id", "digest").limit(2 * per_class)
-    return rows.mapInArrow(encode, schema).toPandas().sort_values(["id", "digest"], kind="stable")
+    found = rows.mapInArrow(encode, schema).orderBy(F.xxhash64("id", "digest"), "id", "digest").limit(2 * per_class)
+    return found.toPandas().sort_values(["id", "digest"], kind="stable")
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict, per_class: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
