@@ -156,3 +156,11 @@ def cleanup_examples(rows: DataFrame, advice: Column, reach: int = 3) -> DataFra
     kept = od.greedy_keep(fixed, ["file", "label"], "line", "id", reach).select("id")
     flag = F.when(managed & F.coalesce(F.col("side") == "FLAT", F.lit(True)), "impossible").when(advice, "advice")
     return fixed.join(kept, "id", "left_semi").withColumn("flag", F.coalesce(flag, F.lit("clean")))
+
+
+def remap_labels(rows: DataFrame, sides: list[str]) -> DataFrame:
+    """Labels for execution: setups are no action, an ADD is an entry on the first side of ``sides`` that is LONG or SHORT, and
+    ``dropped`` names why a row has no label."""
+    valid = F.coalesce(*[F.when(F.col(c).isin("LONG", "SHORT"), F.col(c)) for c in sides])
+    label = F.when(F.col("label").startswith("SETUP_"), "NO_ACTION").when(F.col("label") == "ADD", F.concat(F.lit("ENTER_"), valid)).otherwise(F.col("label"))
+    return rows.withColumn("dropped", F.when((F.col("label") == "ADD") & valid.isNull(), "add_without_side")).withColumn("label", label)

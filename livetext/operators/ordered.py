@@ -6,12 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Beginnings that carry on the row before, and ends that leave a thought open.
+CONTINUES = [
+    r"^(?:and|or|but|so|then|because)\b",
+    r"^(?:if|if you|if you re|if you are|if we|if they)\b",
+    r"^(?:here|versus|at|from|through|under|over|stop)\b",
+    r"^(?:this (?:long|short))\b",
+    r"^(?:out|flat|done)\b",
+    r"^(?:of this|of that|of it)\b",
+    r"^(?:myself|some|more|off|partial|partials|profit)\b",
+    r"^(?:a little|a piece)\b",
+    r"^(?:break ?even|even|be)\b",
+    r"^(?:my stop|to be|to break ?even)\b",
+]
+UNFINISHED = [
+    r"\b(?:and|or|but|so|then|because)$",
+    r"\b(?:if|if you|if you re|if you are|if we|if they)$",
+    r"\b(?:i m|i am|we re|we are)$",
+    r"\b(?:long|short)$",
+    r"\b(?:in long|in short)$",
+    r"\b(?:in this|in)$",
+    r"\b(?:piece|peace)$",
+    r"\b(?:all|fully)$",
+    r"\b(?:out of|out)$",
+    r"\b(?:stopped|knocked)$",
+    r"\b(?:cut|cutting|flatten|flattening)$",
+    r"\b(?:taking|peeling|trimming|covering|selling|paying)$",
+    r"\b(?:move|moving|moved)$",
+    r"\b(?:my stop|stop|stops)$",
+    r"\b(?:break)$",
+]
+
+
 def stitch_context(rows: DataFrame, text: Column, key: str, order: str, gap: Column = None, most: float = 4.0) -> DataFrame:
-    """analysis_text: the row before and this one, if the gap allows."""
+    """analysis_text: the row before and this one, if the gap allows; entry_text: so only where this one carries on or the one
+    before is unfinished."""
     w = Window.partitionBy(key).orderBy(order)
     before = F.lag(text).over(w)
     joined = before.isNotNull() if gap is None else before.isNotNull() & (gap - F.lag(gap).over(w) <= most)
-    return rows.withColumn("analysis_text", F.when(joined, F.concat_ws(" ", before, text)).otherwise(text))
+    any_of = lambda patterns: "|".join(f"(?:{p})" for p in patterns)
+    both = F.trim(F.concat_ws(" ", before, text))
+    open_ = text.rlike(any_of(CONTINUES)) | before.rlike(any_of(UNFINISHED))
+    return rows.withColumn("analysis_text", F.when(joined, both).otherwise(text)).withColumn("entry_text", F.when(joined & open_, both).otherwise(text))
 
 
 def context_window(rows: DataFrame, key: str, order: str, text: str, start: int, end: int, out: str) -> DataFrame:
@@ -25,6 +61,25 @@ def session_state(rows: DataFrame, key: str, order: list, effect: Column, out: s
     return rows.withColumn(out, F.coalesce(F.last(effect, ignorenulls=True).over(w), F.lit("FLAT")))
 
 
+def label_state(rows: DataFrame, key: str, order: list, tag: Column, side: Column, price: Column) -> DataFrame:
+    """``position``, ``last_side`` and ``stop`` at each row from the labels before it.
+
+    Entries with a side set the position at the price, an exit clears it; any side or setup sets the last side; a move to
+    breakeven sets the stop at the position's price, an entry clears it. All are last values over windows.
+    """
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    named = F.when(tag.endswith("_LONG"), "LONG").when(tag.endswith("_SHORT"), "SHORT")
+    entered = F.when(tag.isin("ENTER_LONG", "ENTER_SHORT", "ADD"), F.coalesce(side, F.when(tag != "ADD", named)))
+    effect = F.when(tag == "EXIT_ALL", F.struct(F.lit("FLAT").alias("side"), F.lit(None).cast("double").alias("price"))).when(entered.isNotNull(), F.struct(entered.alias("side"), price.alias("price")))
+    turn = F.coalesce(F.when(tag.startswith("SETUP_"), named), side, entered)
+    x = rows.withColumn("held", F.last(effect, ignorenulls=True).over(w)).withColumn("last_side", F.last(turn, ignorenulls=True).over(w))
+    # a stop holds from a move to breakeven until the next effect
+    move = F.when(effect.isNotNull(), F.struct(F.lit(None).cast("double").alias("stop"))).when((tag == "MOVE_TO_BREAKEVEN") & (F.col("held.side") != "FLAT"), F.struct(F.col("held.price").alias("stop")))
+    x = x.withColumn("moved", move)
+    out = x.withColumn("stop", F.last("moved", ignorenulls=True).over(w).getField("stop"))
+    return out.withColumn("position", F.coalesce("held.side", F.lit("FLAT"))).drop("held", "moved")
+
+
 def recent_cue(rows: DataFrame, key: str, order: list, cue: Column, seconds: str, within: int, out: str) -> DataFrame:
     """Whether a cue stood at most ``within`` seconds before each row (inclusive)."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -76,6 +131,41 @@ def chunk_lines(rows: DataFrame, key: str, size: int, overlap: int) -> DataFrame
     return spread.filter("lo <= hi").select(key, F.explode(F.sequence("lo", "hi")).alias("chunk"), "line")
 
 
+def shrink_chunks(chunks: DataFrame, lines: DataFrame, key: str, text: str, most: int, least: int = 8) -> DataFrame:
+    """Chunks without the last lines that take them over ``most`` characters; ``least`` lines stay."""
+    sized = chunks.join(lines.select(key, "line", F.length(text).alias("c")).hint("merge"), [key, "line"])
+    w = Window.partitionBy(key, "chunk").orderBy("line")
+    run = sized.withColumn("n", F.row_number().over(w)).withColumn("chars", F.sum(F.col("c") + 1).over(w) - 1)
+    return run.filter((F.col("n") <= least) | (F.col("chars") <= most)).select(key, "chunk", "line")
+
+
+def cut_intervals(intervals: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, start, end) pieces of at most ``size`` lines of each interval, both ends included."""
+    at = F.explode(F.sequence(F.col("start"), F.col("end"), F.lit(size).cast("long"))).alias("from")
+    return intervals.select(key, "end", at).select(key, F.col("from").alias("start"), F.least(F.col("from") + size - 1, F.col("end")).alias("end"))
+
+
+def select_best(rows: DataFrame, line: list[str], label: list[str], best: list) -> DataFrame:
+    """The best row of each (line, label), and of these the best of each line."""
+    from livetext.operators.relational import first_by
+
+    return first_by(first_by(rows, [*line, *label], best).drop("rn"), line, best).drop("rn")
+
+
+def materialize_session(patches: DataFrame, key: str, order: str, fields: dict[str, str]) -> DataFrame:
+    """The state after patches (a map of text values, where a key with null clears and an absent key keeps).
+
+    ``fields`` maps a field to "null" or "empty" (what clearing leaves), or "keep" (null keeps the value).
+    """
+    def last(name, rule):
+        value = F.col("patch")[name]
+        named = F.map_contains_key("patch", name) & (value.isNotNull() if rule == "keep" else F.lit(True))
+        found = F.max_by(F.struct(value.alias("v")), F.when(named, F.col(order))).getField("v")
+        return (F.when(F.max(named.cast("int")) == 1, F.coalesce(found, F.lit(""))) if rule == "empty" else found).alias(name)
+
+    return patches.groupBy(key).agg(*[last(n, r) for n, r in fields.items()])
+
+
 def merge_intervals(rows: DataFrame, key: str, start: Column, end: Column, gap: int) -> DataFrame:
     """Intervals merged where the gap to all before is at most ``gap``."""
     w = Window.partitionBy(key).orderBy("s", "e")
@@ -92,22 +182,3 @@ def resample_series(rows: DataFrame, key: str, index: str, value: str, ratio: fl
     at = grid.withColumn("x", F.col("j") / ratio).withColumn("i", F.least(F.floor("x"), F.col("n") - 1)).withColumn("i2", F.least(F.col("i") + 1, F.col("n") - 1))
     a, b = rows.select(key, F.col(index).alias("i"), F.col(value).alias("va")), rows.select(key, F.col(index).alias("i2"), F.col(value).alias("vb"))
     return at.join(a, [key, "i"]).join(b, [key, "i2"]).select(key, "j", F.round(F.col("va") + (F.col("vb") - F.col("va")) * (F.col("x") - F.col("i")), 6).alias(value))
-
-
-def position_ledger(commands: DataFrame, key: str, order: str) -> DataFrame:
-    """Position after each of (kind ENTER/ADD/TRIM/EXIT, side, qty, price), rejecting all but ENTER without one."""
-    lists = commands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), "kind", "side", F.col("qty").cast("int").alias("qty"), F.col("price").cast("double").alias("price")))).alias("s"))
-    row = "struct<o:long,side:string,qty:int,avg:double,ok:boolean>"
-    start = F.struct(F.lit("FLAT").alias("side"), F.lit(0).alias("qty"), F.lit(0.0).alias("avg"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(a, x):
-        flat = a["qty"] == 0
-        ok = F.when(x["kind"] == "ENTER", flat).otherwise(~flat)
-        add = F.when(x["kind"].isin("ENTER", "ADD"), x["qty"]).when(x["kind"] == "TRIM", -F.least(x["qty"], a["qty"])).otherwise(-a["qty"])
-        qty = F.when(ok, a["qty"] + add).otherwise(a["qty"])
-        side = F.when(qty == 0, "FLAT").when(ok & (x["kind"] == "ENTER"), x["side"]).otherwise(a["side"])
-        avg = F.when(qty == 0, 0.0).when(ok & (add > 0), (a["avg"] * a["qty"] + x["price"] * add) / qty).otherwise(a["avg"])
-        made = F.struct(x["o"].alias("o"), side.alias("side"), qty.alias("qty"), avg.alias("avg"), ok.alias("ok"))
-        return F.struct(side.alias("side"), qty.alias("qty"), avg.alias("avg"), F.concat(a["out"], F.array(made)).alias("out"))
-
-    return lists.select(key, F.explode(F.aggregate("s", start, step)["out"]).alias("r")).select(key, F.col("r.o").alias(order), "r.side", "r.qty", F.round("r.avg", 4).alias("avg_price"), "r.ok")

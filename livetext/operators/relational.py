@@ -79,17 +79,6 @@ def confusion_matrix(rows: DataFrame, labels: list, true: str = "y", pred: str =
     return grid.join(rows.groupBy(true, pred).agg(F.count("*").alias("c")), [true, pred], "left").select(true, pred, F.coalesce("c", F.lit(0)).alias("n"))
 
 
-def classification_metrics(rows: DataFrame, labels: list, true: str = "y", pred: str = "p") -> DataFrame:
-    """Precision, recall, F1 and support of each label from one aggregate; denominators are at least 1."""
-    hit = rows.groupBy(true, pred).agg(F.count("*").alias("n"))
-    each = hit.select(F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.when(F.col(true) == x, F.col("n")).otherwise(0).alias("t"), F.when(F.col(pred) == x, F.col("n")).otherwise(0).alias("p"), F.when((F.col(true) == x) & (F.col(pred) == x), F.col("n")).otherwise(0).alias("tp")) for x in labels])).alias("s")).select("s.*")
-    sums = each.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("t", "p", "tp")])
-    one = F.lit(1)
-    sums = sums.withColumn("precision", F.col("tp") / F.greatest("p", one)).withColumn("recall", F.col("tp") / F.greatest("t", one))
-    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    return sums.select("label", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"), F.round(f1, 4).alias("f1"), F.col("t").alias("support"))
-
-
 def calibrate_thresholds(scores: DataFrame) -> DataFrame:
     """For each label of (label, score, hit) the first threshold from 0.30 to 0.90 by 0.02 with the best F1.
 
@@ -121,21 +110,6 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select(label, F.round(F.col("total") / (F.col("k") * F.col("n")), 6).alias("weight"))
 
 
-def tfidf_stats(docs: DataFrame, top: int) -> DataFrame:
-    """Document frequency and smooth idf of the ``top`` commonest words; each document sends each word once."""
-    n = docs.count()
-    terms = docs.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda w: F.length(w) >= 2))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(top).select("term", "df", F.round(F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1, 6).alias("idf"))
-
-
-def paired_t(folds: DataFrame) -> DataFrame:
-    """Per pair of models over (model, fold, value): mean difference and t; zero variance gives t null."""
-    a, b = folds.select("fold", F.col("model").alias("a"), F.col("value").alias("va")), folds.select("fold", F.col("model").alias("b"), F.col("value").alias("vb"))
-    d = a.join(b, "fold").filter("a < b").withColumn("d", F.col("va") - F.col("vb"))
-    g = d.groupBy("a", "b").agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("s"), F.count("*").alias("n"))
-    return g.select("a", "b", F.round("m", 6).alias("mean_diff"), F.round(F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))), 6).alias("t"))
-
-
 def stable_sample(rows: DataFrame, key: Column, k: int) -> DataFrame:
     return rows.withColumn("h", F.sha2(key, 256)).orderBy("h").limit(k)
 

@@ -94,75 +94,12 @@ def dedupe_caption_lines(spark, d):
     return lines(spark, d).groupBy("file", "text").agg(F.min("line").alias("line"), F.max("line").alias("last_line"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, left(text, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn, left(text, 1)) AS rn FROM conversations),
-f AS (SELECT conv_id, rn, turn, x, turn AS kt, x AS kx, 1 AS g FROM c WHERE rn = 1
-UNION ALL SELECT c.conv_id, c.rn, c.turn, c.x,
- CASE WHEN f.kx = c.x OR (c.turn <= f.kt + 1 AND starts_with(c.x, f.kx)) THEN f.kt ELSE c.turn END,
- CASE WHEN f.kx = c.x THEN f.kx ELSE c.x END,
- CASE WHEN f.kx = c.x OR (c.turn <= f.kt + 1 AND starts_with(c.x, f.kx)) THEN f.g ELSE f.g + 1 END
- FROM f JOIN c ON c.conv_id = f.conv_id AND c.rn = f.rn + 1)
-SELECT conv_id, kt AS turn, arg_max(kx, rn) AS x FROM f GROUP BY conv_id, kt, g""")
-def collapse_rolling_captions(spark, d):
-    c = conv(spark, d).select("conv_id", "turn", F.substring("text", 1, 1).alias("x"))
-    return od.collapse_captions(c, "conv_id", "turn", "x")
-
-
-@query("SELECT event_type AS status, count(*)::BIGINT AS n FROM events GROUP BY 1")
-def ingest_manifest(spark, d):
-    return read(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
-
-
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '([0-9]),([0-9])', '\1\2', 'g'), '\bthe\b', 'teh', 'g'), '\bof and\b', 'and', 'g') AS text
-FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')""")
-def asr_correct(spark, d):
-    rules = [(r"\bthe\b", "teh"), (r"\bof and\b", "and")]
-    ascii_only = docs(spark, d).filter((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return ascii_only.select("doc_id", tx.asr_correct(F.col("text"), rules).alias("text"))
-
-
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(lower(text), '([0-9]),([0-9])', '\1\2', 'g'), '-', ' '), '\bpoint of\b', 'point', 'g'), '[^\w\s.]', ' ', 'g'), '\s+', ' ', 'g')) AS text
-FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7f]')""")
-def normalize_text(spark, d):
-    ascii_only = docs(spark, d).filter((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return ascii_only.select("doc_id", tx.normalize_text(F.col("text"), []).alias("text"))
-
-
-@query(r"SELECT event_id, trim(regexp_replace(upper(event_type || ' / x-' || event_id::VARCHAR), '[^A-Z0-9]+', '_', 'g'), '_') AS token FROM events")
-def normalize_variant(spark, d):
-    e = read(spark, d, "events")
-    return e.select("event_id", tx.normalize_variant(F.concat("event_type", F.lit(" / x-"), F.col("event_id").cast("string")), "label").alias("token"))
-
-
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[ \t\r\n\f]+', ' ', 'g')) AS text FROM pages""")
-def clean_markup(spark, d):
-    return read(spark, d, "pages").select("page_id", tx.clean_markup(F.col("html")).alias("text"))
-
-
-@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split({P}, ' '), lambda x: x <> '') AS w FROM documents), u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM w),
-top AS (SELECT doc_id, n, max(c) AS top FROM (SELECT doc_id, n, x, count(*) AS c FROM u GROUP BY ALL) GROUP BY ALL)
-SELECT doc_id, n::BIGINT AS n_words, (n >= 10 AND top >= 0.55 * n) AS dominated FROM top""")
-def degenerate_text(spark, d):
-    w = docs(spark, d).select("doc_id", tx.words(plain(F.col("text"))).alias("w")).filter(F.size("w") > 0)
-    counts = w.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x")).groupBy("doc_id", "n", "x").agg(F.count("*").alias("c")).groupBy("doc_id", "n").agg(F.max("c").alias("top"))
-    return counts.select("doc_id", F.col("n").cast("long").alias("n_words"), ((F.col("n") >= 10) & (F.col("top") >= 0.55 * F.col("n"))).alias("dominated"))
-
-
 @query("SELECT user_id, round(least(0.99, greatest(0.3, 1 + avg(-value / 100) / 5)), 6) AS confidence FROM events GROUP BY user_id")
 def logprob_confidence(spark, d):
     mean = F.avg(-F.col("value") / 100)
     return read(spark, d, "events").groupBy("user_id").agg(F.round(F.coalesce(F.least(F.lit(0.99), F.greatest(F.lit(0.3), 1 + mean / 5)), F.lit(0.85)), 6).alias("confidence"))
 
 
-@query(f"WITH {EV}, g AS (SELECT user_id, event_id, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS gap FROM ev) SELECT user_id, max(greatest(0, gap))::BIGINT AS max_gap, sum(greatest(0, gap))::BIGINT AS total FROM g WHERE gap IS NOT NULL GROUP BY 1")
-def latency_metrics(spark, d):
-    from pyspark.sql import Window
-
-    gap = F.col("sec") - F.lag("sec").over(Window.partitionBy("user_id").orderBy("sec", "event_id"))
-    e = events(spark, d).withColumn("gap", gap).filter("gap is not null")
-    held = F.greatest(F.lit(0), F.col("gap"))
-    return e.groupBy("user_id").agg(F.max(held).alias("max_gap"), F.sum(held).alias("total"))
-
-
 KEYWORDS = ["trim", "add", "flat", "ther", "tion", "stop"]
 
 
@@ -176,16 +113,6 @@ def match_rules(spark, d):
     return conv(spark, d).select("conv_id", "turn", F.array_join(tx.match_rules(plain(F.col("text")), GROUPS), ",").alias("groups"))
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations) SELECT conv_id, turn, {CASCADE.format('p')} AS tag FROM t")
-def detect_signal(spark, d):
-    return conv(spark, d).select("conv_id", "turn", tx.detect_signal(plain(F.col("text")), GROUPS, TAGS).alias("tag"))
-
-
-@query(f"WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations) SELECT conv_id, turn FROM t WHERE NOT regexp_matches(p, '(?:\\bwas\\b)|(?:\\bfor\\b)')")
-def non_actionable_filter(spark, d):
-    return conv(spark, d).filter(~plain(F.col("text")).rlike(tx.group_pattern([r"\bwas\b", r"\bfor\b"]))).select("conv_id", "turn")
-
-
 @query(f"""WITH t AS (SELECT conv_id, turn, role, {P} AS p FROM conversations), s AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t),
 i AS (SELECT conv_id, {CASCADE.format("coalesce(b || ' ' || p, p)")} AS tag FROM s) SELECT conv_id, coalesce(tag, 'NONE') AS tag, count(*)::BIGINT AS n FROM i GROUP BY ALL""")
 def replay_report(spark, d):
@@ -202,40 +129,14 @@ def resolve_price(spark, d):
     return e.select("event_id", tx.resolve_digits(F.col("raw"), F.col("market")).alias("price"))
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(p, '\\ball\\b') THEN 'all' WHEN regexp_matches(p, '\\bmost\\b') THEN 'most' WHEN regexp_matches(p, '\\bhalf\\b') THEN 'half' WHEN regexp_matches(p, '\\b(?:one|a)\\b') THEN 'one' END AS hint FROM t")
-def quantity_hint(spark, d):
-    return conv(spark, d).select("conv_id", "turn", tx.quantity_hint(plain(F.col("text"))).alias("hint"))
-
-
 BASE = {"signup": 0.82, "purchase": 0.82, "click": 0.74, "error": 0.9, "view": 0.5}
 
 
-@query("SELECT event_id, round(least(0.99, greatest(0, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in BASE.items()) + " END + CASE WHEN event_type IN ('signup', 'purchase') THEN 0.03 ELSE 0 END + CASE WHEN value > 50 THEN 0.05 ELSE 0 END - CASE WHEN value < 10 THEN 0.15 ELSE 0 END)), 3) AS score FROM events")
-def intent_score(spark, d):
-    base = F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv])[F.col("event_type")]
-    raw = base + F.when(F.col("event_type").isin("signup", "purchase"), 0.03).otherwise(0) + F.when(F.col("value") > 50, 0.05).otherwise(0) - F.when(F.col("value") < 10, 0.15).otherwise(0)
-    return read(spark, d, "events").select("event_id", F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.0), raw)), 3).alias("score"))
-
-
-@query("SELECT event_id, CASE WHEN value % 7 > 4.8 THEN 'classifier' WHEN event_type = 'error' THEN 'explicit' WHEN event_type = 'view' THEN 'setup' ELSE 'seed' END AS source FROM events")
-def candidate_score(spark, d):
-    """The best of several candidates by probability; ties go to the earlier one in the list."""
-    c = F.col
-    options = [("classifier", 0.97, c("value") % 7 > 4.8), ("explicit", 0.96, c("event_type") == "error"), ("setup", 0.74, c("event_type") == "view"), ("seed", 0.58, F.lit(True))]
-    best = F.array_max(F.filter(F.array(*[F.when(ok, F.struct(F.lit(p).alias("p"), F.lit(-k).alias("rank"), F.lit(name).alias("source"))) for k, (name, p, ok) in enumerate(options)]), lambda x: x.isNotNull()))
-    return read(spark, d, "events").select("event_id", best["source"].alias("source"))
-
-
 @query(f"WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(p, '\\bwas\\b') AND NOT regexp_matches(p, '\\bwith\\b') THEN 'LONG' WHEN regexp_matches(p, '\\bwith\\b') AND NOT regexp_matches(p, '\\bwas\\b') THEN 'SHORT' END AS side FROM t")
 def side_hint(spark, d):
     return conv(spark, d).select("conv_id", "turn", tx.side_hint(plain(F.col("text")), r"\bwas\b", r"\bwith\b").alias("side"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(trim(text, ' ' || chr(10)), '[ \\n]+'), lambda x: x <> '')[-48:], ' ') AS text FROM conversations WHERE NOT regexp_matches(text, '[\\t\\r\\f\\v]')")
-def clip_words(spark, d):
-    return conv(spark, d).filter(~F.col("text").rlike(r"[\t\r\f\x0B]")).select("conv_id", "turn", tx.clip_words(F.col("text")).alias("text"))
-
-
 @query("SELECT conv_id, turn, concat_ws(chr(10), 'role=' || role, CASE WHEN turn > 0 THEN 'line=' || turn::VARCHAR END, CASE WHEN text <> '' THEN 'current=' || text END) AS prompt FROM conversations")
 def render_context(spark, d):
     return conv(spark, d).select("conv_id", "turn", tx.render_context(role=F.col("role"), line=F.when(F.col("turn") > 0, F.col("turn").cast("string")), current=F.col("text")).alias("prompt"))
@@ -248,12 +149,6 @@ def rebuild_prompt(spark, d):
     return conv(spark, d).filter("text <> ''").select("conv_id", "turn", tx.render_context(recent=field("recent"), analysis=field("analysis"), current=field("current")).alias("prompt"))
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations), h AS (SELECT conv_id, turn, concat_ws(',', CASE WHEN regexp_matches(p, '\\bare\\b') THEN 'are' END, CASE WHEN regexp_matches(p, '\\bfrom\\b') THEN 'from' END) AS hits FROM t) SELECT * FROM h WHERE hits <> ''")
-def advice_flag(spark, d):
-    hits = F.array_join(tx.match_rules(plain(F.col("text")), {"are": [r"\bare\b"], "from": [r"\bfrom\b"]}), ",")
-    return conv(spark, d).select("conv_id", "turn", hits.alias("hits")).filter("hits <> ''")
-
-
 ALIASES = {"SIGNUP": "ENTER_LONG", "PURCHASE": "ENTER_SHORT", "CLICK": "TRIM", "ERROR": "EXIT_ALL"}
 TAG = "CASE event_type WHEN 'signup' THEN 'ENTER_LONG' WHEN 'purchase' THEN 'ENTER_SHORT' WHEN 'click' THEN 'TRIM' WHEN 'error' THEN 'EXIT_ALL' ELSE 'NO_ACTION' END"
 
@@ -262,19 +157,6 @@ def tag_of(c="event_type"):
     return F.coalesce(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[F.upper(c)], F.lit("NO_ACTION"))
 
 
-@query(f"SELECT event_id, {TAG} AS tag, round(least(1, greatest(0, value / 100)), 6) AS confidence FROM events")
-def coerce_labels(spark, d):
-    aliases = spark.createDataFrame(list(ALIASES.items()), "token string, tag string")  # a fixed list
-    e = read(spark, d, "events").withColumn("token", tx.normalize_variant(F.col("event_type"), "label"))
-    return e.join(F.broadcast(aliases), "token", "left").select("event_id", F.coalesce("tag", F.lit("NO_ACTION")).alias("tag"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100)), 6).alias("confidence"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
-def parse_label_payload(spark, d):
-    body = F.regexp_extract(F.concat(F.lit("note: "), "props"), r"(?s)\{.*\}", 0)
-    return read(spark, d, "events").select("event_id", F.from_json(body, "k long").getField("k").alias("k")).filter("k is not null")
-
-
 @query("SELECT event_id, sha256(concat_ws('|', event_type, user_id::VARCHAR, coalesce(props, '')))[:16] AS id FROM events")
 def stable_key(spark, d):
     return read(spark, d, "events").select("event_id", tx.stable_key(F.col("event_type"), F.col("user_id"), F.col("props"), size=16).alias("id"))
@@ -289,12 +171,6 @@ def attach_labels(spark, d):
     return rel.attach_labels(lines(spark, d), labels, ["file"]).select("file", "line", "toxic")
 
 
-@query("WITH n AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, k::BIGINT AS chunk, (turn + 1)::BIGINT AS line FROM (SELECT *, unnest(range(greatest(0, (turn // 3) - 1)::BIGINT, (turn // 3 + 1)::BIGINT)) AS k FROM n) WHERE turn >= k * 3 AND turn < k * 3 + 4 AND k <= greatest(0, ceil((n - 1) / 3.0) - 1)")
-def chunk_lines(spark, d):
-    numbered = conv(spark, d).select("conv_id", (F.col("turn") + 1).alias("line"))
-    return od.chunk_lines(numbered, "conv_id", 4, 1)
-
-
 @query("SELECT e.event_id, e.user_id FROM events e WHERE e.event_type = 'click' AND e.user_id NOT IN (SELECT user_id FROM events WHERE value > 400 AND user_id IS NOT NULL)")
 def exclude_covered(spark, d):
     e = read(spark, d, "events").withColumnRenamed("user_id", "file")
@@ -363,12 +239,6 @@ def label_counts(spark, d):
     return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {LINES} SELECT file, count(*)::BIGINT AS n_lines, count(*) FILTER (contains(text, 'the'))::BIGINT AS hits, min(line) FILTER (contains(text, 'the')) AS first_hit FROM lines GROUP BY file")
-def file_report(spark, d):
-    hit = F.col("text").contains("the")
-    return lines(spark, d).groupBy("file").agg(F.count("*").alias("n_lines"), F.count_if(hit).alias("hits"), F.min(F.when(hit, F.col("line"))).alias("first_hit"))
-
-
 PRED = "(quality + doc_id) % 2"
 
 
@@ -378,13 +248,6 @@ def confusion_matrix(spark, d):
     return rel.confusion_matrix(r, [0, 1])
 
 
-@query(f"""WITH r AS (SELECT toxic AS y, ({PRED})::INTEGER AS p FROM labels), l(label) AS (VALUES (0), (1)), s AS (SELECT label, sum((y = label)::INTEGER) AS t, sum((p = label)::INTEGER) AS pp, sum((y = label AND p = label)::INTEGER) AS tp FROM r, l GROUP BY label),
-m AS (SELECT label, t, tp / greatest(pp, 1) AS pr, tp / greatest(t, 1) AS re FROM s) SELECT label, round(pr, 4) AS precision, round(re, 4) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 4) AS f1, t::BIGINT AS support FROM m""")
-def classification_metrics(spark, d):
-    r = read(spark, d, "labels").select(F.col("toxic").alias("y"), F.expr(PRED).cast("int").alias("p"))
-    return rel.classification_metrics(r, [0, 1])
-
-
 SCORES = "s AS (SELECT label, ((vec_id * 7919) % 997) / 997.0 AS score, (vec_id % 3 = label % 3) AS hit FROM embeddings)"
 
 
@@ -400,38 +263,6 @@ def class_weights(spark, d):
     return rel.class_weights(docs(spark, d), "lang")
 
 
-@query("SELECT event_type, round(count(*) * any_value(w) / sum(count(*) * any_value(w)) OVER (), 6) AS share FROM (SELECT event_type, CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS w FROM events) GROUP BY event_type")
-def sample_weights(spark, d):
-    w = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 2).otherwise(1)
-    by = read(spark, d, "events").groupBy("event_type").agg((F.count("*") * F.first(w)).alias("w"))
-    return by.join(F.broadcast(by.agg(F.sum("w").alias("total")))).select("event_type", F.round(F.col("w") / F.col("total"), 6).alias("share"))
-
-
-@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2))) AS term FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]')), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]'))
-SELECT term, count(*)::BIGINT AS df, round(ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1, 6) AS idf FROM t GROUP BY term ORDER BY df DESC, term LIMIT 500""")
-def tfidf_stats(spark, d):
-    return rel.tfidf_stats(docs(spark, d).filter((F.col("lang") == "en") & ~F.col("text").rlike(r"[^\x00-\x7f]")), 500)
-
-
-@query("WITH c AS (SELECT event_type || ' -> ' || (CASE WHEN value > 50 THEN 'click' ELSE 'view' END) AS pattern, event_id FROM events WHERE event_type <> CASE WHEN value > 50 THEN 'click' ELSE 'view' END) SELECT pattern, count(*)::BIGINT AS n, min(event_id) AS example FROM c GROUP BY 1 ORDER BY n DESC, pattern LIMIT 20")
-def error_patterns(spark, d):
-    pred = F.when(F.col("value") > 50, "click").otherwise("view")
-    wrong = read(spark, d, "events").filter(F.col("event_type") != pred)
-    return wrong.groupBy(F.concat_ws(" -> ", "event_type", pred).alias("pattern")).agg(F.count("*").alias("n"), F.min("event_id").alias("example")).orderBy(F.desc("n"), "pattern").limit(20)
-
-
-@query("WITH f AS (SELECT event_type AS model, user_id % 5 AS fold, avg(value) AS v FROM events GROUP BY ALL), d AS (SELECT x.model AS a, y.model AS b, x.v - y.v AS d FROM f x JOIN f y USING (fold) WHERE x.model < y.model) SELECT a, b, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM d GROUP BY ALL")
-def paired_t_test(spark, d):
-    f = read(spark, d, "events").groupBy(F.col("event_type").alias("model"), (F.col("user_id") % 5).alias("fold")).agg(F.avg("value").alias("value"))
-    return rel.paired_t(f)
-
-
-@query("WITH f AS (SELECT user_id % 5 AS fold, avg(value) AS v FROM events GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, count(*)::BIGINT AS folds FROM f")
-def cv_summary(spark, d):
-    f = read(spark, d, "events").groupBy((F.col("user_id") % 5).alias("fold")).agg(F.avg("value").alias("v"))
-    return f.agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 6).alias("std"), F.count("*").alias("folds"))
-
-
 @query("SELECT user_id, event_id // 50 AS frame, round(sqrt(avg(value * value)) / 32768, 9) AS rms, sqrt(avg(value * value)) / 32768 >= 0.002 AS voiced FROM events GROUP BY ALL")
 def frame_energy(spark, d):
     rms = F.sqrt(F.avg(F.col("value") * F.col("value"))) / 32768
@@ -441,22 +272,11 @@ def frame_energy(spark, d):
 # --- windows and folds ----------------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, turn, coalesce(lag(text) OVER w || ' ' || text, text) AS analysis_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def stitch_context(spark, d):
-    return od.stitch_context(conv(spark, d), F.col("text"), "conv_id", "turn").select("conv_id", "turn", "analysis_text")
-
-
 @query("SELECT conv_id, turn, string_agg(role, ' | ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS context FROM conversations")
 def context_window(spark, d):
     return od.context_window(conv(spark, d), "conv_id", "turn", "role", -2, 1, "context").select("conv_id", "turn", "context")
 
 
-@query(f"WITH {EV} SELECT event_id, coalesce(last_value(CASE event_type WHEN 'signup' THEN 'LONG' WHEN 'purchase' THEN 'SHORT' WHEN 'error' THEN 'FLAT' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'FLAT') AS side FROM ev")
-def session_state(spark, d):
-    effect = F.when(F.col("event_type") == "signup", "LONG").when(F.col("event_type") == "purchase", "SHORT").when(F.col("event_type") == "error", "FLAT")
-    return od.session_state(events(spark, d), "user_id", ["sec", "event_id"], effect, "side").select("event_id", "side")
-
-
 @query(f"WITH {EV} SELECT event_id, coalesce(sec - last_value(CASE WHEN event_type = 'click' THEN sec END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 3600, false) AS guarded FROM ev")
 def entry_guard(spark, d):
     return od.recent_cue(events(spark, d), "user_id", ["sec", "event_id"], F.col("event_type") == "click", "sec", 3600, "guarded").select("event_id", "guarded")
@@ -489,17 +309,6 @@ def dedupe_near(spark, d):
     return od.greedy_keep(c, ["conv_id", "role"], "turn", "id", 3).select("conv_id", (F.col("id") % 100000).alias("turn"))
 
 
-@query("""WITH x AS (SELECT conv_id, turn - 1 AS s, turn + 1 AS e FROM conversations WHERE role = 'assistant'), y AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY conv_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS n FROM x),
-z AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM y) SELECT conv_id, min(s) AS start, max(e) AS "end" FROM z GROUP BY conv_id, g""")
-def candidate_chunks(spark, d):
-    return od.merge_intervals(conv(spark, d).filter("role = 'assistant'"), "conv_id", F.col("turn") - 1, F.col("turn") + 1, 0)
-
-
-@query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1")
-def select_best_per_key(spark, d):
-    return rel.first_by(read(spark, d, "events"), ["user_id", "event_type"], [F.desc("value"), "event_id"]).select("user_id", "event_type", "event_id")
-
-
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_type <> 'view') DESC, CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END DESC, value DESC, event_id) = 1")
 def collapse_reviews(spark, d):
     rank = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 2).otherwise(1)
@@ -511,12 +320,6 @@ def last_n(spark, d):
     return rel.first_by(read(spark, d, "events"), ["user_id"], [F.desc("event_id")], 25).select("user_id", "event_id")
 
 
-@query("SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'purchase') AS price, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS last_action FROM events GROUP BY user_id")
-def materialize_session(spark, d):
-    has = lambda c, v: F.max_by(v, F.when(c, F.col("event_id")))
-    return read(spark, d, "events").groupBy("user_id").agg(has(F.col("event_type") == "purchase", "value").alias("price"), has(F.col("event_type") != "view", "event_type").alias("last_action"))
-
-
 @query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value FROM events), n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), g AS (SELECT user_id, n, unnest(range(0, greatest(1, floor(n * 0.5))::BIGINT)) AS j FROM n),
 x AS (SELECT *, j / 0.5 AS x, least(floor(j / 0.5), n - 1)::BIGINT AS i, least(least(floor(j / 0.5), n - 1) + 1, n - 1)::BIGINT AS i2 FROM g)
 SELECT x.user_id, x.j::BIGINT AS j, round(a.value + (b.value - a.value) * (x.x - x.i), 6) AS value FROM x JOIN s a ON a.user_id = x.user_id AND a.i = x.i JOIN s b ON b.user_id = x.user_id AND b.i = x.i2""")
@@ -553,13 +356,6 @@ def assign_folds(spark, d):
     return rel.assign_folds(conv(spark, d).select(F.col("conv_id").alias("file")), 5)
 
 
-@query("WITH f AS (SELECT DISTINCT conv_id AS file FROM conversations), r AS (SELECT file, floor((row_number() OVER (ORDER BY sha256(file::VARCHAR)) - 1) / ceil(count(*) OVER () / 10))::INTEGER AS fold FROM f) SELECT CASE WHEN fold = 0 THEN 'test' WHEN fold = 1 THEN 'validation' ELSE 'train' END AS split, count(DISTINCT file)::BIGINT AS files, count(*)::BIGINT AS n FROM r JOIN conversations c ON c.conv_id = r.file GROUP BY 1")
-def split_by_group(spark, d):
-    c = conv(spark, d).withColumnRenamed("conv_id", "file")
-    split = F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "validation").otherwise("train")
-    return c.join(rel.assign_folds(c, 10), "file").groupBy(split.alias("split")).agg(F.count_distinct("file").alias("files"), F.count("*").alias("n"))
-
-
 @query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 10")
 def top_k_per_group(spark, d):
     return rel.first_by(read(spark, d, "events"), ["event_type"], [F.desc("value"), "event_id"], 10).select("event_type", "event_id")
@@ -581,13 +377,6 @@ def merge_corpora(spark, d):
     return rel.merge_corpora(c)
 
 
-@query(f"WITH r AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 'NO_ACTION' WHEN event_type = 'click' AND value > 60 THEN 'ENTER_LONG' WHEN event_type = 'click' THEN NULL ELSE {TAG} END AS label FROM events) SELECT event_id, label, CASE WHEN label IS NULL THEN 'add_without_side' END AS dropped FROM r")
-def remap_labels(spark, d):
-    e = read(spark, d, "events")
-    label = F.when(F.col("event_type") == "view", "NO_ACTION").when((F.col("event_type") == "click"), F.when(F.col("value") > 60, "ENTER_LONG")).otherwise(tag_of())
-    return e.select("event_id", label.alias("label")).withColumn("dropped", F.when(F.col("label").isNull(), "add_without_side"))
-
-
 @query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value > 50) DESC, event_id) = 1")
 def dedupe_examples(spark, d):
     return rel.first_by(read(spark, d, "events"), ["user_id", "event_type"], [F.desc(F.col("value") > 50), "event_id"]).select("event_id")
@@ -599,63 +388,3 @@ def distinct_files(spark, d):
 
 
 # --- risk and positions ---------------------------------------------------------------------------------------
-
-
-@query(f"""WITH {EV}, s AS (SELECT event_id, {TAG} AS tag, value, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS age FROM ev)
-SELECT event_id, CASE WHEN tag = 'NO_ACTION' THEN 'No action.' WHEN value < 5 THEN 'Low confidence.' WHEN age > 86400 THEN 'Stale.' WHEN tag IN ('ENTER_LONG', 'ENTER_SHORT') AND value > 200 THEN 'Too far from market.' ELSE 'Approved.' END AS reason FROM s""")
-def risk_gate(spark, d):
-    from pyspark.sql import Window
-
-    age = F.col("sec") - F.lag("sec").over(Window.partitionBy("user_id").orderBy("sec", "event_id"))
-    e = events(spark, d).select("event_id", tag_of().alias("tag"), "value", age.alias("age"))
-    checks = [(F.col("tag") == "NO_ACTION", "No action."), (F.col("value") < 5, "Low confidence."), (F.col("age") > 86400, "Stale."), (F.col("tag").isin("ENTER_LONG", "ENTER_SHORT") & (F.col("value") > 200), "Too far from market.")]
-    reason = reduce(lambda w, c: w.when(*c), checks[1:], F.when(*checks[0])).otherwise("Approved.")
-    return e.select("event_id", reason.alias("reason"))
-
-
-@query(f"SELECT event_id, CASE {TAG} WHEN 'ENTER_LONG' THEN round(value - 120, 4) WHEN 'ENTER_SHORT' THEN round(value + 120, 4) END AS stop, CASE {TAG} WHEN 'ENTER_LONG' THEN round(value + 240, 4) WHEN 'ENTER_SHORT' THEN round(value - 240, 4) END AS target FROM events")
-def wide_brackets(spark, d):
-    sign = F.when(tag_of() == "ENTER_LONG", 1).when(tag_of() == "ENTER_SHORT", -1)
-    return read(spark, d, "events").select("event_id", F.round(F.col("value") - 120 * sign, 4).alias("stop"), F.round(F.col("value") + 240 * sign, 4).alias("target"))
-
-
-@query("SELECT event_id, round(floor((value - 10) / 0.25) * 0.25, 4) AS stop, round(ceil((value + 10) / 0.25) * 0.25, 4) AS target FROM events")
-def protective_prices(spark, d):
-    return read(spark, d, "events").select("event_id", F.round(F.floor((F.col("value") - 10) / 0.25) * 0.25, 4).alias("stop"), F.round(F.ceil((F.col("value") + 10) / 0.25) * 0.25, 4).alias("target"))
-
-
-@query("SELECT event_id, (CASE event_type WHEN 'error' THEN 4 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE least(4, greatest(1, event_id % 6)) END)::BIGINT AS contracts FROM events")
-def trim_quantity(spark, d):
-    """all, half, most or a number of four held contracts."""
-    hint = F.when(F.col("event_type") == "error", "all").when(F.col("event_type") == "click", "half").when(F.col("event_type") == "view", "most").otherwise((F.col("event_id") % 6).cast("string"))
-    held = F.lit(4)
-    e = read(spark, d, "events").select("event_id", hint.alias("h"))
-    n = F.when(F.col("h") == "all", held).when(F.col("h") == "half", F.greatest(F.lit(1), F.floor(held / 2))).when(F.col("h") == "most", F.greatest(F.lit(1), held - 1)).otherwise(F.least(held, F.greatest(F.lit(1), F.coalesce(F.col("h").try_cast("long"), F.lit(1)))))
-    return e.select("event_id", n.cast("long").alias("contracts"))
-
-
-@query("SELECT event_id, k AS step, CASE WHEN k = 0 AND value > 50 THEN 'EXIT_ALL' WHEN event_type = 'signup' THEN 'ENTER_LONG' ELSE 'ENTER_SHORT' END AS tag FROM (SELECT *, unnest(range(0, CASE WHEN value > 50 THEN 2 ELSE 1 END))::INTEGER AS k FROM events WHERE event_type IN ('signup', 'purchase'))")
-def expand_manual(spark, d):
-    """A command against the held side is an exit and an entry."""
-    e = read(spark, d, "events").filter(F.col("event_type").isin("signup", "purchase"))
-    enter = tag_of()
-    steps = F.when(F.col("value") > 50, F.array(F.lit("EXIT_ALL"), enter)).otherwise(F.array(enter))
-    return e.select("event_id", F.posexplode(steps).alias("step", "tag"))
-
-
-@query("SELECT user_id, event_id, coalesce(nullif(trim(CASE WHEN event_id % 5 = 0 THEN ' ' ELSE event_type END), ''), 'MES') AS symbol FROM events")
-def route_symbol(spark, d):
-    given = F.when(F.col("event_id") % 5 == 0, " ").otherwise(F.col("event_type"))
-    return read(spark, d, "events").select("user_id", "event_id", F.coalesce(F.nullif(F.trim(given), F.lit("")), F.lit("MES")).alias("symbol"))
-
-
-@query("""WITH RECURSIVE c AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'ENTER' WHEN 'purchase' THEN 'ADD' WHEN 'click' THEN 'TRIM' ELSE 'EXIT' END AS kind, (1 + event_id % 3)::INTEGER AS q, value AS price, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type <> 'view'),
-s AS (SELECT user_id, rn, event_id, 0 AS q0, CASE WHEN kind = 'ENTER' THEN q ELSE 0 END AS qty, kind = 'ENTER' AS ok FROM c WHERE rn = 1
-UNION ALL SELECT c.user_id, c.rn, c.event_id, s.qty, CASE WHEN c.kind = 'ENTER' THEN CASE WHEN s.qty = 0 THEN c.q ELSE s.qty END WHEN s.qty = 0 THEN 0 WHEN c.kind = 'ADD' THEN s.qty + c.q WHEN c.kind = 'TRIM' THEN s.qty - least(c.q, s.qty) ELSE 0 END,
-CASE WHEN c.kind = 'ENTER' THEN s.qty = 0 ELSE s.qty > 0 END FROM s JOIN c ON c.user_id = s.user_id AND c.rn = s.rn + 1)
-SELECT user_id, event_id, qty, ok, CASE WHEN qty = 0 THEN 'FLAT' ELSE 'LONG' END AS side FROM s""")
-def position_ledger(spark, d):
-    e = read(spark, d, "events").filter("event_type <> 'view'")
-    kind = F.when(F.col("event_type") == "signup", "ENTER").when(F.col("event_type") == "purchase", "ADD").when(F.col("event_type") == "click", "TRIM").otherwise("EXIT")
-    c = e.select("user_id", "event_id", kind.alias("kind"), F.lit("LONG").alias("side"), (1 + F.col("event_id") % 3).cast("int").alias("qty"), F.col("value").alias("price"))
-    return od.position_ledger(c, "user_id", "event_id").select("user_id", "event_id", "qty", "ok", "side")

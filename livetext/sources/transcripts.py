@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,19 +70,39 @@ def parse_json3(files: DataFrame) -> DataFrame:
 
 def render_transcript(captions: DataFrame) -> DataFrame:
     """Captions as [HH:MM:SS] text lines."""
-    t = F.col("ts_s")
+    t = F.greatest(F.lit(0), F.col("ts_s").cast("long"))
     stamp = F.format_string("[%02d:%02d:%02d] %s", F.floor(t / 3600), F.floor(t % 3600 / 60), t % 60, F.col("text"))
     return captions.select("file", "seq", stamp.alias("value"))
 
 
+def transcript_files(lines: DataFrame) -> DataFrame:
+    """(file, text): the lines of each file in order, each ended by a line break. A caption file is one text, as it is read."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    return lines.groupBy("file").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["value"]), "\n"), F.lit("\n")).alias("text"))
+
+
+def transcript_name(upload_date: Column, title: Column, video: Column) -> Column:
+    """date__safe-title__id.txt, from YYYYMMDD; the title is cut at 80 characters."""
+    day = F.when(upload_date.rlike("^[0-9]{8}$"), F.regexp_replace(upload_date, "^(....)(..)(..)$", "$1-$2-$3")).otherwise("unknown-date")
+    safe = F.regexp_replace(F.regexp_replace(title, "[^A-Za-z0-9._-]+", "-"), "^[-.]+|[-.]+$", "")
+    safe = F.regexp_replace(safe, "-{2,}", "-")
+    return F.concat(day, F.lit("__"), F.substring(F.coalesce(F.nullif(safe, F.lit("")), video), 1, 80), F.lit("__"), video, F.lit(".txt"))
+
+
+def ingest_manifest(results: DataFrame) -> DataFrame:
+    """Items and their number by status; a status holds the items of one ingest run."""
+    return results.groupBy("status").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("item")).alias("items"))
+
+
 def rank_tracks(tracks: DataFrame, language: str = "en") -> DataFrame:
-    """One track of (video, kind, lang, name) per video: manual first; exact language, prefix, not original, name."""
+    """One track of (video, kind, lang) a video: manual first, then tracks of the language if there are any, exact before
+    variants, and original ones last. Live chats are no tracks."""
     from livetext.operators.relational import first_by
 
-    prefix = F.col("lang").startswith(language)
-    usable = tracks.filter((F.col("lang") != "live_chat") & prefix)
-    order = [F.when(F.col("kind") == "manual", 0).otherwise(1), F.when(F.col("lang") == language, 0).otherwise(1), F.when(F.col("lang").endswith("-orig"), 1).otherwise(0), "name"]
-    return first_by(usable, ["video"], order).drop("rn")
+    lang, wanted = F.lower("lang"), language.lower()
+    variant = lang.startswith(f"{wanted}-") | lang.startswith(f"{wanted}_")
+    order = [F.col("kind") != "manual", ~((lang == wanted) | variant), lang != wanted, ~variant, lang.contains("orig"), lang]
+    return first_by(tracks.filter(~lang.contains("live_chat")), ["video"], order).drop("rn")
 
 
 def read_reviewed(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
@@ -95,3 +117,17 @@ def read_reviewed(spark: SparkSession, paths: list[str], schema: str) -> DataFra
 def write_examples(rows: DataFrame, flagged: Column, path: str) -> None:
     """Clean and flagged rows as JSON lines, in two folders."""
     rows.withColumn("part", F.when(flagged, "flagged").otherwise("clean")).write.partitionBy("part").json(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or else the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/_livetext/{name}-{uuid.uuid4().hex}"
+
+
+def written_examples(rows: DataFrame, flagged: Column, part: str) -> DataFrame:
+    """``rows`` written by ``write_examples``, and one of the two parts read back."""
+    spark = rows.sparkSession
+    path = scratch(spark, "examples")
+    write_examples(rows, flagged, path)
+    return spark.read.schema(rows.schema).json(f"{path}/part={part}")
