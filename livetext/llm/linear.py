@@ -83,18 +83,18 @@ def text_features(text: str) -> list[int]:
 
 def sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
     """Row starts and feature numbers of rows of features."""
-    idx = [np.asarray(r, np.int64) for r in rows]
-    return np.cumsum([0] + [len(i) for i in idx]), np.concatenate(idx) if idx else np.empty(0, np.int64)
+    idx = [np.asarray(r, np.int32) for r in rows]
+    return np.cumsum([0] + [len(i) for i in idx]), np.concatenate(idx) if idx else np.empty(0, np.int32)
 
 
 def telling(starts: np.ndarray, idx: np.ndarray, y: np.ndarray, least: float = 8.0) -> np.ndarray:
     """Features whose presence in a text goes with the label (likelihood ratio G of the 2 x 2 table)."""
-    row = np.repeat(np.arange(len(y)), np.diff(starts))
-    pairs = np.unique(row * (1 << BITS) + idx)
-    row, col = pairs >> BITS, pairs & ((1 << BITS) - 1)
     n, n1 = len(y), y.sum()
-    a = np.bincount(col, y[row], 1 << BITS)
-    df = np.bincount(col, minlength=1 << BITS)
+    a, df = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for k in range(n):  # row by row: memory for one text at a time
+        found = np.unique(idx[starts[k] : starts[k + 1]])
+        df[found] += 1
+        a[found] += y[k]
     g = np.zeros(1 << BITS)
     for seen, given, of in ((a, df, n1), (df - a, df, n - n1), (n1 - a, n - df, n1), (n - n1 - df + a, n - df, n - n1)):
         want = given * of / n
@@ -107,7 +107,7 @@ def fit_logistic(starts: np.ndarray, idx: np.ndarray, dense: np.ndarray, y: np.n
     only telling features count, so that a long text's many neutral words add nothing. Dense columns are brought to one scale."""
     n, size = len(y), 1 << BITS
     keep = telling(starts, idx, y)[idx]
-    row = np.repeat(np.arange(n), np.diff(starts))[keep]
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))[keep]
     used, cols = np.unique(idx[keep], return_inverse=True)
     dense = dense.reshape(n, -1)
     mean, spread = dense.mean(0), np.maximum(dense.std(0), 1e-6)

@@ -50,10 +50,10 @@ def _sample(docs: DataFrame, labels: DataFrame, targets: dict, last: str, per_cl
         for batch in batches:
             found = batch.column("text").to_pylist()
             cols = [batch.column(c) for c in names]
-            cols += [pa.array([text_features(t) for t in found], pa.list_(pa.int32())), pa.array([shape(t) for t in found], pa.list_(pa.float64()))]
+            cols += [pa.array([np.array(text_features(t), "<i4").tobytes() for t in found], pa.binary()), pa.array([shape(t) for t in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "features", "shape"])
 
-    schema = ", ".join(["id long, digest long", *[f"`{t}` int" for t in targets], "features array<int>, shape array<double>"])
+    schema = ", ".join(["id long, digest long", *[f"`{t}` int" for t in targets], "features binary, shape array<double>"])
     # at most 2 * per_class ids: a proven bound; ids may repeat, so the rows have the same bound
     rows = texts.join(F.broadcast(chosen), "id").select("id", F.xxhash64("text").alias("digest"), *targets, "text")
     found = rows.mapInArrow(encode, schema).orderBy(F.xxhash64("id", "digest"), "id", "digest").limit(2 * per_class)
@@ -65,7 +65,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict, per_class: int
     conditions."""
     last = list(targets)[-1]
     rows = _sample(docs, labels, targets, last, per_class)
-    starts, idx = sparse(rows["features"].tolist())
+    starts, idx = sparse([np.frombuffer(x, "<i4") for x in rows.pop("features")])
     n = len(rows)
     fold = np.arange(n) % FOLDS
     models, before = [], np.array(rows["shape"].tolist(), float).reshape(n, len(SHAPES))
