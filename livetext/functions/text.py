@@ -57,15 +57,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-@F.pandas_udf("string")
-def unescaped(text: pd.Series) -> pd.Series:
-    """Every HTML character reference, named and numeric; Spark has no function for these."""
-    return text.map(html.unescape, na_action="ignore")
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def clean_markup(text: Column) -> Column:
-    """References decoded, then tags taken out without a space, then white space squeezed."""
-    return squeeze(F.regexp_replace(F.translate(unescaped(text), "​﻿", "  "), "<[^>]+>", ""))
+    """Every HTML character reference decoded (Spark has no function for these), then tags taken out without a space, then white
+    space squeezed."""
+    decoded = F.pandas_udf(_unescaped, "string")(text)
+    return squeeze(F.regexp_replace(F.translate(decoded, "\u200b\ufeff", "  "), "<[^>]+>", ""))
 
 
 def compact_repeats(text: Column) -> Column:

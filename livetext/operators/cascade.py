@@ -55,9 +55,9 @@ def symbol_scope(rows: DataFrame, aliases: DataFrame, text: str, root: str) -> D
     """
     key = [c for c in rows.columns if c != text]
     words = rows.select(*key, F.explode(F.array_distinct(F.split(text, " "))).alias("alias"))
-    named = words.join(aliases.select(F.col(root).alias("named"), "alias"), "alias")
+    named = words.join(aliases.select(F.col(root).alias("named"), "alias").hint("merge"), "alias")
     seen = named.groupBy(*key).agg(F.max(F.col("named") == F.col(root)).alias("own"), F.max(F.col("named") != F.col(root)).alias("foreign"))
-    return rows.select(*key).join(seen, key, "left").na.fill(False, ["own", "foreign"])
+    return rows.select(*key).join(seen.hint("merge"), key, "left").na.fill(False, ["own", "foreign"])
 
 
 def candidate_windows(rows: DataFrame, key: str, at: str, id_col: str, score: Column, fragment: Column, gap: int, start: float = 0.43, keep: float = 0.28, last: int = 5) -> DataFrame:
@@ -94,7 +94,7 @@ def segment_utterances(frames: DataFrame, key: str, at: str, id_col: str, voiced
     x = x.withColumn("new", F.coalesce(F.col(at) - F.lag(at).over(w) >= silence, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     starts = od.greedy_keep(x, [key, "run"], at, id_col, longest).withColumn("begins", F.lit(1))
     inside = Window.partitionBy(key, "run").orderBy(at, id_col).rowsBetween(Window.unboundedPreceding, 0)
-    cut = x.join(starts, [key, "run", id_col], "left").withColumn("part", F.sum("begins").over(inside))
+    cut = x.join(starts.hint("merge"), [key, "run", id_col], "left").withColumn("part", F.sum("begins").over(inside))
     return cut.groupBy(key, "run", "part").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n")).filter(F.col("n") >= least).select(key, "start", "end", "n")
 
 
@@ -117,7 +117,7 @@ def classifier_gate(rows: DataFrame, block: float = 0.84) -> DataFrame:
 
 def confirmation_gate(intents: DataFrame, confirmations: DataFrame, key: str) -> DataFrame:
     """Entries pass if confirmed; after a system failure only a strong one with a stop, 0.9 confidence and no guard."""
-    x = intents.join(confirmations.select(key, "status"), key, "left")
+    x = intents.join(confirmations.select(key, "status").hint("merge"), key, "left")
     fail_open = (F.col("status") == "failed") & F.col("strong") & F.col("stop").isNotNull() & (F.col("confidence") >= 0.9) & F.col("guard").isNull()
     passes = ~F.col("tag").startswith("ENTER_") | F.coalesce((F.col("status") == "confirmed") | fail_open, F.lit(False))
     return x.withColumn("passes", passes)
@@ -155,7 +155,7 @@ def cleanup_examples(rows: DataFrame, advice: Column, reach: int = 3) -> DataFra
     fixed = rows.withColumn("side", F.when(managed & (F.col("side") == "FLAT"), F.col("last_side")).otherwise(F.col("side")))
     kept = od.greedy_keep(fixed, ["file", "label"], "line", "id", reach).select("id")
     flag = F.when(managed & F.coalesce(F.col("side") == "FLAT", F.lit(True)), "impossible").when(advice, "advice")
-    return fixed.join(kept, "id", "left_semi").withColumn("flag", F.coalesce(flag, F.lit("clean")))
+    return fixed.join(kept.hint("merge"), "id", "left_semi").withColumn("flag", F.coalesce(flag, F.lit("clean")))
 
 
 def remap_labels(rows: DataFrame, sides: list[str]) -> DataFrame:

@@ -148,7 +148,7 @@ def file_report(intents: DataFrame, file: str, order: str, tag: str, suspicious:
     tags = rows.groupBy(file, tag).agg(F.count("*").alias("n")).groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(tag).alias("tag"), "n"))).alias("counts"))
     listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(order, F.col(tag).alias("tag"))))), lambda x: x["tag"])
     some = rows.groupBy(file).agg(F.count("*").alias("intents"), listed(F.col("rn") <= first).alias("first_hits"), F.sum(F.col("bad").cast("long")).alias("n_suspicious"), listed(F.col("bad") & (F.col("brn") <= most)).alias("suspicious"))
-    return some.join(tags, file).select(file, "intents", "counts", "first_hits", "n_suspicious", "suspicious").orderBy(F.desc("n_suspicious"), F.desc("intents"), file)
+    return some.join(tags.hint("merge"), file).select(file, "intents", "counts", "first_hits", "n_suspicious", "suspicious").orderBy(F.desc("n_suspicious"), F.desc("intents"), file)
 
 
 def aggregate_reports(reports: DataFrame, group: list[str], order: str, header: list[str], counts: str) -> DataFrame:
@@ -156,7 +156,7 @@ def aggregate_reports(reports: DataFrame, group: list[str], order: str, header:
     head = reports.groupBy(*group).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in header], F.count("*").alias("files"))
     by = reports.select(*group, F.explode(counts).alias("c")).groupBy(*group, F.col("c.label").alias("label")).agg(F.sum("c.n").alias("n"))
     sums = by.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("counts"), F.sum("n").alias("example_count"))
-    return head.join(sums, group, "left")
+    return head.join(sums.hint("merge"), group, "left")
 
 
 def annotation_report(lines: DataFrame, chunks: DataFrame, annotations: DataFrame, results: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def annotation_report(lines: DataFrame, chunks: DataFrame, annotations: DataFram
     errors = results.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(error)), lambda x: x["text"]).alias("errors"))
     out = count(lines, "total_rows")
     for part in (count(chunks.select("file", "chunk").distinct(), "chunk_count"), count(annotations, "annotations"), errors):
-        out = out.join(part, "file", "left")
+        out = out.join(part.hint("merge"), "file", "left")
     return out.na.fill(0, ["chunk_count", "annotations"]).withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
 
 
@@ -192,18 +192,18 @@ def split_by_group(rows: DataFrame, file: str, action: Column, date: Column | No
     # validation takes from the end by date as from the start by hash: files with actions come first in hash order, last by date
     second = rest.orderBy(F.col("act") if by_date else F.desc("act"), *order).limit(held).select(file).withColumn("split", F.lit("validation"))
     taken = first.unionByName(second)
-    return files.select(file).join(taken, file, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    return files.select(file).join(taken.hint("merge"), file, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def split_summary(rows: DataFrame, splits: DataFrame, file: str) -> DataFrame:
     """Files and rows of each split."""
-    return rows.join(splits, file).groupBy("split").agg(F.count_distinct(file).alias("files"), F.count("*").alias("n"))
+    return rows.join(splits.hint("merge"), file).groupBy("split").agg(F.count_distinct(file).alias("files"), F.count("*").alias("n"))
 
 
 def coverage_report(lines: DataFrame, chunks: DataFrame) -> DataFrame:
     """(file, lines, covered, chunks): whether every line lies in a chunk."""
     held = chunks.groupBy("file", "line").agg(F.count("*").alias("times"))
-    seen = lines.select("file", "line").join(held, ["file", "line"], "left")
+    seen = lines.select("file", "line").join(held.hint("merge"), ["file", "line"], "left")
     number = chunks.groupBy("file").agg(F.count_distinct("chunk").alias("chunks"))
     sums = seen.groupBy("file").agg(F.count("*").alias("lines"), F.count("times").alias("covered"))
-    return sums.join(number, "file", "left").na.fill(0, ["chunks"])
+    return sums.join(number.hint("merge"), "file", "left").na.fill(0, ["chunks"])

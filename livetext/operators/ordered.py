@@ -181,4 +181,34 @@ def resample_series(rows: DataFrame, key: str, index: str, value: str, ratio: fl
     grid = n.select(key, "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor(F.col("n") * ratio)) - 1)).alias("j"))
     at = grid.withColumn("x", F.col("j") / ratio).withColumn("i", F.least(F.floor("x"), F.col("n") - 1)).withColumn("i2", F.least(F.col("i") + 1, F.col("n") - 1))
     a, b = rows.select(key, F.col(index).alias("i"), F.col(value).alias("va")), rows.select(key, F.col(index).alias("i2"), F.col(value).alias("vb"))
-    return at.join(a, [key, "i"]).join(b, [key, "i2"]).select(key, "j", F.round(F.col("va") + (F.col("vb") - F.col("va")) * (F.col("x") - F.col("i")), 6).alias(value))
+    return at.join(a.hint("merge"), [key, "i"]).join(b.hint("merge"), [key, "i2"]).select(key, "j", F.round(F.col("va") + (F.col("vb") - F.col("va")) * (F.col("x") - F.col("i")), 6).alias(value))
+
+
+def suppress_duplicates(intents: DataFrame, key: str, at: str, id_col: str, follow_up: Column, same: float = 2.5, entry: float = 8.0) -> DataFrame:
+    """Intents (tag, side, entry, stop, target) that are no duplicates of the last kept one of their key: the same tag, side
+    and prices within ``same`` seconds, or within ``entry`` seconds an entry after an entry of the same side and prices whose text
+    is a ``follow_up``.
+
+    A row further than ``entry`` seconds from the row before is kept whatever came earlier, so such islands are folded by
+    themselves.
+    """
+    w = Window.partitionBy(key).orderBy(at, id_col)
+    new = F.coalesce(F.col(at) - F.lag(at).over(w) > max(same, entry), F.lit(True)).cast("int")
+    isles = intents.withColumn("follow", follow_up).withColumn("isle", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    fields = [F.col(at).cast("double").alias("t"), F.col(id_col).cast("long").alias("id"), "tag", "side", *[F.col(c).cast("double").alias(c) for c in ("entry", "stop", "target")], "follow"]
+    lists = isles.groupBy(key, "isle").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
+    family = lambda tag: tag.isin("ENTER_LONG", "ENTER_SHORT", "ADD")
+    kind = "struct<t:double,id:long,tag:string,side:string,entry:double,stop:double,target:double,follow:boolean>"
+    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast("array<long>").alias("kept"))
+
+    def step(acc, x):
+        last = acc["last"]
+        alike = last["side"].eqNullSafe(x["side"])
+        for c in ("entry", "stop", "target"):
+            alike = alike & last[c].eqNullSafe(x[c])
+        age = x["t"] - last["t"]
+        again = alike & (((age <= same) & (x["tag"] == last["tag"])) | ((age <= entry) & family(x["tag"]) & family(last["tag"]) & x["follow"]))
+        keep = last.isNull() | ~F.coalesce(again, F.lit(False))
+        return F.struct(F.when(keep, x).otherwise(last).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["id"]))).otherwise(acc["kept"]).alias("kept"))
+
+    return lists.select(key, F.explode(F.aggregate("s", start, step)["kept"]).alias(id_col))

@@ -7,31 +7,31 @@ from pyspark.sql import functions as F
 
 
 def attach_labels(lines: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    return lines.join(labels, keys, "left")
+    return lines.join(labels.hint("merge"), keys, "left")
 
 
 def resolve_chunk_refs(labels: DataFrame, chunks: DataFrame) -> DataFrame:
     """Label rows whose line is in their chunk; ``chunks`` is (file, chunk, line)."""
-    return labels.join(chunks, ["file", "chunk", "line"])
+    return labels.join(chunks.hint("merge"), ["file", "chunk", "line"])
 
 
 def merge_review_state(fresh: DataFrame, earlier: DataFrame, fields: list[str]) -> DataFrame:
     """Fresh candidates with the review fields that an earlier state holds for their id; vanished ids drop."""
     kept = earlier.select("id", *[F.col(c).alias("was_" + c) for c in fields])
-    return fresh.join(kept, "id", "left").select(*[F.coalesce("was_" + c, c).alias(c) if c in fields else F.col(c) for c in fresh.columns])
+    return fresh.join(kept.hint("merge"), "id", "left").select(*[F.coalesce("was_" + c, c).alias(c) if c in fields else F.col(c) for c in fresh.columns])
 
 
 def exclude_reviewed(lines: DataFrame, reviewed: DataFrame) -> DataFrame:
-    return lines.join(reviewed.select("file", "line"), ["file", "line"], "left_anti")
+    return lines.join(reviewed.select("file", "line").hint("merge"), ["file", "line"], "left_anti")
 
 
 def guard_neighbours(lines: DataFrame, positive: DataFrame, reach: int = 1) -> DataFrame:
     near = positive.select("file", F.explode(F.sequence(F.col("line") - reach, F.col("line") + reach)).alias("line"))
-    return lines.join(near.distinct(), ["file", "line"], "left_anti")
+    return lines.join(near.distinct().hint("merge"), ["file", "line"], "left_anti")
 
 
 def exclude_covered(lines: DataFrame, covered: DataFrame) -> DataFrame:
-    return lines.join(covered.select("file").distinct(), "file", "left_anti")
+    return lines.join(covered.select("file").distinct().hint("merge"), "file", "left_anti")
 
 
 def align_labels(labels: DataFrame, rows: DataFrame, score: Column, reach: int = 10) -> DataFrame:
@@ -43,7 +43,7 @@ def align_labels(labels: DataFrame, rows: DataFrame, score: Column, reach: int =
     l = labels.withColumn("b", F.explode(F.array_distinct(F.array(F.floor((F.col("line") - reach) / block), F.floor((F.col("line") + reach) / block))))).withColumnRenamed("line", "at")
     r = rows.withColumn("b", F.floor(F.col("line") / block)).withColumn("score", score)
     best = Window.partitionBy("file", "at").orderBy(F.desc("score"), F.abs(F.col("line") - F.col("at")), "line")
-    near = l.join(r, ["file", "b"]).filter(F.abs(F.col("line") - F.col("at")) <= reach)
+    near = l.join(r.hint("merge"), ["file", "b"]).filter(F.abs(F.col("line") - F.col("at")) <= reach)
     return near.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("file", "at", "line", "score")
 
 
@@ -85,7 +85,7 @@ def calibrate_thresholds(scores: DataFrame) -> DataFrame:
     Counts come from ``threshold_grid``; hits scored under 0.30 are missed at every threshold.
     """
     total = scores.groupBy("label").agg(F.sum(F.col("hit").cast("long")).alias("pos"))
-    at = threshold_grid(scores).join(total, "label")
+    at = threshold_grid(scores).join(total.hint("merge"), "label")
     f1 = F.round(2 * F.col("tp") / F.greatest(F.col("n") + F.col("pos"), F.lit(1)), 9)
     best = Window.partitionBy("label").orderBy(F.desc("f1"), "k")
     return at.withColumn("f1", f1).withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("label", F.round(0.30 + 0.02 * F.col("k"), 2).alias("threshold"), F.round("f1", 6).alias("f1"))
@@ -100,7 +100,7 @@ def threshold_grid(scores: DataFrame) -> DataFrame:
     counts = scores.groupBy("label", step.alias("k")).agg(F.sum(F.col("hit").cast("long")).alias("tp"), F.count("*").alias("n"))
     grid = counts.select("label").distinct().select("label", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("k"))
     down = Window.partitionBy("label").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.join(counts, ["label", "k"], "left").na.fill(0, ["tp", "n"])
+    full = grid.join(counts.hint("merge"), ["label", "k"], "left").na.fill(0, ["tp", "n"])
     return full.select("label", "k", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n"))
 
 

@@ -45,12 +45,13 @@ def entry_side(spark, d):
     return c.select("conv_id", "turn", cc.entry_side(F.col("p"), {"LONG": r"\bwas\b", "SHORT": r"\bwith\b"}, r"\bthe\b", F.length("p"), F.lit(200)).alias("side"))
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand AS root, p_name AS name FROM part), a AS (SELECT DISTINCT root, alias FROM (SELECT root, unnest(string_split(name, ' ')) AS alias FROM r WHERE p_partkey % 50 = 0)),
+@query("""WITH r AS (SELECT p_partkey, p_brand AS root, p_name AS name FROM part), a AS (SELECT arg_min(root, p_partkey) AS root, alias FROM (SELECT p_partkey, root, unnest(string_split(name, ' ')) AS alias FROM r) GROUP BY alias),
 w AS (SELECT DISTINCT p_partkey, root, unnest(string_split(name, ' ')) AS alias FROM r), s AS (SELECT p_partkey, bool_or(a.root = w.root) AS own, bool_or(a.root <> w.root) AS "foreign" FROM w JOIN a USING (alias) GROUP BY 1)
 SELECT p_partkey, root, coalesce(own, false) AS own, coalesce("foreign", false) AS "foreign" FROM r LEFT JOIN s USING (p_partkey)""")
 def symbol_scope(spark, d):
     r = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("root"), F.col("p_name").alias("name"))
-    aliases = r.filter("p_partkey % 50 = 0").select("root", F.explode(F.split("name", " ")).alias("alias")).distinct()
+    # a word is an alias of the brand of the first part that has it
+    aliases = r.select("p_partkey", "root", F.explode(F.split("name", " ")).alias("alias")).groupBy("alias").agg(F.min_by("root", "p_partkey").alias("root"))
     return cc.symbol_scope(r, aliases, "name", "root")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from livetext.functions import prices
 from livetext.operators import cascade
 from livetext.operators import ordered as od
 from livetext.operators import risk
@@ -189,3 +190,28 @@ def position_ledger(spark, d):
     c = read(spark, d, "events").select("user_id", k, kind.alias("kind"), F.lit("LONG").alias("side"), F.when(k % 11 != 0, 1 + k % 3).alias("qty"), F.col("value").alias("price"), (F.col("value") - 3).alias("stop"))
     short = lambda x: (F.floor(F.col(x) * 1000 + 0.5) / 1000).alias(x)
     return risk.position_ledger(c, "user_id", "event_id").select("user_id", "event_id", "qty", "ok", "side", short("avg_price"), short("stop"))
+
+
+@query("""WITH e AS (SELECT event_id, 5000 + value AS market, floor(value)::BIGINT % 1000 AS v, CASE event_id % 4 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 3 THEN 0.75 ELSE 0 END AS part FROM events), n AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN 60 ELSE v END AS x FROM e),
+m AS (SELECT *, (10 ** least(length(x::VARCHAR), 3))::BIGINT AS place, unnest(range(-5, 6)) AS k FROM n), b AS (SELECT *, round_even(market, 0)::BIGINT + k * 100 AS base FROM m), c AS (SELECT *, base - base % place + x AS e FROM b),
+p AS (SELECT event_id, market, k, unnest([0, 1, 2]) AS j, unnest([e, CASE WHEN e - place > 0 THEN e - place END, e + place]) + part AS p FROM c)
+SELECT event_id, round(arg_min(p, {'d': abs(p - market), 'k': k, 'j': j}), 2)::DOUBLE AS price FROM p WHERE p IS NOT NULL GROUP BY event_id""")
+def resolve_price(spark, d):
+    """Digits or a number word with a fraction; grouped words are in the tests."""
+    k = F.col("event_id")
+    part = F.when(k % 4 == 1, " quarter").when(k % 4 == 2, "-half").when(k % 4 == 3, " three quarter").otherwise("")
+    raw = F.concat(F.when(k % 7 == 0, "Sixty").otherwise((F.floor("value").cast("long") % 1000).cast("string")), part)
+    return read(spark, d, "events").select(k, prices.resolve_price(raw, 5000 + F.col("value")).alias("price"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS t, CASE event_type WHEN 'signup' THEN 'ENTER_LONG' WHEN 'purchase' THEN 'ADD' ELSE 'TRIM' END AS tag, CASE WHEN event_id % 4 = 0 THEN 'LONG' ELSE 'SHORT' END AS side,
+CASE WHEN event_id % 3 = 0 THEN 1.0 END AS stop, event_id % 2 = 0 AS fol, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events),
+f AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS lt, NULL::VARCHAR AS ltag, NULL::VARCHAR AS ls, NULL::DOUBLE AS lstop, false AS keep FROM (SELECT DISTINCT user_id FROM r)
+UNION ALL SELECT user_id, rn, event_id, CASE WHEN keep THEN t ELSE lt END, CASE WHEN keep THEN tag ELSE ltag END, CASE WHEN keep THEN side ELSE ls END, CASE WHEN keep THEN stop ELSE lstop END, keep FROM (SELECT r.*, f.lt, f.ltag, f.ls, f.lstop,
+NOT coalesce(r.side = f.ls AND r.stop IS NOT DISTINCT FROM f.lstop AND ((r.t - f.lt <= 43200 AND r.tag = f.ltag) OR (r.t - f.lt <= 86400 AND r.tag <> 'TRIM' AND f.ltag <> 'TRIM' AND r.fol)), false) AS keep FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1))
+SELECT user_id, event_id FROM f WHERE keep""")
+def suppress_duplicates(spark, d):
+    tag = F.when(F.col("event_type") == "signup", "ENTER_LONG").when(F.col("event_type") == "purchase", "ADD").otherwise("TRIM")
+    k, none = F.col("event_id"), F.lit(None).cast("double")
+    rows = events(spark, d).select("user_id", "sec", k, tag.alias("tag"), F.when(k % 4 == 0, "LONG").otherwise("SHORT").alias("side"), none.alias("entry"), F.when(k % 3 == 0, 1.0).alias("stop"), none.alias("target"))
+    return od.suppress_duplicates(rows, "user_id", "sec", "event_id", k % 2 == 0, 43200, 86400).select("user_id", "event_id")

@@ -122,13 +122,6 @@ def replay_report(spark, d):
     return stitched.groupBy("conv_id", tag.alias("tag")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT event_id, floor(value)::INTEGER % 1000 AS raw, 5000 + value AS market FROM events), c AS (SELECT *, unnest(range(-5, 6)) AS k, CASE WHEN raw < 100 THEN 100.0 ELSE 1000.0 END AS base FROM e),
-p AS (SELECT event_id, (floor(market / base) + k) * base + raw AS price, market FROM c) SELECT event_id, arg_min(price, (abs(price - market), price))::DOUBLE AS price FROM p GROUP BY event_id""")
-def resolve_price(spark, d):
-    e = read(spark, d, "events").select("event_id", (F.floor("value").cast("int") % 1000).cast("string").alias("raw"), (5000 + F.col("value")).alias("market"))
-    return e.select("event_id", tx.resolve_digits(F.col("raw"), F.col("market")).alias("price"))
-
-
 BASE = {"signup": 0.82, "purchase": 0.82, "click": 0.74, "error": 0.9, "view": 0.5}
 
 
@@ -218,10 +211,11 @@ def confirm_preview(spark, d):
 
 
 @query("""SELECT v.vec_id, round(max(least(1, greatest(0, list_dot_product(v.embedding::DOUBLE[], c.embedding::DOUBLE[]) / ((sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-9) * (sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) + 1e-9))))), 6) AS best
-FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id < 20) c GROUP BY v.vec_id HAVING best >= 0.4""")
+FROM embeddings v, (SELECT arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) c GROUP BY v.vec_id HAVING best >= 0.4""")
 def similarity_gate(spark, d):
     v = read(spark, d, "embeddings")
-    return rel.similarity_gate(v, v.filter("vec_id < 20")).select("vec_id", F.round("best", 6).alias("best"))
+    canon = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))  # the first vector of each label
+    return rel.similarity_gate(v, canon).select("vec_id", F.round("best", 6).alias("best"))
 
 
 @query(f"WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations), r(name, pattern) AS (VALUES " + ", ".join(f"('{g}', '{p}')" for g, p, _ in LEXICON) + ") SELECT name, count(*)::BIGINT AS n FROM t, r WHERE regexp_matches(p, pattern) GROUP BY name")
@@ -298,11 +292,6 @@ UNION ALL SELECT r.k, r.rn, r.t, r.id, CASE WHEN r.t - f.last > {reach} THEN r.t
 SELECT {out} FROM f WHERE keep"""
 
 
-@query(FOLD.format(rows="SELECT user_id::VARCHAR || event_type AS k, floor(epoch(ts))::BIGINT AS t, event_id AS id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts)), event_id) AS rn FROM events", reach=86400, out="id AS event_id"))
-def suppress_duplicates(spark, d):
-    return od.greedy_keep(events(spark, d), ["user_id", "event_type"], "sec", "event_id", 86400).select("event_id")
-
-
 @query(FOLD.format(rows="SELECT conv_id::VARCHAR || role AS k, turn AS t, conv_id * 100000 + turn AS id, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations", reach=3, out="id // 100000 AS conv_id, id % 100000 AS turn"))
 def dedupe_near(spark, d):
     c = conv(spark, d).withColumn("id", F.col("conv_id") * 100000 + F.col("turn"))
