@@ -244,3 +244,19 @@ def resolve_digits(raw: Column, market: Column) -> Column:
     x = F.regexp_replace(raw, ",", "").try_cast("double")
     near = lambda base: F.array_min(F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda k: F.struct(F.abs((F.floor(market / base) + k) * base + x - market).alias("d"), ((F.floor(market / base) + k) * base + x).alias("p"))))["p"]
     return F.when(x.isNull() | market.isNull(), x).when(x < 100, near(100.0)).when(x < 1000, near(1000.0)).otherwise(x)
+
+
+def logprob_confidence(mean_logprob: Column) -> Column:
+    """Confidence from a mean log-probability: 1 + mean / 5 within 0.3 and 0.99; 0.85 without one."""
+    return F.coalesce(F.least(F.lit(0.99), F.greatest(F.lit(0.3), 1 + mean_logprob / 5)), F.lit(0.85))
+
+
+def rebuild_prompt(prompt: Column, fields: list[str]) -> Column:
+    """A prompt of key=value lines with the named fields only, in their order; empty ones are left out."""
+    return render_context(**{f: F.regexp_extract(prompt, f"(?m)^{f}=(.*)$", 1) for f in fields})
+
+
+def frame_energy(values: Column, scale: float = 32768.0, least: float = 0.002) -> tuple[Column, Column]:
+    """Root mean square of a frame's values and whether it is voiced, as aggregates."""
+    rms = F.sqrt(F.avg(values * values)) / scale
+    return rms, rms >= least

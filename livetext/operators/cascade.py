@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from livetext.functions import prices
 from livetext.functions import text as tx
 from livetext.operators import ordered as od
 from livetext.operators import relational as rel
@@ -38,7 +39,7 @@ def safety_override(tag: Column, side: Column, position: Column, trim_words: Col
 
 def extract_price(text: Column, patterns: list[str], market: Column) -> Column:
     """The first pattern, in order, whose first group resolves to a price."""
-    return F.coalesce(*[tx.resolve_digits(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), market) for p in patterns])
+    return F.coalesce(*[prices.resolve_price(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), market) for p in patterns])
 
 
 def entry_side(text: Column, strong: dict[str, str], seed: str, target: Column, market: Column) -> Column:
@@ -60,31 +61,54 @@ def symbol_scope(rows: DataFrame, aliases: DataFrame, text: str, root: str) -> D
     return rows.select(*key).join(seen.hint("merge"), key, "left").na.fill(False, ["own", "foreign"])
 
 
-def candidate_windows(rows: DataFrame, key: str, at: str, id_col: str, score: Column, fragment: Column, gap: int, start: float = 0.43, keep: float = 0.28, last: int = 5) -> DataFrame:
+def candidate_windows(rows: DataFrame, key: str, at: str, id_col: str, score: Column, fragment: Column, gap: int, start: float = 0.43, keep: float = 0.28, last: int = 5, before: int = 0) -> DataFrame:
     """(key, window, start, end, n, text): a row of ``start`` or more opens a window that rows of ``keep`` or more extend
     while they come at most ``gap`` after the one before.
 
     Rows below ``keep`` change no window, so windows are the runs of the other rows without a longer gap, each from its
-    first opener on: two window functions, no state to fold. The text holds the ``last`` fragments.
+    first opener on: two window functions, no state to fold. The text holds the ``last`` fragments, of
+    which the first may come from any rows up to ``before`` earlier than the window's first row.
     """
     w = Window.partitionBy(key).orderBy(at, id_col)
-    kept = rows.withColumn("score", score).withColumn("fragment", fragment).filter(F.col("score") >= keep)
+    scored = rows.withColumn("score", score).withColumn("fragment", fragment)
+    # times in a range frame: rows of one time are no lead to each other
+    ahead = Window.partitionBy(key).orderBy(F.col(at).cast("long")).rangeBetween(-before, -1)
+    lead = F.transform(F.array_sort(F.collect_list(F.struct(at, id_col, "fragment")).over(ahead)), lambda x: x["fragment"]) if before else F.array().cast("array<string>")
+    kept = scored.withColumn("lead", F.slice(lead, F.greatest(F.size(lead) - last + 1, F.lit(1)), F.lit(last))).filter(F.col("score") >= keep)
     run = kept.withColumn("new", F.coalesce(F.col(at) - F.lag(at).over(w) > gap, F.lit(True)).cast("long"))
     run = run.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     within = Window.partitionBy(key, "run").orderBy(at, id_col)
     open_ = run.withColumn("opened", F.max((F.col("score") >= start).cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0))).filter("opened = 1")
     tail = open_.withColumn("back", F.row_number().over(Window.partitionBy(key, "run").orderBy(F.desc(at), F.desc(id_col))))
     # at most ``last`` rows of a window reach the list
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("back") <= last, F.struct(at, id_col, "fragment")))), lambda x: x["fragment"]), " ")
+    own = F.transform(F.array_sort(F.collect_list(F.when(F.col("back") <= last, F.struct(at, id_col, "fragment")))), lambda x: x["fragment"])
+    both = F.concat(F.min_by("lead", F.struct(at, id_col)), own)
+    text = F.array_join(F.slice(both, F.greatest(F.size(both) - last + 1, F.lit(1)), F.lit(last)), " ")
     return tail.groupBy(key, "run").agg(F.min(id_col).alias("window"), F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n"), text.alias("text")).drop("run")
 
 
 def recover_windows(rows: DataFrame, text: str, groups: dict, tags: dict, key: str, order: str, size: int = 5) -> DataFrame:
-    """Rows that say nothing by themselves, with the tag of their last ``size`` rows' text, unless that says NO_ACTION."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(1 - size, 0)
-    joined = rows.withColumn("own", tx.detect_signal(F.col(text), groups, tags)).withColumn("window_text", F.array_join(F.collect_list(text).over(w), " "))
-    found = joined.filter(F.col("own").isNull()).withColumn("tag", tx.detect_signal(F.col("window_text"), groups, tags))
-    return found.filter("tag <> 'NO_ACTION'").select(key, order, "tag")
+    """Rows that say nothing by themselves, with the tag of the open window's text: this row and up to ``size`` - 1 before it.
+
+    A window closes where a row is an action or a window was recovered, and starts anew with the next row; NO_ACTION text recovers
+    nothing. Rows up to an action are folded by themselves, so no session is one array.
+    """
+    quiet = ("NO_ACTION", "SETUP")
+    own = tx.detect_signal(F.col(text), groups, tags)
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    acts = F.coalesce(~F.col("own").isin(*quiet), F.lit(False)).cast("int")
+    isles = rows.withColumn("own", own).withColumn("isle", F.coalesce(F.sum(acts).over(w), F.lit(0)))
+    lists = isles.groupBy(key, "isle").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(text).alias("x"), F.col("own").isNull().alias("open")))).alias("s"))
+    empty = F.array().cast("array<string>")
+    start = F.struct(empty.alias("parts"), F.array().cast("array<struct<o:long,tag:string>>").alias("out"))
+
+    def step(acc, x):
+        parts = F.concat(F.slice(acc["parts"], F.greatest(F.size(acc["parts"]) - size + 2, F.lit(1)), F.lit(size - 1)), F.array(x["x"]))
+        tag = F.when(x["open"], tx.detect_signal(F.array_join(parts, " "), groups, tags))
+        hit = F.coalesce(~tag.isin(*quiet), F.lit(False))
+        return F.struct(F.when(hit, empty).otherwise(parts).alias("parts"), F.when(hit, F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), tag.alias("tag"))))).otherwise(acc["out"]).alias("out"))
+
+    return lists.select(key, F.explode(F.aggregate("s", start, step)["out"]).alias("r")).select(key, F.col("r.o").alias(order), "r.tag")
 
 
 def segment_utterances(frames: DataFrame, key: str, at: str, id_col: str, voiced: Column, silence: int, longest: int, least: int) -> DataFrame:
@@ -164,3 +188,17 @@ def remap_labels(rows: DataFrame, sides: list[str]) -> DataFrame:
     valid = F.coalesce(*[F.when(F.col(c).isin("LONG", "SHORT"), F.col(c)) for c in sides])
     label = F.when(F.col("label").startswith("SETUP_"), "NO_ACTION").when(F.col("label") == "ADD", F.concat(F.lit("ENTER_"), valid)).otherwise(F.col("label"))
     return rows.withColumn("dropped", F.when((F.col("label") == "ADD") & valid.isNull(), "add_without_side")).withColumn("label", label)
+
+
+def export_review(candidates: DataFrame, key: list[str], order: list, reviewed: Column, dropped: Column) -> tuple[DataFrame, DataFrame]:
+    """The best candidate of each key with ``status`` (pending, reviewed, dropped), and the counts by label and status."""
+    best = rel.first_by(candidates, key, order).drop("rn")
+    done = best.withColumn("status", F.when(~reviewed, "pending").when(dropped, "dropped").otherwise("reviewed"))
+    return done, done.groupBy("label", "status").agg(F.count("*").alias("n"))
+
+
+def dataset_build(corpora: DataFrame, sides: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Reviewed rows of several corpora (file, line, ordinal, row, label) as one dataset: labels remapped, rows without one
+    dropped, later corpora first; and its counts by label and corpus."""
+    rows = rel.merge_corpora(remap_labels(corpora, sides).filter("dropped is null").drop("dropped"))
+    return rows, rows.groupBy("label", "ordinal").agg(F.count("*").alias("n"))

@@ -212,3 +212,10 @@ def suppress_duplicates(intents: DataFrame, key: str, at: str, id_col: str, foll
         return F.struct(F.when(keep, x).otherwise(last).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["id"]))).otherwise(acc["kept"]).alias("kept"))
 
     return lists.select(key, F.explode(F.aggregate("s", start, step)["kept"]).alias(id_col))
+
+
+def instrument_context(rows: DataFrame, key: str, order: list, seconds: str, foreign: Column, own: Column, within: int, out: str) -> DataFrame:
+    """Whether the latest mention of an instrument, this row's included, is a foreign one at most ``within`` seconds ago."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    since = F.last(F.when(foreign, F.struct(F.col(seconds).alias("at"))).when(own, F.struct(F.lit(None).cast("long").alias("at"))), ignorenulls=True).over(w)
+    return rows.withColumn(out, F.coalesce(F.col(seconds) - since["at"] <= within, F.lit(False)))

@@ -54,12 +54,16 @@ def asof_state(left: DataFrame, right: DataFrame, key: str, ts: str, value: str)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("side = 1").select(key, "id", value)
 
 
-def confirm_preview(events: DataFrame, key: str, seconds: Column, preview: Column, final: Column, within: int = 12) -> DataFrame:
-    """Each preview row with the first final row of its key within the time, or null (expired)."""
-    w = Window.partitionBy(key).orderBy("sec", "id").rowsBetween(1, Window.unboundedFollowing)
-    rows = events.withColumn("sec", seconds).withColumn("next", F.first(F.when(final, F.struct("sec", "id")), ignorenulls=True).over(w))
-    ok = F.col("next.sec") - F.col("sec") <= within
-    return rows.filter(preview).select(key, "id", F.when(ok, F.col("next.id")).alias("confirmed_by"))
+def confirm_preview(rows: DataFrame, key: str, seconds: str, id_col: str, preview: Column, final: Column, strong: Column, stop: Column, within: int = 12) -> DataFrame:
+    """Each preview row with what the first final row of its key within the time does: it is "confirmed" by a strong entry with
+    the same stop, "flattened" by any other, "expired" without one."""
+    w = Window.partitionBy(key).orderBy(seconds, id_col).rowsBetween(1, Window.unboundedFollowing)
+    facts = F.struct(F.col(seconds).alias("at"), F.col(id_col).alias("id"), strong.alias("strong"), stop.alias("stop"))
+    x = rows.withColumn("next", F.first(F.when(final, facts), ignorenulls=True).over(w)).withColumn("own", stop)
+    timely = F.col("next.at") - F.col(seconds) <= within
+    same = F.coalesce(F.col("next.strong") & (F.col("next.stop") == F.col("own")), F.lit(False))
+    outcome = F.when(F.coalesce(timely, F.lit(False)), F.when(same, "confirmed").otherwise("flattened")).otherwise("expired")
+    return x.filter(preview).select(key, F.col(id_col).alias("id"), outcome.alias("outcome"), F.when(timely & same, F.col("next.id")).alias("confirmed_by"))
 
 
 def similarity_gate(vectors: DataFrame, canon: DataFrame, floor: float = 0.40) -> DataFrame:

@@ -28,17 +28,6 @@ def compact_repeats(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.compact_repeats(F.col("text")).alias("text")).filter("text <> ''")
 
 
-@query(r"""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'stop at ' WHEN event_id % 3 = 1 THEN 'near ' ELSE 'hold ' END || (floor(value)::INTEGER % 1000)::VARCHAR AS x, 5000 + value AS market FROM events),
-r AS (SELECT *, TRY_CAST(coalesce(nullif(regexp_extract(x, 'stop at (\d+)', 1), ''), nullif(regexp_extract(x, 'near (\d+)', 1), '')) AS INTEGER) AS raw FROM e),
-c AS (SELECT *, unnest(range(-5, 6)) AS k, CASE WHEN raw < 100 THEN 100.0 ELSE 1000.0 END AS base FROM r), p AS (SELECT event_id, raw, (floor(market / base) + k) * base + raw AS price, market FROM c)
-SELECT event_id, arg_min(price, (abs(price - market), price))::DOUBLE AS price FROM p GROUP BY event_id""")
-def extract_price(spark, d):
-    k, digits = F.col("event_id") % 3, (F.floor("value").cast("int") % 1000).cast("string")
-    text = F.concat(F.when(k == 0, "stop at ").when(k == 1, "near ").otherwise("hold "), digits)
-    price = cc.extract_price(text, [r"stop at (\d+)", r"near (\d+)"], 5000 + F.col("value"))
-    return read(spark, d, "events").select("event_id", price.alias("price"))
-
-
 @query(f"WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations), h AS (SELECT *, regexp_matches(p, '\\bwas\\b') AS l, regexp_matches(p, '\\bwith\\b') AS s, regexp_matches(p, '\\bthe\\b') AS seed, length(p) AS target FROM t) SELECT conv_id, turn, CASE WHEN l AND NOT s THEN 'LONG' WHEN s AND NOT l THEN 'SHORT' WHEN seed AND target > 200 THEN 'LONG' WHEN seed AND target < 200 THEN 'SHORT' END AS side FROM h")
 def entry_side(spark, d):
     c = conv(spark, d).withColumn("p", plain(F.col("text")))
@@ -66,21 +55,6 @@ def safety_override(spark, d):
     return e.select("event_id", cc.safety_override(tag, F.lit("LONG"), F.col("position"), F.col("value") > 20, F.col("value") > 60).alias("tag"))
 
 
-@query(f"""WITH RECURSIVE {EV}, r AS (SELECT user_id, sec, event_id, event_type, event_id % 100 / 100.0 AS p, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS rn FROM ev),
-f AS (SELECT *, CASE WHEN p >= 0.43 THEN event_id END AS win, sec AS last FROM r WHERE rn = 1
-UNION ALL SELECT r.*, CASE WHEN f.win IS NOT NULL AND r.sec - f.last <= 21600 THEN f.win WHEN r.p >= 0.43 THEN r.event_id END, CASE WHEN r.p >= 0.28 THEN r.sec WHEN f.win IS NOT NULL AND r.sec - f.last <= 21600 THEN f.last ELSE r.sec END FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1),
-m AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY sec DESC, event_id DESC) AS back FROM f WHERE win IS NOT NULL AND p >= 0.28)
-SELECT user_id, win AS "window", min(sec) AS start, max(sec) AS "end", count(*)::BIGINT AS n, string_agg(event_type, ' ' ORDER BY sec, event_id) FILTER (back <= 5) AS text FROM m GROUP BY user_id, win""")
-def candidate_windows(spark, d):
-    return cc.candidate_windows(events(spark, d), "user_id", "sec", "event_id", F.col("event_id") % 100 / 100.0, F.col("event_type"), 21600)
-
-
-@query(f"""WITH {TURNS}, w AS (SELECT *, string_agg(p, ' ' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS wt FROM g),
-x AS (SELECT conv_id, turn, {CASCADE.format('wt')} AS tag FROM w WHERE raw IS NULL) SELECT * FROM x WHERE tag <> 'NO_ACTION'""")
-def recover_windows(spark, d):
-    return cc.recover_windows(conv(spark, d).withColumn("p", plain(F.col("text"))), "p", GROUPS, TAGS, "conv_id", "turn")
-
-
 @query(f"""WITH RECURSIVE {EV}, r AS (SELECT user_id, sec, event_id, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS rn FROM ev WHERE value > 3),
 f AS (SELECT *, sec AS began, sec AS last FROM r WHERE rn = 1 UNION ALL SELECT r.*, CASE WHEN r.sec - f.last >= 36000 OR r.sec - f.began > 86400 THEN r.sec ELSE f.began END, r.sec FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1)
 SELECT user_id, min(sec) AS start, max(sec) AS "end", count(*)::BIGINT AS n FROM f GROUP BY user_id, began HAVING count(*) >= 2""")
@@ -140,24 +114,6 @@ def cleanup_examples(spark, d):
     return cc.cleanup_examples(x, F.col("value") > 15, 40).select("id", "label", "side", "flag")
 
 
-@query(f"""WITH b AS (SELECT user_id, event_type, {TAG} AS tag, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id // 50 ORDER BY (event_type <> 'view') DESC, value DESC, event_id) = 1)
-SELECT tag AS label, CASE WHEN tag = 'NO_ACTION' THEN 'pending' WHEN value > 10 THEN 'reviewed' ELSE 'dropped' END AS status, count(*)::BIGINT AS n FROM b GROUP BY ALL""")
-def export_review(spark, d):
-    e = read(spark, d, "events").withColumn("line", F.floor(F.col("event_id") / 50))
-    best = rel.first_by(e, ["user_id", "line"], [F.desc(F.col("event_type") != "view"), F.desc("value"), "event_id"]).withColumn("label", tag_of())
-    status = F.when(F.col("label") == "NO_ACTION", "pending").when(F.col("value") > 10, "reviewed").otherwise("dropped")
-    return best.groupBy("label", status.alias("status")).agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH c AS (SELECT user_id AS file, event_id % 7 AS line, event_id % 3 AS ordinal, event_id AS row, CASE WHEN event_type = 'click' AND value <= 60 THEN NULL WHEN event_type = 'click' THEN 'ENTER_LONG' ELSE {TAG} END AS label FROM events),
-m AS (SELECT * FROM c WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file, line ORDER BY ordinal DESC, row DESC) = 1) SELECT label, ordinal, count(*)::BIGINT AS n FROM m GROUP BY ALL""")
-def dataset_build(spark, d):
-    """Labels are remapped, rows without one dropped, corpora merged by (file, line), and counted by source."""
-    label = F.when(F.col("event_type") == "click", F.when(F.col("value") > 60, "ENTER_LONG")).otherwise(tag_of())
-    c = read(spark, d, "events").select(F.col("user_id").alias("file"), (F.col("event_id") % 7).alias("line"), (F.col("event_id") % 3).alias("ordinal"), F.col("event_id").alias("row"), label.alias("label"))
-    return rel.merge_corpora(c.filter("label is not null")).groupBy("label", "ordinal").agg(F.count("*").alias("n"))
-
-
 @query("""WITH c AS (SELECT conv_id AS file, turn // 4 AS chunk, turn AS line FROM conversations), l AS (SELECT conv_id AS file, turn // 3 AS chunk, turn AS line, role FROM conversations)
 SELECT file, chunk, line, role FROM l JOIN c USING (file, chunk, line)""")
 def resolve_chunk_refs(spark, d):

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from livetext.functions import prices
+from livetext.functions import text as tx
 from livetext.operators import cascade
 from livetext.operators import ordered as od
+from livetext.operators import relational as rel
 from livetext.operators import risk
 from livetext.plans.queries import EV, P, conv, events, plain, query, read
 
@@ -215,3 +217,88 @@ def suppress_duplicates(spark, d):
     k, none = F.col("event_id"), F.lit(None).cast("double")
     rows = events(spark, d).select("user_id", "sec", k, tag.alias("tag"), F.when(k % 4 == 0, "LONG").otherwise("SHORT").alias("side"), none.alias("entry"), F.when(k % 3 == 0, 1.0).alias("stop"), none.alias("target"))
     return od.suppress_duplicates(rows, "user_id", "sec", "event_id", k % 2 == 0, 43200, 86400).select("user_id", "event_id")
+
+
+# --- moved from the query bodies ------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, round(least(0.99, greatest(0.3, 1 + avg(-value / 100) / 5)), 6) AS confidence FROM events GROUP BY user_id")
+def logprob_confidence(spark, d):
+    return read(spark, d, "events").groupBy("user_id").agg(F.round(tx.logprob_confidence(F.avg(-F.col("value") / 100)), 6).alias("confidence"))
+
+
+@query("SELECT conv_id, turn, 'recent=' || role || CASE WHEN text <> '' THEN chr(10) || 'current=' || replace(text, chr(10), ' ') ELSE '' END AS prompt FROM conversations")
+def rebuild_prompt(spark, d):
+    old = F.concat(F.lit("entry=x\ncurrent="), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nrecent="), F.col("role"))
+    return conv(spark, d).select("conv_id", "turn", tx.rebuild_prompt(old, ["recent", "analysis", "current"]).alias("prompt"))
+
+
+@query("SELECT user_id, event_id // 50 AS frame, round(sqrt(avg(value * value)) / 32768, 9) AS rms, sqrt(avg(value * value)) / 32768 >= 0.002 AS voiced FROM events GROUP BY ALL")
+def frame_energy(spark, d):
+    rms, voiced = tx.frame_energy(F.col("value"))
+    return read(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 50).alias("frame")).agg(F.round(rms, 9).alias("rms"), voiced.alias("voiced"))
+
+
+@query(f"""WITH {EV}, s AS (SELECT event_id, sec, last_value(CASE WHEN event_type = 'error' THEN sec WHEN event_type = 'signup' THEN -1 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM ev)
+SELECT event_id, coalesce(since >= 0 AND sec - since <= 36000, false) AS suppressed FROM s""")
+def instrument_context(spark, d):
+    kind = F.col("event_type")
+    return od.instrument_context(events(spark, d), "user_id", ["sec", "event_id"], "sec", kind == "error", kind == "signup", 36000, "suppressed").select("event_id", "suppressed")
+
+
+@query(f"""WITH {EV}, x AS (SELECT *, floor(value)::BIGINT % 3 AS stop, event_id % 2 = 0 AS strong FROM ev), n AS (SELECT p.user_id, p.event_id AS id, any_value(p.sec) AS sec, any_value(p.stop) AS stop, min((f.sec, f.event_id, f.strong, f.stop)) AS f FROM x p
+LEFT JOIN x f ON f.user_id = p.user_id AND f.event_type = 'purchase' AND (f.sec, f.event_id) > (p.sec, p.event_id) WHERE p.event_type = 'view' GROUP BY 1, 2), o AS (SELECT *, coalesce(f[1] - sec <= 7200, false) AS timely, coalesce(f[3] AND f[4] = stop, false) AS same FROM n)
+SELECT user_id, id, CASE WHEN timely THEN CASE WHEN same THEN 'confirmed' ELSE 'flattened' END ELSE 'expired' END AS outcome, CASE WHEN timely AND same THEN f[2] END AS confirmed_by FROM o""")
+def confirm_preview(spark, d):
+    kind = F.col("event_type")
+    return rel.confirm_preview(events(spark, d), "user_id", "sec", "event_id", kind == "view", kind == "purchase", F.col("event_id") % 2 == 0, F.floor("value").cast("long") % 3, 7200)
+
+
+@query(f"""WITH RECURSIVE {EV}, r AS (SELECT user_id, sec, event_id, event_type, event_id % 100 / 100.0 AS p, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS rn FROM ev),
+f AS (SELECT *, CASE WHEN p >= 0.43 THEN event_id END AS win, sec AS last FROM r WHERE rn = 1
+UNION ALL SELECT r.*, CASE WHEN f.win IS NOT NULL AND r.sec - f.last <= 21600 THEN f.win WHEN r.p >= 0.43 THEN r.event_id END, CASE WHEN r.p >= 0.28 THEN r.sec WHEN f.win IS NOT NULL AND r.sec - f.last <= 21600 THEN f.last ELSE r.sec END FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1),
+m AS (SELECT * FROM f WHERE win IS NOT NULL AND p >= 0.28), w AS (SELECT user_id, win, min(sec) AS s, max(sec) AS e, count(*) AS n FROM m GROUP BY ALL),
+a AS (SELECT user_id, win, sec, event_id, event_type FROM m UNION ALL SELECT w.user_id, w.win, r.sec, r.event_id, r.event_type FROM w JOIN r ON r.user_id = w.user_id AND r.sec < w.s AND r.sec >= w.s - 7200), b AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY sec DESC, event_id DESC) AS back FROM a)
+SELECT w.user_id, w.win AS "window", w.s AS start, w.e AS "end", w.n::BIGINT AS n, string_agg(event_type, ' ' ORDER BY sec, event_id) FILTER (back <= 5) AS text FROM w JOIN b ON b.win = w.win GROUP BY ALL""")
+def candidate_windows(spark, d):
+    return cascade.candidate_windows(events(spark, d), "user_id", "sec", "event_id", F.col("event_id") % 100 / 100.0, F.col("event_type"), 21600, before=7200)
+
+
+#: A rule that two rows may meet together.
+PAIR = "CASE WHEN regexp_matches({0}, '\\bwas\\b') THEN 'NO_ACTION' WHEN regexp_matches({0}, '\\bthe\\b.*\\bof\\b') THEN 'TRIM' END"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT conv_id, turn, p, {PAIR.format('p')} AS own, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM (SELECT conv_id, turn, {P} AS p FROM conversations)),
+f AS (SELECT conv_id, 0::BIGINT AS rn, NULL::BIGINT AS turn, []::VARCHAR[] AS parts, NULL::VARCHAR AS tag, false AS hit FROM (SELECT DISTINCT conv_id FROM g)
+UNION ALL SELECT conv_id, rn, turn, CASE WHEN hit OR acts THEN [] ELSE now END, tag, hit FROM (SELECT *, coalesce(tag NOT IN ('NO_ACTION', 'SETUP'), false) AS hit FROM (SELECT *, CASE WHEN own IS NULL THEN {PAIR.format("array_to_string(now, ' ')")} END AS tag
+FROM (SELECT g.conv_id, g.rn, g.turn, g.own, coalesce(g.own NOT IN ('NO_ACTION', 'SETUP'), false) AS acts, list_append(f.parts[-4:], g.p) AS now FROM f JOIN g ON g.conv_id = f.conv_id AND g.rn = f.rn + 1))))
+SELECT conv_id, turn, tag FROM f WHERE hit""")
+def recover_windows(spark, d):
+    groups, tags = {"past": [r"\bwas\b"], "pair": [r"\bthe\b.*\bof\b"]}, {"past": "NO_ACTION", "pair": "TRIM"}
+    return cascade.recover_windows(conv(spark, d).withColumn("p", plain(F.col("text"))), "p", groups, tags, "conv_id", "turn")
+
+
+@query(f"""WITH b AS (SELECT user_id, event_type, {TAG} AS label, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id // 50 ORDER BY (event_type <> 'view') DESC, value DESC, event_id) = 1)
+SELECT label, CASE WHEN event_type = 'view' THEN 'pending' WHEN value > 10 THEN 'reviewed' ELSE 'dropped' END AS status, count(*)::BIGINT AS n FROM b GROUP BY ALL""")
+def export_review(spark, d):
+    e = read(spark, d, "events").withColumn("line", F.floor(F.col("event_id") / 50)).withColumn("label", tag_of())
+    done = F.col("event_type") != "view"
+    return cascade.export_review(e, ["user_id", "line"], [F.desc(done), F.desc("value"), "event_id"], done, F.col("value") <= 10)[1]
+
+
+@query(f"""WITH c AS (SELECT user_id AS file, event_id % 7 AS line, event_id % 3 AS ordinal, event_id AS row, {TAG} AS tag, CASE WHEN value > 60 THEN 'LONG' END AS position FROM events), l AS (SELECT *, CASE WHEN tag = 'ADD' THEN 'ENTER_' || position ELSE tag END AS label FROM c),
+m AS (SELECT * FROM l WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file, line ORDER BY ordinal DESC, row DESC) = 1) SELECT label, ordinal, count(*)::BIGINT AS n FROM m GROUP BY ALL""")
+def dataset_build(spark, d):
+    position = F.when(F.col("value") > 60, "LONG").alias("position")
+    c = read(spark, d, "events").select(F.col("user_id").alias("file"), (F.col("event_id") % 7).alias("line"), (F.col("event_id") % 3).alias("ordinal"), F.col("event_id").alias("row"), tag_of().alias("label"), position)
+    return cascade.dataset_build(c, ["position"])[1]
+
+
+@query("""WITH e AS (SELECT event_id, 5000 + value AS market, CASE WHEN event_id % 3 < 2 THEN floor(value)::BIGINT % 1000 END AS x FROM events), m AS (SELECT *, (10 ** least(length(x::VARCHAR), 3))::BIGINT AS place, unnest(range(-5, 6)) AS k FROM e),
+c AS (SELECT *, (round_even(market, 0)::BIGINT + k * 100) // place * place + x AS e FROM m), p AS (SELECT event_id, market, k, unnest([0, 1, 2]) AS j, unnest([e, CASE WHEN e - place > 0 THEN e - place END, e + place]) AS p FROM c)
+SELECT event_id, arg_min(p, {'d': abs(p - market), 'k': k, 'j': j})::DOUBLE AS price FROM p GROUP BY event_id""")
+def extract_price(spark, d):
+    k, digits = F.col("event_id") % 3, (F.floor("value").cast("long") % 1000).cast("string")
+    text = F.concat(F.when(k == 0, "stop at ").when(k == 1, "near ").otherwise("hold "), digits)
+    price = cascade.extract_price(text, [r"stop at (\d+)", r"near (\d+)"], 5000 + F.col("value"))
+    return read(spark, d, "events").select("event_id", price.alias("price"))

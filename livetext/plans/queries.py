@@ -94,12 +94,6 @@ def dedupe_caption_lines(spark, d):
     return lines(spark, d).groupBy("file", "text").agg(F.min("line").alias("line"), F.max("line").alias("last_line"))
 
 
-@query("SELECT user_id, round(least(0.99, greatest(0.3, 1 + avg(-value / 100) / 5)), 6) AS confidence FROM events GROUP BY user_id")
-def logprob_confidence(spark, d):
-    mean = F.avg(-F.col("value") / 100)
-    return read(spark, d, "events").groupBy("user_id").agg(F.round(F.coalesce(F.least(F.lit(0.99), F.greatest(F.lit(0.3), 1 + mean / 5)), F.lit(0.85)), 6).alias("confidence"))
-
-
 KEYWORDS = ["trim", "add", "flat", "ther", "tion", "stop"]
 
 
@@ -135,13 +129,6 @@ def render_context(spark, d):
     return conv(spark, d).select("conv_id", "turn", tx.render_context(role=F.col("role"), line=F.when(F.col("turn") > 0, F.col("turn").cast("string")), current=F.col("text")).alias("prompt"))
 
 
-@query("SELECT conv_id, turn, 'current=' || regexp_extract('role=' || role || chr(10) || 'entry=x' || chr(10) || 'current=' || replace(text, chr(10), ' '), '(?m)^current=(.*)$', 1) AS prompt FROM conversations WHERE text <> ''")
-def rebuild_prompt(spark, d):
-    old = F.concat(F.lit("role="), "role", F.lit("\nentry=x\ncurrent="), F.replace("text", F.lit("\n"), F.lit(" ")))
-    field = lambda f: F.regexp_extract(old, f"(?m)^{f}=(.*)$", 1)
-    return conv(spark, d).filter("text <> ''").select("conv_id", "turn", tx.render_context(recent=field("recent"), analysis=field("analysis"), current=field("current")).alias("prompt"))
-
-
 ALIASES = {"SIGNUP": "ENTER_LONG", "PURCHASE": "ENTER_SHORT", "CLICK": "TRIM", "ERROR": "EXIT_ALL"}
 TAG = "CASE event_type WHEN 'signup' THEN 'ENTER_LONG' WHEN 'purchase' THEN 'ENTER_SHORT' WHEN 'click' THEN 'TRIM' WHEN 'error' THEN 'EXIT_ALL' ELSE 'NO_ACTION' END"
 
@@ -203,13 +190,6 @@ def asof_state(spark, d):
     return rel.asof_state(e.filter("event_type = 'purchase'").select("user_id", "sec", F.col("event_id").alias("id")), quotes, "user_id", "sec", "value")
 
 
-@query(f"""WITH {EV}, n AS (SELECT p.user_id, p.event_id AS id, min((f.sec, f.event_id)) AS f, any_value(p.sec) AS sec FROM ev p LEFT JOIN ev f ON f.user_id = p.user_id AND f.event_type = 'purchase' AND (f.sec, f.event_id) > (p.sec, p.event_id) WHERE p.event_type = 'view' GROUP BY 1, 2)
-SELECT user_id, id, CASE WHEN f[1] - sec <= 7200 THEN f[2] END AS confirmed_by FROM n""")
-def confirm_preview(spark, d):
-    e = events(spark, d).select("user_id", F.col("event_id").alias("id"), F.col("sec").alias("s"), "event_type")
-    return rel.confirm_preview(e, "user_id", F.col("s"), F.col("event_type") == "view", F.col("event_type") == "purchase", 7200)
-
-
 @query("""SELECT v.vec_id, round(max(least(1, greatest(0, list_dot_product(v.embedding::DOUBLE[], c.embedding::DOUBLE[]) / ((sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-9) * (sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) + 1e-9))))), 6) AS best
 FROM embeddings v, (SELECT arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) c GROUP BY v.vec_id HAVING best >= 0.4""")
 def similarity_gate(spark, d):
@@ -257,12 +237,6 @@ def class_weights(spark, d):
     return rel.class_weights(docs(spark, d), "lang")
 
 
-@query("SELECT user_id, event_id // 50 AS frame, round(sqrt(avg(value * value)) / 32768, 9) AS rms, sqrt(avg(value * value)) / 32768 >= 0.002 AS voiced FROM events GROUP BY ALL")
-def frame_energy(spark, d):
-    rms = F.sqrt(F.avg(F.col("value") * F.col("value"))) / 32768
-    return read(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 50).alias("frame")).agg(F.round(rms, 9).alias("rms"), (rms >= 0.002).alias("voiced"))
-
-
 # --- windows and folds ----------------------------------------------------------------------------------------
 
 
@@ -276,17 +250,6 @@ def entry_guard(spark, d):
     return od.recent_cue(events(spark, d), "user_id", ["sec", "event_id"], F.col("event_type") == "click", "sec", 3600, "guarded").select("event_id", "guarded")
 
 
-@query(f"""WITH {EV}, s AS (SELECT event_id, sec, last_value(CASE WHEN event_type = 'error' THEN sec WHEN event_type = 'signup' THEN -1 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM ev)
-SELECT event_id, coalesce(since >= 0 AND sec - since <= 36000, false) AS suppressed FROM s""")
-def instrument_context(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("sec", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    since = F.last(F.when(F.col("event_type") == "error", F.col("sec")).when(F.col("event_type") == "signup", F.lit(-1)), ignorenulls=True).over(w)
-    e = events(spark, d).withColumn("since", since)
-    return e.select("event_id", F.coalesce((F.col("since") >= 0) & (F.col("sec") - F.col("since") <= 36000), F.lit(False)).alias("suppressed"))
-
-
 FOLD = """WITH RECURSIVE r AS ({rows}), f AS (SELECT k, rn, t, id, t AS last, true AS keep FROM r WHERE rn = 1
 UNION ALL SELECT r.k, r.rn, r.t, r.id, CASE WHEN r.t - f.last > {reach} THEN r.t ELSE f.last END, r.t - f.last > {reach} FROM f JOIN r ON r.k = f.k AND r.rn = f.rn + 1)
 SELECT {out} FROM f WHERE keep"""
