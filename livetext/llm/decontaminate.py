@@ -198,8 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that leak a test item."""
-    bad = written(leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__leak")), "leaking-ids")
-    return docs.join(bad.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+    bad = written(leaks(docs, benchmark, id_col=id_col, text_col=text_col).select("doc_id"), "leaking-ids")
+    return docs.join(bad.hint("merge"), docs[id_col].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
