@@ -67,16 +67,18 @@ def clean_markup(spark, d):
     return read(spark, d, "pages").select("page_id", tx.clean_markup(F.col("html")).alias("text"))
 
 
-def repeated(size: int, times: int) -> str:
-    same = " AND ".join(f"w[i:i + {size - 1}] = w[i + {k * size}:i + {k * size + size - 1}]" for k in range(1, times))
-    return f"len(list_filter(range(1, len(w) - {size * times} + 2), lambda i: {same})) > 0"
+def same_later(size: int, times: int) -> str:
+    """Words that equal the word ``size`` later."""
+    return f"SELECT doc_id, i, {size} AS size, {size * (times - 1)} AS need, x = lead(x, {size}) OVER (PARTITION BY doc_id ORDER BY i) AS same FROM u"
 
 
-REPEATED = " OR ".join(repeated(*x) for x in ((1, 5), (2, 4), (3, 3), (4, 3)))
+SAME = " UNION ALL ".join(same_later(*x) for x in ((1, 5), (2, 4), (3, 3), (4, 3)))
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[{WS}]+'), lambda x: x <> '') AS w FROM documents)
-SELECT doc_id, len(w) >= 10 AND (coalesce(list_max(map_values(list_histogram(w))), 0) >= 0.55 * len(w) OR {REPEATED}) AS degenerate FROM w""")
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[{WS}]+'), lambda x: x <> '') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), e AS ({SAME}),
+g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, size ORDER BY i) AS g FROM e), r AS (SELECT doc_id, count(*) >= any_value(need) AS hit FROM g WHERE same GROUP BY doc_id, size, g),
+t AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, x, count(*) AS c FROM u GROUP BY ALL) GROUP BY 1), h AS (SELECT doc_id, bool_or(hit) AS hit FROM r GROUP BY 1)
+SELECT doc_id, len(w) >= 10 AND (coalesce(top, 0) >= 0.55 * len(w) OR coalesce(hit, false)) AS degenerate FROM w LEFT JOIN t USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def degenerate_text(spark, d):
     return docs(spark, d).select("doc_id", tx.degenerate_text(F.col("text")).alias("degenerate"))
 
