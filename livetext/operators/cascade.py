@@ -202,3 +202,39 @@ def dataset_build(corpora: DataFrame, sides: list[str]) -> tuple[DataFrame, Data
     dropped, later corpora first; and its counts by label and corpus."""
     rows = rel.merge_corpora(remap_labels(corpora, sides).filter("dropped is null").drop("dropped"))
     return rows, rows.groupBy("label", "ordinal").agg(F.count("*").alias("n"))
+
+
+def windowed_utterances(frames: DataFrame, key: str, at: str, id_col: str, voiced: Column, size: int, needed: int, silence: int, longest: int, least: int) -> DataFrame:
+    """(key, start, end, n) of utterances that open where ``needed`` of the last ``size`` frames are voiced, from the first of
+    these on, and close after ``silence`` without a voiced frame or at the greatest length; n voiced frames, ``least`` or more.
+
+    Where the last ``size`` frames are unvoiced and the silence is over, nothing is open: frames between such places are folded by
+    themselves, and an opening never reaches back over one.
+    """
+    w = Window.partitionBy(key).orderBy(at, id_col)
+    recent, past = w.rowsBetween(1 - size, 0), w.rowsBetween(Window.unboundedPreceding, 0)
+    x = frames.withColumn("v", voiced).withColumn("k", F.sum(F.col("v").cast("int")).over(recent)).withColumn("first", F.first(at).over(recent))
+    heard = F.max(F.when(F.col("v"), F.col(at))).over(past)
+    x = x.withColumn("dead", (F.col("k") == 0) & F.coalesce(F.col(at) - heard >= silence, F.lit(True)))
+    x = x.withColumn("isle", F.sum(F.col("dead").cast("int")).over(past)).withColumn("bound", F.max(F.when(F.col("dead"), F.col(at))).over(past))
+    begin = F.greatest(F.col("first"), F.coalesce("bound", "first"))
+    fields = F.struct(F.col(at).cast("long").alias("t"), F.col(id_col).cast("long").alias("id"), "v", F.col("k").cast("long").alias("k"), begin.cast("long").alias("begin"))
+    lists = x.filter(~F.col("dead")).groupBy(key, "isle").agg(F.array_sort(F.collect_list(fields)).alias("s"))
+    none = F.lit(None).cast("long")
+    start = F.struct(none.alias("begin"), F.lit(0).cast("long").alias("n"), none.alias("last"), none.alias("ended"), none.alias("now"), F.array().cast("array<struct<start:long,end:long,n:long>>").alias("out"))
+
+    def step(a, f):
+        idle = a["begin"].isNull()
+        opens = idle & (f["k"] >= needed)
+        begin = F.when(opens, F.greatest(f["begin"], F.coalesce(a["ended"], f["begin"]))).otherwise(a["begin"])
+        n = F.when(opens, f["k"]).when(idle, 0).otherwise(a["n"] + f["v"].cast("long"))
+        last = F.when(opens | f["v"], f["t"]).otherwise(a["last"])
+        ends = ~idle & ((f["t"] - last >= silence) | (f["t"] - begin >= longest))
+        made = F.struct(begin.alias("start"), f["t"].alias("end"), n.alias("n"))
+        return F.struct(F.when(~ends, begin).alias("begin"), n.alias("n"), last.alias("last"), F.when(ends, f["t"]).otherwise(a["ended"]).alias("ended"), f["t"].alias("now"), F.when(ends, F.concat(a["out"], F.array(made))).otherwise(a["out"]).alias("out"))
+
+    def finish(a):
+        rest = F.struct(a["begin"].alias("start"), a["now"].alias("end"), a["n"].alias("n"))
+        return F.when(a["begin"].isNotNull(), F.concat(a["out"], F.array(rest))).otherwise(a["out"])
+
+    return lists.select(key, F.explode(F.aggregate("s", start, step, finish)).alias("u")).filter(F.col("u.n") >= least).select(key, "u.start", "u.end", "u.n")

@@ -126,3 +126,20 @@ SELECT label, k, count(*) FILTER (hit AND round((score - 0.30) / 0.02, 6) >= k):
 def threshold_grid(spark, d):
     s = read(spark, d, "events").select(F.col("event_type").alias("label"), F.least(F.lit(1.0), F.col("value") / 100).alias("score"), (F.col("event_id") % 2 == 0).alias("hit"))
     return rel.threshold_grid(s)
+
+
+OVER = "OVER (PARTITION BY user_id ORDER BY sec, event_id"
+
+
+@query(f"""WITH RECURSIVE {EV}, x AS (SELECT user_id, sec, event_id, value > 20 AS v, row_number() {OVER}) AS rn, sum((value > 20)::INTEGER) {OVER} ROWS 2 PRECEDING) AS k, first_value(sec) {OVER} ROWS 2 PRECEDING) AS fst,
+max(CASE WHEN value > 20 THEN sec END) {OVER} ROWS UNBOUNDED PRECEDING) AS heard FROM ev), y AS (SELECT *, k = 0 AND coalesce(sec - heard >= 36000, true) AS dead FROM x),
+z AS (SELECT *, max(CASE WHEN dead THEN sec END) {OVER} ROWS UNBOUNDED PRECEDING) AS bound, lead(rn) {OVER}) IS NULL AS fin FROM y),
+f AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS b, 0::HUGEINT AS n, NULL::BIGINT AS last, NULL::BIGINT AS ended, NULL::BIGINT AS now, NULL::BIGINT AS es, NULL::BIGINT AS ee, NULL::HUGEINT AS en FROM (SELECT DISTINCT user_id FROM z)
+UNION ALL SELECT user_id, rn, CASE WHEN ends THEN NULL ELSE b2 END, n2, last2, CASE WHEN dead THEN NULL WHEN ends THEN sec ELSE ended END, CASE WHEN dead THEN NULL ELSE sec END, CASE WHEN dead THEN b WHEN ends OR fin THEN b2 END, CASE WHEN dead THEN now ELSE sec END, CASE WHEN dead THEN n ELSE n2 END
+FROM (SELECT *, NOT dead AND b IS NOT NULL AND (sec - last2 >= 36000 OR sec - b2 >= 86400) AS ends FROM (SELECT *, CASE WHEN dead THEN NULL WHEN opens THEN greatest(fst, coalesce(bound, fst), coalesce(ended, fst)) ELSE b END AS b2,
+CASE WHEN dead THEN 0 WHEN opens THEN k WHEN b IS NULL THEN 0 ELSE n + v::INTEGER END AS n2, CASE WHEN opens OR v THEN sec ELSE last END AS last2 FROM (SELECT z.user_id, z.rn, z.sec, z.v, z.k, z.fst, z.bound, z.dead, z.fin, f.b, f.n, f.last, f.ended, f.now, NOT z.dead AND f.b IS NULL AND z.k >= 2 AS opens
+FROM f JOIN z ON z.user_id = f.user_id AND z.rn = f.rn + 1))))
+SELECT user_id, es AS start, ee AS "end", en::BIGINT AS n FROM f WHERE es IS NOT NULL AND en >= 2""")
+def windowed_utterances(spark, d):
+    """Utterances that two voiced frames of three open; events stand for frames."""
+    return cc.windowed_utterances(events(spark, d), "user_id", "sec", "event_id", F.col("value") > 20, 3, 2, 36000, 86400, 2)

@@ -76,11 +76,6 @@ CASCADE = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '{p}') THEN '{t}'" for
 # --- sources and text ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LINES} SELECT file, line, text FROM lines")
-def read_transcripts(spark, d):
-    return lines(spark, d)
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE WHEN o_orderkey % 4 = 2 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) ELSE DATE '2026-03-01' END AS file_date FROM orders")
 def file_date(spark, d):
     from livetext.sources.transcripts import file_date as op
@@ -107,15 +102,6 @@ def match_rules(spark, d):
     return conv(spark, d).select("conv_id", "turn", F.array_join(tx.match_rules(plain(F.col("text")), GROUPS), ",").alias("groups"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, role, {P} AS p FROM conversations), s AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t),
-i AS (SELECT conv_id, {CASCADE.format("coalesce(b || ' ' || p, p)")} AS tag FROM s) SELECT conv_id, coalesce(tag, 'NONE') AS tag, count(*)::BIGINT AS n FROM i GROUP BY ALL""")
-def replay_report(spark, d):
-    c = conv(spark, d).withColumn("p", plain(F.col("text")))
-    stitched = od.stitch_context(c, F.col("p"), "conv_id", "turn")
-    tag = F.coalesce(tx.detect_signal(F.col("analysis_text"), GROUPS, TAGS), F.lit("NONE"))
-    return stitched.groupBy("conv_id", tag.alias("tag")).agg(F.count("*").alias("n"))
-
-
 BASE = {"signup": 0.82, "purchase": 0.82, "click": 0.74, "error": 0.9, "view": 0.5}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from livetext.functions import text as tx
+from livetext.operators import cascade
 from livetext.operators import labels as lb
 from livetext.operators import ordered as od
 from livetext.plans.queries import CASCADE, EV, GROUPS, TAGS, P, conv, docs, events, plain, query, read
@@ -274,3 +275,28 @@ def read_reviewed_corpora(spark, d):
     src.write_examples(examples(spark, d), F.col("flagged"), path)
     paths = [f"{path}/part=clean", f"{path}/part=flagged", f"{path}/part=clean"]
     return src.read_reviewed(spark, paths, "id long, label string").filter("_corrupt_record is null").select("id", "label", "input_ordinal")
+
+
+@query("""WITH t AS (SELECT 'talk 2026-03-' || lpad((conv_id % 28 + 1)::VARCHAR, 2, '0') || ' no ' || conv_id || '.txt' AS file, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line, conv_id, replace(text, chr(10), ' ') AS text FROM conversations)
+SELECT file, line::BIGINT AS line, lpad((turn * 40 // 3600)::VARCHAR, 2, '0') || ':' || lpad((turn * 40 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 40 % 60)::VARCHAR, 2, '0') AS timecode, regexp_replace(text, '^\\s+', '') AS text,
+(epoch(make_date(2026, 3, (conv_id % 28 + 1)::INTEGER)) + turn * 40)::BIGINT AS received_at FROM t WHERE turn % 4 <> 3""")
+def read_transcripts(spark, d):
+    """Conversations as transcript files with their date in the name; each fourth line has no time and only counts."""
+    t = F.col("turn") * 40
+    stamp = F.format_string("[%02d:%02d:%02d] ", F.floor(t / 3600), F.floor(t % 3600 / 60), t % 60)
+    line = F.concat(F.when(F.col("turn") % 4 != 3, stamp).otherwise(""), F.replace("text", F.lit("\n"), F.lit(" ")))
+    lines = conv(spark, d).select(F.format_string("talk 2026-03-%02d no %d.txt", F.col("conv_id") % 28 + 1, F.col("conv_id")).alias("file"), F.col("turn").alias("seq"), line.alias("value"))
+    return src.parse_transcripts(src.transcript_files(lines)).withColumn("received_at", F.unix_seconds("received_at"))
+
+
+SETTLED = "CASE WHEN raw IN ('TRIM', 'MOVE_STOP', 'EXIT_ALL') AND position = 'FLAT' THEN NULL WHEN raw = 'ENTER_' || position THEN 'ADD' ELSE raw END"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations), s AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t), i AS (SELECT conv_id, turn, {CASCADE.format("coalesce(trim(b || ' ' || p), p)")} AS raw FROM s),
+h AS (SELECT *, coalesce(last_value(CASE raw WHEN 'ENTER_LONG' THEN 'LONG' WHEN 'ENTER_SHORT' THEN 'SHORT' WHEN 'EXIT_ALL' THEN 'FLAT' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'FLAT') AS position FROM i),
+g AS (SELECT conv_id, turn, position, coalesce({SETTLED}, 'NONE') AS tag FROM h) SELECT conv_id, tag, position, count(*)::BIGINT AS n FROM g GROUP BY ALL""")
+def replay_report(spark, d):
+    """Actions of stitched transcript lines, read against the position that earlier lines left, counted by transcript."""
+    c = conv(spark, d).withColumn("p", plain(F.col("text")))
+    parsed = cascade.parse_intent(od.stitch_context(c, F.col("p"), "conv_id", "turn"), F.col("analysis_text"), GROUPS, TAGS, "conv_id", "turn")
+    return parsed.groupBy("conv_id", F.coalesce("tag", F.lit("NONE")).alias("tag"), "position").agg(F.count("*").alias("n"))
