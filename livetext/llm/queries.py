@@ -10,6 +10,20 @@ from livetext.llm.pii import op10_pii_surrogates
 from livetext.llm.simhash import op5_simhash
 from livetext.llm.token_counts import op1_token_counts
 from livetext.llm.toxicity import op6_toxicity
+from livetext.llm.word_table import op11_word_table
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_format, op3_language_crf, op4_decontamination, op5_simhash, op6_toxicity, op7_cover_tree, op8_main_text, op9_best_fit_packing, op10_pii_surrogates)}
+_OPERATORS = (
+    op1_token_counts,
+    op2_chat_format,
+    op3_language_crf,
+    op4_decontamination,
+    op5_simhash,
+    op6_toxicity,
+    op7_cover_tree,
+    op8_main_text,
+    op9_best_fit_packing,
+    op10_pii_surrogates,
+    op11_word_table,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 SQL = {"op2_chat_format": OP2_SQL}
