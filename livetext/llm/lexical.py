@@ -146,11 +146,17 @@ class Search:
         return self.matrices[level, node]
 
     def add(self, docs: Documents, leaf: int, node: int) -> None:
+        """Score a leaf of documents for those items of a leaf whose own bound reaches their ``k``-th score."""
         terms, weights = self.matrix(0, node)
-        first, scores = docs.scores(leaf, terms, weights)
+        children = np.array(self.items.levels[0][node][0])
+        mine = np.nonzero(docs.levels[0][leaf][docs.columns(terms)] @ weights >= self.least[children])[0]
+        if not len(mine):
+            return
+        used = np.nonzero(weights[:, mine].any(axis=1))[0]
+        first, scores = docs.scores(leaf, terms[used], weights[np.ix_(used, mine)])
         self.scored += scores.size
         raised = False
-        for c, item in enumerate(self.items.levels[0][node][0]):
+        for c, item in enumerate(children[mine].tolist()):
             own = scores[:, c]
             good = np.nonzero(own >= self.least[item])[0]
             if not len(good):

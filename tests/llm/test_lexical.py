@@ -83,7 +83,7 @@ def test_small_trees_in_many_blocks(spark, monkeypatch):
 def test_bounds_prune_and_lose_nothing():
     rng = np.random.default_rng(0)
     n, v = 4096, 2000
-    weights = np.sort(rng.integers(100, 9000, v))[::-1].astype(float)
+    weights = np.sort(rng.integers(100, 9000, v)).astype(float)
     rows = [np.unique(np.concatenate([rng.integers(0, 60, 20), (k // 64 * 30 + rng.integers(0, 30, 10)) % v])) for k in range(n)]
     impacts = [rng.integers(1, 600_000, len(r)) for r in rows]
     tree = Documents(np.arange(n), np.zeros(n, bool), np.concatenate(rows), np.concatenate(impacts), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
