@@ -15,7 +15,7 @@ HELD = f"h AS (SELECT *, coalesce(last_value(CASE raw WHEN 'ENTER_LONG' THEN 'LO
 
 
 @query(f"WITH {TURNS}, {HELD} SELECT conv_id, turn, position, CASE WHEN raw IN ('TRIM', 'MOVE_STOP', 'EXIT_ALL') AND position = 'FLAT' THEN NULL WHEN raw = 'ENTER_' || position THEN 'ADD' ELSE raw END AS tag FROM h")
-def parse_intent(spark, d):
+def first_hit_intent(spark, d):
     c = conv(spark, d).withColumn("p", plain(F.col("text")))
     return cc.parse_intent(c, F.col("p"), GROUPS, TAGS, "conv_id", "turn").select("conv_id", "turn", "position", "tag")
 

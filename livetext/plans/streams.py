@@ -26,14 +26,15 @@ SEGMENTS = f"""g AS (SELECT conv_id::VARCHAR AS session_id, lpad(turn::VARCHAR,
 round(0.6 + (turn % 7) / 14, 4) AS confidence, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)"""
 
 
-def as_stream(rows: DataFrame, parts: int = 3) -> DataFrame:
-    """``rows`` as a stream of files in the order of their time, one file a trigger."""
+def as_stream(rows: DataFrame, schema: str = SCHEMA, parts: int = 3) -> DataFrame:
+    """``rows`` as a stream of files in the order of their time. Sessions go on from part to part; each part is dealt out by session,
+    and a trigger reads as many files as a part has at most."""
     spark = rows.sparkSession
     path = scratch(spark, "stream")
-    part = F.least(F.lit(parts - 1), F.floor(F.col("at") / 10)).cast("int")  # sessions go on from file to file
+    part = F.least(F.lit(parts - 1), F.floor(F.col("at") / 10)).cast("int")
     for k in range(parts):
-        rows.filter(part == k).coalesce(1).write.mode("append").json(path)
-    return st.segment_source(spark, path, SCHEMA, per_trigger=1)
+        rows.filter(part == k).repartition("session_id").write.mode("append").json(path)
+    return st.segment_source(spark, path, schema, per_trigger=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:

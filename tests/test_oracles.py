@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from livetext.plans import curation, evaluation, learning, orders, streams, texts
+from livetext.plans import curation, evaluation, flows, learning, orders, streams, texts
 from livetext.plans.queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
@@ -61,14 +61,14 @@ def test_stabilised_partials_of_every_row(spark):
 
 
 #: Queries that SQL cannot express, each with a test above or in test_text_cases.
-WITHOUT_SQL = {"fit_logreg", "fit_linear_svm", "fit_mlp", "fit_vector_head", "cross_validate", "feature_importance", "vocab_ablation", "stabilize_partials"}
+WITHOUT_SQL = {"fit_logreg", "fit_linear_svm", "fit_mlp", "fit_vector_head", "cross_validate", "feature_importance", "vocab_ablation", "stabilize_partials", "interpret_stream"}
 
 
 def test_every_query_has_sql_or_a_test():
     assert set(QUERIES) - set(SQL) == WITHOUT_SQL and set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("module", [curation, evaluation, learning, orders, streams, texts])
+@pytest.mark.parametrize("module", [curation, evaluation, flows, learning, orders, streams, texts])
 def test_queries_are_registered(module):
     named = {n for n, f in vars(module).items() if getattr(f, "__module__", "") == module.__name__ and getattr(f, "__code__", None) and f.__code__.co_varnames[:2] == ("spark", "d")}
-    assert named - {"examples", "scored", "labelled", "segments", "featured"} <= set(QUERIES)
+    assert named - {"examples", "scored", "labelled", "segments", "featured", "spoken"} <= set(QUERIES)
