@@ -3,9 +3,10 @@
 A page is read as its stream of tags and texts, nested by the tags: elements that break lines are nodes, named by tag
 and classes, and the texts between them are leaves. Inside a page, equal neighbours and equal runs of neighbours (``h2 p h2
 p``) become repeated groups. A wrapper is a union-free regular expression over such streams: one host's pages are
-aligned one after another; nodes that one side lacks become optional, texts that differ become slots, and
-texts that all pages share stay fixed. All pages of a host take part: each task merges the wrappers of its pages,
-partial wrappers are merged by host and salt and then by host.
+aligned one after another, in each element the k-th child of a name with the k-th one; nodes that one side lacks become
+optional, texts that differ become slots, and texts that all pages share stay fixed. All pages of a host take part: each
+task merges the wrappers of its pages, partial wrappers are merged by host and salt and then by host. The result is the same
+in whatever order pages are merged, and it holds every place of every page.
 
 The wrapper decides for all pages of its host at once which leaves are main text (``decide``):
 
@@ -21,7 +22,7 @@ slot text. So is a page whose wrapper leaves it empty.
 
 Null or empty html gives the empty text; a null url has no host; broken markup is read as browsers do (open elements end
 with their container); elements nested deeper than ``DEEP`` count as their ancestor at that depth. Long pages are
-read whole; alignment is linear in the children of a node but for gaps of a bounded size. Repeated rows and ids keep their rows. An empty table gives an empty result. Other columns are
+read whole; alignment is linear in their elements. Repeated rows and ids keep their rows. An empty table gives an empty result. Other columns are
 not read.
 """
 
@@ -71,7 +72,7 @@ DEEP = 150
 #: Pages for a wrapper, and pages with different longest texts for a fixed text: copies of a page prove nothing.
 LEAST = 3
 #: Elements that say nothing by their name, and labels of those that hold prose.
-GENERIC, PROSE = frozenset("div section span td center font".split()), re.compile(r"\(?(?:p|h[1-6]|pre|blockquote)\b")
+GENERIC, PROSE = frozenset("div section span td center font".split()), re.compile(r"(?:p|h[1-6]|pre|blockquote)\b")
 #: Flags of a node.
 INSIDE, LANDMARK, FORM, NAMED, HINTED, HEADER, COMMENT = (1 << k for k in range(7))
 
@@ -136,7 +137,7 @@ def flags(name: str, classes: str, ident: str, role: str, prop: str) -> int:
     return out & ~(NAMED | HINTED) if name in ("html", "body") else out & ~INSIDE if out & COMMENT else out
 
 
-# --- streams: a node is {"l": label, "f": flags, "n": pages, "r": repeated, "k": children}; a text is {"l": "#", "h": hash or
+# --- streams: a node is {"l": label, "f": flags, "n": pages, "r": repeated, "g": repeated with others, "k": children}; a text is {"l": "#", "h": hash or
 # --- None for a slot, "n": pages, "c": characters, "a": of these in links, "i": places in the page, "d": longest texts of its pages}
 
 
@@ -197,10 +198,25 @@ def hash_of(text: str) -> str:
     return xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def keyed(kids: list[dict]) -> list[tuple[str, int]]:
+    """(label, how many of that label stand before) of each child: what aligns it with those of other pages."""
+    seen: collections.Counter = collections.Counter()
+    out = []
+    for x in kids:
+        out.append((x["l"], seen[x["l"]]))
+        seen[x["l"]] += 1
+    return out
+
+
 def union(a: dict, b: dict, same_page: bool) -> dict:
-    """One node or text for two of one label, of one page (a repeat) or of different pages."""
+    """One node or text for two of one label, of one page (a repeat) or of different pages.
+
+    It doesn't matter in which order or grouping pages are united, but for the order of children with different labels.
+    """
     n = max(a["n"], b["n"]) if same_page else a["n"] + b["n"]
     out = {"l": a["l"], "n": n, "r": same_page or a["r"] or b["r"]}
+    if "g" in a or "g" in b:
+        out["g"] = True
     if a["l"] == "#":
         out |= {"h": a["h"] if a["h"] == b["h"] else None, "c": a["c"] + b["c"], "a": a["a"] + b["a"]}
         if "i" in a:
@@ -211,6 +227,15 @@ def union(a: dict, b: dict, same_page: bool) -> dict:
     return out | {"f": a["f"] | b["f"], "k": align(a["k"], b["k"], same_page)}
 
 
+def align(a: list[dict], b: list[dict], same_page: bool = False) -> list[dict]:
+    """Two child lists as one: the k-th child of a label is united with the k-th one of the other side; what one side lacks is
+    optional (seen on fewer pages)."""
+    out = dict(zip(keyed(a), a, strict=True))
+    for key, x in zip(keyed(b), b, strict=True):
+        out[key] = union(out[key], x, same_page) if key in out else x
+    return list(out.values())
+
+
 def fold(kids: list[dict]) -> list[dict]:
     """Runs of one label, then runs of equal groups of labels, as repeated ones."""
     runs: list[dict] = []
@@ -238,7 +263,8 @@ def fold(kids: list[dict]) -> list[dict]:
             one = runs[k : k + size]
             for at in range(k + size, end, size):
                 one = [union(a, b, True) for a, b in zip(one, runs[at : at + size], strict=True)]
-            out.append({"l": "(" + " ".join(group) + ")", "f": 0, "n": 1, "r": True, "k": one})
+            # the group's members stand for all its repeats, so they align with a page that has them once
+            out += [{**x, "g": True} for x in one]
             k = end
         else:
             out.append(runs[k])
@@ -246,82 +272,6 @@ def fold(kids: list[dict]) -> list[dict]:
     return out
 
 
-def grouped(kids: list[dict], other: list[dict]) -> list[dict]:
-    """``kids`` with single runs of a group that ``other`` repeats as that group."""
-    groups = {x["l"]: [y["l"] for y in x["k"]] for x in other if x["l"][:1] == "("}
-    for label, inner in groups.items():
-        labels, out, k = [x["l"] for x in kids], [], 0
-        while k < len(kids):
-            if labels[k : k + len(inner)] == inner:
-                part = kids[k : k + len(inner)]
-                out.append({"l": label, "f": 0, "n": max(x["n"] for x in part), "r": False, "k": part})
-                k += len(inner)
-            else:
-                out.append(kids[k])
-                k += 1
-        kids = out
-    return kids
-
-
-#: Gaps of an alignment are compared cell by cell up to this product of lengths; beyond it only labels that are single on both
-#: sides are matched. Child lists longer than WIDE are merged by label.
-CELLS, WIDE = 40_000, 400
-
-
-def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of a common subsequence of two label lists."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    out = [(k, k) for k in range(head)]
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    if x and y:
-        if len(x) * len(y) <= CELLS:
-            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for i in range(len(x) - 1, -1, -1):
-                for j in range(len(y) - 1, -1, -1):
-                    best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-            i = j = 0
-            while i < len(x) and j < len(y):
-                if x[i] == y[j]:
-                    out.append((head + i, head + j))
-                    i, j = i + 1, j + 1
-                elif best[i + 1][j] >= best[i][j + 1]:
-                    i += 1
-                else:
-                    j += 1
-        else:
-            once = [s for s, n in collections.Counter(x).items() if n == 1]
-            at = {s: k for k, s in enumerate(y)}
-            twice = {s for s, n in collections.Counter(y).items() if n > 1}
-            last = -1
-            for s in once:  # in the order of x
-                if s in at and s not in twice and at[s] > last:
-                    last = at[s]
-                    out.append((head + x.index(s), head + last))
-    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
-
-
-def align(a: list[dict], b: list[dict], same_page: bool = False) -> list[dict]:
-    """Two child lists as one: common nodes are merged, the others kept in place (they are optional: seen on fewer pages)."""
-    a, b = grouped(a, b), grouped(b, a)
-    out, i, j = [], 0, 0
-    for p, q in [*matches([x["l"] for x in a], [x["l"] for x in b]), (len(a), len(b))]:
-        out += a[i:p] + b[j:q]
-        if p < len(a):
-            out.append(union(a[p], b[q], same_page))
-        i, j = p + 1, q + 1
-    if len(out) > WIDE:
-        by: dict[str, dict] = {}
-        for x in out:
-            by[x["l"]] = union(by[x["l"]], x, same_page) if x["l"] in by else x
-        out = list(by.values())
-    return out
-
-
 def bare(node: dict, longest: str) -> dict:
     """Without places in a page; each text with the page's longest text as its witness."""
     if node["l"] == "#":
@@ -354,7 +304,8 @@ def measure(node: dict, pages: int, inside: bool = False) -> dict:
         fixed = node["h"] is not None and len(node["d"]) >= LEAST
         chars, links = node["c"] / pages, node["a"] / pages
         return {**node, "mass": 0.0 if fixed else chars - links, "all": chars, "links": links, "fixed": chars if fixed else 0.0}
-    kids = [measure(x, pages, inside or bool(node["f"] & INSIDE)) for x in node["k"]]
+    # by label, so that sums don't depend on the order in which pages were united
+    kids = [measure(x, pages, inside or bool(node["f"] & INSIDE)) for x in sorted(node["k"], key=lambda x: x["l"])]
     out = {**node, "k": kids} | {c: sum(x[c] for x in kids) for c in ("mass", "all", "links", "fixed")}
     if out["f"] & HEADER and not inside and not out["f"] & INSIDE:
         out["f"] |= LANDMARK
@@ -408,7 +359,7 @@ def containers(root: dict) -> list[dict]:
         usable = [x for x in now["k"] if x["l"] != "#" and not left_out(x, root["mass"])]
         mass = sum(x["mass"] for x in usable) + sum(x["mass"] for x in now["k"] if x["l"] == "#")
         best = max(usable, key=lambda x: x["mass"], default=None)
-        if best is None or best["mass"] < MOSTLY * mass or all(x["l"] == "#" for x in best["k"]) or best["l"][:1] == "(":
+        if best is None or best["mass"] < MOSTLY * mass or all(x["l"] == "#" for x in best["k"]) or "g" in best:
             return [now]
         if any(x["l"][:2] in ("h1", "h2") and x["mass"] > 0 for x in usable):
             return [now]  # a headline beside its text
@@ -461,13 +412,13 @@ def slim(node: dict) -> dict:
 
 
 def chosen_places(page: dict, wrapper: dict, out: list[tuple[int, bool]]) -> None:
-    """(place, main text or not) of the page's texts, by its alignment with the wrapper."""
-    a, b = grouped(page["k"], wrapper["k"]), wrapper["k"]
-    for p, q in matches([x["l"] for x in a], [x["l"] for x in b]):
-        if a[p]["l"] == "#":
-            out += [(i, b[q]["m"]) for i in a[p]["i"]]
+    """(place, main text or not) of the page's texts by the wrapper, which holds all that the page holds."""
+    there = dict(zip(keyed(wrapper["k"]), wrapper["k"], strict=True))
+    for key, x in zip(keyed(page["k"]), page["k"], strict=True):
+        if x["l"] == "#":
+            out += [(i, there[key]["m"]) for i in x["i"]]
         else:
-            chosen_places(a[p], b[q], out)
+            chosen_places(x, there[key], out)
 
 
 def leaves(node: dict) -> list[list[int]]:
@@ -521,8 +472,8 @@ def main_text(html: str, wrapper: str | None = None) -> str:
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 #: Wrappers that are sent to all tasks: at most so many hosts and so many bytes, else they are joined by a shuffle.
 BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 32_000_000
-#: Partial wrappers of a host are merged in so many groups first; a task holds so many pages' wrappers at once.
-SALTS, HELD = 256, 20_000
+#: Partial wrappers of a host are merged in so many groups first; a task holds the wrappers of so many characters at once.
+SALTS, HELD = 256, 200_000_000
 
 
 def host_of(url):
@@ -533,36 +484,24 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper) for each host with at least three pages: what its pages' texts are by place."""
 
     def partial(batches):
-        task, held, seen = TaskContext.get().partitionId(), {}, set()
+        task, held, size = TaskContext.get().partitionId(), {}, 0
 
         def flush():
-            rows = [(host, task % SALTS, json.dumps(one)) for host, shapes in held.items() for one in [functools.reduce(lambda a, b: union(a, b, False), shapes.values())]]
-            held.clear()
-            seen.clear()
+            rows = [(host, task % SALTS, json.dumps(one)) for host, one in held.items()]
             return pd.DataFrame(rows, columns=["host", "salt", "wrapper"])
 
-        size = 0
         for pdf in batches:
             for host, html in zip(pdf["host"], pdf["html"], strict=True):
-                digest = hash(html)
-                if (host, digest) in seen:
-                    continue
-                seen.add((host, digest))
                 one = page(html)
-                shapes = held.setdefault(host, {})
-                key = shape(one)
-                if key in shapes:
-                    shapes[key] = union(shapes[key], one, False)
-                else:
-                    shapes[key] = one
-                    size += 1
+                held[host] = union(held[host], one, False) if host in held else one
+                size += len(html)
             if size > HELD:
                 yield flush()
-                size = 0
+                held, size = {}, 0
         yield flush()
 
     def merged(pdf: pd.DataFrame) -> dict:
-        return functools.reduce(lambda a, b: union(a, b, False), map(json.loads, sorted(pdf["wrapper"])))
+        return functools.reduce(lambda a, b: union(a, b, False), map(json.loads, pdf["wrapper"]))
 
     def by_salt(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iat[0]], "wrapper": [json.dumps(merged(pdf))]})

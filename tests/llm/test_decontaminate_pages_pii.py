@@ -105,17 +105,52 @@ def test_streams_fold_repeats_of_any_length_and_align():
     group = "".join(f"<{t}>x</{t}>" for t in "h1 h2 h3 h4 h5 h6 p pre dl".split())
     assert labels(group * 2) == labels(group * 50) and labels("<p>a</p>" * 3) == labels("<p>b</p>")
     one = pages.infer(["<h2>a</h2><p>same</p>", "<h2>b</h2><p>same</p>" * 2, "<h2>c</h2><p>same</p><div>d</div>"])
-    (group, box) = one["k"]
-    assert group["l"] == "(h2 p)" and group["r"] and group["n"] == 3 and box["n"] == 1
-    assert [x["k"][0]["h"] is None for x in group["k"]] == [True, False]  # a slot, and a fixed text
-    rng = random.Random(5)
-    odd = "".join(f"<div class='c{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}'>t{k}</div>" for k in range(6000))
-    other = "".join(f"<div class='c{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}'>t{k}</div>" for k in range(6000))
-    assert len(pages.infer([odd, other, odd])["k"]) <= pages.WIDE * 2
+    head, para, box = one["k"]
+    assert [x["l"] for x in one["k"]] == ["h2", "p", "div~t"] and head["r"] and head["n"] == para["n"] == 3 and box["n"] == 1
+    assert head["k"][0]["h"] is None and para["k"][0]["h"] is not None  # a slot, and a fixed text
+    many = [f"<h2>{k}</h2><ul><li>{k}</li></ul><p>{k}</p>" * (k % 3 + 1) + f"<pre>{k}</pre>" * (k % 2) for k in range(9)]
+    rng, wanted = random.Random(5), pages.decide(pages.infer(many))
+    for _ in range(5):
+        rng.shuffle(many)
+        assert pages.decide(pages.infer(many)) == wanted
     deep = "<div>" * 5000 + "text" + "</div>" * 5000
     assert pages.main_text(deep) == "text" and by_wrapper([deep, deep.replace("text", "other"), deep.replace("text", "third")]) == ["text", "other", "third"]
 
 
+BLOCKS = {"h2": "<h2>{}</h2>", "h3": "<h3>{}</h3>", "p": "<p>{}</p>", "ul": "<ul><li>{}</li><li>{}</li></ul>", "blockquote": "<blockquote><p>{}</p></blockquote>", "pre": "<pre>{}</pre>", "table": "<table><tr><td>{}</td><td>{}</td></tr></table>"}
+
+
+def article(rng, size):
+    """(html, its main text) of a page with ``size`` blocks of random kinds."""
+    html, text = [], []
+    for _ in range(size):
+        block = BLOCKS[rng.choices(list(BLOCKS), [2, 1, 9, 2, 1, 1, 1])[0]]
+        words = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 12))) for _ in range(block.count("{}"))]
+        html.append(block.format(*words))
+        text += words
+    menu = "".join(f"<li><a href='/{k}'>go to {rng.randrange(99)}</a></li>" for k in range(6))
+    return f"<body><header>The house</header><nav><ul>{menu}</ul></nav><article>{''.join(html)}</article><footer>All rights</footer></body>", " ".join(text)
+
+
+def test_articles_alone_keep_every_block():
+    rng = random.Random(11)
+    for size in [*range(1, 40), 600] * 5:
+        html, text = article(rng, size)
+        assert pages.main_text(html) == text
+    assert pages.main_text("<article><h2>a</h2><p>b</p><h2>c</h2><p>d</p><ul><li>e</li></ul><h2>f</h2><p>g</p></article>") == "a b c d e f g"
+
+
+def test_articles_of_hosts_keep_every_block_on_any_partitions(spark):
+    rng = random.Random(12)
+    made = []
+    for host, count, most in (("one", 1, 60), ("three", 3, 20), ("three", 0, 0), ("fifty", 50, 60), ("wide", 4, 600)):
+        made += [(f"http://{host}.example/{k}", *article(rng, rng.randrange(1, most + 1) if host != "wide" else most)) for k in range(count)]
+    data = spark.createDataFrame([(k, url, html) for k, (url, html, _) in enumerate(made)], "page_id long, url string, html string")
+    for parts in (1, 7, 40):
+        got = {r.page_id: r.text for r in pages.extract(data.repartition(parts)).collect()}
+        assert got == {k: text for k, (_, _, text) in enumerate(made)}
+
+
 def test_extract(spark):
     rows = [(k, f"http://soup.example/{k}", SOUP.replace("{n}", str(k)).replace("{more}", ""), "x") for k in range(12)]
     rows += [(100, None, None, "x"), (101, "http://one.example/", PAGE, "x"), (None, "bad url", "", "x"), (3, *rows[3][1:])]
