@@ -1,27 +1,27 @@
-"""Operator 4, benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
-
-1. One pass over the documents marks every place where a word n-gram of a test item stands, and keeps the passages
-   round these places: as many words before and after as the longest item with that n-gram has. Passages that
-   touch are one.
-2. Every n-gram joins passages to items, however common it is, so a verdict depends on the document and the item alone.
-   A score cannot exceed the number of words that passage and item share (each as often as in both), so pairs that
-   share too few words for a leak are left out by that bound, without loss.
-3. Each other pair is aligned word by word (match 1, mismatch and gap -1). A score of ``threshold`` of the item's words,
-   or of ``long_match`` words for long items, makes a leak: edited and paraphrased copies keep most of their words in
-   order. A copy that shares no n-gram with its item (a word inserted after every third one) is not found.
-
-Items go in blocks of bounded size and number of characters, each of which is sent to all tasks: a stated query
-set against all rows. The documents are never shuffled; a text is searched whole in one task.
-
-Words are runs of letters and digits, lower-cased. Inside a longer text, an item of fewer than ``n`` words is no evidence;
-it is leaked by a document whose words are exactly its own. Null texts and items, and those without words, match
-nothing. Documents with one id (null is an id here) share their verdict; ties between
+"""Operator 4, benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+
+A document leaks an item of L words if their best local alignment (match 1, mismatch and gap -1) scores at least
+``threshold`` * L, or ``long_match`` for long items; let s be that, rounded up. Candidates are exact:
+
+1. An alignment of M matched words and P errors scores M - P >= s. Its matched words lie in at most P + 1 runs, so it shares at
+   least s - 1 of the item's L - 1 word pairs. Hence it holds one of any L - s + 1 pairs of the item: the seeds are
+   those that the fewest items have. It covers at most 2L - s words of the document.
+2. One pass over the documents marks the seeds. Round each, as far as an alignment may reach, a passage is kept if it shares s - 1
+   word pairs with the item.
+3. Passages are joined to their items and aligned word by word.
+
+So every document is found that full alignment with every item would find (tested against that). Items go in blocks of
+bounded size and number of characters, each of which is sent to all tasks as arrays of hashes: a stated query set against all rows.
+The documents are never shuffled; a text is searched whole in one task.
+
+Words are runs of letters and digits, lower-cased, compared by 64-bit hashes. Inside a longer text, an item of fewer than
+``least`` words is no evidence; it is leaked by a document whose words are exactly its own. Null texts and items, and those without
+words, match nothing. Documents with one id (null is an id here) share their verdict; ties between
 items go to the smaller item_id. Empty tables give no leaks. Other columns pass through ``decontaminate`` untouched.
 """
 
 from __future__ import annotations
 
-import collections
 import math
 import re
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from livetext.llm.common import small_batches, table, whole, written
 
 WORD = re.compile(r"[^\W_]+")
-PASSAGES = "doc_id long, passage int, words array<string>, grams array<long>"
+PASSAGES = "doc_id long, item int, words array<long>"
 LEAKS = "doc_id long, item_id long, score double"
 #: A block of test items: at most so many items and so many characters (of the average item).
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 32_000_000
@@ -53,24 +53,23 @@ class Hashes:
     def __init__(self):
         self.seen = {}
 
-    def grams(self, words: list[str], n: int) -> np.ndarray:
-        """Hash of the n-gram at each place."""
+    def words(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        if len(words) < n:
-            return np.empty(0, np.int64)
         seen = self.seen
         for w in set(words).difference(seen):
             seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1)
         h = np.fromiter((seen[w] for w in words), np.uint64, len(words))
         if len(seen) > self.MOST:
             seen.clear()
-        out = np.zeros(len(words) - n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(n):
-                out = (out ^ h[k : k + len(out)]) * _MIX
-                out ^= out >> np.uint64(29)
-        return out.view(np.int64)
+        return h
+
+
+def pairs(h: np.ndarray) -> np.ndarray:
+    """Hash of the pair of words at each place but the last."""
+    with np.errstate(over="ignore"):
+        out = (h[:-1] * _MIX ^ h[1:]) * _MIX
+        return out ^ out >> np.uint64(29)
 
 
 def align(a: list[int], b: list[int]) -> int:
@@ -98,96 +97,109 @@ def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
         yield [(r.item_id, r.text) for r in sized.filter(part == k).collect()]
 
 
-def passages(docs: DataFrame, items: list[tuple[int, list[str]]], n: int, id_col: str, text_col: str) -> DataFrame:
-    """Passages round the places where an item's n-gram stands, and whole texts that are a short item (without n-grams)."""
-    reach: dict[int, int] = {}
-    hashes = Hashes()
-    short = {tuple(words) for _, words in items if len(words) < n}
-    for _, words in items:
-        for g in hashes.grams(words, n).tolist():
-            reach[g] = max(reach.get(g, 0), len(words))
-    keys = np.array(sorted(reach) or [0], np.int64)
-    spans = np.array([reach.get(g, 0) for g in keys.tolist()], np.int64)
-    # one bit test settles nearly every place before the search
-    bits = np.zeros(1 << 22, bool)
-    bits[keys & ((1 << 22) - 1)] = True
-    shared = docs.sparkSession.sparkContext.broadcast((keys, spans, bits, short))
+class Items:
+    """A block's items as arrays of hashes."""
 
-    def find(batches):
-        keys, spans, bits, short = shared.value
+    def __init__(self, items: list[list[str]], threshold: float, long_match: int, least: int):
         hashes = Hashes()
+        self.words = [hashes.words(w) for w in items]
+        #: The least score of a leak, and how far an alignment may reach from a seed.
+        self.score = [math.ceil(min(threshold * len(w), long_match) - 1e-9) for w in items]
+        self.reach = [2 * len(w) - s for w, s in zip(items, self.score, strict=True)]
+        own = [pairs(w) if len(w) >= least else np.zeros(0, np.uint64) for w in self.words]
+        values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, own)]), return_counts=True)
+        seeds: dict[int, list[int]] = {}
+        for k, p in enumerate(own):
+            if len(p):
+                rare = np.argsort(counts[np.searchsorted(values, p)], kind="stable")[: len(p) + 2 - self.score[k]]
+                for x in set(p[rare].tolist()):
+                    seeds.setdefault(x, []).append(k)
+        self.pairs = [np.unique(p) for p in own]
+        self.keys = np.array(sorted(seeds), np.uint64)
+        self.items_of = np.array([k for x in self.keys.tolist() for k in seeds[x]], np.int64)
+        self.offsets = np.cumsum([0, *[len(seeds[x]) for x in self.keys.tolist()]])
+        # one bit test settles nearly every place before the search
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.short: dict[bytes, list[int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < least:
+                self.short.setdefault(w.tobytes(), []).append(k)
+        self.shorter = least
+
+    def passages(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(item, words) of each passage of a text that may hold a copy of the item."""
+        if len(h) < self.shorter:
+            return [(k, h) for k in self.short.get(h.tobytes(), ())]
+        if not len(self.keys):
+            return []
+        p = pairs(h)
+        at = np.nonzero(self.bits[(p & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
+        k = np.minimum(np.searchsorted(self.keys, p[at]), len(self.keys) - 1)
+        same = self.keys[k] == p[at]
+        at, k = at[same], k[same]
+        if not len(at):
+            return []
+        each = self.offsets[k + 1] - self.offsets[k]
+        item = self.items_of[np.arange(each.sum()) + np.repeat(self.offsets[k] - (np.cumsum(each) - each), each)]
+        at = np.repeat(at, each)
+        order = np.lexsort((at, item))
+        at, item, out = at[order], item[order], []
+        for places in np.split(np.arange(len(at)), np.nonzero(np.diff(item))[0] + 1):
+            one, reach = int(item[places[0]]), self.reach[int(item[places[0]])]
+            first, last = np.maximum(at[places] - reach, 0), np.minimum(at[places] + 2 + reach, len(h))
+            new = np.concatenate([[True], first[1:] > last[:-1]])
+            for a, b in zip(first[new].tolist(), last[np.append(new[1:], True)].tolist(), strict=True):
+                if np.isin(p[a : b - 1], self.pairs[one]).sum() >= self.score[one] - 1:
+                    out.append((one, h[a:b]))
+        return out
+
+
+def passages(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, item, words): the passages that may hold a copy of an item, as hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def find(batches):
+        items, hashes = shared.value, Hashes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
-                if len(words) < n:
-                    if tuple(words) in short:
-                        rows.append((doc_id, 0, words, []))
-                    continue
-                grams = hashes.grams(words, n)
-                at = np.nonzero(bits[grams & ((1 << 22) - 1)])[0]
-                if not len(at):
-                    continue
-                k = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
-                same = keys[k] == grams[at]
-                at, k = at[same], k[same]
-                if not len(at):
-                    continue
-                first, last = np.maximum(at - spans[k], 0), np.minimum(at + n + spans[k], len(words))
-                order = np.argsort(first, kind="stable")
-                ends = np.maximum.accumulate(last[order])
-                new = np.concatenate([[True], first[order][1:] > ends[:-1]])
-                starts, stops = first[order][new], np.append(ends[:-1][new[1:]], ends[-1])
-                where = np.searchsorted(starts, at, "right") - 1
-                for p, (s, e) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
-                    rows.append((doc_id, p, words[s:e], np.unique(grams[at[where == p]]).tolist()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())], strict=True)], names=["doc_id", "passage", "words", "grams"])
+                if words:
+                    rows += [(doc_id, item, w.view(np.int64)) for item, w in items.passages(hashes.words(words))]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.list_(pa.int64())], strict=True)], names=["doc_id", "item", "words"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(find, PASSAGES)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.6, long_match: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def aligned(batches):
+    """(doc_id, item_id, score) of passages beside their item's words, where the score is enough."""
+    for batch in batches:
+        rows = []
+        for doc_id, item_id, least, words, item in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "item_id", "least", "words", "item_words")], strict=True):
+            score = align(item, words)
+            if score >= least:
+                rows.append((doc_id, item_id, score / len(item)))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64()], strict=True)], names=["doc_id", "item_id", "score"])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 4, threshold: float = 0.6, long_match: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score): for each document with a leak its best item and the aligned share of that item."""
     spark = docs.sparkSession
     small_batches(spark)
     found = None
     for block in _blocks(benchmark):
-        items = [(i, words) for i, t in block if (words := words_of(t))]
-        if not items:
+        block = [(i, words) for i, t in block if (words := words_of(t))]
+        if not block:
             continue
-        kept = written(passages(docs, items, n, id_col, text_col), "passages")
-        # a block's n-grams and short items, bounded by BLOCK_CHARS
-        hashes, by_gram = Hashes(), {}
-        for k, (_, words) in enumerate(items):
-            for g in set(hashes.grams(words, n).tolist()) or {tuple(words)}:
-                by_gram.setdefault(g, []).append(k)
-        shared = spark.sparkContext.broadcast((by_gram, items, [list(collections.Counter(words).items()) for _, words in items]))
-
-        def compare(batches):
-            by_gram, items, counts = shared.value
-            for batch in batches:
-                rows = []
-                for doc_id, words, grams in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                    if not grams:
-                        rows += [(doc_id, items[k][0], 1.0) for k in by_gram[tuple(words)]]
-                        continue
-                    numbers: dict[str, int] = {}
-                    passage, has = None, collections.Counter(words)
-                    for k in sorted({k for g in grams for k in by_gram.get(g, ())}):
-                        item_id, item = items[k]
-                        least = min(threshold * len(item), long_match)
-                        if sum(min(c, has[w]) for w, c in counts[k]) < least:
-                            continue
-                        if passage is None:
-                            passage = np.array([numbers.setdefault(w, len(numbers)) for w in words])
-                        score = align([numbers.get(w, -1) for w in item], passage)
-                        if score >= least:
-                            rows.append((doc_id, item_id, score / len(item)))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64()], strict=True)], names=["doc_id", "item_id", "score"])
-
-        one = written(kept.select("doc_id", "words", "grams").mapInArrow(compare, LEAKS), "leaks")
+        items = Items([words for _, words in block], threshold, long_match, least)
+        kept = written(passages(docs, items, id_col, text_col), "passages")
+        table_of = [(k, i, items.score[k], items.words[k].view(np.int64).tolist()) for k, (i, _) in enumerate(block)]
+        table_of = written(spark.createDataFrame(table_of, "item int, item_id long, least int, item_words array<long>"), "items")
+        # sort-merge: adaptive execution splits the passages of an item with very many copies
+        one = written(kept.join(table_of.hint("merge"), "item").select("doc_id", "item_id", "least", "words", "item_words").mapInArrow(aligned, LEAKS), "leaks")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], LEAKS)

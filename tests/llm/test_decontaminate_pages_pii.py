@@ -308,14 +308,44 @@ def test_leaks_are_all_pairs_aligned(spark):
         rows.append((k, " ".join([rng.choice(vocab) for _ in range(rng.randrange(30))] + part + [rng.choice(vocab) for _ in range(rng.randrange(30))])))
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.score) for r in leaks(docs(spark, rows), bench).collect()}
-    want, grams = {}, lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    assert full(items, rows) == got and 20 < len(got) < 120
+
+
+def full(items, rows):
+    """Every text aligned with every item."""
+    want = {}
     for i, t in rows:
         text, ids = t.split(), {}
         number = lambda w, ids=ids: ids.setdefault(w, len(ids))
-        best = max(((align([number(w) for w in it], [number(w) for w in text]) / len(it), -k) for k, it in items.items() if grams(it) & grams(text) and align([number(w) for w in it], [number(w) for w in text]) >= min(0.6 * len(it), 50)), default=None)
+        scores = {k: align([number(w) for w in it], [number(w) for w in text]) for k, it in items.items()}
+        best = max(((x / len(items[k]), -k) for k, x in scores.items() if x >= min(0.6 * len(items[k]), 50) and (len(items[k]) >= 4 or items[k] == text)), default=None)
         if best:
             want[i] = (-best[1], best[0])
-    assert 20 < len(want) < 120 and got == want
+    return want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edited_copies_of_any_length_are_all_found(spark, seed):
+    """Words put in after every second or third word, words dropped, changed and swapped, in items of 4 to 90 words."""
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(300)]
+    items = {k: rng.choices(vocab, [1 / (j + 2) for j in range(300)], k=rng.choice([3, 4, 6, 10, 24, 40, 90])) for k in range(30)}
+    rows = []
+    for k in range(240):
+        it, kind = items[k % 30], k // 30
+        if kind < 2:
+            part = [x for j, w in enumerate(it) for x in ([w, "new"] if j % (3 - kind) == 2 - kind else [w])]
+        elif kind < 5:
+            part = [x for w in it for x in ([w] if rng.random() > 0.08 * kind else rng.choice([[], ["new"], [w, rng.choice(vocab)]]))]
+        else:
+            part = list(it)
+            for j in range(0, len(it) - 1, kind):
+                part[j : j + 2] = part[j + 1], part[j]
+        rows.append((k, " ".join([*rng.choices(vocab, k=rng.randrange(40)), *part, *rng.choices(vocab, k=rng.randrange(40))])))
+    rows += [(300 + k, " ".join(it)) for k, it in items.items()]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.score) for r in leaks(docs(spark, rows), bench).collect()}
+    assert got == full(items, rows) and len(got) > 100
 
 
 def test_edited_copy_with_a_common_stem_only(spark):
