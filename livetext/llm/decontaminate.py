@@ -7,7 +7,7 @@ A document leaks an item of L words if their best local alignment (match 1, mism
    least s - 1 of the item's L - 1 word pairs. Hence it holds one of any L - s + 1 pairs of the item: the seeds are
    those that the fewest items have. It covers at most 2L - s words of the document.
 2. One pass over the documents marks the seeds. Round each, as far as an alignment may reach, a passage is kept if it shares s - 1
-   word pairs with the item.
+   word pairs with any items together, and then with the item.
 3. Passages are joined to their items and aligned word by word.
 
 So every document is found that full alignment with every item would find (tested against that). Items go in blocks of
@@ -121,6 +121,10 @@ class Items:
         # one bit test settles nearly every place before the search
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        # pairs of any item, whose number in a window bounds that of each item
+        self.any_bits = np.zeros(1 << 22, bool)
+        self.any_bits[(values & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.score_of, self.reach_of = np.array(self.score, np.int64), np.array(self.reach, np.int64)
         self.short: dict[bytes, list[int]] = {}
         for k, w in enumerate(self.words):
             if 0 < len(w) < least:
@@ -134,7 +138,8 @@ class Items:
         if not len(self.keys):
             return []
         p = pairs(h)
-        at = np.nonzero(self.bits[(p & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
+        low = (p & np.uint64((1 << 22) - 1)).astype(np.int64)
+        at = np.nonzero(self.bits[low])[0]
         k = np.minimum(np.searchsorted(self.keys, p[at]), len(self.keys) - 1)
         same = self.keys[k] == p[at]
         at, k = at[same], k[same]
@@ -143,6 +148,12 @@ class Items:
         each = self.offsets[k + 1] - self.offsets[k]
         item = self.items_of[np.arange(each.sum()) + np.repeat(self.offsets[k] - (np.cumsum(each) - each), each)]
         at = np.repeat(at, each)
+        before = np.concatenate([[0], np.cumsum(self.any_bits[low])])
+        some = before[np.minimum(at + 1 + self.reach_of[item], len(p))] - before[np.maximum(at - self.reach_of[item], 0)]
+        near = some >= self.score_of[item] - 1
+        at, item = at[near], item[near]
+        if not len(at):
+            return []
         order = np.lexsort((at, item))
         at, item, out = at[order], item[order], []
         for places in np.split(np.arange(len(at)), np.nonzero(np.diff(item))[0] + 1):
