@@ -45,7 +45,7 @@ NAME = rf"(?:(?:\p{{Lu}}\.[ -]?(?=\p{{Lu}}|(?:{PARTICLES})[ -])|(?:{PARTICLES})[
 #: Patterns by kind, tried in this order at each place.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,250}\.[A-Za-z]{2,24}\b",
-    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b",
+    "secret": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-(?=[A-Za-z0-9_-]{20})[A-Za-z0-9]+(?:[_-]+[A-Za-z0-9]+)*|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b(?!\.[0-9])",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -367,6 +367,13 @@ def _mentions(between: Column, entities: Column, put: Column) -> Column:
 BROADCAST_TEXTS, BROADCAST_ENTRIES = 50_000, 200_000
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with entities in ``text_col`` replaced; all other columns as they are."""
     entities = written(entity_table(docs, text_col), "entities")
@@ -375,7 +382,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     if exceptions.isEmpty():
         return docs.withColumn(text_col, replaced(text, key))
     # texts that mention an exception get a map of theirs, joined by the text's digest
-    mark, entries = "__livetext_digest", "__livetext_map"
+    mark, entries = _unused(docs, "__livetext_digest"), _unused(docs, "__livetext_map")
     digest = F.sha2(text, 256)
     mentions = docs.select(digest.alias(mark), F.explode(F.array_distinct(F.flatten(F.transform(found(text), identities)))).alias("entity")).distinct()
     maps = mentions.join(exceptions.hint("merge"), "entity").groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(entries))

@@ -356,3 +356,16 @@ def test_edited_copy_with_a_common_stem_only(spark):
     bench = spark.createDataFrame([(7, " ".join(stem + tail))], "item_id long, text string")
     assert {r.doc_id: r.score for r in leaks(docs(spark, rows), bench).collect()} == {200: 1.0, 201: 0.7}
     assert {r.doc_id for r in leaks(docs(spark, rows[-1:]), bench).collect()} == {201}
+
+
+def test_clashing_names_and_long_keys(spark):
+    """Exceptions exist (more one-word names than first surrogates), and the input has the helper columns' names."""
+    long = "sk-proj-" + "aB3_x-" * 40 + "Z9"
+    names = ["".join(chr(97 + (k // 26**j) % 26) for j in range(4)).capitalize() for k in range(1500)]
+    rows = [(k, f"Mr. {n} wrote", k * 7, f"kept {k}") for k, n in enumerate(names)] + [(5000, f"key {long} end", 1, "x"), (5001, None, None, None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, __livetext_digest long, __LIVETEXT_map string")
+    got = {r.doc_id: r for r in pii.replace_entities(data, "k").collect()}
+    assert len(got) == len(rows) and all((got[i][2], got[i][3]) == (a, b) for i, _, a, b in rows)
+    assert len({got[k].text for k in range(1500)}) == 1500 and got[5001].text is None
+    left = got[5000].text
+    assert left.startswith("key ") and left.endswith(" end") and "proj" not in left and not any(long[a : a + 8] in left for a in range(4, len(long) - 8))
