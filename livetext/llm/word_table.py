@@ -2,13 +2,16 @@
 
 1. Tasks split their texts into the tokenizer's words (pre-tokens) and number them by first appearance in a chunk of
    texts of at most ``CHUNK_CHARS`` characters (a longer text is a chunk of its own). A text becomes its list of word
-   numbers, which is written once, with the words that are new in the chunk.
-2. The distinct words of all chunks are encoded, each once.
-3. Words of chunks are joined to their ids, distinct ids of chunks to the vocabulary's pieces. Both go to the chunk's
-   texts, where ids are put at the words' positions and pieces at the ids' positions.
+   numbers, with the words that are new in the chunk.
+2. The chunks' words are dealt out and sorted by word. Each distinct word is encoded once, its ids are joined to the
+   vocabulary's pieces, and both go back to the chunks that have the word.
+3. In each chunk ids are put at the words' positions, and pieces at the ids' positions.
 
-So the joins carry each word once for each chunk, not once for each place where it stands. The only table that is sent to
-all tasks is the vocabulary (as many rows as the vocabulary file has tokens).
+So the joins carry each word once for each chunk, not once for each place where it stands, and a word that is in every text
+is a row for each chunk. The only table that is sent to all tasks is the vocabulary (as many rows as its file has tokens).
+
+Chunks are numbered inside the tasks that read the input. A task that is run again must meet the same rows in the same order,
+as it does where ``docs`` is read from files; write out what comes from a shuffle first.
 
 Words are those of the ``tokenizers`` library: texts in the Latin range are split by the published pattern, where character
 classes agree, all others by the library's own pre-tokenizer. Added tokens such as ``<|endoftext|>`` are words of one id
@@ -24,21 +27,28 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from livetext.llm.common import new_path, small_batches, table, whole
+from livetext.llm.common import small_batches, table, whole, written
 from livetext.llm.encoding import OUTSIDE_LATIN, encoder
 
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 32_000_000
+#: Compression of what is shuffled.
+LEVEL = 9
 
 
 class Words:
@@ -90,57 +100,114 @@ def pieces(path: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["id", "piece"])
 
 
-def _packed(df: DataFrame, name: str) -> DataFrame:
-    """As ``written``, with the denser codec: these tables hold a number for each word of the corpus."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative whole numbers in the fewest bytes that hold the largest, first bytes first, compressed: the tables here hold a
+    number for each word of the corpus."""
+    most = int(values.max(initial=0))
+    size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    planes = np.frombuffer(values.astype(f"<u{size}").tobytes(), np.uint8).reshape(-1, size).T
+    return b"%d" % size + zstandard.compress(planes.tobytes(), LEVEL)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    size = int(data[:1])
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(size, -1)
+    return np.frombuffer(planes.T.tobytes(), f"<u{size}").astype(np.int64)
+
 
+class Numbers(dict):
+    """Numbers by first appearance."""
 
-SPLIT = "chunk long, doc_id long, places array<int>, first int, words array<string>"
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+#: Bits of a chunk's number that count a task's chunks, and bits of a word's number: both make up its place.
+CHUNKS_OF_TASK, KEY = 14, 28
+SPLIT = "chunk long, parts array<binary>"
+#: Places in ``parts``.
+DOC_ID, PLACES, FIRST, SIZES, WORDS = range(5)
 
 
 def split(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Texts as numbers of words in their chunk, and the words that no earlier text of the chunk has."""
+    """Texts as numbers of words in their chunk. ``parts`` is the id, the (packed) numbers and, in the last text of a batch, the
+    words that no earlier batch of the chunk has: the first one's number, their sizes and their bytes. One column, so that all
+    uses of it read the same shuffle files."""
 
     def number(batches):
-        of, known, chars, chunk = words(tokenizer).of, {}, 0, TaskContext.get().partitionId() << 32
+        of, known, chars, chunk = words(tokenizer).of, Numbers(), 0, TaskContext.get().partitionId() << CHUNKS_OF_TASK
         for batch in batches:
-            rows = []
+            rows, first = [], len(known)
+
+            def with_words():
+                new = [w.encode() for w in itertools.islice(reversed(known), len(known) - first)][::-1]
+                if new:
+                    rows[-1][1].extend([b"%d" % first, packed(np.array([len(w) for w in new])), zstandard.compress(b"".join(new), LEVEL)])  # noqa: B023
+
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 if known and chars + len(text) > chunk_chars:
-                    known, chars, chunk = {}, 0, chunk + 1
-                first, found = len(known), of(text)
-                places = [known.setdefault(w, len(known)) for w in found]
+                    if rows:
+                        with_words()
+                    known, first, chars, chunk = Numbers(), 0, 0, chunk + 1
+                    if not chunk & (1 << CHUNKS_OF_TASK) - 1:
+                        raise OverflowError("a task has more chunks than can be numbered")
+                found = of(text)
+                places = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
                 chars += len(text)
-                new = list(dict.fromkeys(w for w, k in zip(found, places, strict=True) if k >= first)) if len(known) > first else []
-                rows.append((chunk, doc_id, np.array(places, np.int32), first, new))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "doc_id", "places", "first", "words"])
+                rows.append((chunk, [b"" if doc_id is None else b"%d" % doc_id, packed(places)]))
+            if rows:
+                with_words()
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.binary()))], names=["chunk", "parts"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(number, SPLIT)
 
 
-def word_ids(found: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids) of each distinct word of ``found`` (a table with a column ``word``)."""
+def new_words(rows: DataFrame) -> DataFrame:
+    """(place, word) of the split table; a place is a chunk's number and a word's number in it."""
+
+    def unpack(batches):
+        for batch in batches:
+            for chunk, parts in zip(batch.column("chunk").to_pylist(), batch.column("parts"), strict=True):
+                if len(parts) > WORDS:
+                    sizes, data = unpacked(parts[SIZES].as_py()), zstandard.decompress(parts[WORDS].as_py())
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                    found = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(data)).cast(pa.string())
+                    first = int(parts[FIRST].as_py())
+                    if first + len(sizes) > 1 << KEY:
+                        raise OverflowError("a text has more distinct words than can be numbered")
+                    yield pa.RecordBatch.from_arrays([pa.array((chunk << KEY) + np.arange(first, first + len(sizes))), found], names=["place", "word"])
 
-    @F.pandas_udf("array<int>")
-    def encode(batch: pd.Series) -> pd.Series:
-        ids = encoder(tokenizer).ids
-        return pd.Series([ids(w).astype(np.int32) for w in batch], dtype=object)
+    return rows.mapInArrow(unpack, "place long, word string")
 
-    return found.select("word").distinct().withColumn("ids", encode("word"))
 
+def word_table(found: DataFrame, tokenizer: str) -> DataFrame:
+    """(ids, places): the ids of each distinct word of ``found`` (place, word), and where it stands. A word is encoded once; one in very
+    many places has several rows."""
+
+    def encode(batches):
+        ids_of, last, ids = encoder(tokenizer).ids, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = batch.column("word").dictionary_encode()  # sorted: a word's rows are neighbours
+            rows = []
+            for word in runs.dictionary.to_pylist():
+                if word != last:
+                    last, ids = word, ids_of(word).astype(np.int32)
+                rows.append(ids)
+            cuts = np.searchsorted(np.array(runs.indices), np.arange(len(rows) + 1))
+            places = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), batch.column("place"))
+            yield pa.RecordBatch.from_arrays([_lists(np.concatenate(rows), np.cumsum([0, *map(len, rows)])), places], names=["ids", "places"])
 
-def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs of ``values`` with these starts and lengths, one after another."""
-    total = int(lengths.sum())
-    at = np.arange(total, dtype=np.int64) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return values[at]
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "ids array<int>, places array<long>")
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of the runs with these starts and lengths, one after another."""
+    return np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
 def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,68 +224,99 @@ def _texts(local: np.ndarray, ends: np.ndarray, piece: list[bytes]) -> list[str]
     sizes = np.array([len(p) for p in piece], np.int64)
     starts, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(piece), np.uint8)
     lengths = sizes[local] if len(local) else np.zeros(0, np.int64)
-    data = _gather(every, starts[local], lengths).tobytes() if len(local) else b""
+    data = every[_runs(starts[local], lengths)].tobytes() if len(local) else b""
     cuts = np.concatenate([[0], np.cumsum(lengths)])[ends]
     return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-IDS, TEXT = "doc_id long, ids array<int>", "doc_id long, text string"
+TEXT = "doc_id long, text string"
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
 
 
-def _joined(rows: DataFrame, tokenizer: str, decoded: bool) -> DataFrame:
-    """Documents of the split table with their ids, and with the decoded text if asked for."""
-    spark = rows.sparkSession
-    of_chunk = rows.filter(F.size("words") > 0).select("chunk", "first", F.posexplode("words").alias("k", "word"))
-    known = _packed(word_ids(of_chunk, tokenizer), "word-ids")
-    # a frequent word is in every chunk: the merge join lets adaptive execution split it
-    ids = of_chunk.join(known.hint("merge"), "word").select("chunk", (F.col("first") + F.col("k")).alias("key"), "ids", F.lit(None).cast("binary").alias("piece"))
-    if decoded:
-        ids = _packed(ids, "chunk-ids")
-        vocabulary = spark.createDataFrame(pieces(tokenizer), "id int, piece binary")
-        distinct = ids.select("chunk", F.explode("ids").alias("id")).distinct()
-        found = distinct.join(F.broadcast(vocabulary), "id")  # as many rows as the vocabulary has tokens
-        ids = ids.unionByName(found.select("chunk", F.col("id").alias("key"), F.lit(None).cast("array<int>").alias("ids"), "piece"))
+TABLE = "of long, keys binary, at binary, ids binary, known binary, pieces array<binary>"
+#: Tokens of a task's share of the chunks' tables that are packed at once.
+HELD = 1_500_000
+
+
+def _chunk_tables(found: DataFrame) -> DataFrame:
+    """Tokens of words (at, id, piece, places) as one row for each task and chunk: of each token its word's key, its place in
+    the word and its id; and the pieces of these ids."""
+
+    def pack(batches):
+        held, n = [], 0
+
+        def flush():
+            rows = pa.Table.from_batches(held)
+            places, bounds = _flat(rows["places"])
+            chunk, keys = places >> KEY, places & (1 << KEY) - 1
+            each = np.repeat(np.arange(rows.num_rows), np.diff(bounds))
+            at, ids = np.array(rows["at"], np.int64)[each], np.array(rows["id"], np.int64)
+            piece = dict(zip(ids.tolist(), rows["piece"].to_pylist(), strict=True))
+            ids = ids[each]
+            order = np.lexsort((at, keys, chunk))
+            cuts = np.nonzero(np.diff(chunk[order], prepend=chunk[order[0]] - 1))[0]
+            out = []
+            for mine in np.split(order, cuts[1:]):
+                known = np.unique(ids[mine])
+                out.append((int(chunk[mine[0]]), packed(np.diff(keys[mine], prepend=0)), packed(at[mine]), packed(ids[mine]), packed(known), [piece[i] for i in known.tolist()]))
+            cols = list(zip(*out, strict=True))
+            kinds = [pa.int64(), *[pa.binary()] * 4, pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in TABLE.split(", ")])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += len(batch.column("places").flatten())
+            if n >= HELD:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    return found.mapInArrow(pack, TABLE)
+
+
+def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", then: Callable[[np.ndarray, str], tuple] | None = None, schema: str = "ids array<int>, text string") -> DataFrame:
+    """(doc_id, ids, text) for each row of ``docs``; ``text`` is decoded from the ids. The same as ``decode(encode(docs))``,
+    but ids meet their pieces once for each distinct word. ``then`` makes other columns (``schema``) of each row's ids and text
+    where they come to be, so that what is only digested or counted needn't leave its task."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = split(docs, tokenizer, id_col, text_col).repartition("chunk")
+    found = word_table(new_words(rows), tokenizer)
+    vocabulary = spark.createDataFrame(pieces(tokenizer), "id int, piece binary")
+    tokens = found.select("places", F.posexplode("ids").alias("at", "id"))
+    tables = _chunk_tables(tokens.join(F.broadcast(vocabulary), "id").select("at", "id", "piece", "places"))  # as many rows as the vocabulary has tokens
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = np.array(right["ids"].is_valid(), bool)
-        own = right.filter(pa.array(is_word))
-        own = own.take(pa.array(np.argsort(np.array(own["key"], np.int32), kind="stable")))
-        values, offsets = _flat(own["ids"])
-        places, bounds = _flat(left["places"])
-        lengths = np.diff(offsets)[places] if len(places) else np.zeros(0, np.int64)
-        tokens = np.concatenate([[0], np.cumsum(lengths)])[bounds]
-        starts = offsets[:-1][places] if len(places) else np.zeros(0, np.int64)
-        cols = {"doc_id": left["doc_id"], "ids": _lists(_gather(values, starts, lengths), tokens)}
-        if decoded:
-            piece = right.filter(pa.array(~is_word))
-            keys = np.array(piece["key"], np.int32)
-            order = np.argsort(keys, kind="stable")
-            local = np.searchsorted(keys[order], values)
-            found = piece["piece"].to_pylist()
-            cols["text"] = pa.array(_texts(_gather(local, starts, lengths), tokens, [found[k] for k in order]), pa.string())
-        return pa.table(cols)
-
-    schema = IDS + ", text string" * decoded
-    # both sides come from one table: the chunk gets a name of its own on each
-    left, right = rows.select(F.col("chunk").alias("part"), "doc_id", "places"), ids.withColumn("of", F.col("chunk")).drop("chunk")
-    return left.groupBy("part").cogroup(right.groupBy("of")).applyInArrow(place, schema)
+        none = np.zeros(0, np.int64)
+        column = lambda c: np.concatenate([none, *map(unpacked, right[c].to_pylist())])
+        keys = np.concatenate([none, *[np.cumsum(unpacked(x)) for x in right["keys"].to_pylist()]])
+        ids, order = column("ids"), np.lexsort((column("at"), keys))
+        ids, counts = ids[order], np.bincount(keys)
+        starts = np.cumsum(counts) - counts
+        piece = dict(zip(column("known").tolist(), (p for row in right["pieces"].to_pylist() for p in row), strict=True))
+        known = np.array(sorted(piece), np.int64)
+        piece, local = [piece[i] for i in known.tolist()], np.searchsorted(known, ids)
+        rows = []
+        for row in left["parts"]:  # text by text: only the results of a chunk are held
+            places = unpacked(row[PLACES].as_py())
+            own = _runs(starts[places], counts[places])
+            doc_id, text = row[DOC_ID].as_py(), b"".join([piece[k] for k in local[own].tolist()]).decode("utf-8", "replace")
+            made = ids[own].astype(np.int32), text
+            rows.append((int(doc_id) if doc_id else None, *(then(*made) if then else made)))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    arrow = to_arrow_schema(_parse_datatype_string(f"doc_id long, {schema}"))
+    return rows.groupBy("chunk").cogroup(tables.groupBy("of")).applyInArrow(place, f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for each row of ``docs``."""
-    small_batches(docs.sparkSession)
-    return _joined(_packed(split(docs, tokenizer, id_col, text_col), "split"), tokenizer, False)
-
-
-def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, text) for each row of ``docs``; ``text`` is decoded from the ids. The same as ``decode(encode(docs))``,
-    but the ids of a chunk meet their pieces in the join that places them, so no table of all ids is written."""
-    small_batches(docs.sparkSession)
-    return _joined(_packed(split(docs, tokenizer, id_col, text_col), "split"), tokenizer, True)
+    return encode_and_decode(docs, tokenizer, id_col, text_col).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids", chunk_ids: int = 2_000_000) -> DataFrame:
@@ -242,7 +340,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), batch.column(0), _lists(values, offsets), pa.array(news, pa.list_(pa.int32()))], names=["chunk", "doc_id", "ids", "new"])
 
     own = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.filter(F.col(ids_col), lambda x: x.isNotNull()).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
-    rows = _packed(own.mapInArrow(number, "chunk long, doc_id long, ids array<int>, new array<int>"), "ids-by-chunk")
+    rows = written(own.mapInArrow(number, "chunk long, doc_id long, ids array<int>, new array<int>"), "ids-by-chunk")
     vocabulary = spark.createDataFrame(pieces(tokenizer), "id int, piece binary")
     found = rows.select("chunk", F.explode("new").alias("id")).join(F.broadcast(vocabulary), "id")
 
@@ -263,9 +361,8 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
 def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    @F.pandas_udf("string")
-    def ids_sha256(ids: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in ids], dtype=object)
+    def digests(ids: np.ndarray, text: str) -> tuple[int, str, str]:
+        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
-    found = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    return encode_and_decode(docs, path, then=digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")

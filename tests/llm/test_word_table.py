@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from livetext.llm.encoding import encoder
-from livetext.llm.word_table import decode, encode, encode_and_decode, op11_word_table, pieces, split, words
+from livetext.llm.word_table import decode, encode, encode_and_decode, op11_word_table, packed, pieces, split, unpacked, word_table, words
 
 from helpers import ODD, docs
 
@@ -53,7 +53,15 @@ def test_ids_and_texts_are_the_librarys(spark, chunk_chars, monkeypatch):
 
 def test_each_word_is_carried_once_a_chunk(spark):
     rows = split(docs(spark, [(i, "the same words again and the words") for i in range(100)]).coalesce(1), PATH).collect()
-    assert sum(len(r.words) for r in rows) == 6 and all(len(r.places) == 7 for r in rows)
+    assert sum(len(unpacked(r.parts[3])) for r in rows if len(r.parts) > 2) == 6 and all(len(unpacked(r.parts[1])) == 7 for r in rows)
+
+
+def test_a_word_in_many_chunks_is_encoded_once(spark):
+    found = spark.range(5000).selectExpr("id as place", "if(id % 3 = 0, 'rare' || id, ' the') as word")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    rows = word_table(found, PATH).collect()
+    assert sorted(p for r in rows for p in r.places) == list(range(5000)) and all(len(r.places) <= 100 for r in rows)
+    assert {tuple(r.ids) for r in rows if len(r.places) > 1} == {tuple(encoder(PATH).ids(" the").tolist())}
 
 
 def test_odd_ids(spark):
@@ -81,3 +89,8 @@ def test_query(spark):
         ids, one = REAL.encode(r.text, add_special_tokens=False).ids, got[r.doc_id]
         assert one.n_tokens == len(ids) and one.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert one.decoded_sha256 == hashlib.sha256(REAL.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("values", [[], [0], [255], [256, 1], [70_000, 3], [4_000_000_000]])
+def test_packed_numbers(values):
+    assert unpacked(packed(np.array(values, np.int64))).tolist() == values
