@@ -256,7 +256,7 @@ def rebuild_prompt(prompt: Column, fields: list[str]) -> Column:
     return render_context(**{f: F.regexp_extract(prompt, f"(?m)^{f}=(.*)$", 1) for f in fields})
 
 
-def frame_energy(values: Column, scale: float = 32768.0, least: float = 0.002) -> tuple[Column, Column]:
-    """Root mean square of a frame's values and whether it is voiced, as aggregates."""
+def frame_energy(values: Column, scale: float = 32768.0, least: float = 0.012) -> tuple[Column, Column]:
+    """Root mean square of a frame's values and whether it is voiced (fixed value: 0.012 of the scale), as aggregates."""
     rms = F.sqrt(F.avg(values * values)) / scale
     return rms, rms >= least

@@ -124,7 +124,11 @@ def segment_utterances(frames: DataFrame, key: str, at: str, id_col: str, voiced
 
 def classifier_gate(rows: DataFrame, block: float = 0.84) -> DataFrame:
     """``decision`` of rows with tag, strong, p (of the tag), p_none, guess, p_guess and threshold: support keeps, a strong
-    rule keeps, a likely "no action" blocks, an agreeing guess is promoted where nothing was parsed."""
+    rule keeps, a likely "no action" blocks, an agreeing guess is promoted where nothing was parsed.
+
+    ``final_confidence``: an intent that stays has the greater of its own confidence and the classifier's support (p); a promoted
+    one has the guess's. A missing number counts as none.
+    """
     tag, decided = F.col("tag"), F.col("tag").isNotNull()
     decision = (
         F.when(decided & (F.col("p") >= F.col("threshold")), "support")
@@ -136,7 +140,11 @@ def classifier_gate(rows: DataFrame, block: float = 0.84) -> DataFrame:
     )
     out = rows.withColumn("decision", decision)
     final = F.when(F.col("decision").isin("block", "none"), F.lit(None)).when(F.col("decision") == "promote", F.col("guess")).otherwise(tag)
-    return out.withColumn("final_tag", final)
+    out = out.withColumn("final_tag", final)
+    if "confidence" not in rows.columns:
+        return out
+    raised = F.when(F.col("decision") == "promote", F.col("p_guess")).otherwise(F.greatest("confidence", "p"))
+    return out.withColumn("final_confidence", F.when(F.col("final_tag").isNotNull(), raised))
 
 
 def confirmation_gate(intents: DataFrame, confirmations: DataFrame, key: str) -> DataFrame:

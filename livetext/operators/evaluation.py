@@ -34,7 +34,7 @@ def overall_metrics(rows: DataFrame, labels: list, none, true: str = "y", pred:
     act = lambda c: F.col(c).isin([x for x in labels if x != none])
     sums = rows.groupBy(*by).agg(F.count("*").alias("n"), count(F.col(true) == F.col(pred)).alias("same"), count(act(true) & act(pred)).alias("tp"), count(~act(true) & act(pred)).alias("fp"), count(act(true) & ~act(pred)).alias("fn"))
     macro = label_metrics(rows, labels, true, pred, by).groupBy(*by).agg((F.sum("f1") / len(labels)).alias("macro"))
-    both = sums.join(macro, list(by)) if by else sums.join(F.broadcast(macro))  # one row each without groups
+    both = sums.join(macro.hint("merge"), list(by)) if by else sums.join(F.broadcast(macro))  # one row each without groups
     precision, recall = F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp")), F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fn"))
     made = {"accuracy": F.col("same") / F.greatest(F.lit(1), F.col("n")), "macro_f1": F.col("macro"), "action_precision": precision, "action_recall": recall, "action_f1": _f1(precision, recall)}
     return both.select(*by, *[F.round(c, 4).alias(k) for k, c in made.items()])
@@ -48,7 +48,7 @@ def cv_summary(predictions: DataFrame, labels: list, none, fold: str = "fold") -
     of_fold = overall_metrics(predictions, labels, none, by=[fold]).unpivot([fold], METRICS, "metric", "value")
     pooled = overall_metrics(predictions, labels, none).unpivot([], METRICS, "metric", "pooled")
     stats = of_fold.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("std"), F.count("*").alias("folds"))
-    return stats.join(pooled, "metric").select("metric", "mean", "std", "pooled", "folds")
+    return stats.join(F.broadcast(pooled), "metric").select("metric", "mean", "std", "pooled", "folds")
 
 
 def sample_weights(rows: DataFrame, weights: dict[str, float], label: str, source: str, none: str) -> DataFrame:

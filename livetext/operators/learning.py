@@ -10,9 +10,9 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from livetext.operators import evaluation as ev
@@ -35,23 +35,53 @@ def vocabulary(docs: DataFrame, text: str, size: int) -> DataFrame:
     return rows.join(F.broadcast(n)).select("k", "t.term", (F.log((1 + F.col("n")) / (1 - F.col("t.minus"))) + 1).alias("idf"))
 
 
-def tfidf_features(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, id_col: str, text: str, *keep: str) -> DataFrame:
+    """(id, ``keep``, term, n): how often each text holds each of its terms."""
+    return docs.select(id_col, *keep, F.explode(terms_of(F.col(text))).alias("term")).groupBy(id_col, *keep, "term").agg(F.count("*").alias("n"))
+
+
+def fold_vocabularies(counts: DataFrame, rows: DataFrame, size: int, fold: str = "fold") -> DataFrame:
+    """(fold, k, term, idf) for each held-out fold: the vocabulary and smooth idf of all other folds' rows.
+
+    ``counts`` is a table of ``term_counts`` with the fold, ``rows`` the documents. Document frequencies are counted once by term
+    and fold; a fold's training counts are the term's sum less its own. Terms that only the held-out fold has fall
+    out. The first ``size`` of each fold are exact, and no fold's list passes through one task as a whole until then.
+    """
+    from livetext.operators.relational import first_by
+
+    by_fold = counts.groupBy("term", fold).agg(F.count("*").alias("df"))
+    of_term = by_fold.groupBy("term").agg(F.sum("df").alias("all"), F.map_from_entries(F.collect_list(F.struct(fold, "df"))).alias("own"))  # a few folds
+    sizes = rows.groupBy(fold).agg(F.count("*").alias("own_rows"))
+    sizes = sizes.join(F.broadcast(sizes.agg(F.sum("own_rows").alias("all_rows"))))  # one row
+    each = of_term.join(F.broadcast(sizes))  # a row for each fold
+    df = F.col("all") - F.coalesce(F.col("own")[F.col(fold)], F.lit(0))
+    trained = each.select(fold, "term", df.alias("df"), (F.col("all_rows") - F.col("own_rows")).alias("n")).filter("df > 0")
+    best = first_by(trained, [fold], [F.desc("df"), "term"], size)
+    return best.select(fold, (F.col("rn") - 1).cast("int").alias("k"), "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weights_of(counts: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
     """(id, k, term, weight): 1 + ln(count) times idf, scaled to length 1 by document. ``terms`` is a vocabulary, whose size
     its caller bounds."""
-    counts = docs.select(id_col, F.explode(terms_of(F.col(text))).alias("term")).join(F.broadcast(terms), "term").groupBy(id_col, "k", "term", "idf").agg(F.count("*").alias("n"))
-    raw = counts.withColumn("raw", (1 + F.log("n")) * F.col("idf"))
+    raw = counts.join(F.broadcast(terms.select("k", "term", "idf")), "term").select(id_col, "k", "term", ((1 + F.log("n")) * F.col("idf")).alias("raw"))
     norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norm.hint("merge"), id_col).select(id_col, "k", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def vectors(docs: DataFrame, id_col: str, text: str, terms: DataFrame, size: int) -> DataFrame:
-    """``docs`` with ``features``, one sparse vector a document."""
+def tfidf_features(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
+    """The weights of a vocabulary's terms in each text."""
+    return weights_of(term_counts(docs, id_col, text), id_col, terms)
+
+
+def vectors(docs: DataFrame, id_col: str, text: str, terms: DataFrame, size: int, counts: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``features``, one sparse vector a document; ``counts`` spares counting its terms again."""
 
     @F.udf(VectorUDT())
     def sparse(entries):
         return Vectors.sparse(size, [(e["k"], e["weight"]) for e in entries or []])
 
-    listed = tfidf_features(docs.select(id_col, text), id_col, text, terms).groupBy(id_col).agg(F.collect_list(F.struct("k", "weight")).alias("entries"))
+    counts = term_counts(docs, id_col, text) if counts is None else counts.join(docs.select(id_col).hint("merge"), id_col, "left_semi")
+    listed = weights_of(counts, id_col, terms).groupBy(id_col).agg(F.collect_list(F.struct("k", "weight")).alias("entries"))
     return docs.join(listed.hint("merge"), id_col, "left").withColumn("features", sparse("entries")).drop("entries")
 
 
@@ -88,18 +118,57 @@ def fit_logreg(rows: DataFrame, c: float = 1.0, steps: int = 100) -> Fitted:
     return Fitted(model.fit(data), labels)
 
 
-def fit_linear_svm(rows: DataFrame, c: float = 1.0, steps: int = 50) -> Fitted:
-    """Balanced one-against-rest hinge loss; where every class has two rows or more, its margins are calibrated by a
-    logistic fit."""
+class Ensemble:
+    """Calibrated models; ``predict`` adds ``p``, the label with the greatest mean probability (the first of equals)."""
+
+    def __init__(self, members: list[tuple], labels: list):
+        self.members, self.labels = members, labels
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        keep, out = rows.columns, rows
+        for k, (model, after) in enumerate(self.members):
+            margins = model.transform(out).drop("prediction").withColumnRenamed("rawPrediction", "margins")
+            out = after.transform(margins).withColumn(f"__p{k}", vector_to_array("probability")).drop("margins", "calibrated", "probability", "prediction")
+        total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [F.col(f"__p{k}") for k in range(len(self.members))])
+        names = F.array(*[F.lit(x) for x in self.labels])
+        best = F.array_position(F.col("__total"), F.array_max("__total")).cast("int") - 1
+        return out.withColumn("__total", total).withColumn("p", F.get(names, best)).select(*keep, "p")
+
+
+def inner_folds(rows: DataFrame, most: int = 5, label: str = "y") -> tuple[DataFrame, int]:
+    """``rows`` with ``inner``, a fold of each class's rows in turn, and the number of folds: ``most``, or the rows of the smallest
+    class. Rows are taken in the order of a hash of their features, so copies share a fold only by chance of their places."""
+    least = rows.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    folds = min(most, least)
+    if folds < 2:
+        return rows, folds
+    # numbered within buckets of a class, so that no class is one task's window
+    key = F.xxhash64(F.hash(vector_to_array("features")))
+    return rows.withColumn("inner", F.pmod(F.row_number().over(Window.partitionBy(label, F.pmod(key, F.lit(64))).orderBy(key)) + F.pmod(key, F.lit(64)), F.lit(folds)).cast("int")), folds
+
+
+def fit_linear_svm(rows: DataFrame, c: float = 1.0, steps: int = 50, inner: int = 5) -> Fitted | Ensemble:
+    """Balanced one-against-rest hinge loss, calibrated by inner folds: in each, a model of the other folds gives the margins on
+    which a logistic fit is made, and predictions are the mean of the calibrated models. So no row's margins come from a model
+    that saw it. Where a class has a single row there is one model without calibration."""
     data, labels = balanced(rows)
+    data, folds = inner_folds(data, inner)
     n = data.count()
-    svm = LinearSVC(labelCol="y", weightCol="weight", regParam=1 / (c * max(n, 1)), maxIter=steps, standardization=False)
-    model = OneVsRest(classifier=svm, labelCol="y", weightCol="weight").fit(data)
-    if len(labels) < 2 or data.groupBy("y").count().filter("count < 2").count():
-        return Fitted(model, labels)
-    margins = model.transform(data.drop("p")).drop("prediction").withColumnRenamed("rawPrediction", "margins")
-    after = LogisticRegression(featuresCol="margins", labelCol="y", weightCol="weight", family="multinomial", rawPredictionCol="calibrated").fit(margins)
-    return Fitted(model, labels, after)
+    svm = lambda n: OneVsRest(classifier=LinearSVC(labelCol="y", weightCol="weight", regParam=1 / (c * max(n, 1)), maxIter=steps, standardization=False), labelCol="y", weightCol="weight")
+    if len(labels) < 2 or folds < 2:
+        return Fitted(svm(n).fit(data), labels)
+    members = []
+    for k in range(folds):
+        model = svm(n * (folds - 1) // folds).fit(data.filter(F.col("inner") != k))
+        margins = held_out_margins(model, data, k)
+        after = LogisticRegression(featuresCol="margins", labelCol="y", weightCol="weight", family="multinomial", rawPredictionCol="calibrated").fit(margins)
+        members.append((model, after))
+    return Ensemble(members, labels)
+
+
+def held_out_margins(model, data: DataFrame, fold: int) -> DataFrame:
+    """The rows of an inner fold with ``margins`` by a model of the others."""
+    return model.transform(data.filter(F.col("inner") == fold).drop("p")).drop("prediction").withColumnRenamed("rawPrediction", "margins")
 
 
 def oversampled(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -137,6 +206,20 @@ def cross_validate(rows: DataFrame, fit: Callable[[DataFrame], Fitted], fold: st
     return reduce(DataFrame.unionByName, parts)
 
 
+def cross_validate_texts(docs: DataFrame, id_col: str, text: str, size: int, fit: Callable[[DataFrame], Fitted], fold: str = "fold", train: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """As ``cross_validate`` from texts: each fold's vocabulary and idf come from the other folds alone. Terms are counted and written
+    once; a fold's features are written before it is fitted."""
+    from livetext.sources.transcripts import kept
+
+    counts = kept(term_counts(docs, id_col, text, fold), "term-counts")
+    terms = kept(fold_vocabularies(counts, docs, size, fold), "fold-vocabularies")
+    parts = []
+    for k in sorted(r[fold] for r in docs.select(fold).distinct().collect()):  # a few folds
+        data = kept(vectors(docs, id_col, text, terms.filter(F.col(fold) == k), size, counts.select(id_col, "term", "n")), "features")
+        parts.append(fit(train(data.filter(F.col(fold) != k))).predict(data.filter(F.col(fold) == k)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def feature_importance(fitted: Fitted, terms: DataFrame, top: int) -> DataFrame:
     """(label, rank, term, weight): the terms with the largest coefficients of each class."""
     from livetext.operators.relational import first_by
@@ -150,11 +233,10 @@ def feature_importance(fitted: Fitted, terms: DataFrame, top: int) -> DataFrame:
 
 
 def vocab_ablation(docs: DataFrame, id_col: str, text: str, sizes: list[int], none, fold: str = "fold") -> DataFrame:
-    """Metrics of cross-validated logistic regression for each vocabulary size; idf comes from the rows of all folds."""
+    """Metrics of cross-validated logistic regression for each vocabulary size; each fold's vocabulary and idf come from the others."""
     out = []
     labels = sorted(r.label for r in docs.select("label").distinct().collect())
     for size in sizes:
-        data = vectors(docs, id_col, text, vocabulary(docs, text, size), size)
-        found = cross_validate(data, fit_logreg, fold).withColumnRenamed("label", "y")
+        found = cross_validate_texts(docs, id_col, text, size, fit_logreg, fold).withColumnRenamed("label", "y")
         out.append(ev.overall_metrics(found, labels, none).withColumn("size", F.lit(size)))
     return reduce(DataFrame.unionByName, out)

@@ -111,7 +111,7 @@ def route(account: list[Column], symbol: Column, override: Column, market_symbol
 
 def position_ledger(commands: DataFrame, key: str, order: str) -> DataFrame:
     """Side, contracts, average price, stop and ``ok`` after each of (kind, side, qty, price, stop): kinds ENTER, ADD, TRIM, EXIT,
-    STOP and BREAKEVEN; all but ENTER need a position, ENTER needs none. A command without contracts is rejected.
+    STOP and BREAKEVEN; all but ENTER need a position, ENTER needs none. A command without contracts, or of another kind or none, is rejected.
 
     A position lives from an ENTER to the row that closes it, so a session is folded island by island: the rows from
     one ENTER to the next EXIT. Only these rows are one array.
@@ -127,7 +127,8 @@ def position_ledger(commands: DataFrame, key: str, order: str) -> DataFrame:
 
     def step(a, x):
         flat, sized = a["qty"] == 0, x["kind"].isin("ENTER", "ADD", "TRIM")
-        ok = F.when(sized & ~F.coalesce(x["qty"] > 0, F.lit(False)), F.lit(False)).when(x["kind"] == "ENTER", flat).otherwise(~flat)
+        known = F.coalesce(x["kind"].isin("ENTER", "ADD", "TRIM", "EXIT", "STOP", "BREAKEVEN"), F.lit(False))
+        ok = F.when(~known, F.lit(False)).when(sized & ~F.coalesce(x["qty"] > 0, F.lit(False)), F.lit(False)).when(x["kind"] == "ENTER", flat).otherwise(~flat)
         more = F.when(x["kind"].isin("ENTER", "ADD"), x["qty"]).when(x["kind"] == "TRIM", -F.least(x["qty"], a["qty"])).when(x["kind"] == "EXIT", -a["qty"]).otherwise(0)
         qty = F.when(ok, a["qty"] + more).otherwise(a["qty"])
         side = F.when(qty == 0, "FLAT").when(ok & (x["kind"] == "ENTER"), x["side"]).otherwise(a["side"])

@@ -62,13 +62,14 @@ def segment_utterances(spark, d):
     return cc.segment_utterances(events(spark, d), "user_id", "sec", "event_id", F.col("value") > 3, 36000, 86400, 2)
 
 
-@query(f"""WITH c AS (SELECT event_id, nullif({TAG}, 'NO_ACTION') AS tag, value > 60 AS strong, event_id % 100 / 100.0 AS p, event_id % 89 / 88.0 AS p_none FROM events),
+@query(f"""WITH c AS (SELECT event_id, nullif({TAG}, 'NO_ACTION') AS tag, value > 60 AS strong, event_id % 100 / 100.0 AS p, event_id % 89 / 88.0 AS p_none, event_id % 71 / 70.0 AS confidence FROM events),
 x AS (SELECT *, CASE WHEN tag IS NOT NULL AND p >= 0.7 THEN 'support' WHEN tag IS NOT NULL AND strong THEN 'rule' WHEN tag IS NOT NULL AND p_none >= 0.84 THEN 'block' WHEN tag IS NOT NULL THEN 'keep' WHEN p >= 0.7 THEN 'promote' ELSE 'none' END AS decision FROM c)
-SELECT event_id, decision, CASE WHEN decision IN ('block', 'none') THEN NULL WHEN decision = 'promote' THEN 'TRIM' ELSE tag END AS final_tag FROM x""")
+SELECT event_id, decision, CASE WHEN decision IN ('block', 'none') THEN NULL WHEN decision = 'promote' THEN 'TRIM' ELSE tag END AS final_tag,
+CASE WHEN decision IN ('block', 'none') THEN NULL WHEN decision = 'promote' THEN p ELSE greatest(confidence, p) END AS final_confidence FROM x""")
 def classifier_gate(spark, d):
     p = F.col("event_id") % 100 / 100.0
-    c = read(spark, d, "events").select("event_id", F.nullif(tag_of(), F.lit("NO_ACTION")).alias("tag"), (F.col("value") > 60).alias("strong"), p.alias("p"), (F.col("event_id") % 89 / 88.0).alias("p_none"), F.lit("TRIM").alias("guess"), p.alias("p_guess"), F.lit(0.7).alias("threshold"))
-    return cc.classifier_gate(c).select("event_id", "decision", "final_tag")
+    c = read(spark, d, "events").select("event_id", F.nullif(tag_of(), F.lit("NO_ACTION")).alias("tag"), (F.col("value") > 60).alias("strong"), p.alias("p"), (F.col("event_id") % 89 / 88.0).alias("p_none"), F.lit("TRIM").alias("guess"), p.alias("p_guess"), F.lit(0.7).alias("threshold"), (F.col("event_id") % 71 / 70.0).alias("confidence"))
+    return cc.classifier_gate(c).select("event_id", "decision", "final_tag", "final_confidence")
 
 
 @query(f"""WITH k AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'confirmed' END AS status FROM events WHERE event_id % 2 = 0), i AS (SELECT event_id, {TAG} AS tag, value > 10 AS strong, CASE WHEN event_id % 3 > 0 THEN value END AS stop, 1 - event_id % 11 / 50.0 AS confidence, CASE WHEN event_id % 13 = 0 THEN 'cue' END AS guard FROM events)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from livetext.operators import evaluation as ev
 from livetext.operators import learning as ml
 from livetext.plans.queries import query, read
+from livetext.sources.transcripts import kept
 
 SIZE = 1000
 
@@ -20,7 +21,8 @@ def labelled(spark, d):
 def featured(spark, d, size: int = SIZE):
     docs = labelled(spark, d)
     terms = ml.vocabulary(docs, "text", size)
-    return ml.vectors(docs, "doc_id", "text", terms, size), terms
+    # fits read their rows many times
+    return kept(ml.vectors(docs, "doc_id", "text", terms, size), "features"), terms
 
 
 GRAMS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_\pM]{2,}') AS w FROM documents WHERE lang IS NOT NULL),
@@ -60,11 +62,22 @@ def fit_vector_head(spark, d):
     return ml.fit_vector_head(rows, "embedding").predict(data).select("vec_id", "label", "p")
 
 
+@query(r"""WITH d AS (SELECT doc_id, text, CASE WHEN source IS NULL OR source = '' THEN 0 ELSE ascii(source) % 3 END AS fold FROM documents WHERE lang IS NOT NULL AND doc_id IS NOT NULL), w AS (SELECT doc_id, fold, regexp_extract_all(lower(text), '[\pL\pN_\pM]{2,}') AS w FROM d),
+t AS (SELECT DISTINCT doc_id, fold, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS term FROM w), held AS (SELECT fold, (SELECT count(*) FROM d) - count(*) AS n FROM d GROUP BY fold),
+c AS (SELECT h.fold, h.n, term, count(*) AS df FROM held h JOIN t ON t.fold <> h.fold GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY df DESC, term) AS rn FROM c)
+SELECT fold, (rn - 1)::INTEGER AS k, term, round(ln((1 + n) / (1 + df)) + 1, 9) AS idf FROM r WHERE rn <= 1000""")
+def fold_vocabularies(spark, d):
+    """The vocabulary of each held-out fold, from the other folds alone. Folds are by the first letter of a source."""
+    source = F.coalesce("source", F.lit(""))
+    docs = labelled(spark, d).drop("fold").join(read(spark, d, "documents").select("doc_id", F.when(source == "", 0).otherwise(F.ascii(source) % 3).alias("fold")).hint("merge"), "doc_id")
+    found = ml.fold_vocabularies(ml.term_counts(docs, "doc_id", "text", "fold"), docs, SIZE)
+    return found.withColumn("idf", F.round("idf", 9))
+
+
 @query()
 def cross_validate(spark, d):
     """Metrics of logistic regression over folds of whole sources; small classes are repeated in training only."""
-    data, _ = featured(spark, d)
-    found = ml.cross_validate(data, ml.fit_logreg, train=ml.oversampled).withColumnRenamed("label", "y")
+    found = ml.cross_validate_texts(labelled(spark, d), "doc_id", "text", SIZE, ml.fit_logreg, train=ml.oversampled).withColumnRenamed("label", "y")
     labels = sorted(r.y for r in found.select("y").distinct().collect())
     return ev.cv_summary(found, labels, "en")
 

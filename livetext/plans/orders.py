@@ -233,9 +233,9 @@ def rebuild_prompt(spark, d):
     return conv(spark, d).select("conv_id", "turn", tx.rebuild_prompt(old, ["recent", "analysis", "current"]).alias("prompt"))
 
 
-@query("SELECT user_id, event_id // 50 AS frame, round(sqrt(avg(value * value)) / 32768, 9) AS rms, sqrt(avg(value * value)) / 32768 >= 0.002 AS voiced FROM events GROUP BY ALL")
+@query("SELECT user_id, event_id // 50 AS frame, round(sqrt(avg(value * value)) / 32768, 9) AS rms, sqrt(avg(value * value)) / 32768 >= 0.012 AS voiced FROM (SELECT user_id, event_id, value * 10 AS value FROM events) GROUP BY ALL")
 def frame_energy(spark, d):
-    rms, voiced = tx.frame_energy(F.col("value"))
+    rms, voiced = tx.frame_energy(F.col("value") * 10)
     return read(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 50).alias("frame")).agg(F.round(rms, 9).alias("rms"), voiced.alias("voiced"))
 
 

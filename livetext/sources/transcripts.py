@@ -120,11 +120,23 @@ def write_examples(rows: DataFrame, flagged: Column, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or else the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or else the warehouse, which on a cluster must not be
+    a machine's own folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/_livetext/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to such a folder and read back, for tables that are used more than once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def written_examples(rows: DataFrame, flagged: Column, part: str) -> DataFrame:
     """``rows`` written by ``write_examples``, and one of the two parts read back."""
     spark = rows.sparkSession
