@@ -154,7 +154,7 @@ def fit_linear_svm(rows: DataFrame, c: float = 1.0, steps: int = 50, inner: int
     data, labels = balanced(rows)
     data, folds = inner_folds(data, inner)
     n = data.count()
-    svm = lambda n: OneVsRest(classifier=LinearSVC(labelCol="y", weightCol="weight", regParam=1 / (c * max(n, 1)), maxIter=steps, standardization=False), labelCol="y", weightCol="weight")
+    svm = lambda n: OneVsRest(classifier=LinearSVC(labelCol="y", weightCol="weight", regParam=1 / (c * max(n, 1)), maxIter=steps, tol=1e-3, standardization=False), labelCol="y", weightCol="weight")
     if len(labels) < 2 or folds < 2:
         return Fitted(svm(n).fit(data), labels)
     members = []
