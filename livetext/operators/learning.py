@@ -147,23 +147,27 @@ def inner_folds(rows: DataFrame, most: int = 5, label: str = "y") -> tuple[DataF
     return rows.withColumn("inner", F.pmod(F.row_number().over(Window.partitionBy(label, F.pmod(key, F.lit(64))).orderBy(key)) + F.pmod(key, F.lit(64)), F.lit(folds)).cast("int")), folds
 
 
-def fit_linear_svm(rows: DataFrame, c: float = 1.0, steps: int = 50, inner: int = 5) -> Fitted | Ensemble:
+def fit_linear_svm(rows: DataFrame, c: float = 1.0, steps: int = 30, inner: int = 5) -> Fitted | Ensemble:
     """Balanced one-against-rest hinge loss, calibrated by inner folds: in each, a model of the other folds gives the margins on
     which a logistic fit is made, and predictions are the mean of the calibrated models. So no row's margins come from a model
     that saw it. Where a class has a single row there is one model without calibration."""
     data, labels = balanced(rows)
     data, folds = inner_folds(data, inner)
+    data = data.persist()  # every fit reads it
     n = data.count()
-    svm = lambda n: OneVsRest(classifier=LinearSVC(labelCol="y", weightCol="weight", regParam=1 / (c * max(n, 1)), maxIter=steps, tol=1e-3, standardization=False), labelCol="y", weightCol="weight")
-    if len(labels) < 2 or folds < 2:
-        return Fitted(svm(n).fit(data), labels)
-    members = []
-    for k in range(folds):
-        model = svm(n * (folds - 1) // folds).fit(data.filter(F.col("inner") != k))
-        margins = held_out_margins(model, data, k)
-        after = LogisticRegression(featuresCol="margins", labelCol="y", weightCol="weight", family="multinomial", rawPredictionCol="calibrated").fit(margins)
-        members.append((model, after))
-    return Ensemble(members, labels)
+    svm = lambda n: OneVsRest(classifier=LinearSVC(labelCol="y", weightCol="weight", regParam=1 / (c * max(n, 1)), maxIter=steps, tol=1e-3, standardization=False), labelCol="y", weightCol="weight", parallelism=4)
+    try:
+        if len(labels) < 2 or folds < 2:
+            return Fitted(svm(n).fit(data), labels)
+        members = []
+        for k in range(folds):
+            model = svm(n * (folds - 1) // folds).fit(data.filter(F.col("inner") != k))
+            margins = held_out_margins(model, data, k)
+            after = LogisticRegression(featuresCol="margins", labelCol="y", weightCol="weight", family="multinomial", maxIter=30, rawPredictionCol="calibrated").fit(margins)
+            members.append((model, after))
+        return Ensemble(members, labels)
+    finally:
+        data.unpersist()
 
 
 def held_out_margins(model, data: DataFrame, fold: int) -> DataFrame:

@@ -46,7 +46,7 @@ def fit_logreg(spark, d):
 @query()
 def fit_linear_svm(spark, d):
     data, _ = featured(spark, d)
-    return ml.fit_linear_svm(data).predict(data).select("doc_id", "label", "p")
+    return ml.fit_linear_svm(data, steps=20, inner=2).predict(data).select("doc_id", "label", "p")
 
 
 @query()
