@@ -49,18 +49,6 @@ def entry_side(text: Column, strong: dict[str, str], seed: str, target: Column,
     return F.coalesce(clear, F.when(text.rlike(seed) & (target > market), "LONG").when(text.rlike(seed) & (target < market), "SHORT"))
 
 
-def symbol_scope(rows: DataFrame, aliases: DataFrame, text: str, root: str) -> DataFrame:
-    """``own`` and ``foreign``: whether a text names an alias of its root, or of another.
-
-    ``aliases`` is (root, alias). Words of each text are joined by equality, so no text meets all aliases.
-    """
-    key = [c for c in rows.columns if c != text]
-    words = rows.select(*key, F.explode(F.array_distinct(F.split(text, " "))).alias("alias"))
-    named = words.join(aliases.select(F.col(root).alias("named"), "alias").hint("merge"), "alias")
-    seen = named.groupBy(*key).agg(F.max(F.col("named") == F.col(root)).alias("own"), F.max(F.col("named") != F.col(root)).alias("foreign"))
-    return rows.select(*key).join(seen.hint("merge"), key, "left").na.fill(False, ["own", "foreign"])
-
-
 def candidate_windows(rows: DataFrame, key: str, at: str, id_col: str, score: Column, fragment: Column, gap: int, start: float = 0.43, keep: float = 0.28, last: int = 5, before: int = 0) -> DataFrame:
     """(key, window, start, end, n, text): a row of ``start`` or more opens a window that rows of ``keep`` or more extend
     while they come at most ``gap`` after the one before.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from livetext.functions import text as tx
 from livetext.operators import cascade as cc
+from livetext.operators import instruments as ins
 from livetext.operators import relational as rel
+from livetext.operators import scoring as sc
 from livetext.plans.queries import CASCADE, EV, GROUPS, TAG, TAGS, P, conv, events, plain, query, read, tag_of
 
 TURNS = f"t AS (SELECT conv_id, turn, role, {P} AS p FROM conversations), g AS (SELECT *, {CASCADE.format('p')} AS raw FROM t)"
@@ -34,14 +37,29 @@ def entry_side(spark, d):
     return c.select("conv_id", "turn", cc.entry_side(F.col("p"), {"LONG": r"\bwas\b", "SHORT": r"\bwith\b"}, r"\bthe\b", F.length("p"), F.lit(200)).alias("side"))
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand AS root, p_name AS name FROM part), a AS (SELECT arg_min(root, p_partkey) AS root, alias FROM (SELECT p_partkey, root, unnest(string_split(name, ' ')) AS alias FROM r) GROUP BY alias),
-w AS (SELECT DISTINCT p_partkey, root, unnest(string_split(name, ' ')) AS alias FROM r), s AS (SELECT p_partkey, bool_or(a.root = w.root) AS own, bool_or(a.root <> w.root) AS "foreign" FROM w JOIN a USING (alias) GROUP BY 1)
-SELECT p_partkey, root, coalesce(own, false) AS own, coalesce("foreign", false) AS "foreign" FROM r LEFT JOIN s USING (p_partkey)""")
+@query(r"""WITH r AS (SELECT p_partkey, p_brand AS root, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'i m long in ' || p_name
+  WHEN 2 THEN 'my swing ' || p_name ELSE p_name || ' got short in ' || string_split(p_name, ' ')[1] END AS x FROM part),
+al AS (SELECT arg_min(p_brand, p_partkey) AS root, p_name AS alias FROM part GROUP BY p_name
+  UNION ALL SELECT arg_min(p_brand, p_partkey), string_split(p_name, ' ')[2] AS alias FROM part GROUP BY 2),
+w AS (SELECT p_partkey, root, string_split(x, ' ') AS w, unnest(range(len(string_split(x, ' ')))) AS s FROM r),
+g AS (SELECT p_partkey, root, s, n, array_to_string(w[s + 1:s + n], ' ') AS phrase FROM w, (VALUES (1), (2)) AS k(n) WHERE s + n <= len(w)),
+m AS (SELECT * FROM g WHERE phrase IN (SELECT alias FROM al)),
+b AS (SELECT *, EXISTS (SELECT 1 FROM al WHERE al.root = m.root AND al.alias = m.phrase) AS mine FROM m
+  WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.p_partkey = m.p_partkey AND o.s <= m.s AND o.s + o.n >= m.s + m.n AND o.n > m.n)),
+f AS (SELECT p_partkey, bool_or(mine) AS own, arg_min(phrase, s) FILTER (NOT mine) AS named FROM b GROUP BY ALL),
+i AS (SELECT p_partkey, root, nullif(regexp_extract(x, '\b(?:long|short) in ([a-z][a-z0-9]{2,})\b', 1), '') AS inline, regexp_matches(x, '\bmy swings?\b') AS context FROM r),
+j AS (SELECT p_partkey, context, CASE WHEN NOT EXISTS (SELECT 1 FROM al WHERE al.root = i.root AND al.alias = i.inline) THEN inline END AS inline FROM i)
+SELECT p_partkey, coalesce(own, false) AS own, named, inline, context, CASE WHEN context THEN 'swing_context' ELSE coalesce(inline, named) END AS "foreign"
+FROM j LEFT JOIN f USING (p_partkey)""")
 def symbol_scope(spark, d):
-    r = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("root"), F.col("p_name").alias("name"))
-    # a word is an alias of the brand of the first part that has it
-    aliases = r.select("p_partkey", "root", F.explode(F.split("name", " ")).alias("alias")).groupBy("alias").agg(F.min_by("root", "p_partkey").alias("root"))
-    return cc.symbol_scope(r, aliases, "name", "root")
+    """Parts as texts of their brands: a name of two words, and its last word, are aliases of the brand of the first part that has it."""
+    part, name = read(spark, d, "part"), F.col("p_name")
+    turn, words = F.col("p_partkey") % 4, F.split("p_name", " ")
+    said = F.when(turn == 0, name).when(turn == 1, F.concat(F.lit("i m long in "), name)).when(turn == 2, F.concat(F.lit("my swing "), name))
+    rows = part.select("p_partkey", F.col("p_brand").alias("root"), said.otherwise(F.concat(name, F.lit(" got short in "), words[0])).alias("said"))
+    first = lambda alias: part.groupBy(alias.alias("alias")).agg(F.min_by("p_brand", "p_partkey").alias("root")).select("root", "alias")
+    out = ins.symbol_scope(rows, "p_partkey", "said", "root", first(name).unionByName(first(words[1])))
+    return out.select("p_partkey", "own", "named", "inline", "context", "foreign")
 
 
 @query(f"""WITH {EV}, s AS (SELECT *, coalesce(last_value(CASE event_type WHEN 'signup' THEN 'LONG' WHEN 'purchase' THEN 'SHORT' WHEN 'error' THEN 'FLAT' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY sec, event_id {BEFORE}), 'FLAT') AS position, CASE WHEN event_type = 'view' THEN 'ADD' ELSE {TAG} END AS tag FROM ev),
@@ -72,6 +90,45 @@ def classifier_gate(spark, d):
     return cc.classifier_gate(c).select("event_id", "decision", "final_tag", "final_confidence")
 
 
+SCORED = ["NO_ACTION", "SETUP_LONG", "ENTER_LONG", "ENTER_SHORT", "TRIM"]
+#: A label's weights: of one, of a text's length and of the places of "th" in it.
+WEIGHTS = [[0.2, 0.004, -0.02], [0.1, 0.001, 0.01], [-0.3, 0.002, 0.08], [0.0, -0.001, 0.06], [0.4, -0.002, 0.03]]
+
+
+def by_weights():
+    """A scorer as ``score_fn`` takes it: softmax of linear weights on two features of a text."""
+    w = np.array(WEIGHTS)
+
+    def scorer(rows):
+        text = rows["text"]
+        z = np.column_stack([np.ones(len(text)), text.str.len(), text.str.count("th")]).astype(float) @ w.T
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    return scorer
+
+
+Z = ", ".join(f"exp({a} + {b} * n + ({c}) * h) AS e{k}" for k, (a, b, c) in enumerate(WEIGHTS))
+SUM = " + ".join(f"e{k}" for k in range(len(WEIGHTS)))
+
+
+@query(f"""WITH {TURNS}, f AS (SELECT g.conv_id, g.turn, raw AS tag, g.turn % 3 = 0 AS strong, length(c.text) AS n, (length(c.text) - length(replace(c.text, 'th', ''))) / 2 AS h
+  FROM g JOIN conversations AS c ON c.conv_id = g.conv_id AND c.turn = g.turn), e AS (SELECT *, {Z} FROM f),
+p AS (SELECT conv_id, turn, tag, strong, (e0 + e1) / ({SUM}) AS p_none, e2 / ({SUM}) AS p2, e3 / ({SUM}) AS p3, e4 / ({SUM}) AS p4, e1 / ({SUM}) AS p1, e0 / ({SUM}) AS p0 FROM e),
+q AS (SELECT *, CASE tag WHEN 'NO_ACTION' THEN p0 WHEN 'SETUP_LONG' THEN p1 WHEN 'ENTER_LONG' THEN p2 WHEN 'ENTER_SHORT' THEN p3 WHEN 'TRIM' THEN p4 WHEN NULL THEN NULL ELSE 0 END AS px, greatest(p2, p3, p4) AS p_guess,
+  CASE WHEN p2 >= greatest(p3, p4) THEN 'ENTER_LONG' WHEN p3 >= p4 THEN 'ENTER_SHORT' ELSE 'TRIM' END AS guess FROM p),
+r AS (SELECT *, CASE WHEN tag IS NOT NULL THEN px END AS p, CASE coalesce(tag, guess) WHEN 'ENTER_LONG' THEN 0.45 WHEN 'TRIM' THEN 0.3 ELSE 0.4 END AS threshold FROM q),
+s AS (SELECT *, CASE WHEN tag IS NOT NULL AND p >= threshold THEN 'support' WHEN tag IS NOT NULL AND strong THEN 'rule' WHEN tag IS NOT NULL AND p_none >= 0.84 THEN 'block' WHEN tag IS NOT NULL THEN 'keep' WHEN p_guess >= threshold THEN 'promote' ELSE 'none' END AS decision FROM r)
+SELECT conv_id, turn, round(p, 6) AS p, round(p_none, 6) AS p_none, guess, round(p_guess, 6) AS p_guess, decision, CASE WHEN decision IN ('block', 'none') THEN NULL WHEN decision = 'promote' THEN guess ELSE tag END AS final_tag FROM s""")
+def score_fn(spark, d):
+    """Turns scored by a classifier outside Spark, and what the gate makes of their intents."""
+    c, keys = conv(spark, d), ["conv_id", "turn"]
+    intents = c.select(*keys, tx.detect_signal(plain(F.col("text")), GROUPS, TAGS).alias("tag"), (F.col("turn") % 3 == 0).alias("strong"))
+    scores = sc.score_fn(c, keys, ["text"], by_weights, SCORED)
+    out = sc.gated(intents, scores, keys, SCORED, {"ENTER_LONG": 0.45, "TRIM": 0.3}, 0.4)
+    return out.select(*keys, *[F.round(x, 6).alias(x) for x in ("p", "p_none")], "guess", F.round("p_guess", 6).alias("p_guess"), "decision", "final_tag")
+
+
 @query(f"""WITH k AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'confirmed' END AS status FROM events WHERE event_id % 2 = 0), i AS (SELECT event_id, {TAG} AS tag, value > 10 AS strong, CASE WHEN event_id % 3 > 0 THEN value END AS stop, 1 - event_id % 11 / 50.0 AS confidence, CASE WHEN event_id % 13 = 0 THEN 'cue' END AS guard FROM events)
 SELECT event_id, tag NOT LIKE 'ENTER\\_%' ESCAPE '\\' OR coalesce(status = 'confirmed' OR (status = 'failed' AND strong AND stop IS NOT NULL AND confidence >= 0.9 AND guard IS NULL), false) AS passes FROM i LEFT JOIN k USING (event_id)""")
 def confirmation_gate(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from livetext.plans.queries import LEXICON, P, conv, plain, query, read
 from livetext.sources.transcripts import scratch
+from livetext.streaming import hub
 from livetext.streaming import sessions as st
 from livetext.streaming import state
 
@@ -122,3 +123,18 @@ def debounced_snapshots(spark, d):
     path = scratch(spark, "snapshots")
     run(st.debounced_snapshots(as_stream(segments(spark, d)), f"{path}/state", f"{path}/checkpoint"))
     return st.latest_snapshots(spark, f"{path}/state").select("session_id", "segment_id", "text")
+
+
+@query(f"""WITH {SEGMENTS}, n AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM g WHERE tm < 10)
+SELECT 'snapshot' AS kind, session_id, segment_id, text, n AS "rows" FROM n QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY tm DESC) = 1
+UNION ALL SELECT 'delta', session_id, segment_id, text, 1 FROM g WHERE tm >= 10""")
+def snapshot_then_deltas(spark, d):
+    """A subscriber that comes after ten seconds of every session: their state, then all rows since, each once."""
+    rows, path = segments(spark, d), scratch(spark, "hub")
+    published = hub.Hub(spark, path, SCHEMA, every=2)
+    run(st.fan_out(as_stream(rows.filter("at < 10")), [published.publish("first")], f"{path}/checkpoint-1"))
+    subscriber = hub.Subscription(published)
+    state_then = subscriber.snapshot().select(F.lit("snapshot").alias("kind"), "session_id", "segment_id", "text", "rows")
+    run(st.fan_out(as_stream(rows.filter("at >= 10")), [published.publish("second")], f"{path}/checkpoint-2"))
+    since = subscriber.poll().select(F.lit("delta").alias("kind"), "session_id", "segment_id", "text", F.lit(1).cast("long").alias("rows"))
+    return state_then.unionByName(since)
