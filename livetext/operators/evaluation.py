@@ -140,14 +140,14 @@ def paired_t(folds: DataFrame) -> DataFrame:
     return x.select("model_a", "model_b", F.round("m", 4).alias("mean_difference"), F.round("x.t", 4).alias("t_statistic"), F.round("x.p", 4).alias("p_value"), F.round(F.col("m") - half, 4).alias("ci_lower"), F.round(F.col("m") + half, 4).alias("ci_upper"), (F.col("x.p") < 0.05).alias("significant"), F.col("n").alias("n_folds"))
 
 
-def file_report(intents: DataFrame, file: str, order: str, tag: str, suspicious: Column, first: int = 5, most: int = 5) -> DataFrame:
+def file_report(intents: DataFrame, file: str, order: str, tag: str, suspicious: Column, first: int = 5, most: int = 5, listed: str | None = None) -> DataFrame:
     """(file, intents, counts, first_hits, n_suspicious, suspicious): tags by count as sorted entries, the first hits and the
-    first suspicious ones; files with most suspicious hits first."""
+    first suspicious ones, as their tags or the column ``listed``; files with most suspicious hits first."""
     w = Window.partitionBy(file).orderBy(order)
     rows = intents.withColumn("bad", suspicious).withColumn("rn", F.row_number().over(w)).withColumn("brn", F.sum(F.col("bad").cast("int")).over(w))
     tags = rows.groupBy(file, tag).agg(F.count("*").alias("n")).groupBy(file).agg(F.array_sort(F.collect_list(F.struct(F.col(tag).alias("tag"), "n"))).alias("counts"))
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(order, F.col(tag).alias("tag"))))), lambda x: x["tag"])
-    some = rows.groupBy(file).agg(F.count("*").alias("intents"), listed(F.col("rn") <= first).alias("first_hits"), F.sum(F.col("bad").cast("long")).alias("n_suspicious"), listed(F.col("bad") & (F.col("brn") <= most)).alias("suspicious"))
+    hits = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(order, F.col(listed or tag).alias("hit"))))), lambda x: x["hit"])
+    some = rows.groupBy(file).agg(F.count("*").alias("intents"), hits(F.col("rn") <= first).alias("first_hits"), F.sum(F.col("bad").cast("long")).alias("n_suspicious"), hits(F.col("bad") & (F.col("brn") <= most)).alias("suspicious"))
     return some.join(tags.hint("merge"), file).select(file, "intents", "counts", "first_hits", "n_suspicious", "suspicious").orderBy(F.desc("n_suspicious"), F.desc("intents"), file)
 
 

@@ -9,6 +9,7 @@ from livetext.functions import text as tx
 from livetext.operators import cascade as cc
 from livetext.operators import instruments as ins
 from livetext.operators import relational as rel
+from livetext.operators import review as rv
 from livetext.operators import scoring as sc
 from livetext.plans.queries import CASCADE, EV, GROUPS, TAG, TAGS, P, conv, events, plain, query, read, tag_of
 
@@ -142,7 +143,7 @@ RULES = [("ENTER_LONG", r"\bwas\b", "rejected"), ("ENTER_LONG", r"\bthe\b", "acc
 
 
 @query(f"WITH {TURNS}, c AS (SELECT conv_id, turn, raw AS label, p, turn % 10 / 10.0 AS confidence FROM g WHERE raw IS NOT NULL) SELECT conv_id, turn, CASE " + " ".join(f"WHEN label = '{a}' AND regexp_matches(p, '{b}') THEN '{s}'" for a, b, s in RULES) + " WHEN confidence >= 0.3 THEN 'accepted' ELSE 'pending' END AS status FROM c")
-def auto_review(spark, d):
+def first_rule_review(spark, d):
     c = conv(spark, d).withColumn("p", plain(F.col("text"))).withColumn("label", tx.detect_signal(F.col("p"), GROUPS, TAGS)).filter("label is not null")
     return cc.auto_review(c.withColumn("confidence", F.col("turn") % 10 / 10.0), F.col("p"), RULES, 0.3).select("conv_id", "turn", "status")
 
@@ -166,7 +167,7 @@ def build_examples(spark, d):
 @query(f"""WITH RECURSIVE x AS (SELECT event_id AS id, user_id AS file, event_id // 10 AS line, {TAG} AS label, event_id % 3 AS s, value FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY file, label ORDER BY line, id) AS rn FROM x),
 f AS (SELECT *, line AS last, true AS keep FROM r WHERE rn = 1 UNION ALL SELECT r.*, CASE WHEN r.line - f.last > 40 THEN r.line ELSE f.last END, r.line - f.last > 40 FROM f JOIN r ON r.file = f.file AND r.label = f.label AND r.rn = f.rn + 1)
 SELECT id, label, CASE WHEN label IN ('TRIM', 'EXIT_ALL') AND s = 1 THEN 'FLAT' WHEN s = 2 OR (label IN ('TRIM', 'EXIT_ALL') AND s = 0) THEN 'LONG' ELSE 'FLAT' END AS side, CASE WHEN label IN ('TRIM', 'EXIT_ALL') AND s = 1 THEN 'impossible' WHEN value > 15 THEN 'advice' ELSE 'clean' END AS flag FROM f WHERE keep""")
-def cleanup_examples(spark, d):
+def repair_and_flag(spark, d):
     k = F.col("event_id") % 3
     x = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("file"), F.floor(F.col("event_id") / 10).alias("line"), tag_of().alias("label"), F.when(k == 2, "LONG").otherwise("FLAT").alias("side"), F.when(k == 0, "LONG").otherwise("FLAT").alias("last_side"), "value")
     return cc.cleanup_examples(x, F.col("value") > 15, 40).select("id", "label", "side", "flag")
@@ -201,3 +202,71 @@ SELECT user_id, es AS start, ee AS "end", en::BIGINT AS n FROM f WHERE es IS NOT
 def windowed_utterances(spark, d):
     """Utterances that two voiced frames of three open; events stand for frames."""
     return cc.windowed_utterances(events(spark, d), "user_id", "sec", "event_id", F.col("value") > 20, 3, 2, 36000, 86400, 2)
+
+
+#: Words that stand for the phrases of the review rules in the given texts.
+REVIEWED = {
+    "other_instrument": "wher", "setup_short": "er", "setup_long": "ly", "explicit_add": "an", "future_add": "for", "first_person_entry": "the",
+    "ambiguous_action": "of", "second_person_trim": "ha", "first_person_trim": "and", "exit_target": "is", "explicit_exit": "to", "stop_move": "in",
+}
+TOLD = ["ENTER_LONG", "ADD", "TRIM", "EXIT_ALL", "MOVE_STOP", "NO_ACTION", "SETUP_SHORT", "ENTER_SHORT", "MOVE_TO_BREAKEVEN", "TARGET", "OTHER"]
+SIDES = ["LONG", " sell", "none", "SHORT"]
+H = ", ".join(f"regexp_matches(x, '\\b{w}\\b') AS {g}" for g, w in REVIEWED.items())
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '') || ' ' || CASE WHEN turn % 4 = 0 THEN 'an end' ELSE '' END) AS low, {TOLD}[((conv_id + turn) % {len(TOLD)} + 1)::INTEGER] AS label,
+  {SIDES}[(turn % 4 + 1)::INTEGER] AS side, CASE WHEN conv_id % 9 = 0 THEN 'corrected' WHEN conv_id % 9 > 2 THEN 'pending' END AS status FROM conversations),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(replace(low, 'vwop', 'vwap'), '[^a-z0-9\\s'']', ' ', 'g'), '\\s+', ' ', 'g')) AS x, CASE upper(trim(side)) WHEN 'LONG' THEN 'LONG' WHEN 'BUY' THEN 'LONG' WHEN 'SELL' THEN 'SHORT' WHEN 'SHORT' THEN 'SHORT' END AS sd FROM t),
+h AS (SELECT *, {H}, label LIKE 'ENTER%' AS entry FROM n), r AS (SELECT *, CASE WHEN status = 'corrected' OR label = 'OTHER' THEN NULL WHEN other_instrument THEN 'rejected/other instrument' WHEN label LIKE 'SETUP%' THEN 'accepted/auto setup'
+  WHEN (entry OR label = 'ADD') AND setup_short THEN 'corrected/auto setup short' WHEN (entry OR label = 'ADD') AND setup_long THEN 'corrected/auto setup long' WHEN entry AND explicit_add THEN 'corrected/explicit add'
+  WHEN label = 'ADD' AND future_add THEN 'rejected/future or conditional add' WHEN label = 'ADD' AND explicit_add THEN 'accepted/explicit add' WHEN entry AND first_person_entry THEN 'accepted/explicit entry'
+  WHEN entry AND ambiguous_action THEN 'rejected/ambiguous market action' WHEN label = 'TRIM' AND second_person_trim THEN 'rejected/second person advice' WHEN label = 'TRIM' AND first_person_trim THEN 'accepted/explicit trim'
+  WHEN label = 'EXIT_ALL' AND exit_target THEN 'rejected/future exit target' WHEN label = 'EXIT_ALL' AND explicit_exit THEN 'accepted/explicit exit' WHEN label LIKE 'MOVE%' AND stop_move THEN 'accepted/explicit stop move'
+  WHEN label = 'NO_ACTION' THEN 'accepted/already no action' WHEN label = 'TARGET' AND sd IS NOT NULL AND first_person_entry THEN 'accepted/explicit side action' END AS hit FROM h),
+s AS (SELECT *, split_part(hit, '/', 1) AS did, nullif(split_part(hit, '/', 2), '') AS note FROM r)
+SELECT conv_id, turn, coalesce(nullif(did, ''), status, 'pending') AS status, note,
+  CASE did WHEN 'accepted' THEN label WHEN 'rejected' THEN 'NO_ACTION' WHEN 'corrected' THEN CASE note WHEN 'auto setup short' THEN 'SETUP_SHORT' WHEN 'auto setup long' THEN 'SETUP_LONG' ELSE 'ADD' END END AS reviewed_label,
+  CASE did WHEN 'accepted' THEN side WHEN 'corrected' THEN CASE note WHEN 'auto setup short' THEN 'SHORT' WHEN 'auto setup long' THEN 'LONG' ELSE sd END END AS reviewed_side FROM s""")
+def auto_review(spark, d):
+    """Turns as candidates: a label and a side of their own, each fourth with evidence, some reviewed before."""
+    c, pick = conv(spark, d), lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    told = pick(TOLD, (F.col("conv_id") + F.col("turn")) % len(TOLD)).alias("label")
+    status = F.when(F.col("conv_id") % 9 == 0, "corrected").when(F.col("conv_id") % 9 > 2, "pending").alias("status")
+    evidence = F.when(F.col("turn") % 4 == 0, "an end").alias("evidence_text")
+    rows = c.select("conv_id", "turn", F.col("text").alias("current_text"), evidence, told, pick(SIDES, F.col("turn") % 4).alias("side"), status)
+    out = rv.auto_review(rows, patterns={g: [rf"\b{w}\b"] for g, w in REVIEWED.items()})
+    return out.select("conv_id", "turn", "status", "note", "reviewed_label", "reviewed_side")
+
+
+EXAMPLES = f"""x AS (SELECT event_id AS id, user_id AS file, event_id // 10 AS line, {TAG} AS label, CASE event_id % 4 WHEN 2 THEN 'LONG' WHEN 3 THEN NULL ELSE 'FLAT' END AS was, CASE event_id % 5 WHEN 1 THEN 'SHORT' WHEN 2 THEN 'none' END AS orig,
+  CASE event_id % 3 WHEN 0 THEN 'LONG' END AS last, 'position=FLAT' || chr(10) || 'market_price=' || event_id || chr(10) || 'recent=r' || event_id % 7 || chr(10) || 'current=' || event_type AS prompt, value FROM events),
+y AS (SELECT *, label IN ('TRIM', 'EXIT_ALL') AND coalesce(was, 'FLAT') = 'FLAT' AND (coalesce(orig, '') = 'SHORT' OR last IS NOT NULL) AS repaired FROM x),
+z AS (SELECT *, CASE WHEN NOT repaired THEN coalesce(was, 'FLAT') WHEN orig = 'SHORT' THEN 'SHORT' ELSE last END AS position_side, (lag(label) OVER w IS DISTINCT FROM label)::INTEGER AS new FROM y WINDOW w AS (PARTITION BY file ORDER BY line, id)),
+u AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY line, id) AS run FROM z), v AS (SELECT *, row_number() OVER (PARTITION BY file, run ORDER BY line, id) AS rn FROM u),
+f AS (SELECT file, run, rn, line, id, line AS kept_at, true AS keep FROM v WHERE rn = 1 UNION ALL SELECT v.file, v.run, v.rn, v.line, v.id, CASE WHEN v.line - f.kept_at > 60 THEN v.line ELSE f.kept_at END, v.line - f.kept_at > 60 FROM f JOIN v ON v.file = f.file AND v.run = f.run AND v.rn = f.rn + 1),
+c AS (SELECT v.*, CASE WHEN label IN ('TRIM', 'EXIT_ALL', 'ENTER_LONG', 'ENTER_SHORT') AND NOT keep THEN 'duplicate_same_action_within_60_lines' WHEN label IN ('TRIM', 'EXIT_ALL') AND position_side = 'FLAT' THEN label || '_while_FLAT'
+  WHEN label IN ('TRIM', 'EXIT_ALL', 'ENTER_LONG', 'ENTER_SHORT') AND value > 15 THEN 'advice_pattern: high' END AS flag_reason FROM v JOIN f USING (id))"""
+
+
+def cleaned(spark, d):
+    k = F.col("event_id")
+    prompt = F.concat(F.lit("position=FLAT\nmarket_price="), k, F.lit("\nrecent=r"), k % 7, F.lit("\ncurrent="), "event_type")
+    rows = read(spark, d, "events").select(
+        k.alias("id"), F.col("user_id").alias("file"), F.floor(k / 10).alias("line"), tag_of().alias("label"), F.when(k % 4 == 2, "LONG").when(k % 4 != 3, "FLAT").alias("position_side"),
+        F.when(k % 5 == 1, "SHORT").when(k % 5 == 2, "none").alias("original_side"), F.when(k % 3 == 0, "LONG").alias("last_side"), prompt.alias("prompt"), F.lit(None).cast("string").alias("symbol"), "value",
+    )
+    return rv.cleanup_examples(rows, F.when(F.col("value") > 15, "high"), 60)
+
+
+@query(f"""WITH RECURSIVE {EXAMPLES} SELECT id, label, position_side, repaired, flag_reason, 'symbol=MNQ 03-26' || chr(10) || 'position=' || position_side || chr(10) || 'last_side=' || coalesce(last, 'NONE') || chr(10) || split_part(prompt, chr(10), 3) || chr(10) || split_part(prompt, chr(10), 4) AS prompt FROM c""")
+def cleanup_examples(spark, d):
+    """Events as examples with a prompt each, repaired, written anew and flagged."""
+    return cleaned(spark, d).select("id", "label", "position_side", "repaired", "flag_reason", "prompt")
+
+
+@query(f"""WITH RECURSIVE {EXAMPLES}, t AS (SELECT 'input_examples' AS measure, '' AS name, count(*)::BIGINT AS n FROM c UNION ALL SELECT 'position_side_repaired', '', count(*) FILTER (repaired) FROM c UNION ALL SELECT 'prompts_rebuilt', '', count(*) FROM c
+UNION ALL SELECT 'duplicates_removed', '', count(*) FILTER (flag_reason LIKE 'dup%') FROM c UNION ALL SELECT 'impossible_state_flagged', '', count(*) FILTER (flag_reason LIKE '%FLAT') FROM c UNION ALL SELECT 'advice_pattern_flagged', '', count(*) FILTER (flag_reason LIKE 'adv%') FROM c
+UNION ALL SELECT 'output_clean', '', count(*) FILTER (flag_reason IS NULL) FROM c UNION ALL SELECT 'output_flagged', '', count(flag_reason) FROM c)
+SELECT * FROM t UNION ALL SELECT CASE WHEN flag_reason IS NULL THEN 'clean_label' ELSE 'flagged_label' END, label, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'flag_reason', flag_reason, count(*) FROM c WHERE flag_reason IS NOT NULL GROUP BY ALL""")
+def cleanup_report(spark, d):
+    return rv.cleanup_report(cleaned(spark, d))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from livetext.functions import text as tx
+from livetext.operators import evaluation as ev
 from livetext.operators import flow as fl
 from livetext.operators.ordered import CONTINUES, UNFINISHED
 from livetext.plans import streams
@@ -119,6 +120,22 @@ def parse_intent(spark, d):
     return found.drop("recovered")
 
 
+@query(f"""WITH i AS (SELECT r.conv_id, r.turn, r.tag, regexp_matches(lower(c.text), '\\bthe th[a-z]*\\b') AS bad FROM ({_in_sql()}) AS r JOIN conversations AS c ON c.conv_id = r.conv_id AND c.turn = r.turn WHERE r.tag IS NOT NULL),
+k AS (SELECT conv_id, string_agg(tag || '=' || n, ',' ORDER BY tag) AS counts FROM (SELECT conv_id, tag, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1)
+SELECT conv_id, count(*)::BIGINT AS intents, any_value(counts) AS counts, array_to_string((list(turn || ':' || tag ORDER BY turn))[:5], ',') AS first_hits, sum(bad::INTEGER)::BIGINT AS n_suspicious,
+coalesce(array_to_string((list(tag ORDER BY turn) FILTER (bad))[:5], ','), '') AS suspicious FROM i JOIN k USING (conv_id) GROUP BY conv_id""")
+def replay_report(spark, d):
+    """Conversations replayed as files: each turn is read against the position that its file's earlier intents left, repeats
+    are suppressed, and what remains is a report a file."""
+    turns = conv(spark, d).select("conv_id", "turn", F.col("text").alias("raw"))
+    found = fl.interpret(spoken(spark, d), SURROGATE, "conv_id", "at", "turn", "text", windows=False, resolve=by_length).filter("tag is not null")
+    hits = found.select("conv_id", "turn", "tag").join(turns.hint("merge"), ["conv_id", "turn"]).withColumn("hit", F.concat("turn", F.lit(":"), "tag"))
+    report = ev.file_report(hits, "conv_id", "turn", "tag", F.lower("raw").rlike(r"\bthe th[a-z]*\b"), listed="hit")
+    counts = F.array_join(F.transform("counts", lambda x: F.concat(x["tag"], F.lit("="), x["n"].cast("string"))), ",")
+    plain_tags = F.transform("suspicious", lambda x: F.substring_index(x, ":", -1))
+    return report.select("conv_id", "intents", counts.alias("counts"), F.array_join("first_hits", ",").alias("first_hits"), "n_suspicious", F.array_join(plain_tags, ",").alias("suspicious"))
+
+
 #: Streams begin after the epoch, where a watermark starts.
 STARTS = 1_000_000
 #: The parts of a given table come file by file, so that sessions are far apart in time: no row is late.

@@ -295,7 +295,7 @@ SETTLED = "CASE WHEN raw IN ('TRIM', 'MOVE_STOP', 'EXIT_ALL') AND position = 'FL
 @query(f"""WITH t AS (SELECT conv_id, turn, {P} AS p FROM conversations), s AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t), i AS (SELECT conv_id, turn, {CASCADE.format("coalesce(trim(b || ' ' || p), p)")} AS raw FROM s),
 h AS (SELECT *, coalesce(last_value(CASE raw WHEN 'ENTER_LONG' THEN 'LONG' WHEN 'ENTER_SHORT' THEN 'SHORT' WHEN 'EXIT_ALL' THEN 'FLAT' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'FLAT') AS position FROM i),
 g AS (SELECT conv_id, turn, position, coalesce({SETTLED}, 'NONE') AS tag FROM h) SELECT conv_id, tag, position, count(*)::BIGINT AS n FROM g GROUP BY ALL""")
-def replay_report(spark, d):
+def replay_counts(spark, d):
     """Actions of stitched transcript lines, read against the position that earlier lines left, counted by transcript."""
     c = conv(spark, d).withColumn("p", plain(F.col("text")))
     parsed = cascade.parse_intent(od.stitch_context(c, F.col("p"), "conv_id", "turn"), F.col("analysis_text"), GROUPS, TAGS, "conv_id", "turn")

@@ -71,4 +71,4 @@ def test_every_query_has_sql_or_a_test():
 @pytest.mark.parametrize("module", [curation, evaluation, flows, learning, orders, streams, texts])
 def test_queries_are_registered(module):
     named = {n for n, f in vars(module).items() if getattr(f, "__module__", "") == module.__name__ and getattr(f, "__code__", None) and f.__code__.co_varnames[:2] == ("spark", "d")}
-    assert named - {"examples", "scored", "labelled", "segments", "featured", "spoken"} <= set(QUERIES)
+    assert named - {"examples", "scored", "labelled", "segments", "featured", "spoken", "cleaned"} <= set(QUERIES)
