@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from livetext.operators.folds import ordered_fold
+
 
 #: Beginnings that carry on the row before, and ends that leave a thought open.
 CONTINUES = [
@@ -89,20 +91,19 @@ def recent_cue(rows: DataFrame, key: str, order: list, cue: Column, seconds: str
 def greedy_keep(rows: DataFrame, keys: list[str], order: str, id_col: str, reach: int) -> DataFrame:
     """Rows more than ``reach`` after the last kept row of their key.
 
-    Only (order, id) of a key's rows are folded. Rows further apart than ``reach`` from the row before are kept
-    whatever came earlier, so each such island is folded by itself and no key is one large array.
+    Rows further apart than ``reach`` from the row before are kept whatever came earlier, so each such island is folded by itself:
+    a hot key is dealt out by islands, and an island is read in batches. A row without an order is kept only as the first one.
     """
     w = Window.partitionBy(*keys).orderBy(order, id_col)
     new = F.coalesce(F.col(order) - F.lag(order).over(w) > reach, F.lit(True))
     isles = rows.withColumn("new", new.cast("int")).withColumn("isle", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = isles.groupBy(*keys, "isle").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("t"), F.col(id_col).cast("long").alias("id")))).alias("s"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
+    x = isles.select(*keys, "isle", F.col(order).cast("long").alias("t"), F.col(id_col).cast("long").alias("n"))
 
-    def step(acc, x):
-        take = acc["last"].isNull() | (x["t"] - acc["last"] > reach)
-        return F.struct(F.when(take, x["t"]).otherwise(acc["last"]).alias("last"), F.when(take, F.concat(acc["kept"], F.array(x["id"]))).otherwise(acc["kept"]).alias("kept"))
+    def step(last, row):
+        take = last is None or (row.t is not None and row.t - last > reach)
+        return (row.t, (row.n,)) if take else (last, None)
 
-    return lists.select(*keys, F.explode(F.aggregate("s", start, step)["kept"]).alias(id_col))
+    return ordered_fold(x, [*keys, "isle"], ["t", "n"], [], step, "kept long").select(*keys, F.col("kept").alias(id_col))
 
 
 def collapse_captions(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -190,28 +191,27 @@ def suppress_duplicates(intents: DataFrame, key: str, at: str, id_col: str, foll
     is a ``follow_up``.
 
     A row further than ``entry`` seconds from the row before is kept whatever came earlier, so such islands are folded by
-    themselves.
+    themselves, in batches.
     """
     w = Window.partitionBy(key).orderBy(at, id_col)
     new = F.coalesce(F.col(at) - F.lag(at).over(w) > max(same, entry), F.lit(True)).cast("int")
     isles = intents.withColumn("follow", follow_up).withColumn("isle", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    fields = [F.col(at).cast("double").alias("t"), F.col(id_col).cast("long").alias("id"), "tag", "side", *[F.col(c).cast("double").alias(c) for c in ("entry", "stop", "target")], "follow"]
-    lists = isles.groupBy(key, "isle").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
-    family = lambda tag: tag.isin("ENTER_LONG", "ENTER_SHORT", "ADD")
-    kind = "struct<t:double,id:long,tag:string,side:string,entry:double,stop:double,target:double,follow:boolean>"
-    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast("array<long>").alias("kept"))
-
-    def step(acc, x):
-        last = acc["last"]
-        alike = last["side"].eqNullSafe(x["side"])
-        for c in ("entry", "stop", "target"):
-            alike = alike & last[c].eqNullSafe(x[c])
-        age = x["t"] - last["t"]
-        again = alike & (((age <= same) & (x["tag"] == last["tag"])) | ((age <= entry) & family(x["tag"]) & family(last["tag"]) & x["follow"]))
-        keep = last.isNull() | ~F.coalesce(again, F.lit(False))
-        return F.struct(F.when(keep, x).otherwise(last).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["id"]))).otherwise(acc["kept"]).alias("kept"))
-
-    return lists.select(key, F.explode(F.aggregate("s", start, step)["kept"]).alias(id_col))
+    prices = ["entry", "stop", "target"]
+    x = isles.select(key, "isle", F.col(at).cast("double").alias("t"), F.col(id_col).cast("long").alias("n"), "tag", "side", *[F.col(c).cast("double").alias(c) for c in prices], "follow")
+    family = ("ENTER_LONG", "ENTER_SHORT", "ADD")
+
+    def equal(a, b):
+        return a == b or (a != a and b != b)  # no number equals no number
+
+    def step(last, row):
+        if last is not None and None not in (row.t, last.t) and all(equal(getattr(row, c), getattr(last, c)) for c in ["side", *prices]):
+            age = row.t - last.t
+            repeat = age <= same and row.tag is not None and row.tag == last.tag
+            if repeat or (age <= entry and row.tag in family and last.tag in family and row.follow):
+                return last, None
+        return row, (row.n,)
+
+    return ordered_fold(x, [key, "isle"], ["t", "n"], ["tag", "side", *prices, "follow"], step, "kept long").select(key, F.col("kept").alias(id_col))
 
 
 def instrument_context(rows: DataFrame, key: str, order: list, seconds: str, foreign: Column, own: Column, within: int, out: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from livetext.operators.folds import ordered_fold
+
 ENTRIES = ("ENTER_LONG", "ENTER_SHORT", "ADD")
 MANAGEMENT = ("TRIM", "EXIT_ALL", "MOVE_STOP", "MOVE_TO_BREAKEVEN")
 #: Limits of the risk checks and brackets.
@@ -114,29 +116,35 @@ def position_ledger(commands: DataFrame, key: str, order: str) -> DataFrame:
     STOP and BREAKEVEN; all but ENTER need a position, ENTER needs none. A command without contracts, or of another kind or none, is rejected.
 
     A position lives from an ENTER to the row that closes it, so a session is folded island by island: the rows from
-    one ENTER to the next EXIT. Only these rows are one array.
+    one ENTER to the next EXIT. An island is read in batches, so a position that is never closed may have any number of commands.
     """
     w = Window.partitionBy(key).orderBy(order)
     # an EXIT leaves no position whatever came before: the rows up to it are an island
     closed = F.coalesce(F.sum((F.col("kind") == "EXIT").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = commands.withColumn("island", closed)
-    fields = [F.col(order).cast("long").alias("o"), "kind", "side", F.col("qty").cast("int").alias("qty"), F.col("price").cast("double").alias("price"), F.col("stop").cast("double").alias("stop")]
-    lists = x.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
-    row = "struct<o:long,side:string,qty:int,avg:double,stop:double,ok:boolean>"
-    start = F.struct(F.lit("FLAT").alias("side"), F.lit(0).alias("qty"), F.lit(0.0).alias("avg"), F.lit(None).cast("double").alias("stop"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(a, x):
-        flat, sized = a["qty"] == 0, x["kind"].isin("ENTER", "ADD", "TRIM")
-        known = F.coalesce(x["kind"].isin("ENTER", "ADD", "TRIM", "EXIT", "STOP", "BREAKEVEN"), F.lit(False))
-        ok = F.when(~known, F.lit(False)).when(sized & ~F.coalesce(x["qty"] > 0, F.lit(False)), F.lit(False)).when(x["kind"] == "ENTER", flat).otherwise(~flat)
-        more = F.when(x["kind"].isin("ENTER", "ADD"), x["qty"]).when(x["kind"] == "TRIM", -F.least(x["qty"], a["qty"])).when(x["kind"] == "EXIT", -a["qty"]).otherwise(0)
-        qty = F.when(ok, a["qty"] + more).otherwise(a["qty"])
-        side = F.when(qty == 0, "FLAT").when(ok & (x["kind"] == "ENTER"), x["side"]).otherwise(a["side"])
-        avg = F.when(qty == 0, 0.0).when(ok & (more > 0), (a["avg"] * a["qty"] + F.coalesce(x["price"], a["avg"]) * more) / qty).otherwise(a["avg"])
-        moved = F.when(x["kind"] == "BREAKEVEN", a["avg"]).when(x["kind"].isin("STOP", "ENTER"), x["stop"]).otherwise(F.coalesce(F.when(x["kind"] == "ADD", x["stop"]), a["stop"]))
-        stop = F.when(qty == 0, F.lit(None)).when(ok, moved).otherwise(a["stop"])
-        made = F.struct(x["o"].alias("o"), side.alias("side"), qty.alias("qty"), avg.alias("avg"), stop.alias("stop"), ok.alias("ok"))
-        return F.struct(side.alias("side"), qty.alias("qty"), avg.alias("avg"), stop.alias("stop"), F.concat(a["out"], F.array(made)).alias("out"))
-
-    found = lists.select(key, F.explode(F.aggregate("s", start, step)["out"]).alias("r"))
-    return found.select(key, F.col("r.o").alias(order), "r.side", "r.qty", F.col("r.avg").alias("avg_price"), "r.stop", "r.ok")
+    numbers = [F.col("qty").cast("int").alias("qty"), F.col("price").cast("double").alias("price"), F.col("stop").cast("double").alias("stop")]
+    x = commands.select(key, closed.alias("island"), F.col(order).cast("long").alias("o"), "kind", "side", *numbers)
+    out = "o long, now_side string, now_qty int, avg double, now_stop double, ok boolean"
+    found = ordered_fold(x, [key, "island"], ["o"], ["kind", "side", "qty", "price", "stop"], _after_command, out)
+    return found.select(key, F.col("o").alias(order), F.col("now_side").alias("side"), F.col("now_qty").alias("qty"), F.col("avg").alias("avg_price"), F.col("now_stop").alias("stop"), "ok")
+
+
+def _after_command(held: tuple | None, x) -> tuple[tuple, tuple]:
+    """The position (side, contracts, average, stop) after a command, and its row of the ledger."""
+    side, qty, avg, stop = held or ("FLAT", 0, 0.0, None)
+    opens, grows = x.kind == "ENTER", x.kind in ("ENTER", "ADD")
+    known = x.kind in ("ENTER", "ADD", "TRIM", "EXIT", "STOP", "BREAKEVEN")
+    sized = x.kind not in ("ENTER", "ADD", "TRIM") or (x.qty or 0) > 0
+    ok = known and sized and opens == (qty == 0)
+    if ok:
+        side = x.side if opens else side
+        more = x.qty if grows else -min(x.qty, qty) if x.kind == "TRIM" else -qty if x.kind == "EXIT" else 0
+        if x.kind == "BREAKEVEN":
+            stop = avg
+        elif x.kind in ("STOP", "ENTER") or (x.kind == "ADD" and x.stop is not None):
+            stop = x.stop
+        if grows:
+            avg = (avg * qty + (avg if x.price is None else x.price) * more) / (qty + more)
+        qty += more
+    if qty == 0:
+        side, avg, stop = "FLAT", 0.0, None
+    return (side, qty, avg, stop), (x.o, side, qty, avg, stop, ok)
