@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from livetext.functions import text as tx
 from livetext.operators import cascade as cc
+from livetext.operators import corpora as co
 from livetext.operators import instruments as ins
 from livetext.operators import relational as rel
 from livetext.operators import review as rv
 from livetext.operators import scoring as sc
+from livetext.plans import texts
 from livetext.plans.queries import CASCADE, EV, GROUPS, TAG, TAGS, P, conv, events, plain, query, read, tag_of
+from livetext.sources.transcripts import read_reviewed, scratch
 
 TURNS = f"t AS (SELECT conv_id, turn, role, {P} AS p FROM conversations), g AS (SELECT *, {CASCADE.format('p')} AS raw FROM t)"
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -150,7 +153,7 @@ def first_rule_review(spark, d):
 
 @query(f"""WITH t AS (SELECT conv_id AS file, turn AS line, role, {P} AS p FROM conversations), f AS (SELECT *, CASE WHEN regexp_matches(p, '\\bwas\\b') THEN 'past' WHEN regexp_matches(p, '\\bfor\\b') THEN 'plan' WHEN regexp_matches(p, '\\b(?:de|der)\\b') THEN 'talk' END AS family FROM t),
 x AS (SELECT file, line, family FROM f WHERE family IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f AS q WHERE q.file = f.file AND q.role = 'system' AND abs(q.line - f.line) <= 1)) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY family ORDER BY file, line) <= 40""")
-def mine_hard_negatives(spark, d):
+def hard_negative_lines(spark, d):
     t = conv(spark, d).select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), "role", plain(F.col("text")).alias("p"))
     families = {"past": [r"\bwas\b"], "plan": [r"\bfor\b"], "talk": [r"\b(?:de|der)\b"]}
     return cc.mine_hard_negatives(t, F.col("p"), families, t.filter("role = 'system'"))
@@ -270,3 +273,34 @@ UNION ALL SELECT 'output_clean', '', count(*) FILTER (flag_reason IS NULL) FROM
 SELECT * FROM t UNION ALL SELECT CASE WHEN flag_reason IS NULL THEN 'clean_label' ELSE 'flagged_label' END, label, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'flag_reason', flag_reason, count(*) FROM c WHERE flag_reason IS NOT NULL GROUP BY ALL""")
 def cleanup_report(spark, d):
     return rv.cleanup_report(cleaned(spark, d))
+
+
+@query(f"""WITH t AS (SELECT conv_id AS file, turn AS line, role, text, coalesce(text, '') AS x FROM conversations), w AS (SELECT *, {texts.corrected('x')} AS p, lag(x, 2) OVER o AS a, lag(x) OVER o AS b, lead(x) OVER o AS c FROM t WINDOW o AS (PARTITION BY file ORDER BY line)),
+f AS (SELECT *, CASE WHEN regexp_matches(p, '\\bwas\\b') THEN 'past' WHEN regexp_matches(p, '\\bfor\\b') THEN 'plan' WHEN regexp_matches(p, '\\b(?:de|der)\\b') THEN 'talk' END AS family FROM w),
+k AS (SELECT *, concat_ws(' ', a, b) AS r0, concat_ws(' ', a, b, x, c) AS a0, concat_ws(' ', b, x) AS e0 FROM f WHERE family IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t AS q WHERE q.file = f.file AND q.role = 'system' AND (q.line = f.line OR (q.line % 2 = 0 AND abs(q.line - f.line) <= 1))) AND file % 7 <> 3
+  QUALIFY row_number() OVER (PARTITION BY family ORDER BY file, line) <= 40),
+n AS (SELECT file, line, family, CASE WHEN b IS NOT NULL THEN {texts.corrected('r0')} END AS recent_text, {texts.corrected('a0')} AS analysis_text, {texts.corrected('e0')} AS entry_text FROM k)
+SELECT *, CASE WHEN regexp_matches(analysis_text, '\\bthe\\b') AND NOT regexp_matches(analysis_text, '\\bthat\\b') THEN 'LONG' WHEN regexp_matches(analysis_text, '\\bthat\\b') AND NOT regexp_matches(analysis_text, '\\bthe\\b') THEN 'SHORT' ELSE 'FLAT' END AS position_side FROM n""")
+def mine_hard_negatives(spark, d):
+    """Turns of a family with their context; system turns are reviewed, those in even places as actions, and some files are covered."""
+    t = conv(spark, d).select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), "role", "text")
+    reviewed = t.filter("role = 'system'").select("file", "line", F.when(F.col("line") % 2 == 0, "TRIM").otherwise("NO_ACTION").alias("label"))
+    families = {"past": [r"\bwas\b"], "plan": [r"\bfor\b"], "talk": [r"\b(?:de|der)\b"]}
+    out = co.mine_hard_negatives(t.drop("role"), reviewed, t.filter("file % 7 = 3"), families, hints=(r"\bthe\b", r"\bthat\b"))
+    return out.select("file", "line", "family", "recent_text", "analysis_text", "entry_text", "position_side")
+
+
+@query(f"""WITH c AS (SELECT user_id AS file, event_id % 7 AS line, event_id % 2 AS ordinal, event_id AS row, CASE WHEN event_type = 'view' THEN 'ADD' ELSE {TAG} END AS raw, CASE WHEN value > 20 THEN 'LONG' END AS side FROM events),
+l AS (SELECT *, CASE raw WHEN 'ADD' THEN 'ENTER_' || side ELSE raw END AS label FROM c), m AS (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY ordinal DESC, row DESC) AS rn FROM l WHERE label IS NOT NULL)
+SELECT 'input' AS measure, ordinal::VARCHAR AS name, count(*)::BIGINT AS n FROM c GROUP BY ALL UNION ALL SELECT 'raw_label', raw, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'output_label', label, count(*) FROM m WHERE rn = 1 GROUP BY ALL
+UNION ALL SELECT 'dropped', 'add_without_side', count(*) FROM l WHERE label IS NULL HAVING count(*) > 0 UNION ALL SELECT 'replaced_same_line_examples', '', count(*) FROM m WHERE rn > 1 UNION ALL SELECT 'exported_examples', '', count(*) FROM m WHERE rn = 1""")
+def dataset_summary(spark, d):
+    """Two corpora written as reviewed files, found by their folders (one named twice, one that isn't there), and counted."""
+    path, k = scratch(spark, "corpora"), F.col("event_id")
+    label, side = F.when(F.col("event_type") == "view", "ADD").otherwise(tag_of()), F.when(F.col("value") > 20, "LONG")
+    rows = read(spark, d, "events").select(F.col("user_id").alias("file"), (k % 7).alias("line"), k.alias("row"), label.alias("label"), side.alias("side"))
+    for part in (0, 1):
+        rows.filter(F.col("row") % 2 == part).write.json(f"{path}/{part}/reviewed_examples.jsonl")
+    found = co.resolve_inputs(spark, [f"{path}/0", f"{path}/1/reviewed_examples.jsonl", f"{path}/0/", f"{path}/2"])
+    corpora = read_reviewed(spark, found, "file long, line long, row long, label string, side string").withColumnRenamed("input_ordinal", "ordinal")
+    return co.dataset_summary(corpora.filter("_corrupt_record is null"), ["side"])
