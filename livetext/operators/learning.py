@@ -189,13 +189,18 @@ def fit_mlp(rows: DataFrame, size: int, hidden: tuple[int, ...] = (256, 128), st
     return Fitted(model.fit(data), labels)
 
 
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, also where ``f`` names it inside another function."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def layer_norm(vector: Column) -> Column:
-    """A vector with mean 0 and deviation 1."""
-    x = F.transform(vector, lambda e: e.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda s, e: s + e) / F.size(x)
-    centred = F.transform(x, lambda e: e - mean)
-    spread = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, e: s + e * e) / F.size(x) + 1e-5)
-    return array_to_vector(F.transform(centred, lambda e: e / spread))
+    """A vector with mean 0 and deviation 1. Mean and spread are computed once a vector, not once an entry."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + e) / F.size(x)
+    spread = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e) / F.size(x) + 1e-5)
+    centred = lambda x: _once(mean(x), lambda m: F.transform(x, lambda e: e - m))
+    scaled = lambda c: _once(spread(c), lambda s: F.transform(c, lambda e: e / s))
+    return array_to_vector(_once(F.transform(vector, lambda e: e.cast("double")), lambda x: _once(centred(x), scaled)))
 
 
 def fit_vector_head(rows: DataFrame, vector: str, steps: int = 50) -> Fitted:
