@@ -61,15 +61,10 @@ def sample_weights(rows: DataFrame, weights: dict[str, float], label: str, sourc
 
 def tfidf_stats(docs: DataFrame, text: str, top: int, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(term, df, idf) of the ``top`` commonest runs of one or two words (two letters or more each); smooth idf."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
-    found = docs.select(words.alias("w"))
+    from livetext.operators.learning import leading_terms, terms_of
 
-    def grams(n):
-        at = F.sequence(F.lit(1), F.size("w") - n + 1)
-        return F.when(F.size("w") >= n, F.transform(at, lambda k: F.array_join(F.slice("w", k, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    terms = found.select(F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    best = terms.orderBy(F.desc("df"), "term").limit(top)
+    found = leading_terms(docs, text, top, {"df": F.lit(True)}, lambda t: terms_of(t, sizes))
+    best = found.orderBy(F.desc("df"), "term").limit(top)
     n = docs.agg(F.count("*").alias("n"))
     return best.join(F.broadcast(n)).select("term", "df", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))  # one row
 

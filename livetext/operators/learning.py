@@ -10,31 +10,88 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from livetext.operators import evaluation as ev
 
 
-def terms_of(text: Column) -> Column:
-    """Words of two letters or more, and pairs of neighbours."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
-    n = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, also where ``f`` names it inside another function."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def terms_of(text: Column, sizes: tuple[int, ...] = (1, 2)) -> Column:
+    """Runs of as many words as ``sizes`` has, of two letters or more each; words and pairs of neighbours by default."""
+
+    def runs(w, size):
+        out = w
+        for k in range(1, size):
+            n = F.greatest(F.size(w) - k, F.lit(0))
+            out = F.zip_with(F.slice(out, F.lit(1), n), F.slice(w, F.lit(k + 1), n), lambda a, b: F.concat_ws(" ", a, b))
+        return out
+
+    # the plain letters in the class spare Java a look at the properties of most characters
+    return _once(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[a-zA-Z0-9_\w]{2,}"), F.lit(0)), lambda w: F.concat(*[runs(w, n) for n in sizes]))
+
+
+#: Buckets that terms are counted in first, and the documents whose terms give the bounds.
+BUCKETS, FIRST = 1 << 18, 2000
+
+
+def leading_terms(docs: DataFrame, text: str, size: int, sets: dict[str, Column], terms: Callable[[Column], Column] = terms_of) -> DataFrame:
+    """(term, ``sets``): in how many documents of each set (a condition on rows) a term is, for all terms that can be among the
+    ``size`` commonest of a set.
+
+    Exact in two passes without a count of every term. The first counts by a hash of the terms, a bounded number of rows, and beside
+    that some terms by themselves: the commonest of a few documents. No term is commoner than its bucket, and the last of ``size``
+    counted terms bounds the rank from below, so only terms of buckets that reach it are counted in the second pass.
+    """
+    from livetext.sources.transcripts import kept
+
+    names = list(sets)
+    rows = lambda d: d.select(*[c.alias(k) for k, c in sets.items()], F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    counts = [F.count(F.when(F.col(k), 1)).alias(k) for k in names]
+    some = rows(docs.limit(FIRST)).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(size * 2).select("term").collect()
+    listed = docs.sparkSession.createDataFrame([(k, r.term) for k, r in enumerate(some)], "own int, known string").withColumn("hash", F.xxhash64("known")).dropDuplicates(["hash"])
+    hashed = rows(docs).withColumn("hash", F.xxhash64("term")).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+    first = hashed.join(F.broadcast(listed), "hash", "left").withColumn("own", F.when(F.col("term") == F.col("known"), F.col("own")))  # at most twice ``size`` terms
+    first = kept(first.groupBy("bucket", "own").agg(*counts), "term-buckets")
+    ranked = first.filter("own is not null").select(*names).collect()  # at most twice ``size`` rows
+    least = {k: max(1, ([0] * size + sorted(r[k] for r in ranked))[-size]) for k in names}
+    full = first.groupBy("bucket").agg(*[F.sum(k).alias(k) for k in names]).filter(reduce(lambda a, b: a | b, [F.col(k) >= least[k] for k in names])).select("bucket")
+    return hashed.join(F.broadcast(full), "bucket", "left_semi").groupBy("term").agg(*counts)  # at most ``BUCKETS`` numbers
 
 
 def vocabulary(docs: DataFrame, text: str, size: int) -> DataFrame:
     """(k, term, idf) of the ``size`` terms in most documents, numbered in that order; smooth idf."""
-    found = docs.select(F.explode(F.array_distinct(terms_of(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    top = found.orderBy(F.desc("df"), "term").limit(size)
+    top = leading_terms(docs, text, size, {"df": F.lit(True)}).orderBy(F.desc("df"), "term").limit(size)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("minus"), "term"))).alias("all"))
     rows = ranked.select(F.posexplode("all").alias("k", "t"))  # at most ``size`` entries in one array
     n = docs.agg(F.count("*").alias("n"))
     return rows.join(F.broadcast(n)).select("k", "t.term", (F.log((1 + F.col("n")) / (1 - F.col("t.minus"))) + 1).alias("idf"))
 
 
+def vocabularies_without(docs: DataFrame, text: str, size: int, fold: str = "fold") -> DataFrame:
+    """``fold_vocabularies`` straight from texts. Each fold (a few) is a set of ``leading_terms``: the rows of all others."""
+    from livetext.sources.transcripts import kept
+
+    sizes = {r[fold]: r.n for r in docs.groupBy(fold).agg(F.count("*").alias("n")).collect()}
+    sets = {f"df{i}": F.col(fold) != k for i, k in enumerate(sorted(sizes))}
+    found = kept(leading_terms(docs, text, size, sets), "fold-terms")
+    whole, kind = sum(sizes.values()), dict(docs.dtypes)[fold]
+    best = []
+    for i, k in enumerate(sorted(sizes)):
+        top = found.select("term", F.col(f"df{i}").alias("df")).filter("df > 0").orderBy(F.desc("df"), "term").limit(size)
+        ranked = top.withColumn("k", F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1)  # at most ``size`` rows
+        best.append(ranked.select(F.lit(k).cast(kind).alias(fold), F.col("k").cast("int").alias("k"), "term", (F.log((1 + F.lit(whole - sizes[k])) / (1 + F.col("df"))) + 1).alias("idf")))
+    return reduce(DataFrame.unionByName, best)
+
+
 def term_counts(docs: DataFrame, id_col: str, text: str, *keep: str) -> DataFrame:
     """(id, ``keep``, term, n): how often each text holds each of its terms."""
     return docs.select(id_col, *keep, F.explode(terms_of(F.col(text))).alias("term")).groupBy(id_col, *keep, "term").agg(F.count("*").alias("n"))
@@ -68,21 +125,58 @@ def weights_of(counts: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
     return raw.join(norm.hint("merge"), id_col).select(id_col, "k", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+def _numbers(values: list) -> Column:
+    """A constant array."""
+    return F.expr("array(" + ", ".join("null" if x is None else f"{x!r}D" if isinstance(x, float) else str(x) for x in values) + ")")
+
+
+def counted(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """``docs`` with ``counts``, how often each text holds each of the given terms, as numbers of terms and counts in two arrays.
+    Each text is counted where it is read; the table is written, since features are derived from it several times."""
+    from livetext.sources.transcripts import kept
+
+    if not terms:
+        return docs.withColumn("counts", F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
+    model = CountVectorizerModel.from_vocabulary(terms, inputCol="__terms", outputCol="counts")
+    rows = model.transform(docs.withColumn("__terms", F.coalesce(terms_of(F.col(text)), F.array().cast("array<string>")))).drop("__terms")
+    # a vector column is such a struct in a file
+    plain = StructType([f if f.name != "counts" else StructField("counts", VectorUDT.sqlType()) for f in rows.schema])
+    return kept(rows, "counts", plain)
+
+
+def weighted(counts: Column, numbers: list, idf: list) -> Column:
+    """(k, weight) of ``counts`` in the order of k: 1 + ln(count) times idf, scaled to length 1. ``numbers`` and ``idf`` hold the place
+    and idf of each counted term, null for terms outside the vocabulary."""
+    entries = F.zip_with(counts["indices"], counts["values"], lambda i, n: F.struct(F.get(_numbers(numbers), i).alias("k"), ((1 + F.log(n)) * F.get(_numbers(idf), i)).alias("raw")))
+    known = F.array_sort(F.filter(entries, lambda e: e["k"].isNotNull()))
+    length = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e["raw"] * e["raw"]))
+    return _once(known, lambda x: _once(length(x), lambda norm: F.transform(x, lambda e: F.struct(e["k"].alias("k"), (e["raw"] / norm).alias("weight")))))
+
+
 def tfidf_features(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
-    """The weights of a vocabulary's terms in each text."""
-    return weights_of(term_counts(docs, id_col, text), id_col, terms)
+    """The weights of a vocabulary's terms in each text; rows of one id are one text."""
+    found = terms.select("k", "term", "idf").collect()  # a vocabulary
+    # only the vocabulary's terms are dealt out, by document
+    counts = counted(docs.select(id_col, text), text, [r.term for r in found]).select(id_col, F.explode(F.arrays_zip("counts.indices", "counts.values")).alias("e"))
+    counts = counts.groupBy(id_col, F.col("e.indices").alias("at")).agg(F.sum("e.values").alias("n"))
+    places = terms.sparkSession.createDataFrame([(at, *r) for at, r in enumerate(found)], "at int, k int, term string, idf double")
+    return weights_of(counts.join(F.broadcast(places.select("at", "term")), "at"), id_col, places)
 
 
-def vectors(docs: DataFrame, id_col: str, text: str, terms: DataFrame, size: int, counts: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``features``, one sparse vector a document; ``counts`` spares counting its terms again."""
+def vectors(docs: DataFrame, id_col: str, text: str, terms: DataFrame, size: int) -> DataFrame:
+    """``docs`` with ``features``, one sparse vector a document, written for the fits that read it many times."""
+    found = terms.select("k", "term", "idf").collect()  # a vocabulary
+    return featured(counted(docs, text, [r.term for r in found]), [r.k for r in found], [r.idf for r in found], size)
 
-    @F.udf(VectorUDT())
-    def sparse(entries):
-        return Vectors.sparse(size, [(e["k"], e["weight"]) for e in entries or []])
 
-    counts = term_counts(docs, id_col, text) if counts is None else counts.join(docs.select(id_col).hint("merge"), id_col, "left_semi")
-    listed = weights_of(counts, id_col, terms).groupBy(id_col).agg(F.collect_list(F.struct("k", "weight")).alias("entries"))
-    return docs.join(listed.hint("merge"), id_col, "left").withColumn("features", sparse("entries")).drop("entries")
+def featured(rows: DataFrame, numbers: list, idf: list, size: int) -> DataFrame:
+    """``rows`` of ``counted`` with ``features`` in place of ``counts``."""
+    from livetext.sources.transcripts import kept
+
+    out = rows.withColumn("counts", weighted(F.col("counts"), numbers, idf))
+    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("counts.k").alias("indices"), F.col("counts.weight").alias("values"))
+    out = out.withColumn("features", vector).drop("counts")
+    return kept(out, "features", StructType([f if f.name != "features" else StructField("features", VectorUDT()) for f in out.schema]))
 
 
 def balanced(rows: DataFrame, label: str = "label") -> tuple[DataFrame, list]:
@@ -189,11 +283,6 @@ def fit_mlp(rows: DataFrame, size: int, hidden: tuple[int, ...] = (256, 128), st
     return Fitted(model.fit(data), labels)
 
 
-def _once(value: Column, f) -> Column:
-    """``f(value)`` with the value computed once, also where ``f`` names it inside another function."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def layer_norm(vector: Column) -> Column:
     """A vector with mean 0 and deviation 1. Mean and spread are computed once a vector, not once an entry."""
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + e) / F.size(x)
@@ -218,15 +307,25 @@ def cross_validate(rows: DataFrame, fit: Callable[[DataFrame], Fitted], fold: st
 def cross_validate_texts(docs: DataFrame, id_col: str, text: str, size: int, fit: Callable[[DataFrame], Fitted], fold: str = "fold", train: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """As ``cross_validate`` from texts: each fold's vocabulary and idf come from the other folds alone. Terms are counted and written
     once; a fold's features are written before it is fitted."""
-    from livetext.sources.transcripts import kept
-
-    counts = kept(term_counts(docs, id_col, text, fold), "term-counts")
-    terms = kept(fold_vocabularies(counts, docs, size, fold), "fold-vocabularies")
-    parts = []
-    for k in sorted(r[fold] for r in docs.select(fold).distinct().collect()):  # a few folds
-        data = kept(vectors(docs, id_col, text, terms.filter(F.col(fold) == k), size, counts.select(id_col, "term", "n")), "features")
-        parts.append(fit(train(data.filter(F.col(fold) != k))).predict(data.filter(F.col(fold) == k)))
-    return reduce(DataFrame.unionByName, parts)
+    return next(cross_validate_sizes(docs, text, [size], fit, fold, train))
+
+
+def cross_validate_sizes(docs: DataFrame, text: str, sizes: list[int], fit: Callable[[DataFrame], Fitted], fold: str = "fold", train: Callable[[DataFrame], DataFrame] = lambda x: x):
+    """``cross_validate_texts`` for each vocabulary size. A small vocabulary is the start of a large one, so the texts are read for the
+    largest, and the terms of all folds are counted in one table."""
+    terms: dict = {}
+    for r in vocabularies_without(docs, text, max(sizes), fold).collect():  # a vocabulary for each of a few folds
+        terms.setdefault(r[fold], {})[r.term] = (r.k, r.idf)
+    known = sorted({t for found in terms.values() for t in found})
+    rows = counted(docs, text, known)
+    folds = sorted(r[fold] for r in docs.select(fold).distinct().collect())  # a few folds
+    for size in sizes:
+        parts = []
+        for k in folds:
+            own = {t: x for t, x in terms.get(k, {}).items() if x[0] < size}
+            data = featured(rows, [own[t][0] if t in own else None for t in known], [own[t][1] if t in own else None for t in known], size)
+            parts.append(fit(train(data.filter(F.col(fold) != k))).predict(data.filter(F.col(fold) == k)))
+        yield reduce(DataFrame.unionByName, parts)
 
 
 def feature_importance(fitted: Fitted, terms: DataFrame, top: int) -> DataFrame:
@@ -245,7 +344,6 @@ def vocab_ablation(docs: DataFrame, id_col: str, text: str, sizes: list[int], no
     """Metrics of cross-validated logistic regression for each vocabulary size; each fold's vocabulary and idf come from the others."""
     out = []
     labels = sorted(r.label for r in docs.select("label").distinct().collect())
-    for size in sizes:
-        found = cross_validate_texts(docs, id_col, text, size, fit_logreg, fold).withColumnRenamed("label", "y")
-        out.append(ev.overall_metrics(found, labels, none).withColumn("size", F.lit(size)))
+    for size, found in zip(sizes, cross_validate_sizes(docs, text, sizes, fit_logreg, fold), strict=True):
+        out.append(ev.overall_metrics(found.withColumnRenamed("label", "y"), labels, none).withColumn("size", F.lit(size)))
     return reduce(DataFrame.unionByName, out)

@@ -20,9 +20,8 @@ def labelled(spark, d):
 
 def featured(spark, d, size: int = SIZE):
     docs = labelled(spark, d)
-    terms = ml.vocabulary(docs, "text", size)
-    # fits read their rows many times
-    return kept(ml.vectors(docs, "doc_id", "text", terms, size), "features"), terms
+    terms = kept(ml.vocabulary(docs, "text", size), "vocabulary")
+    return ml.vectors(docs, "doc_id", "text", terms, size).drop("text"), terms
 
 
 GRAMS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_\pM]{2,}') AS w FROM documents WHERE lang IS NOT NULL),
@@ -69,8 +68,8 @@ SELECT fold, (rn - 1)::INTEGER AS k, term, round(ln((1 + n) / (1 + df)) + 1, 9)
 def fold_vocabularies(spark, d):
     """The vocabulary of each held-out fold, from the other folds alone. Folds are by the first letter of a source."""
     source = F.coalesce("source", F.lit(""))
-    docs = labelled(spark, d).drop("fold").join(read(spark, d, "documents").select("doc_id", F.when(source == "", 0).otherwise(F.ascii(source) % 3).alias("fold")).hint("merge"), "doc_id")
-    found = ml.fold_vocabularies(ml.term_counts(docs, "doc_id", "text", "fold"), docs, SIZE)
+    docs = read(spark, d, "documents").filter("lang is not null and doc_id is not null").select("doc_id", "text", F.when(source == "", 0).otherwise(F.ascii(source) % 3).alias("fold"))
+    found = ml.vocabularies_without(docs, "text", SIZE)
     return found.withColumn("idf", F.round("idf", 9))
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A transcript line, a caption timing line.
 LINE = r"^\[(\d{2}):(\d{2}):(\d{2})\]\s*(.*)$"
@@ -130,11 +131,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/_livetext/{name}-{uuid.uuid4().hex}"
 
 
-def kept(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` written to such a folder and read back, for tables that are used more than once."""
+def kept(rows: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``rows`` written to such a folder and read back, for tables that are used more than once; as ``schema`` if given."""
     path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(schema or rows.schema).parquet(path)
 
 
 def written_examples(rows: DataFrame, flagged: Column, part: str) -> DataFrame:

@@ -74,3 +74,37 @@ def test_a_normalised_vector_costs_no_power_of_its_length(spark):
         mean = sum(x) / 768
         spread = (sum((e - mean) ** 2 for e in x) / 768 + 1e-5) ** 0.5
         assert all(abs(g - (e - mean) / spread) < 1e-5 for g, e in zip(got[k], x, strict=True))
+
+
+def test_leading_terms_are_exact_without_a_count_of_all(spark, monkeypatch):
+    """With few buckets, and bounds from a few documents, a third of them odd, all first places are still right."""
+    rng = random.Random(9)
+    rows = [(k, k % 3, "odd odder" if k < 20 else " ".join(f"w{int(rng.paretovariate(0.6)) % 4000}" for _ in range(40))) for k in range(600)] + [(700, 1, None), (701, 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, fold int, text string").coalesce(2)
+    monkeypatch.setattr(ml, "BUCKETS", 5000)
+    monkeypatch.setattr(ml, "FIRST", 60)
+    want = {}
+    for _, _, text in rows:
+        w = (text or "").split()
+        for t in {*w, *map(" ".join, zip(w, w[1:], strict=False))}:
+            want[t] = want.get(t, 0) + 1
+    first = sorted(want, key=lambda t: (-want[t], t))[:50]
+    assert [r.term for r in ml.vocabulary(docs, "text", 50).orderBy("k").collect()] == first
+    found = ml.leading_terms(docs, "text", 50, {"df": F.lit(True)})
+    assert found.count() < len(want) * 0.8
+    # a fold's vocabulary as by the table of all counts
+    plain = ml.fold_vocabularies(ml.term_counts(docs, "doc_id", "text", "fold"), docs, 50)
+    both = [sorted((r.fold, r.k, r.term, round(r.idf, 9)) for r in x.select("fold", "k", "term", "idf").collect()) for x in (plain, ml.vocabularies_without(docs, "text", 50))]
+    assert both[0] == both[1] and len(both[0]) == 150
+
+
+def test_features_are_made_without_a_row_for_each_word(spark):
+    """Counted where a text is read: no join or shuffle of terms; the vectors equal the weights, texts without terms have none."""
+    docs = spark.createDataFrame([(1, "the cat the hat cat"), (2, None), (3, "zzz"), (4, "hat the")], "doc_id long, text string").coalesce(1)
+    terms = ml.vocabulary(docs, "text", 4)
+    data = ml.vectors(docs, "doc_id", "text", terms, 4)
+    got = {(r.doc_id, k): round(float(w), 9) for r in data.collect() for k, w in zip(r.features.indices, r.features.values, strict=True)}
+    want = {(r.doc_id, r.k): round(r.weight, 9) for r in ml.tfidf_features(docs, "doc_id", "text", terms).collect()}
+    assert got == want and {k for k, _ in got} == {1, 4} and data.count() == 4 and {len(r.features) for r in data.collect()} == {4}
+    plan = data._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
