@@ -70,8 +70,6 @@ def resolve_price(raw: Column, market: Column) -> Column:
     """The price that a spoken one means. Numbers below 1,000 are the end of a price: of all completions within 500 points of
     the market and one more place the nearest to the market counts. Quarter, half and three quarter add their part."""
     t = F.regexp_replace(F.replace(F.lower(F.trim(raw)), F.lit("-"), F.lit(" ")), r"(?<=[0-9]),(?=[0-9])", "")
-    part = F.when(t.contains("three quarter"), 0.75).when(t.contains("quarter"), 0.25).when(t.contains("half"), 0.5).otherwise(0.0)
-    rest = F.when(t.contains("three quarter"), F.replace(t, F.lit("three quarter"), F.lit(""))).when(t.contains("quarter"), F.replace(t, F.lit("quarter"), F.lit(""))).otherwise(F.replace(t, F.lit("half"), F.lit("")))
     known = [*NUMBERS, *SCALES, *FILLERS]
 
     def candidates(rest):
@@ -80,18 +78,26 @@ def resolve_price(raw: Column, market: Column) -> Column:
         found = _once(tokens, lambda w: F.concat(F.array(plain_number(w).cast("double")), F.transform(grouped_numbers(w), lambda x: x.cast("double"))))
         return F.array_distinct(F.filter(F.concat(F.array(digits), found), lambda x: x.isNotNull()))
 
-    def expanded(value):
+    def expanded(value, market, part):
         whole = F.floor(value)
         place = F.pow(F.lit(10), F.least(F.length(whole.cast("string")), F.lit(3))).cast("long")
 
-        def near(k):
+        def near(k, x):
             base = F.bround(market).cast("long") + k * 100
-            end = base - F.pmod(base, place) + whole
-            return F.filter(F.array(end, F.when(end - place > 0, end - place), end + place), lambda x: x.isNotNull())
+            ends = lambda end: F.filter(F.array(end, F.when(end - x["place"] > 0, end - x["place"]), end + x["place"]), lambda e: e.isNotNull())
+            return _once(base - F.pmod(base, x["place"]) + x["whole"], ends)
 
-        many = F.transform(F.flatten(F.transform(F.sequence(F.lit(-5), F.lit(5)), near)), lambda x: x + part)
+        fixed = F.struct(whole.alias("whole"), place.alias("place"))
+        many = _once(fixed, lambda x: F.transform(F.flatten(F.transform(F.sequence(F.lit(-5), F.lit(5)), lambda k: near(k, x))), lambda e: e + part))
         return F.when((value >= 1000) | market.isNull(), F.array(value + part)).otherwise(many)
 
-    prices = F.flatten(F.transform(_once(rest, candidates), expanded))
-    best = F.array_min(F.transform(prices, lambda p, k: F.struct(F.abs(p - F.coalesce(market, p)).alias("d"), k.alias("k"), p.alias("p"))))
+    def nearest(t, market):
+        part = F.when(t.contains("three quarter"), 0.75).when(t.contains("quarter"), 0.25).when(t.contains("half"), 0.5).otherwise(0.0)
+        rest = F.when(t.contains("three quarter"), F.replace(t, F.lit("three quarter"), F.lit(""))).when(t.contains("quarter"), F.replace(t, F.lit("quarter"), F.lit(""))).otherwise(F.replace(t, F.lit("half"), F.lit("")))
+        prices = lambda x: F.flatten(F.transform(candidates(x["rest"]), lambda v: expanded(v, market, x["part"])))
+        best = lambda found: F.array_min(F.transform(found, lambda p, k: F.struct(F.abs(p - F.coalesce(market, p)).alias("d"), k.alias("k"), p.alias("p"))))
+        return best(_once(F.struct(part.alias("part"), rest.alias("rest")), prices))
+
+    # text, part and market are computed once, not in the functions of each completion
+    best = _once(F.struct(t.alias("t"), market.alias("market")), lambda x: nearest(x["t"], x["market"]))
     return F.round(best["p"], 2)

@@ -40,3 +40,14 @@ def test_a_gap_of_exactly_the_limit_goes_on_in_query_and_sql(spark, tmp_path):
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
     got, want = both(spark, tmp_path, "sessionize_gap", "events", rows, schema)
     assert got == want == sorted([(10, 3, 43200, 1), (20, 1, 0, 2), (21, 1, 0, 2), (30, 3, 43199, 3), (33, 1, 0, 3), (40, 1, 0, 4)], key=repr)
+
+
+def test_a_spoken_price_is_cleaned_once_not_for_each_completion(spark):
+    from pyspark.sql import functions as F
+
+    from livetext.functions.prices import resolve_price
+
+    rows = spark.createDataFrame([("twenty five and a half", 5012.0), ("1,9-50", 4900.0), (None, 5000.0), ("40", None)], "raw string, market double")
+    priced = rows.select(resolve_price(F.col("raw"), F.col("market")).alias("p"))
+    assert priced._jdf.queryExecution().analyzed().toString().count("lower(trim(") == 1
+    assert priced.collect()[2].p is None and priced.collect()[3].p == 40.0
