@@ -61,9 +61,9 @@ def sample_weights(rows: DataFrame, weights: dict[str, float], label: str, sourc
 
 def tfidf_stats(docs: DataFrame, text: str, top: int, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
     """(term, df, idf) of the ``top`` commonest runs of one or two words (two letters or more each); smooth idf."""
-    from livetext.operators.learning import leading_terms, terms_of
+    from livetext.operators.learning import leading_terms
 
-    found = leading_terms(docs, text, top, {"df": F.lit(True)}, lambda t: terms_of(t, sizes))
+    found = leading_terms(docs, text, top, {"df": F.lit(True)}, sizes)
     best = found.orderBy(F.desc("df"), "term").limit(top)
     n = docs.agg(F.count("*").alias("n"))
     return best.join(F.broadcast(n)).select("term", "df", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))  # one row

@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from livetext.operators import evaluation as ev
+from livetext.operators import grams
 
 
 def _once(value: Column, f) -> Column:
@@ -25,6 +26,10 @@ def _once(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+#: A word. The plain letters in the class spare Java a look at the properties of most characters.
+WORD = r"(?U)[a-zA-Z0-9_\w]{2,}"
+
+
 def terms_of(text: Column, sizes: tuple[int, ...] = (1, 2)) -> Column:
     """Runs of as many words as ``sizes`` has, of two letters or more each; words and pairs of neighbours by default."""
 
@@ -35,17 +40,29 @@ def terms_of(text: Column, sizes: tuple[int, ...] = (1, 2)) -> Column:
             out = F.zip_with(F.slice(out, F.lit(1), n), F.slice(w, F.lit(k + 1), n), lambda a, b: F.concat_ws(" ", a, b))
         return out
 
-    # the plain letters in the class spare Java a look at the properties of most characters
-    return _once(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[a-zA-Z0-9_\w]{2,}"), F.lit(0)), lambda w: F.concat(*[runs(w, n) for n in sizes]))
+    return _once(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.concat(*[runs(w, n) for n in sizes]))
 
 
 #: Buckets that terms are counted in first, and the documents whose terms give the bounds.
 BUCKETS, FIRST = 1 << 18, 2000
+#: A column of this name holds a text's words with a blank between two; see ``worded``.
+WORDS = "__words"
+
+
+def worded(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with its words in place of the text, null if it has none. The table is written, since texts are cut into words once and
+    counted several times. A table of this kind stays as it is."""
+    from livetext.sources.transcripts import kept
+
+    if text == WORDS:
+        return docs
+    words = F.nullif(F.array_join(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)), " "), F.lit(""))
+    return kept(docs.withColumn(WORDS, words).drop(text), "words")
 
 
-def leading_terms(docs: DataFrame, text: str, size: int, sets: dict[str, Column], terms: Callable[[Column], Column] = terms_of) -> DataFrame:
-    """(term, ``sets``): in how many documents of each set (a condition on rows) a term is, for all terms that can be among the
-    ``size`` commonest of a set.
+def leading_terms(docs: DataFrame, text: str, size: int, sets: dict[str, Column], sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(term, ``sets``): in how many documents of each set (a condition on rows) a term, a run of as many words as ``sizes`` has, is, for
+    all terms that can be among the ``size`` commonest of a set.
 
     Exact in two passes without a count of every term. The first counts by a hash of the terms, a bounded number of rows, and beside
     that some terms by themselves: the commonest of a few documents. No term is commoner than its bucket, and the last of ``size``
@@ -53,23 +70,25 @@ def leading_terms(docs: DataFrame, text: str, size: int, sets: dict[str, Column]
     """
     from livetext.sources.transcripts import kept
 
-    names = list(sets)
-    rows = lambda d: d.select(*[c.alias(k) for k, c in sets.items()], F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    counts = [F.count(F.when(F.col(k), 1)).alias(k) for k in names]
-    some = rows(docs.limit(FIRST)).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(size * 2).select("term").collect()
-    listed = docs.sparkSession.createDataFrame([(k, r.term) for k, r in enumerate(some)], "own int, known string").withColumn("hash", F.xxhash64("known")).dropDuplicates(["hash"])
-    hashed = rows(docs).withColumn("hash", F.xxhash64("term")).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
-    first = hashed.join(F.broadcast(listed), "hash", "left").withColumn("own", F.when(F.col("term") == F.col("known"), F.col("own")))  # at most twice ``size`` terms
-    first = kept(first.groupBy("bucket", "own").agg(*counts), "term-buckets")
+    names, buckets = list(sets), BUCKETS
+    rows = worded(docs, text).select(*[c.alias(k) for k, c in sets.items()], WORDS).filter(F.col(WORDS).isNotNull())
+    longs, sums = ", ".join(f"`{k}` long" for k in names), [F.sum(k).alias(k) for k in names]
+    few = rows.limit(FIRST).select(F.lit(True).alias("n"), WORDS).mapInArrow(grams.term_counts(WORDS, ["n"], sizes, None), "term string, n long")
+    listed = [r.term for r in few.groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(size * 2).select("term").collect()]
+    first = rows.mapInArrow(grams.bucket_counts(WORDS, names, sizes, buckets, listed), f"bucket int, own int, {longs}")
+    first = kept(first.groupBy("bucket", "own").agg(*sums), "term-buckets")
     ranked = first.filter("own is not null").select(*names).collect()  # at most twice ``size`` rows
     least = {k: max(1, ([0] * size + sorted(r[k] for r in ranked))[-size]) for k in names}
-    full = first.groupBy("bucket").agg(*[F.sum(k).alias(k) for k in names]).filter(reduce(lambda a, b: a | b, [F.col(k) >= least[k] for k in names])).select("bucket")
-    return hashed.join(F.broadcast(full), "bucket", "left_semi").groupBy("term").agg(*counts)  # at most ``BUCKETS`` numbers
+    reached = first.filter("bucket is not null").filter(reduce(lambda a, b: a | b, [F.col(k) >= least[k] for k in names])).select("bucket")
+    full = np.zeros(buckets, bool)
+    full[reached.toPandas()["bucket"].to_numpy(dtype=int)] = True  # at most ``BUCKETS`` numbers
+    return rows.mapInArrow(grams.term_counts(WORDS, names, sizes, full), f"term string, {longs}").groupBy("term").agg(*sums)
 
 
 def vocabulary(docs: DataFrame, text: str, size: int) -> DataFrame:
     """(k, term, idf) of the ``size`` terms in most documents, numbered in that order; smooth idf."""
-    top = leading_terms(docs, text, size, {"df": F.lit(True)}).orderBy(F.desc("df"), "term").limit(size)
+    docs = worded(docs, text)
+    top = leading_terms(docs, WORDS, size, {"df": F.lit(True)}).orderBy(F.desc("df"), "term").limit(size)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("minus"), "term"))).alias("all"))
     rows = ranked.select(F.posexplode("all").alias("k", "t"))  # at most ``size`` entries in one array
     n = docs.agg(F.count("*").alias("n"))
@@ -80,6 +99,7 @@ def vocabularies_without(docs: DataFrame, text: str, size: int, fold: str = "fol
     """``fold_vocabularies`` straight from texts. Each fold (a few) is a set of ``leading_terms``: the rows of all others."""
     from livetext.sources.transcripts import kept
 
+    docs, text = worded(docs, text), WORDS
     sizes = {r[fold]: r.n for r in docs.groupBy(fold).agg(F.count("*").alias("n")).collect()}
     sets = {f"df{i}": F.col(fold) != k for i, k in enumerate(sorted(sizes))}
     found = kept(leading_terms(docs, text, size, sets), "fold-terms")
@@ -125,23 +145,22 @@ def weights_of(counts: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
     return raw.join(norm.hint("merge"), id_col).select(id_col, "k", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+COUNTS = StructType([StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
+
+
 def _numbers(values: list) -> Column:
     """A constant array."""
     return F.expr("array(" + ", ".join("null" if x is None else f"{x!r}D" if isinstance(x, float) else str(x) for x in values) + ")")
 
 
 def counted(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """``docs`` with ``counts``, how often each text holds each of the given terms, as numbers of terms and counts in two arrays.
-    Each text is counted where it is read; the table is written, since features are derived from it several times."""
-    from livetext.sources.transcripts import kept
-
+    """``docs`` with ``counts`` in place of the text, how often it holds each of the given terms, as numbers of terms and counts in two
+    arrays. Each text is counted where it is read."""
+    rows = worded(docs, text)
     if not terms:
-        return docs.withColumn("counts", F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
-    model = CountVectorizerModel.from_vocabulary(terms, inputCol="__terms", outputCol="counts")
-    rows = model.transform(docs.withColumn("__terms", F.coalesce(terms_of(F.col(text)), F.array().cast("array<string>")))).drop("__terms")
-    # a vector column is such a struct in a file
-    plain = StructType([f if f.name != "counts" else StructField("counts", VectorUDT.sqlType()) for f in rows.schema])
-    return kept(rows, "counts", plain)
+        return rows.drop(WORDS).withColumn("counts", F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
+    plain = [f for f in rows.schema if f.name != WORDS]
+    return rows.mapInArrow(grams.known_counts(WORDS, terms), StructType([*plain, StructField("counts", COUNTS)]))
 
 
 def weighted(counts: Column, numbers: list, idf: list) -> Column:
@@ -164,7 +183,7 @@ def tfidf_features(docs: DataFrame, id_col: str, text: str, terms: DataFrame) ->
 
 
 def vectors(docs: DataFrame, id_col: str, text: str, terms: DataFrame, size: int) -> DataFrame:
-    """``docs`` with ``features``, one sparse vector a document, written for the fits that read it many times."""
+    """``docs`` with ``features`` in place of the text, one sparse vector a document, written for the fits that read it many times."""
     found = terms.select("k", "term", "idf").collect()  # a vocabulary
     return featured(counted(docs, text, [r.term for r in found]), [r.k for r in found], [r.idf for r in found], size)
 
@@ -313,11 +332,13 @@ def cross_validate_texts(docs: DataFrame, id_col: str, text: str, size: int, fit
 def cross_validate_sizes(docs: DataFrame, text: str, sizes: list[int], fit: Callable[[DataFrame], Fitted], fold: str = "fold", train: Callable[[DataFrame], DataFrame] = lambda x: x):
     """``cross_validate_texts`` for each vocabulary size. A small vocabulary is the start of a large one, so the texts are read for the
     largest, and the terms of all folds are counted in one table."""
-    terms: dict = {}
-    for r in vocabularies_without(docs, text, max(sizes), fold).collect():  # a vocabulary for each of a few folds
+    from livetext.sources.transcripts import kept
+
+    docs, terms = worded(docs, text), {}
+    for r in vocabularies_without(docs, WORDS, max(sizes), fold).collect():  # a vocabulary for each of a few folds
         terms.setdefault(r[fold], {})[r.term] = (r.k, r.idf)
     known = sorted({t for found in terms.values() for t in found})
-    rows = counted(docs, text, known)
+    rows = kept(counted(docs, WORDS, known), "counts")
     folds = sorted(r[fold] for r in docs.select(fold).distinct().collect())  # a few folds
     for size in sizes:
         parts = []

@@ -19,9 +19,9 @@ def labelled(spark, d):
 
 
 def featured(spark, d, size: int = SIZE):
-    docs = labelled(spark, d)
-    terms = kept(ml.vocabulary(docs, "text", size), "vocabulary")
-    return ml.vectors(docs, "doc_id", "text", terms, size).drop("text"), terms
+    docs = ml.worded(labelled(spark, d), "text")
+    terms = kept(ml.vocabulary(docs, ml.WORDS, size), "vocabulary")
+    return ml.vectors(docs, "doc_id", ml.WORDS, terms, size), terms
 
 
 GRAMS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_\pM]{2,}') AS w FROM documents WHERE lang IS NOT NULL),
@@ -31,8 +31,8 @@ v AS (SELECT term, ln((1 + (SELECT count(*) FROM w)) / (1 + count(*))) + 1 AS id
 
 @query(f"WITH {GRAMS}, r AS (SELECT doc_id, term, (1 + ln(n)) * idf AS raw FROM n JOIN v USING (term)) SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r")
 def tfidf_features(spark, d):
-    docs = labelled(spark, d)
-    return ml.tfidf_features(docs, "doc_id", "text", ml.vocabulary(docs, "text", SIZE)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    docs = ml.worded(labelled(spark, d), "text")
+    return ml.tfidf_features(docs, "doc_id", ml.WORDS, ml.vocabulary(docs, ml.WORDS, SIZE)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query()

@@ -108,3 +108,37 @@ def test_features_are_made_without_a_row_for_each_word(spark):
     assert got == want and {k for k, _ in got} == {1, 4} and data.count() == 4 and {len(r.features) for r in data.collect()} == {4}
     plan = data._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_terms_are_counted_in_their_tasks(spark):
+    """No row for each word of each text, neither for terms nor for features, and no written table but the first holds a text."""
+    docs = spark.createDataFrame([(1, "the cat the hat cat"), (2, None), (3, "zzz"), (4, "")], "doc_id long, text string").coalesce(1)
+    plan = ml.leading_terms(docs, "text", 4, {"df": F.lit(True)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "text" not in ml.vectors(docs, "doc_id", "text", ml.vocabulary(docs, "text", 4), 4).columns
+
+
+def test_runs_of_words_by_brute_force(monkeypatch):
+    """Texts in small slices, empty and null ones, repeats; runs of up to three words."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from livetext.operators import grams
+
+    monkeypatch.setattr(grams, "CHUNK", 60)
+    rng = random.Random(3)
+    texts = [None, ""[:0] or None, "é é é", *[" ".join(rng.choice("a b é dd".split()) for _ in range(rng.randint(1, 30))) for _ in range(40)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([True] * len(texts))], ["id", "t", "n"])
+    runs = lambda t: [" ".join(w[k : k + n]) for w in [(t or "").split()] for n in (1, 2, 3) for k in range(len(w) - n + 1)]
+    want, got = Counter(x for t in texts for x in set(runs(t))), Counter()
+    for out in grams.term_counts("t", ["n"], (1, 2, 3), None)(iter([batch])):
+        got.update(dict(zip(out.column("term").to_pylist(), out.column("n").to_pylist(), strict=True)))
+    assert got == want
+    terms = ["a", "é é", "nowhere", "b dd a", "dd"]
+    found = [r for out in grams.known_counts("t", terms)(iter([batch])) for r in out.to_pylist()]
+    assert [r["id"] for r in found] == list(range(len(texts))) and len(list(grams.chunks(iter([batch]), "t"))) > 10
+    for r in found:
+        held = Counter(runs(texts[r["id"]]))
+        assert dict(zip(r["counts"]["indices"], r["counts"]["values"], strict=True)) == {k: held[t] for k, t in enumerate(terms) if held[t]}
+    totals = list(grams.bucket_counts("t", ["n"], (1, 2), 7, ["a", "é é"])(iter([batch])))
+    assert sum(totals[0].column("n").to_pylist()) == sum(n for t, n in want.items() if t.count(" ") < 2) and totals[1].column("n").to_pylist() == [want["a"], want["é é"]]
