@@ -255,9 +255,10 @@ def inner_folds(rows: DataFrame, most: int = 5, label: str = "y") -> tuple[DataF
     folds = min(most, least)
     if folds < 2:
         return rows, folds
-    # numbered within buckets of a class, so that no class is one task's window
-    key = F.xxhash64(F.hash(vector_to_array("features")))
-    return rows.withColumn("inner", F.pmod(F.row_number().over(Window.partitionBy(label, F.pmod(key, F.lit(64))).orderBy(key)) + F.pmod(key, F.lit(64)), F.lit(folds)).cast("int")), folds
+    # numbered within buckets of a class, so that no class is one task's window; the hash is a column, so it is computed once a row
+    keyed = rows.withColumn("__key", F.xxhash64(F.hash(vector_to_array("features")))).withColumn("__bucket", F.pmod("__key", F.lit(64)))
+    place = F.row_number().over(Window.partitionBy(label, "__bucket").orderBy("__key")) + F.col("__bucket")
+    return keyed.withColumn("inner", F.pmod(place, F.lit(folds)).cast("int")).drop("__key", "__bucket"), folds
 
 
 def fit_linear_svm(rows: DataFrame, c: float = 1.0, steps: int = 30, inner: int = 5) -> Fitted | Ensemble:

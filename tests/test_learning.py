@@ -142,3 +142,8 @@ def test_runs_of_words_by_brute_force(monkeypatch):
         assert dict(zip(r["counts"]["indices"], r["counts"]["values"], strict=True)) == {k: held[t] for k, t in enumerate(terms) if held[t]}
     totals = list(grams.bucket_counts("t", ["n"], (1, 2), 7, ["a", "é é"])(iter([batch])))
     assert sum(totals[0].column("n").to_pylist()) == sum(n for t, n in want.items() if t.count(" ") < 2) and totals[1].column("n").to_pylist() == [want["a"], want["é é"]]
+
+
+def test_a_rows_hash_is_computed_once(spark):
+    data, _ = ml.inner_folds(ml.balanced(noise(spark))[0])
+    assert data._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
