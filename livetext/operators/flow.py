@@ -150,9 +150,27 @@ _PRICED = {
 }
 
 
-def _hits(text: Column, groups: Lexicon, names: str) -> Column:
-    hit = lambda p: F.coalesce(text.rlike(tx.group_pattern(p)), F.lit(False)) if p else F.lit(False)
-    return F.struct(*[hit(groups[n]).alias(n) for n in names.split()])
+def _suffix_safe(pattern: str) -> bool:
+    """Whether a text that ends in a blank and a text that matches also matches: nothing in the pattern asks what stands before. A row's
+    beginning is a blank there, so a beginning or a blank will do."""
+    plain = pattern.replace("(?:^|[ .])", "").replace("[^", "[")
+    return not any(x in plain for x in ("^", r"\A", r"\G", r"\B", "(?<"))
+
+
+def _where(texts: Column, patterns: list[str]) -> Column:
+    """For texts that each end in the one before: bit k is set if the k-th of them matches. Most texts aren't matched: a match of the
+    first is one of all, and without a match of the last there is none."""
+    if not patterns:
+        return F.lit(0)
+    n, pattern = F.size(texts), tx.group_pattern(patterns)
+    hit = lambda k: F.coalesce(F.get(texts, k).rlike(pattern), F.lit(False))
+    if not all(map(_suffix_safe, patterns)):
+        return reduce(lambda p, q: p + q, [F.when((n >= k) & hit(F.lit(k - 1)), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(1, FRAGMENTS + 1)])
+    since = lambda k: F.lit(sum(1 << j for j in range(k, FRAGMENTS + 1)))
+    out = F.when(hit(F.lit(0)), since(1)).when((n <= 1) | ~hit(n - 1), F.lit(0))
+    for k in range(2, FRAGMENTS):
+        out = out.when(n == k, since(k)).when(hit(F.lit(k - 1)), since(k))
+    return out.otherwise(since(FRAGMENTS))
 
 
 def _first(*steps: tuple[Column, str]) -> Column:
@@ -208,7 +226,7 @@ def _flags(v: Column, review: bool, market: Column) -> Column:
         "advised_long": advised & a["advised_long"],
         "advised_short": advised & a["advised_short"],
         "trim": e["trim"] | e["runner"],
-        "most": v["entry_text"].contains("most my size") | e["runner"],
+        "most": v["entry_said"]["most"] | e["runner"],
         "add": e["add"] & ~e["tentative_add"],
         "entry_trigger": trigger,
         "stop_price": price["stop"].isNotNull(),
@@ -220,16 +238,16 @@ def _flags(v: Column, review: bool, market: Column) -> Column:
         "retrospective": t["retrospective"],
         "goes_on": t["candidate_continues"],
     }
-    size = lambda h, text: F.when(h["small"] | h["seed"], "one").otherwise(tx.quantity_hint(text))
+    size = lambda h, said: F.when(h["small"] | h["seed"], "one").otherwise(said["quantity"])
     return F.struct(
         v["k"].alias("k"),
         reduce(lambda p, q: p + q, [F.when(c, F.lit(BIT[n])).otherwise(F.lit(0)).cast("long") for n, c in said.items()]).alias("bits"),
         text_side(t).alias("text_side"),
         entry_side(e, price["entry_target"], market).alias("entry_side"),
         F.when(e["long"] & ~e["short"], "LONG").when(e["short"] & ~e["long"], "SHORT").alias("hint_side"),
-        tx.quantity_hint(v["entry_text"]).alias("quantity"),
-        size(e, v["entry_text"]).alias("size"),
-        size(t, v["text"]).alias("text_size"),
+        v["entry_said"]["quantity"].alias("quantity"),
+        size(e, v["entry_said"]).alias("size"),
+        size(t, v["said"]).alias("text_size"),
         _first(*[(c, F.lit(p)) for c, p in scores]).otherwise(F.lit(0.0)).alias("score"),
         *[price[n].alias(n) for n in PRICES],
     )
@@ -257,29 +275,46 @@ def readings(rows: DataFrame, lex: Lexicon, at: str, text: str, market: str, rev
     """``rows`` (see ``chained``) with ``readings``: the row's own (``k`` = 1: its text and the texts stitched with the row before) and, for
     ``k`` up to five, those of the last ``k`` rows' text that say something. Texts and rows before are dropped.
 
-    Each step maps one array, so every rule and the rule of prices stand once in the plan.
+    A reading of the row and the row before is one of the last two rows' text, and all of these texts end in the row's own. So each rule is
+    matched once for all of them (see ``_where``), and prices and sizes are read once from each.
     """
     groups = groups_of(lex)
     before, own, last = F.col("before"), F.col(text), F.get(F.col("before"), F.lit(0))
     near = F.coalesce(F.col(at).cast("double") - last["at"] <= STITCH, F.lit(False))
-    both = F.trim(F.concat_ws(" ", last["text"], own))
     open_ = F.coalesce(own.rlike(tx.group_pattern(CONTINUES)) | last["text"].rlike(tx.group_pattern(UNFINISHED)), F.lit(False))
-    named = lambda k, t, a, e: F.struct(k.alias("k"), t.alias("text"), a.alias("analysis"), e.alias("entry_text"))
-    variants = F.array(named(F.lit(1), own, F.when(near, both).otherwise(own), F.when(near & open_, both).otherwise(own)))
-    if windows:
-        joined = lambda k: F.array_join(F.concat(F.reverse(F.transform(F.slice(before, F.lit(1), k - 1), lambda b: b["text"])), F.array(own)), " ")
-        sizes = F.filter(F.sequence(F.lit(2), F.lit(FRAGMENTS)), lambda k: k <= F.size(before) + 1)
-        variants = F.concat(variants, F.transform(F.transform(sizes, lambda k: F.struct(k.alias("k"), joined(k).alias("t"))), lambda x: named(x["k"], x["t"], x["t"], x["t"])))
-
-    def matched(v):
-        raws = [F.array(*[F.nullif(F.regexp_extract(v[source], p, 1), F.lit("")) for p in groups[g]]) if groups[g] else F.array().cast("array<string>") for source, g in _PRICED.values()]
-        return F.struct(v["k"].alias("k"), v["text"].alias("text"), v["entry_text"].alias("entry_text"), F.array(*raws).alias("raws"), *[_hits(v[source], groups, names).alias(f"{source}_hits") for source, names in _ON.items()])
-
-    def priced(v):
+    joined = lambda k: F.trim(F.array_join(F.concat(F.reverse(F.transform(F.slice(before, F.lit(1), k - 1), lambda b: b["text"])), F.array(own)), " "))
+    n = F.size(before) + 1 if windows else F.when(near, 2).otherwise(1)
+    texts = F.transform(F.sequence(F.lit(1), n), joined)
+    priced = sorted({g for _, g in _PRICED.values()})
+    names = sorted({g for on in _ON.values() for g in on.split()})
+    alone = set() if windows else set(_ON["text"].split()) - set(f"{_ON['analysis']} {_ON['entry_text']}".split())
+
+    def parts(t):
+        raws = [F.array(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in groups[g]]) if groups[g] else F.array().cast("array<string>") for g in priced]
+        return F.struct(F.array(*raws).alias("raws"), tx.quantity_hint(t).alias("quantity"), t.contains("most my size").alias("most"))
+
+    def worth(t):
         first = lambda raws: F.get(F.filter(F.transform(F.filter(raws, lambda r: r.isNotNull()), lambda r: resolve(r, F.col(market)).cast("double")), lambda x: x.isNotNull()), F.lit(0))
-        return F.struct(*[v[c].alias(c) for c in ("k", "text", "entry_text", *[f"{source}_hits" for source in _ON])], F.transform(v["raws"], first).alias("prices"))
-
-    said = F.transform(F.transform(F.transform(variants, matched), priced), lambda v: _flags(v, review, F.col(market)))
+        return F.struct(F.transform(t["raws"], first).alias("prices"), t["quantity"].alias("quantity"), t["most"].alias("most"))
+
+    def matched(ts):
+        where = F.struct(*[_where(F.slice(ts, 1, 1) if g in alone else ts, groups[g]).alias(g) for g in names])
+        return F.struct(where.alias("where"), F.transform(F.transform(ts, parts), worth).alias("said"), near.alias("near"), (near & open_).alias("joins"))
+
+    def variants(m):
+        which = lambda k: F.struct(k.alias("text"), F.when((k == 1) & m["near"], 2).otherwise(k).alias("analysis"), F.when((k == 1) & m["joins"], 2).otherwise(k).alias("entry_text"))
+        numbers = F.sequence(F.lit(1), F.size(m["said"]) if windows else F.lit(1))
+        return F.transform(F.transform(numbers, which), lambda w: variant(m, w))
+
+    def variant(m, w):
+        bit = {source: F.get(F.array(*[F.lit(1 << k) for k in range(1, FRAGMENTS + 1)]), w[source] - 1) for source in _ON}
+        said = {source: F.get(m["said"], w[source] - 1) for source in _ON}
+        hits = [F.struct(*[(m["where"][g].bitwiseAND(bit[source]) != 0).alias(g) for g in on.split()]).alias(f"{source}_hits") for source, on in _ON.items()]
+        prices = F.array(*[F.get(said[source]["prices"], F.lit(priced.index(g))) for source, g in _PRICED.values()])
+        return F.struct(w["text"].alias("k"), said["text"].alias("said"), said["entry_text"].alias("entry_said"), prices.alias("prices"), *hits)
+
+    of = F.transform(F.transform(F.array(texts), matched), variants)
+    said = F.transform(F.get(of, F.lit(0)), lambda v: _flags(v, review, F.col(market)))
     found = F.filter(said, lambda r: (r["k"] == 1) | (r["bits"].bitwiseAND(F.lit(SAYS)) != 0))
     return rows.select(*[c for c in rows.columns if c not in ("before", text)], found.alias("readings"))
 

@@ -273,3 +273,18 @@ def test_the_stream_query_says_what_the_batch_says(spark):
     want = fl.interpret(rows, flows.SURROGATE, "session_id", "at", "segment_id", "text", resolve=flows.by_length)
     got = flows.interpret_stream(spark, folder).select(*want.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and got.filter("tag is not null").count() > 10
+
+
+def test_a_rule_is_matched_once_for_all_joined_texts(spark):
+    """Where each rule hits among texts that end in one another, by brute force; rules that ask what stands before them are tried on each."""
+    import re
+
+    rows = ["in the end", "we are. in", "begin", "the long term", "long here"]
+    texts = [" ".join(rows[len(rows) - k :]) for k in range(1, 6)]
+    rules = [r"^in ", r"(?:^|[ .])(?:in|we)(?:[ .]|$)", r"\bbegin\b", r"\blong\b(?!\s+term)", r"here$", r"(?<!the )long", r"nothing", r"[^a-z]in"]
+    assert [fl._suffix_safe(p) for p in rules] == [False, True, True, True, True, False, True, True]
+    for n in range(1, 6):
+        data = spark.createDataFrame([(texts[:n],)], "t array<string>")
+        got = data.select(*[fl._where(F.col("t"), [p]).alias(f"r{k}") for k, p in enumerate(rules)]).first()
+        for k, p in enumerate(rules):
+            assert [bool(got[k] >> j & 1) for j in range(1, n + 1)] == [bool(re.search(p, t)) for t in texts[:n]], (p, n)
