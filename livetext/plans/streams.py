@@ -102,7 +102,7 @@ def segment_source(spark, d):
 
 @query(f"WITH {SEGMENTS} SELECT session_id, segment_id, text FROM g WHERE status = 'final'")
 def event_log_sink(spark, d):
-    """The log's rows; sessions are folders of it."""
+    """The log's rows; sessions are dealt out to its folders."""
     path = scratch(spark, "log")
     run(st.event_log_sink(st.final_segments(as_stream(segments(spark, d))), f"{path}/log", f"{path}/checkpoint"))
     return spark.read.schema("session_id string, segment_id string, text string").json(f"{path}/log")

@@ -64,3 +64,13 @@ def test_snapshots_hold_the_last_row(spark, tmp_path):
     drain(st.debounced_snapshots(st.segment_source(spark, path, per_trigger=1), str(tmp_path / "snap"), str(tmp_path / "cp")))
     got = {r.session_id: r.text for r in st.latest_snapshots(spark, str(tmp_path / "snap")).collect()}
     assert got == {"a": "w4", "b": "w2", "z": "w9"}
+
+
+def test_a_log_has_no_file_for_each_session(spark, tmp_path):
+    data = [dict(session_id=f"s{k % 500}", segment_id=str(k), received_at="2026-03-01T00:00:00.000Z", status="final", text=f"w{k}", confidence=0.5) for k in range(1000)]
+    path = feed(tmp_path / "in", [data])
+    drain(st.event_log_sink(st.segment_source(spark, path), str(tmp_path / "log"), str(tmp_path / "cp")))
+    assert len(list((tmp_path / "log").glob("*/*.json"))) <= st.FOLDERS
+    one = st.session_log(spark, str(tmp_path / "log"), "session_id string, segment_id string, text string", "s7")
+    assert sorted(map(tuple, one.collect())) == [("s7", "507", "w507"), ("s7", "7", "w7")]
+    assert spark.read.json(str(tmp_path / "log")).count() == 1000
