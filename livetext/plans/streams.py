@@ -105,7 +105,8 @@ def event_log_sink(spark, d):
     """The log's rows; sessions are dealt out to its folders."""
     path = scratch(spark, "log")
     run(st.event_log_sink(st.final_segments(as_stream(segments(spark, d))), f"{path}/log", f"{path}/checkpoint"))
-    return spark.read.schema("session_id string, segment_id string, text string").json(f"{path}/log")
+    # the folder is a column of the log by its path, not one of the result
+    return spark.read.schema("session_id string, segment_id string, text string").json(f"{path}/log").select("session_id", "segment_id", "text")
 
 
 @query(f"WITH {SEGMENTS} SELECT 'log' AS sink, session_id, segment_id FROM g UNION ALL SELECT 'final', session_id, segment_id FROM g WHERE status = 'final'")

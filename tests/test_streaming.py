@@ -74,3 +74,11 @@ def test_a_log_has_no_file_for_each_session(spark, tmp_path):
     one = st.session_log(spark, str(tmp_path / "log"), "session_id string, segment_id string, text string", "s7")
     assert sorted(map(tuple, one.collect())) == [("s7", "507", "w507"), ("s7", "7", "w7")]
     assert spark.read.json(str(tmp_path / "log")).count() == 1000
+
+
+def test_a_logs_rows_have_no_folder(spark):
+    """The query gives the columns of its SQL; how the log is dealt out stays in the log."""
+    from livetext.plans import streams
+
+    rows = streams.event_log_sink(spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["session_id", "segment_id", "text"] and rows.count() == streams.segments(spark, "/root/testdata/sf0.001").filter("status = 'final'").count()
