@@ -154,3 +154,77 @@ def known_counts(text: str, terms: list[str]):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.StructArray.from_arrays([indices, values], ["indices", "values"])], [*kept, "counts"])
 
     return count
+
+
+def _packed(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Slices of whole numbers, each as bytes."""
+    data = np.ascontiguousarray(numbers, "<i8")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(rows: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.to_pylist()), "<i8")
+
+
+class Group:
+    """The runs of a group of texts, rows of one id as one text, dealt to ``parts`` by a hash of the run. The order of runs and parts is that
+    of the sorted rows, so it is the same each time the group is read."""
+
+    def __init__(self, rows: pa.Table, id_col: str, text: str, sizes: tuple[int, ...], parts: int):
+        rows = rows.sort_by([(id_col, "ascending"), (text, "ascending")]).combine_chunks()
+        column = lambda name: pa.concat_arrays(rows.column(name).chunks)
+        ids = column(id_col).dictionary_encode(null_encoding="encode")
+        grams, owner = Grams(column(text), max(sizes)), ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        terms, part, first, own, run, times = [], [], 0, [], [], []
+        for n in sizes:
+            found, of = grams.levels[n - 1]
+            size = len(grams.keys[n - 1])
+            pairs, count = np.unique(owner[of] * max(1, size) + found, return_counts=True)
+            own.append(pairs // max(1, size))
+            run.append(first + pairs % max(1, size))
+            times.append(count)
+            terms.append(grams.strings(n, np.arange(size)))
+            part.append((grams.hashes(n) % np.uint64(parts)).astype(np.int64))
+            first += size
+        self.ids, self.terms, self.part = ids.dictionary, pa.concat_arrays(terms), np.concatenate(part)
+        #: What each text holds: its place among ``ids``, the run, and how often.
+        self.own, self.run, self.times = np.concatenate(own), np.concatenate(run), np.concatenate(times)
+        self.order = np.argsort(self.part, kind="stable")
+
+
+def dealt_counts(id_col: str, text: str, sizes: tuple[int, ...], parts: int):
+    """For ``applyInArrow`` on a group of texts: (chunk, part, terms, df), a row for each part of runs, with the number of texts that hold each."""
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        group = Group(rows, id_col, text, sizes, parts)
+        used, starts = np.unique(group.part[group.order], return_index=True)
+        ends = np.append(starts, len(group.order))
+        terms = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), group.terms.take(pa.array(group.order)))
+        df = np.bincount(group.run, minlength=len(group.order))[group.order]
+        chunk = pa.array(np.full(len(used), key[0].as_py(), np.int64))
+        return pa.table([chunk, pa.array(used.astype(np.int64)), pc.binary_join(terms, "\n"), _packed(df, ends)], ["chunk", "part", "terms", "df"])
+
+    return count
+
+
+def summed_counts(rows: pa.Table) -> pa.Table:
+    """For ``applyInArrow`` on a part of runs from ``dealt_counts``: (chunk, part, df), the counts of all groups together in the order of each row's runs."""
+    lists = pc.split_pattern(pa.concat_arrays(rows.column("terms").chunks), "\n")
+    codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    total = np.bincount(codes, weights=_unpacked(rows.column("df"))).astype(np.int64)[codes]
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    return pa.table([rows.column("chunk"), rows.column("part"), _packed(total, ends)], ["chunk", "part", "df"])
+
+
+def weights(id_col: str, text: str, sizes: tuple[int, ...], parts: int, n: int):
+    """For ``applyInArrow`` on a group of texts and its rows of ``summed_counts``: (id, term, weight) of all runs of each text; ``n`` texts in all."""
+
+    def weigh(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        group = Group(rows, id_col, text, sizes, parts)
+        df = np.empty(len(group.order), np.int64)
+        df[group.order] = _unpacked(counts.sort_by("part").column("df"))
+        raw = (1 + np.log(group.times)) * (np.log((1 + n) / (1 + df)) + 1)[group.run]
+        norm = np.sqrt(np.bincount(group.own, weights=raw * raw, minlength=len(group.ids)))
+        return pa.table([group.ids.take(pa.array(group.own)), group.terms.take(pa.array(group.run)), pa.array(raw / norm[group.own])], [id_col, "term", "weight"])
+
+    return weigh

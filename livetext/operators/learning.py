@@ -172,8 +172,30 @@ def weighted(counts: Column, numbers: list, idf: list) -> Column:
     return _once(known, lambda x: _once(length(x), lambda norm: F.transform(x, lambda e: F.struct(e["k"].alias("k"), (e["raw"] / norm).alias("weight")))))
 
 
-def tfidf_features(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
-    """The weights of a vocabulary's terms in each text; rows of one id are one text."""
+#: Bytes of words in a group of texts, or in the runs that are counted together.
+GROUP = 1 << 22
+
+
+def all_features(docs: DataFrame, id_col: str, text: str, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(id, term, weight): the weights of all terms in each text, however many there are; rows of one id are one text.
+
+    Texts are dealt to groups by their id. A group sends each of its terms once, packed by a hash of the term, gets back in how many
+    texts of all groups it is, and weighs its texts. So no vocabulary is held anywhere, and no row is shuffled for a term of a text.
+    """
+    rows = worded(docs.select(id_col, text), text)
+    n, length = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(WORDS)), F.lit(0))).first()
+    parts = int(length) // GROUP + 1
+    rows = rows.filter(F.col(WORDS).isNotNull()).withColumn("chunk", F.pmod(F.xxhash64(id_col), F.lit(parts)))
+    dealt = rows.groupBy("chunk").applyInArrow(grams.dealt_counts(id_col, WORDS, sizes, parts), "chunk long, part long, terms string, df binary")
+    counts = dealt.groupBy("part").applyInArrow(grams.summed_counts, "chunk long, part long, df binary")
+    out = f"`{id_col}` {dict(rows.dtypes)[id_col]}, term string, weight double"
+    return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(grams.weights(id_col, WORDS, sizes, parts, n), out)
+
+
+def tfidf_features(docs: DataFrame, id_col: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """The weights of a vocabulary's terms in each text, or of all terms; rows of one id are one text."""
+    if terms is None:
+        return all_features(docs, id_col, text)
     found = terms.select("k", "term", "idf").collect()  # a vocabulary
     # only the vocabulary's terms are dealt out, by document
     counts = counted(docs.select(id_col, text), text, [r.term for r in found]).select(id_col, F.explode(F.arrays_zip("counts.indices", "counts.values")).alias("e"))

@@ -26,13 +26,13 @@ def featured(spark, d, size: int = SIZE):
 
 GRAMS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN_\pM]{2,}') AS w FROM documents WHERE lang IS NOT NULL),
 t AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS term FROM w), n AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
-v AS (SELECT term, ln((1 + (SELECT count(*) FROM w)) / (1 + count(*))) + 1 AS idf FROM n GROUP BY term ORDER BY count(*) DESC, term LIMIT 1000)"""
+v AS (SELECT term, ln((1 + (SELECT count(*) FROM w)) / (1 + count(*))) + 1 AS idf FROM n GROUP BY term)"""
 
 
 @query(f"WITH {GRAMS}, r AS (SELECT doc_id, term, (1 + ln(n)) * idf AS raw FROM n JOIN v USING (term)) SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r")
 def tfidf_features(spark, d):
-    docs = ml.worded(labelled(spark, d), "text")
-    return ml.tfidf_features(docs, "doc_id", ml.WORDS, ml.vocabulary(docs, ml.WORDS, SIZE)).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    """The weights of all terms of every text; no vocabulary is cut off."""
+    return ml.tfidf_features(labelled(spark, d), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query()

@@ -147,3 +147,33 @@ def test_runs_of_words_by_brute_force(monkeypatch):
 def test_a_rows_hash_is_computed_once(spark):
     data, _ = ml.inner_folds(ml.balanced(noise(spark))[0])
     assert data._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
+
+
+def test_weights_of_all_terms_by_brute_force(spark, monkeypatch):
+    """More terms than any vocabulary was cut to, in many groups; rows of one id are one text, and runs don't cross them."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(11)
+    rows = [(k // 2 if k < 20 else k, " ".join(f"w{rng.randint(0, 900)}" for _ in range(rng.randint(1, 60)))) for k in range(150)] + [(500, None), (501, "! a"), (502, "Éa éa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ml, "GROUP", 2000)
+    held = {}
+    for key, text in rows:
+        w = [x for x in (text or "").lower().split() if len(x) > 1]
+        held.setdefault(key, Counter()).update([*w, *map(" ".join, zip(w, w[1:], strict=False))])
+    df = Counter(t for c in held.values() for t in c)
+    want = {}
+    for key, c in held.items():
+        raw = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        want |= {(key, t): round(x / norm, 9) for t, x in raw.items()}
+    found = ml.tfidf_features(docs, "doc_id", "text").collect()
+    assert len(df) > 3000 and len(found) == len(want) and {(r.doc_id, r.term): round(r.weight, 9) for r in found} == want
+    assert ml.tfidf_features(docs.filter("doc_id >= 500 and doc_id < 502"), "doc_id", "text").count() == 0
+
+
+def test_a_features_query_cuts_no_term_off(spark):
+    from livetext.plans.learning import tfidf_features
+
+    assert tfidf_features(spark, "/root/testdata/sf0.001").select("term").distinct().count() > 50000
