@@ -156,6 +156,30 @@ def known_counts(text: str, terms: list[str]):
     return count
 
 
+def vectors(numbers: list, idf: list, size: int):
+    """For ``arrow_udf`` on ``counts``: sparse vectors of 1 + ln(count) times idf, scaled to length 1. ``numbers`` and ``idf`` hold the place and
+    idf of each counted term, null for terms outside the vocabulary."""
+    place = np.array([-1 if x is None else x for x in numbers], np.int64)
+    factor = np.array([0.0 if x is None else x for x in idf])
+
+    def weigh(counts: pa.Array) -> pa.Array:
+        lists, values = pc.struct_field(counts, "indices"), pc.struct_field(counts, "values")
+        of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        term = lists.flatten().to_numpy(zero_copy_only=False)
+        k = place[term] if len(place) else np.zeros(0, np.int64)
+        known = np.flatnonzero(k >= 0)
+        known = known[np.argsort(of[known] * size + k[known], kind="stable")]
+        of, k, term = of[known], k[known], term[known]
+        raw = (1 + np.log(values.flatten().to_numpy(zero_copy_only=False)[known])) * factor[term]
+        norm = np.sqrt(np.bincount(of, weights=raw * raw, minlength=len(lists)))
+        ends = pa.array(np.searchsorted(of, np.arange(len(lists) + 1)).astype(np.int32))
+        indices, weights = pa.ListArray.from_arrays(ends, pa.array(k.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(raw / norm[of]))
+        of_all = lambda x, kind: pa.array(np.full(len(lists), x), kind)
+        return pa.StructArray.from_arrays([of_all(0, pa.int8()), of_all(size, pa.int32()), indices, weights], ["type", "size", "indices", "values"])
+
+    return weigh
+
+
 def _packed(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Slices of whole numbers, each as bytes."""
     data = np.ascontiguousarray(numbers, "<i8")

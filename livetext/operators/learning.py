@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -70,7 +72,7 @@ def leading_terms(docs: DataFrame, text: str, size: int, sets: dict[str, Column]
     """
     from livetext.sources.transcripts import kept
 
-    names, buckets = list(sets), BUCKETS
+    names, buckets = list(sets), max(BUCKETS, 40 * size)  # so many that most hold no leading term
     rows = worded(docs, text).select(*[c.alias(k) for k, c in sets.items()], WORDS).filter(F.col(WORDS).isNotNull())
     longs, sums = ", ".join(f"`{k}` long" for k in names), [F.sum(k).alias(k) for k in names]
     few = rows.limit(FIRST).select(F.lit(True).alias("n"), WORDS).mapInArrow(grams.term_counts(WORDS, ["n"], sizes, None), "term string, n long")
@@ -148,11 +150,6 @@ def weights_of(counts: DataFrame, id_col: str, terms: DataFrame) -> DataFrame:
 COUNTS = StructType([StructField("indices", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
 
 
-def _numbers(values: list) -> Column:
-    """A constant array."""
-    return F.expr("array(" + ", ".join("null" if x is None else f"{x!r}D" if isinstance(x, float) else str(x) for x in values) + ")")
-
-
 def counted(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """``docs`` with ``counts`` in place of the text, how often it holds each of the given terms, as numbers of terms and counts in two
     arrays. Each text is counted where it is read."""
@@ -163,15 +160,6 @@ def counted(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
     return rows.mapInArrow(grams.known_counts(WORDS, terms), StructType([*plain, StructField("counts", COUNTS)]))
 
 
-def weighted(counts: Column, numbers: list, idf: list) -> Column:
-    """(k, weight) of ``counts`` in the order of k: 1 + ln(count) times idf, scaled to length 1. ``numbers`` and ``idf`` hold the place
-    and idf of each counted term, null for terms outside the vocabulary."""
-    entries = F.zip_with(counts["indices"], counts["values"], lambda i, n: F.struct(F.get(_numbers(numbers), i).alias("k"), ((1 + F.log(n)) * F.get(_numbers(idf), i)).alias("raw")))
-    known = F.array_sort(F.filter(entries, lambda e: e["k"].isNotNull()))
-    length = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e["raw"] * e["raw"]))
-    return _once(known, lambda x: _once(length(x), lambda norm: F.transform(x, lambda e: F.struct(e["k"].alias("k"), (e["raw"] / norm).alias("weight")))))
-
-
 #: Bytes of words in a group of texts, or in the runs that are counted together.
 GROUP = 1 << 22
 
@@ -206,18 +194,16 @@ def tfidf_features(docs: DataFrame, id_col: str, text: str, terms: DataFrame | N
 
 def vectors(docs: DataFrame, id_col: str, text: str, terms: DataFrame, size: int) -> DataFrame:
     """``docs`` with ``features`` in place of the text, one sparse vector a document, written for the fits that read it many times."""
+    from livetext.sources.transcripts import kept
+
     found = terms.select("k", "term", "idf").collect()  # a vocabulary
-    return featured(counted(docs, text, [r.term for r in found]), [r.k for r in found], [r.idf for r in found], size)
+    out = featured(counted(docs, text, [r.term for r in found]), [r.k for r in found], [r.idf for r in found], size)
+    return kept(out, "features")
 
 
 def featured(rows: DataFrame, numbers: list, idf: list, size: int) -> DataFrame:
-    """``rows`` of ``counted`` with ``features`` in place of ``counts``."""
-    from livetext.sources.transcripts import kept
-
-    out = rows.withColumn("counts", weighted(F.col("counts"), numbers, idf))
-    vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("counts.k").alias("indices"), F.col("counts.weight").alias("values"))
-    out = out.withColumn("features", vector).drop("counts")
-    return kept(out, "features", StructType([f if f.name != "features" else StructField("features", VectorUDT()) for f in out.schema]))
+    """``rows`` of ``counted`` with ``features`` in place of ``counts``; where only other columns are read, no vector is made."""
+    return rows.withColumn("features", F.arrow_udf(grams.vectors(numbers, idf, size), VectorUDT())("counts")).drop("counts")
 
 
 def balanced(rows: DataFrame, label: str = "label") -> tuple[DataFrame, list]:
@@ -348,7 +334,7 @@ def cross_validate(rows: DataFrame, fit: Callable[[DataFrame], Fitted], fold: st
 
 def cross_validate_texts(docs: DataFrame, id_col: str, text: str, size: int, fit: Callable[[DataFrame], Fitted], fold: str = "fold", train: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """As ``cross_validate`` from texts: each fold's vocabulary and idf come from the other folds alone. Terms are counted and written
-    once; a fold's features are written before it is fitted."""
+    once; a fold's features are made from these counts where they are read, and only its predictions are written."""
     return next(cross_validate_sizes(docs, text, [size], fit, fold, train))
 
 
@@ -362,14 +348,20 @@ def cross_validate_sizes(docs: DataFrame, text: str, sizes: list[int], fit: Call
         terms.setdefault(r[fold], {})[r.term] = (r.k, r.idf)
     known = sorted({t for found in terms.values() for t in found})
     rows = kept(counted(docs, WORDS, known), "counts")
+    # each step of a fit sends a gradient a partition
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
     folds = sorted(r[fold] for r in docs.select(fold).distinct().collect())  # a few folds
+
+    def predicted(size: int, k) -> DataFrame:
+        own = {t: x for t, x in terms.get(k, {}).items() if x[0] < size}
+        data = featured(rows, [own[t][0] if t in own else None for t in known], [own[t][1] if t in own else None for t in known], size)
+        return fit(train(data.filter(F.col(fold) != k))).predict(data.filter(F.col(fold) == k)).drop("features")
+
     for size in sizes:
-        parts = []
-        for k in folds:
-            own = {t: x for t, x in terms.get(k, {}).items() if x[0] < size}
-            data = featured(rows, [own[t][0] if t in own else None for t in known], [own[t][1] if t in own else None for t in known], size)
-            parts.append(fit(train(data.filter(F.col(fold) != k))).predict(data.filter(F.col(fold) == k)))
-        yield reduce(DataFrame.unionByName, parts)
+        # steps of a fit are short jobs, so some folds are fitted side by side
+        with ThreadPool(min(len(folds), 3) or 1) as pool:
+            parts = pool.map(inheritable_thread_target(lambda k: predicted(size, k)), folds)  # noqa: B023
+        yield kept(reduce(DataFrame.unionByName, parts), "predictions")
 
 
 def feature_importance(fitted: Fitted, terms: DataFrame, top: int) -> DataFrame:

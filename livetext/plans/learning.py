@@ -10,6 +10,8 @@ from livetext.plans.queries import query, read
 from livetext.sources.transcripts import kept
 
 SIZE = 1000
+#: Vocabularies of the ablation, those of the reference.
+SIZES = [5_000, 10_000, 20_000, 50_000]
 
 
 def labelled(spark, d):
@@ -89,4 +91,4 @@ def feature_importance(spark, d):
 
 @query()
 def vocab_ablation(spark, d):
-    return ml.vocab_ablation(labelled(spark, d), "doc_id", "text", [100, 1000], "en")
+    return ml.vocab_ablation(labelled(spark, d), "doc_id", "text", SIZES, "en")

@@ -177,3 +177,24 @@ def test_a_features_query_cuts_no_term_off(spark):
     from livetext.plans.learning import tfidf_features
 
     assert tfidf_features(spark, "/root/testdata/sf0.001").select("term").distinct().count() > 50000
+
+
+def test_an_ablation_goes_up_to_the_largest_vocabulary(spark):
+    """The sizes of the reference; a vocabulary's features are not written for each size and fold."""
+    from livetext.plans import learning
+
+    rows = {r["size"]: r for r in learning.vocab_ablation(spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(rows) == [5_000, 10_000, 20_000, 50_000] and all(r.accuracy > 0.8 for r in rows.values())
+
+
+def test_features_are_made_where_they_are_read(spark):
+    docs = spark.createDataFrame([(1, "the cat the hat cat"), (2, None), (3, "zzz"), (4, "hat the")], "doc_id long, text string").coalesce(1)
+    rows = ml.counted(docs, "text", ["hat", "the", "cat"])
+    data = ml.featured(rows, [2, None, 0], [1.5, None, 2.0], 3)
+    got = {r.doc_id: r.features for r in data.collect()}
+    a, b = 1.0 * 1.5, (1 + 0.6931471805599453) * 2.0
+    norm = (a * a + b * b) ** 0.5
+    assert list(got[1].indices) == [0, 2] and abs(got[1].values[0] - b / norm) < 1e-12 and abs(got[1].values[1] - a / norm) < 1e-12
+    assert len(got[2].indices) == len(got[3].indices) == 0 and got[2].size == 3 and list(got[4].indices) == [2]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan(data) and "ArrowEvalPython" not in plan(data.groupBy("doc_id").count())
