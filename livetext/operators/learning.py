@@ -12,7 +12,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from livetext.operators import evaluation as ev
-from livetext.operators import grams
+from livetext.operators import grams, network
 
 
 def _once(value: Column, f) -> Column:
@@ -304,11 +304,26 @@ def oversampled(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop("copy")
 
 
-def fit_mlp(rows: DataFrame, size: int, hidden: tuple[int, ...] = (256, 128), steps: int = 30, seed: int = 7) -> Fitted:
-    """A network of two hidden layers on rows repeated to balance."""
-    data, labels = balanced(oversampled(rows))
-    model = MultilayerPerceptronClassifier(labelCol="y", layers=[size, *hidden, max(len(labels), 2)], maxIter=steps, seed=seed)
-    return Fitted(model.fit(data), labels)
+class Net:
+    """A network of dense layers and its labels; ``predict`` adds ``p``, the label."""
+
+    def __init__(self, weights: np.ndarray, sizes: list[int], labels: list):
+        self.weights, self.sizes, self.labels = weights, sizes, labels
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        weights = rows.sparkSession.sparkContext.broadcast(self.weights)
+        names = F.array(*[F.lit(x) for x in self.labels])
+        return rows.withColumn("p", F.get(names, F.arrow_udf(network.classes(weights, self.sizes), IntegerType())("features")))
+
+
+def fit_mlp(rows: DataFrame, size: int, hidden: tuple[int, ...] = (256, 128), steps: int = 30, seed: int = 7) -> Net:
+    """A network of two hidden layers. Rows of small classes count whole times, towards the size of the largest, as ``oversampled`` repeats them."""
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a label
+    labels = sorted(counts)
+    lookup = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("label")]
+    data = rows.withColumn("y", lookup({x: k for k, x in enumerate(labels)})).withColumn("times", lookup({x: float(max(counts.values()) // n) for x, n in counts.items()}))
+    sizes = [size, *hidden, max(len(labels), 2)]
+    return Net(network.fit(data, sizes, steps, seed), sizes, labels)
 
 
 def layer_norm(vector: Column) -> Column:
@@ -360,7 +375,7 @@ def cross_validate_sizes(docs: DataFrame, text: str, sizes: list[int], fit: Call
     for size in sizes:
         # steps of a fit are short jobs, so some folds are fitted side by side
         with ThreadPool(min(len(folds), 3) or 1) as pool:
-            parts = pool.map(inheritable_thread_target(lambda k: predicted(size, k)), folds)  # noqa: B023
+            parts = pool.map(inheritable_thread_target(rows.sparkSession)(lambda k: predicted(size, k)), folds)  # noqa: B023
         yield kept(reduce(DataFrame.unionByName, parts), "predictions")
 
 

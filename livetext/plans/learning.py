@@ -52,8 +52,9 @@ def fit_linear_svm(spark, d):
 
 @query()
 def fit_mlp(spark, d):
-    data, _ = featured(spark, d, 200)
-    return ml.fit_mlp(data, 200, (32, 16)).predict(data).select("doc_id", "label", "p")
+    """The reference's network: layers of 256 and 128 on 20,000 terms."""
+    data, _ = featured(spark, d, 20_000)
+    return ml.fit_mlp(data, 20_000, (256, 128)).predict(data).select("doc_id", "label", "p")
 
 
 @query()

@@ -198,3 +198,52 @@ def test_features_are_made_where_they_are_read(spark):
     assert len(got[2].indices) == len(got[3].indices) == 0 and got[2].size == 3 and list(got[4].indices) == [2]
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan(data) and "ArrowEvalPython" not in plan(data.groupBy("doc_id").count())
+
+
+def test_a_networks_gradient_is_its_losss_slope(monkeypatch):
+    """By differences of the loss, in small blocks; a row that counts twice equals two rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    from livetext.operators import network
+
+    monkeypatch.setattr(network, "BLOCK", 3)
+    rng, sizes = np.random.default_rng(5), [6, 4, 3, 2]
+    lists = [([0, 2], [0.6, 0.8]), ([], []), ([5], [1.0]), ([1, 2, 3], [0.1, 0.7, 0.7]), ([0, 5], [0.6, 0.8])]
+    features = pa.array([dict(type=0, size=6, indices=i, values=v) for i, v in lists], pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
+    y, w = np.array([0, 1, 1, 0, 1]), network.started(sizes, 3) + rng.normal(0, 0.1, len(network.started(sizes, 3))).astype(np.float32)
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    def loss(w, features, y, times):
+        batch = pa.RecordBatch.from_arrays([features, pa.array(y), pa.array(times)], ["features", "y", "times"])
+        out = pa.Table.from_batches(network.gradients(Sent(w), sizes)(iter([batch]))).to_pylist()
+        return sum(r["loss"] for r in out), np.concatenate([np.frombuffer(r["gradient"], np.float32) for r in out])
+
+    times = np.array([1.0, 2.0, 1.0, 3.0, 1.0])
+    total, grad = loss(w, features, y, times)
+    for k in rng.choice(len(w), 25, replace=False):
+        up, down = w.copy(), w.copy()
+        up[k] += 1e-2
+        down[k] -= 1e-2
+        slope = (loss(up, features, y, times)[0] - loss(down, features, y, times)[0]) / 2e-2
+        assert abs(slope - grad[k]) < 2e-2
+    again = np.repeat(np.arange(5), times.astype(int))
+    repeated = loss(w, features.take(pa.array(again)), y[again], np.ones(len(again)))
+    assert abs(repeated[0] - total) < 1e-4 and np.allclose(repeated[1], grad, atol=1e-4)
+    # a convex function: the smallest point
+    found = network.descend(lambda x: (float(((x - 3) ** 2 * np.array([1, 10])).sum()), (2 * (x - 3) * np.array([1, 10])).astype(np.float32)), np.zeros(2, np.float32), 30)
+    assert np.allclose(found, 3, atol=1e-2)
+
+
+def test_a_networks_query_has_the_whole_network(spark, monkeypatch):
+    """Vocabulary and layers of the reference; no row is repeated."""
+    from livetext.plans import learning
+
+    seen = []
+    monkeypatch.setattr(ml.network, "fit", lambda rows, sizes, steps, seed: seen.append((rows, sizes, steps)) or ml.network.started(sizes, seed))
+    assert learning.fit_mlp(spark, "/root/testdata/sf0.001").count() == 200
+    rows, sizes, steps = seen[0]
+    assert sizes[:3] == [20_000, 256, 128] and steps == 30 and rows.count() == 200 and rows.select("features").first()[0].size == 20_000
